@@ -13,6 +13,8 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 
+from itemnorm.session import cut_lineage
+
 VALUES = "map<string,string>"
 
 CLUSTERS = (
@@ -51,6 +53,10 @@ class Catalogue:
     def with_(self, **parts: DataFrame) -> "Catalogue":
         return replace(self, **parts)
 
+    def stored(self, *parts: str) -> "Catalogue":
+        """The named tables written out once, so that what follows plans from files."""
+        return replace(self, **{p: cut_lineage(getattr(self, p)) for p in parts})
+
 
 @dataclass(frozen=True)
 class Memory:

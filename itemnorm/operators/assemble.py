@@ -19,6 +19,7 @@ from itemnorm.functions.text import (
     value_of,
 )
 from itemnorm.model import ALIASES, MEMBERS, Catalogue, Memory
+from itemnorm.session import cut_lineage
 from itemnorm.operators.ordering import (
     dense_position,
     dense_position_pairs,
@@ -73,11 +74,11 @@ def known_to_clusters(known: DataFrame, memory: Memory, base: Sequence[str]) ->
     """
     label = F.coalesce(non_blank("cluster_name"), non_blank("text"), strip_u("item"))
     enriched = F.coalesce(non_blank("enriched_name"), non_blank("text"), strip_u("item"))
-    labelled = known.where(non_blank("item").isNotNull()).select(
+    labelled = cut_lineage(known.where(non_blank("item").isNotNull()).select(
         "item_idx", strip_u("item").alias("item"), "item_id", label.alias("name"), enriched.alias("enriched_name"),
         "attributes", "attribute_merge", "attribute_merge_separators",
         (F.col("name_template") if "name_template" in known.columns else F.lit(None).cast("string")).alias("name_template"),
-    )
+    ))
     uses = first_per_key(labelled, ["name", "enriched_name", "item_id"], ["item_idx"]).withColumnRenamed("item_idx", "first_idx")
     heads = labelled.groupBy("name").agg(
         F.min("item_idx").alias("cluster_id"),
@@ -103,7 +104,11 @@ def known_to_clusters(known: DataFrame, memory: Memory, base: Sequence[str]) ->
 
 
 def _assemble(uses: DataFrame, named: DataFrame, heads: DataFrame, base: Sequence[str], fill_rows: bool) -> Catalogue:
-    """uses: one line per (row, point); named: the same exploded to aliases."""
+    """uses: one line per (row, point); named: the same exploded to aliases.
+
+    Both feed many outputs and are written out once.
+    """
+    uses, named = cut_lineage(uses), cut_lineage(named)
     value_lines = uses.select(*ROW, "first_idx", F.posexplode(clean_map("attributes")).alias("idx", "attr", "value"))
     if fill_rows:
         values = _fill(value_lines, ROW, ["first_idx"])
@@ -114,7 +119,7 @@ def _assemble(uses: DataFrame, named: DataFrame, heads: DataFrame, base: Sequenc
     alias_lines = named.select(*ROW, "first_idx", "alias_pos", "alias", member_values.alias("values"))
     alias_first = alias_lines.groupBy(*ROW, "alias").agg(F.min(F.struct("first_idx", "alias_pos")).alias("o"))
     ranked = alias_first.select(*ROW, "alias", F.col("o.first_idx").alias("a"), F.col("o.alias_pos").alias("b"))
-    placed = dense_position_pairs(ranked, ROW, "a", "b", "alias_pos").select(*ROW, "alias_pos", "alias")
+    placed = cut_lineage(dense_position_pairs(ranked, ROW, "a", "b", "alias_pos").select(*ROW, "alias_pos", "alias"))
     exploded = alias_lines.select(
         *ROW, "alias", "first_idx", "alias_pos", F.posexplode_outer("values").alias("idx", "attr", "value")
     )

@@ -19,6 +19,7 @@ from itemnorm.functions.text import (
     value_of,
 )
 from itemnorm.model import Catalogue
+from itemnorm.session import cut_lineage
 from itemnorm.operators.merge_values import recompute_values
 from itemnorm.operators.ordering import (
     dense_position,
@@ -117,7 +118,7 @@ def with_members(catalogue: Catalogue) -> Catalogue:
 def edit_values(catalogue: Catalogue, edits: DataFrame) -> Catalogue:
     """edits(cluster_id, row_pos, edit_pos, attr, value): sets the row's cell and, unless members
     already disagree on the attribute, theirs too."""
-    c = with_members(catalogue)
+    c = with_members(catalogue).stored("members")
     last = last_per_key(edits, [*ROW, "attr"], ["edit_pos"]).select(*ROW, "attr", "value")
     changes = last.groupBy(*ROW).agg(F.map_from_entries(F.collect_list(F.struct("attr", "value"))).alias("_new"))
     rows = c.rows.join(changes, ROW, "left").withColumn("values", F.map_concat("values", F.coalesce("_new", empty_map()))).drop("_new")
@@ -188,7 +189,7 @@ def _recomputed(catalogue: Catalogue, touched: DataFrame, members: DataFrame | N
     members = catalogue.members if members is None else members
     hit = touched.select(*ROW).distinct()
     rows = catalogue.rows.join(hit, ROW, "left_semi")
-    fresh = recompute_values(rows, members.join(hit, ROW, "left_semi"), catalogue.clusters)
+    fresh = cut_lineage(recompute_values(rows, members.join(hit, ROW, "left_semi"), catalogue.clusters))
     updated = rows.join(fresh.withColumnRenamed("values", "_v"), ROW, "left").withColumn("values", F.coalesce("_v", empty_map())).drop("_v")
     return catalogue.with_(rows=catalogue.rows.join(hit, ROW, "left_anti").unionByName(updated.select(*catalogue.rows.columns)))
 
@@ -205,7 +206,7 @@ def set_policy(catalogue: Catalogue, policies: DataFrame) -> Catalogue:
             .otherwise(kept),
         }
     ).select(*catalogue.clusters.columns)
-    c = with_members(catalogue.with_(clusters=clusters))
+    c = with_members(catalogue.with_(clusters=clusters)).stored("clusters", "rows", "members")
     return _recomputed(c, c.rows.join(policies.select("cluster_id").distinct(), "cluster_id", "left_semi"))
 
 
@@ -215,13 +216,13 @@ def merge_rows(catalogue: Catalogue, merges: DataFrame) -> Catalogue:
     Aliases are united, members appended in merge order, values recomputed, the target's
     name rendered again. A row may be source once and not also a target in one batch.
     """
-    c = with_members(catalogue)
+    c = with_members(catalogue).stored("rows", "aliases", "members")
     sources = merges.groupBy("cluster_id", "src").agg(F.count("*").alias("n"), F.min("dst").alias("dst"), F.min("merge_pos").alias("merge_pos"))
     targets = merges.select("cluster_id", F.col("dst").alias("src"), F.lit(True).alias("_also")).distinct()
     sources = sources.join(targets, ["cluster_id", "src"], "left").where(
         _refuse((F.col("n") > 1) | F.col("_also").isNotNull() | (F.col("src") == F.col("dst")), "a merge source is merged twice or is also a target")
     )
-    order = dense_position(sources.select("cluster_id", "src", "dst", "merge_pos"), ["cluster_id", "dst"], "merge_pos", "rank")
+    order = cut_lineage(dense_position(sources.select("cluster_id", "src", "dst", "merge_pos"), ["cluster_id", "dst"], "merge_pos", "rank"))
     moves = order.select("cluster_id", F.col("src").alias("row_pos"), "dst", (F.col("rank") + 1).alias("rank"))
     hit = order.select("cluster_id", F.col("dst").alias("row_pos")).distinct()
 
@@ -231,10 +232,10 @@ def merge_rows(catalogue: Catalogue, merges: DataFrame) -> Catalogue:
         came = df.join(moves, ROW).withColumn("row_pos", F.col("dst")).select(*own.columns)
         return own.unionByName(came)
 
-    members = _placed(gathered(c.members, "member_pos"), ROW, "member_pos")
+    members = cut_lineage(_placed(gathered(c.members, "member_pos"), ROW, "member_pos"))
     aliases = gathered(c.aliases.where(non_blank("alias").isNotNull()).withColumn("alias", strip_u("alias")), "alias_pos")
     firsts = aliases.groupBy(*ROW, "alias").agg(F.min(F.struct("rank", "alias_pos")).alias("o")).select(*ROW, "alias", "o.rank", "o.alias_pos")
-    united = _placed(firsts, ROW, "alias_pos").select(*ROW, "alias_pos", "alias")
+    united = cut_lineage(_placed(firsts, ROW, "alias_pos").select(*ROW, "alias_pos", "alias"))
     sources_only = moves.select(*ROW)
     touched = hit.unionByName(sources_only)
     rest = {p: getattr(c, p).join(touched, ROW, "left_anti") for p in ("aliases", "members")}
@@ -249,7 +250,7 @@ def merge_rows(catalogue: Catalogue, merges: DataFrame) -> Catalogue:
     )
     # The target keeps its own value only if its members or the first source's have it.
     early = members.withColumn("early", F.col("rank") <= 1)
-    done = _recomputed(merged, hit, early)
+    done = _recomputed(merged.stored("rows"), hit, early)
     return regenerate_names(done, only=hit)[0]
 
 
@@ -263,11 +264,11 @@ def split_aliases(catalogue: Catalogue, splits: DataFrame) -> Catalogue:
 
     One split per row and call. Row positions are re-numbered densely.
     """
-    c = with_members(catalogue)
+    c = with_members(catalogue).stored("rows", "aliases", "members")
     cuts = splits.where(non_blank("alias").isNotNull()).groupBy(*ROW).agg(
         F.min(strip_u("alias")).alias("name"), F.count("*").alias("n")
     ).where(_refuse(F.col("n") > 1, "two splits of one row in one batch")).drop("n")
-    cuts = cuts.join(c.rows.select(*ROW), ROW, "left_semi")
+    cuts = cut_lineage(cuts.join(c.rows.select(*ROW), ROW, "left_semi"))
     here = c.members.join(cuts, ROW)
     counts = here.groupBy(*ROW).agg(
         F.count("*").alias("n"),
@@ -275,6 +276,7 @@ def split_aliases(catalogue: Catalogue, splits: DataFrame) -> Catalogue:
         F.min("member_pos").alias("first"),
     )
     taken = counts.select(*ROW, F.coalesce("by_name", F.when(F.col("n") == 1, F.col("first"))).alias("member_pos")).where(F.col("member_pos").isNotNull())
+    taken = cut_lineage(taken)
     member = c.members.join(taken, [*ROW, "member_pos"]).select(*ROW, F.col("values").alias("m_values"), F.col("source").alias("m_source"))
     templates = c.clusters.select("cluster_id", text_of("enriched_name_template").alias("_t"))
     info = c.rows.join(cuts, ROW).join(member, ROW, "left").join(templates, "cluster_id").select(
@@ -282,14 +284,14 @@ def split_aliases(catalogue: Catalogue, splits: DataFrame) -> Catalogue:
         F.when((F.col("m_source") == "memory") | (F.col("source") == "memory"), F.lit("memory")).otherwise(F.lit("ai")).alias("source"), "_t",
     )
     sized = c.rows.select(*ROW).join(cuts, ROW, "left").select(*ROW, (1 + F.col("name").isNotNull().cast("int")).alias("w"))
-    place = running_sum(sized, ["cluster_id"], "row_pos", "w", "upto").select(*ROW, (F.col("upto") - F.col("w")).alias("new_pos"))
+    place = cut_lineage(running_sum(sized, ["cluster_id"], "row_pos", "w", "upto").select(*ROW, (F.col("upto") - F.col("w")).alias("new_pos")))
 
     left_aliases = c.aliases.join(cuts, ROW, "left").where(F.col("name").isNull() | (strip_u("alias") != F.col("name"))).select(*c.aliases.columns)
     emptied = c.rows.join(cuts, ROW, "left_semi").join(left_aliases.select(*ROW).distinct(), ROW, "left_anti")
     fallback = emptied.select(*ROW, F.lit(0).cast("bigint").alias("alias_pos"), F.coalesce(non_blank("item"), non_blank("enriched_name")).alias("alias")).where(F.col("alias").isNotNull())
     aliases = left_aliases.unionByName(fallback)
     left_members = c.members.join(taken, [*ROW, "member_pos"], "left_anti")
-    trimmed = with_members(c.with_(aliases=aliases, members=left_members))
+    trimmed = with_members(c.with_(aliases=aliases, members=left_members).stored("aliases", "members"))
     done = _recomputed(trimmed, cuts)
     done = regenerate_names(done, only=cuts)[0]
 

@@ -84,6 +84,10 @@ def python_provider(load: Callable[[], Callable[[list[str], list[str], str], str
     )
 
 
+def _any_matches(items: str, pattern: str) -> Column:
+    return F.exists(items, lambda i: i.rlike(pattern))
+
+
 def frequency_profile(patterns: dict[str, str] | None = None) -> Provider:
     """Built-in profile: most frequent word as category, attributes whose pattern hits an item."""
     rules = DEFAULT_PATTERNS if patterns is None else patterns
@@ -93,7 +97,7 @@ def frequency_profile(patterns: dict[str, str] | None = None) -> Provider:
         counted = F.transform(
             F.array_distinct("_w"), lambda w: F.struct(-F.size(F.filter("_w", lambda x: x == w)), w.alias("w"))
         )
-        hits = F.array(*[F.when(F.exists("items", lambda i, p=p: i.rlike(p)), F.lit(a)) for a, p in rules.items()])
+        hits = F.array(*[F.when(_any_matches("items", p), F.lit(a)) for a, p in rules.items()])
         found = F.filter(F.array_compact(hits), lambda a: ~F.array_contains("attributes", a))
         slots = F.array_join(F.transform(F.col("_a"), lambda a: F.concat(F.lit("{"), a, F.lit("}"))), " ")
         return (

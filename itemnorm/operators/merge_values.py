@@ -231,6 +231,7 @@ def recompute_values(rows: DataFrame, members: DataFrame, clusters: DataFrame) -
         *keys, F.col("member_pos").alias("pos"), early.alias("early"),
         F.posexplode(clean_map("values")).alias("attr_idx", "attr", "value"),
     )
+    lines = cut_lineage(lines)
     attributes = current.unionByName(
         lines.select(
             *group,
@@ -238,12 +239,13 @@ def recompute_values(rows: DataFrame, members: DataFrame, clusters: DataFrame) -
             F.struct((F.col("pos") + 1).alias("s"), F.col("attr_idx").cast("bigint").alias("i")).alias("o"),
         )
     ).groupBy(*group).agg(F.max("current").alias("current"), F.min("o").alias("o"))
-    lines = cut_lineage(lines)
     distinct_values = (
         lines.where(F.col("value") != "").groupBy(*group, "value").agg(
             F.min("pos").alias("pos"), F.bool_or("early").alias("early")
         )
     )
+    distinct_values = cut_lineage(distinct_values)
+    attributes = cut_lineage(attributes)
     per_attr = (
         distinct_values.join(attributes.select(*group, "current"), group)
         .groupBy(*group)
