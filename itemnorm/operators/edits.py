@@ -100,9 +100,11 @@ def rename_clusters(clusters: DataFrame, renames: DataFrame) -> DataFrame:
     return clusters.join(allowed, "cluster_id", "left").withColumn("name", F.coalesce("new_name", "name")).drop("new_name")
 
 
-def with_members(catalogue: Catalogue) -> Catalogue:
-    """Rows without members get one per alias, else one for the item, with the row's values."""
-    bare = catalogue.rows.join(catalogue.members.select(*ROW).distinct(), ROW, "left_anti").select(
+def with_members(catalogue: Catalogue, only: DataFrame | None = None) -> Catalogue:
+    """Rows (all, or those listed) without members get one per alias, else one for the item,
+    with the row's values."""
+    rows = catalogue.rows if only is None else catalogue.rows.join(only.select(*ROW).distinct(), ROW, "left_semi")
+    bare = rows.join(catalogue.members.select(*ROW).distinct(), ROW, "left_anti").select(
         *ROW, "item", "values", row_source("source").alias("source")
     )
     named = catalogue.aliases.where(non_blank("alias").isNotNull())
@@ -118,7 +120,7 @@ def with_members(catalogue: Catalogue) -> Catalogue:
 def edit_values(catalogue: Catalogue, edits: DataFrame) -> Catalogue:
     """edits(cluster_id, row_pos, edit_pos, attr, value): sets the row's cell and, unless members
     already disagree on the attribute, theirs too."""
-    c = with_members(catalogue).stored("members")
+    c = with_members(catalogue, edits).stored("members")
     last = last_per_key(edits, [*ROW, "attr"], ["edit_pos"]).select(*ROW, "attr", "value")
     changes = last.groupBy(*ROW).agg(F.map_from_entries(F.collect_list(F.struct("attr", "value"))).alias("_new"))
     rows = c.rows.join(changes, ROW, "left").withColumn("values", F.map_concat("values", F.coalesce("_new", empty_map()))).drop("_new")
@@ -206,8 +208,9 @@ def set_policy(catalogue: Catalogue, policies: DataFrame) -> Catalogue:
             .otherwise(kept),
         }
     ).select(*catalogue.clusters.columns)
-    c = with_members(catalogue.with_(clusters=clusters)).stored("clusters", "rows", "members")
-    return _recomputed(c, c.rows.join(policies.select("cluster_id").distinct(), "cluster_id", "left_semi"))
+    touched = catalogue.rows.select(*ROW).join(policies.select("cluster_id").distinct(), "cluster_id", "left_semi")
+    c = with_members(catalogue.with_(clusters=clusters), touched).stored("clusters", "rows", "members")
+    return _recomputed(c, touched)
 
 
 def merge_rows(catalogue: Catalogue, merges: DataFrame) -> Catalogue:
@@ -216,7 +219,8 @@ def merge_rows(catalogue: Catalogue, merges: DataFrame) -> Catalogue:
     Aliases are united, members appended in merge order, values recomputed, the target's
     name rendered again. A row may be source once and not also a target in one batch.
     """
-    c = with_members(catalogue).stored("rows", "aliases", "members")
+    both = merges.select("cluster_id", F.explode(F.array("src", "dst")).alias("row_pos"))
+    c = with_members(catalogue, both).stored("rows", "aliases", "members")
     sources = merges.groupBy("cluster_id", "src").agg(F.count("*").alias("n"), F.min("dst").alias("dst"), F.min("merge_pos").alias("merge_pos"))
     targets = merges.select("cluster_id", F.col("dst").alias("src"), F.lit(True).alias("_also")).distinct()
     sources = sources.join(targets, ["cluster_id", "src"], "left").where(
@@ -264,7 +268,7 @@ def split_aliases(catalogue: Catalogue, splits: DataFrame) -> Catalogue:
 
     One split per row and call. Row positions are re-numbered densely.
     """
-    c = with_members(catalogue).stored("rows", "aliases", "members")
+    c = with_members(catalogue, splits).stored("rows", "aliases", "members")
     cuts = splits.where(non_blank("alias").isNotNull()).groupBy(*ROW).agg(
         F.min(strip_u("alias")).alias("name"), F.count("*").alias("n")
     ).where(_refuse(F.col("n") > 1, "two splits of one row in one batch")).drop("n")
@@ -291,7 +295,7 @@ def split_aliases(catalogue: Catalogue, splits: DataFrame) -> Catalogue:
     fallback = emptied.select(*ROW, F.lit(0).cast("bigint").alias("alias_pos"), F.coalesce(non_blank("item"), non_blank("enriched_name")).alias("alias")).where(F.col("alias").isNotNull())
     aliases = left_aliases.unionByName(fallback)
     left_members = c.members.join(taken, [*ROW, "member_pos"], "left_anti")
-    trimmed = with_members(c.with_(aliases=aliases, members=left_members).stored("aliases", "members"))
+    trimmed = with_members(c.with_(aliases=aliases, members=left_members).stored("aliases", "members"), cuts)
     done = _recomputed(trimmed, cuts)
     done = regenerate_names(done, only=cuts)[0]
 

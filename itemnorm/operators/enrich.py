@@ -148,6 +148,7 @@ class Answers:
 
 def ask(requests: DataFrame, provider: Provider, is_valid: Callable[[str], Column], cache: DataFrame | None = None) -> Answers:
     """Answers from fresh cache entries, else from the provider; equal requests are asked once."""
+    requests = cut_lineage(requests)
     once = first_per_key(requests.select("cache_key", "request_id", "items", "attributes", "prompt"), ["cache_key"], ["request_id"])
     if cache is None:
         known = None
@@ -163,7 +164,7 @@ def ask(requests: DataFrame, provider: Provider, is_valid: Callable[[str], Colum
     if known is not None:
         answered = answered.unionByName(known.withColumn("from_cache", F.lit(True)))
     responses = requests.join(answered, "cache_key", "left").withColumn("json", extract_json("response"))
-    return Answers(responses.withColumn("valid", is_valid("json")), new_entries)
+    return Answers(cut_lineage(responses.withColumn("valid", is_valid("json"))), new_entries)
 
 
 def append_cache(entries: DataFrame, path: str) -> None:
@@ -251,14 +252,16 @@ def extract_values(
     returned = responses.where("valid").select(
         F.col("request_id").alias("batch_id"), *groups, "batch", F.posexplode(parse_values("json")["normalized"]).alias("resp_pos", "entry")
     )
-    asked = requests.select(F.col("request_id").alias("batch_id"), F.explode("items").alias("item"))
-    audit = audit_batches(asked, returned.select("batch_id", F.col("entry.item").alias("item"))).where("complete")
+    asked = responses.select(F.col("request_id").alias("batch_id"), F.explode("items").alias("item"))
+    audit = cut_lineage(audit_batches(asked, returned.select("batch_id", F.col("entry.item").alias("item"))).where("complete").select("batch_id"))
     good = returned.join(audit.select("batch_id"), "batch_id", "left_semi").where(non_blank("entry.item").isNotNull())
     lines = good.select(
         "cluster_id", strip_u("entry.item").alias("item"), "batch", "resp_pos", F.map_entries(clean_map("entry.values")).alias("entries")
     )
-    values = last_per_key(lines, ["cluster_id", "item"], ["batch", "resp_pos"]).select(
-        "cluster_id", "item", F.map_from_entries("entries").alias("values")
+    values = cut_lineage(
+        last_per_key(lines, ["cluster_id", "item"], ["batch", "resp_pos"]).select(
+            "cluster_id", "item", F.map_from_entries("entries").alias("values")
+        )
     )
     rejected = responses.join(audit.select(F.col("batch_id").alias("request_id")), "request_id", "left_anti")
     return values, rejected, answers
@@ -280,10 +283,10 @@ def fill_gaps(
 ) -> tuple[DataFrame, DataFrame, Answers]:
     """Known items(cluster_id, pos, item, attributes, values): only missing attributes are asked for,
     answers overlay what is known. Returns (cluster_id, pos, item, values), rejected, answers."""
-    gaps = missing_attributes(items)
+    gaps = cut_lineage(missing_attributes(items))
     wanted = gaps.where(F.size("missing") > 0).select("cluster_id", "pos", "item", F.col("missing").alias("attributes"))
     found, rejected, answers = extract_values(wanted, provider, cache, provider_name)
-    out = items.join(found.withColumnRenamed("values", "_new"), ["cluster_id", "item"], "left").select(
+    out = gaps.join(found.withColumnRenamed("values", "_new"), ["cluster_id", "item"], "left").select(
         "cluster_id", "pos", "item",
         F.map_concat(F.coalesce("values", empty_map()), F.coalesce("_new", empty_map())).alias("values"),
     )

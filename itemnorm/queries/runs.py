@@ -58,7 +58,7 @@ def pip2_rows(spark, d):
 
 @query(
     "pip3_normalize_input",
-    f"WITH {GROUPED}, i AS (SELECT cluster_id, item, min((row_pos, member_pos)) AS at, arg_max({{'s': source, 'p': price}}, (row_pos, member_pos)) AS last FROM members GROUP BY ALL) SELECT cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY at) - 1 AS item_pos, item, last.s AS source, last.p AS price FROM i",
+    f"WITH {GROUPED}, i AS (SELECT cluster_id, item, min((row_pos, member_pos)) AS place, arg_max({{'s': source, 'p': price}}, (row_pos, member_pos)) AS last FROM members GROUP BY ALL) SELECT cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY place) - 1 AS item_pos, item, last.s AS source, last.p AS price FROM i",
 )
 def pip3(spark, d):
     return normalize_input(catalogue(spark, d)).select("cluster_id", "item_pos", "item", "source", F.col("values")["price"].alias("price"))

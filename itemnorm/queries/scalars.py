@@ -79,7 +79,7 @@ def scl6(spark, d):
 
 @query(
     "scl7_split_parts",
-    """WITH pieces AS (SELECT doc_id, idx, trim(part) AS part FROM (SELECT doc_id, unnest(list_transform(string_split_regex(text, '[;,|]'), (x, i) -> {'idx': i, 'part': x}), recursive := true) FROM documents)),
+    """WITH pieces AS (SELECT doc_id, idx, trim(part) AS part FROM (SELECT doc_id, unnest(list_transform(string_split_regex(text, '[;,|]'), lambda x, i: {'idx': i, 'part': x}), recursive := true) FROM documents)),
     firsts AS (SELECT doc_id, trim(part, e' \\n\\t\\r') AS part, min(idx) AS idx FROM pieces WHERE trim(part, e' \\n\\t\\r') <> '' GROUP BY ALL)
     SELECT d.doc_id, coalesce(string_agg(part, ' ; ' ORDER BY idx), '') AS pieces, count(part) AS n FROM documents d LEFT JOIN firsts f ON f.doc_id = d.doc_id GROUP BY d.doc_id""",
 )

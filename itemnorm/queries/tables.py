@@ -108,10 +108,10 @@ def prj8(spark, d):
     return st.insert_rows(source_table(spark, d), new, "text")
 
 
-@query("prj9_delete_rows", "SELECT c_custkey AS row_id, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("prj9_delete_rows", "SELECT c_custkey AS row_id, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def prj9(spark, d):
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("row_id"), "c_name")
-    return st.delete_rows(c, table(spark, d, "orders").select(F.col("o_custkey").alias("row_id")))
+    return st.delete_rows(c, table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("row_id")))
 
 
 @query("prj10_add_column", "SELECT c_custkey AS row_id, c_name, '' AS note, c_mktsegment FROM customer")
