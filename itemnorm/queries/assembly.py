@@ -8,7 +8,7 @@ from itemnorm.operators import assemble as a
 from itemnorm.operators import edits as ed
 from itemnorm.operators.collapse import collapse_rows
 from itemnorm.operators.merge_values import fold_groups, recompute_values
-from itemnorm.queries.inputs import ATTRIBUTES, GROUPED, PARTS, catalogue, flat, memory, parts, sql_item_id, table, values_map
+from itemnorm.queries.inputs import ATTRIBUTES, GROUPED, PARTS, catalogue, digest_vector, flat, memory, parts, sql_item_id, table, values_map
 from itemnorm.queries.registry import query
 from itemnorm.session import cut_lineage, scratch_path
 from itemnorm.sources.files import export_lines, write_export, write_exports
@@ -53,13 +53,6 @@ def agg3_long(spark, d):
     return folded.join(clusters, "cluster_id").select("lang", "source", F.try_element_at("values", F.lit("v")).alias("merged"))
 
 
-def one_hot(of):
-    """Unit vectors that are equal for equal text: collapse then groups equal texts."""
-    from itemnorm.functions.vectors import hash_embedding
-
-    return hash_embedding(of)
-
-
 @query(
     "agg4_collapse_rows",
     f"""WITH {GROUPED}, {_SIZES} SELECT g.cluster_id, g.row_pos, g.enriched_name, (SELECT arg_min(alias, alias_pos) FROM aliases a WHERE a.cluster_id = g.cluster_id AND a.row_pos = g.row_pos) AS item,
@@ -71,7 +64,7 @@ def agg4(spark, d):
     c = catalogue(spark, d)
     entries = parts(spark, d).select(
         "cluster_id", "pos", "item", F.concat_ws(" ", "brand", "name").alias("enriched_name"), values_map(*ATTRIBUTES).alias("values"), "source",
-        one_hot(F.concat_ws(" ", "brand", "name")).alias("vec"),
+        digest_vector(F.concat_ws(" ", "brand", "name")).alias("vec"),
     )
     out = collapse_rows(entries, c.clusters, limit=0.000001)
     n_a = out.aliases.groupBy(*ROW).agg(F.count("*").alias("n_aliases"))

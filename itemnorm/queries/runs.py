@@ -9,7 +9,7 @@ from itemnorm.plans.clusterize import clusterize
 from itemnorm.plans.normalize import normalize, normalize_input, rededupe, with_attribute_mode
 from itemnorm.plans.runs import RunStore, completed_clusters, only_clusters, run_summary
 from itemnorm.queries.enrichment import PATTERNS
-from itemnorm.queries.inputs import GROUPED, PARTS, catalogue, flat, memory, parts
+from itemnorm.queries.inputs import GROUPED, PARTS, catalogue, digest_embedder, flat, memory, parts
 from itemnorm.queries.registry import query
 from itemnorm.session import scratch_path
 
@@ -45,13 +45,13 @@ _ITEM = """items AS (SELECT cluster_id, item, arg_max(source, (row_pos, member_p
 
 @query("pip2_normalize_items", f"WITH {GROUPED}, {_ITEM} SELECT cluster_id, item, name AS enriched_name, 'size=' || size || ' мм|type=' || type AS flat_values, source FROM items")
 def pip2(spark, d):
-    out = normalize(_prepared(spark, d), provider=pattern_extraction(PATTERNS), limit=0.000001)
+    out = normalize(_prepared(spark, d), provider=pattern_extraction(PATTERNS), embedder=digest_embedder, limit=0.000001)
     return out.items.select("cluster_id", "item", "enriched_name", flat().alias("flat_values"), "source")
 
 
 @query("pip2_normalize_rows", f"WITH {GROUPED}, {_ITEM} SELECT cluster_id, name AS enriched_name, count(*) AS n_aliases, 'size=' || min(size) || ' мм|type=' || min(type) AS flat_values FROM items GROUP BY cluster_id, name")
 def pip2_rows(spark, d):
-    out = normalize(_prepared(spark, d), provider=pattern_extraction(PATTERNS), limit=0.000001).collapsed
+    out = normalize(_prepared(spark, d), provider=pattern_extraction(PATTERNS), embedder=digest_embedder, limit=0.000001).collapsed
     n = out.aliases.groupBy(*ROW).agg(F.count("*").alias("n_aliases"))
     return out.rows.join(n, ROW).select("cluster_id", "enriched_name", "n_aliases", flat().alias("flat_values"))
 
@@ -81,7 +81,7 @@ def pip5_entries(spark, d):
 
 @query("pip5_rededupe", f"WITH {GROUPED} SELECT cluster_id, type || ' ' || size AS enriched_name, count(*) AS n_members, 'size=' || size || '|type=' || type AS flat_values FROM members GROUP BY cluster_id, type, size")
 def pip5(spark, d):
-    out = rededupe(catalogue(spark, d), limit=0.000001)
+    out = rededupe(catalogue(spark, d), embedder=digest_embedder, limit=0.000001)
     n = out.members.groupBy(*ROW).agg(F.count("*").alias("n_members"))
     return out.rows.join(n, ROW).select("cluster_id", "enriched_name", "n_members", F.concat(F.lit("size="), F.col("values")["size"], F.lit("|type="), F.col("values")["type"]).alias("flat_values"))
 
@@ -91,7 +91,7 @@ def _half_done(spark, d):
     c = _prepared(spark, d)
     store = RunStore(spark, scratch_path(spark, "run"))
     first = only_clusters(c, c.clusters.where("cluster_id <= 12"))
-    out = normalize(first, provider=pattern_extraction(PATTERNS), limit=0.000001)
+    out = normalize(first, provider=pattern_extraction(PATTERNS), embedder=digest_embedder, limit=0.000001)
     store.save(out.collapsed, out.items)
     return c, store
 
@@ -105,7 +105,7 @@ def c1(spark, d):
 @query("c2_resume", f"WITH {GROUPED}, {_ITEM} SELECT cluster_id, item, name AS enriched_name FROM items")
 def c2(spark, d):
     c, store = _half_done(spark, d)
-    rest = normalize(only_clusters(c, store.pending(c.clusters)), provider=pattern_extraction(PATTERNS), limit=0.000001)
+    rest = normalize(only_clusters(c, store.pending(c.clusters)), provider=pattern_extraction(PATTERNS), embedder=digest_embedder, limit=0.000001)
     store.save(rest.collapsed, rest.items)
     return store.results()[1].select("cluster_id", "item", "enriched_name")
 
