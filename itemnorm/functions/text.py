@@ -11,7 +11,9 @@ WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-_WS_CLASS = "[" + "".join(f"\\x{{{ord(ch):x}}}" for ch in WHITESPACE) + "]"
+_WS_SET = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# Runs that are not already one plain space: single spaces are most of a text and stay untouched.
+_WS_RUN = f"[{_WS_SET}&&[^ ]][{_WS_SET}]*| [{_WS_SET}]+"
 
 # Namespace of item ids, and the name used where a memory point has no cluster.
 ITEM_NAMESPACE = "a3f2c8e1-5b4d-4e9a-9c7f-1d2e3f4a5b6c"
@@ -52,7 +54,7 @@ def non_blank(c: Column | str) -> Column:
 
 
 def collapse_spaces(c: Column | str) -> Column:
-    return strip_u(F.regexp_replace(col(c), _WS_CLASS + "+", " "))
+    return strip_u(F.regexp_replace(col(c), _WS_RUN, " "))
 
 
 def lookup_key(c: Column | str) -> Column:

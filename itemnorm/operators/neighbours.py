@@ -125,6 +125,9 @@ def best_neighbours(
     right_blocks = _blocks(right_cells, group, block, "r_blocks")
     left_blocks = _blocks(left_cells, group, block, "l_blocks")
     sides = right_blocks.join(left_blocks, group)
+    if not on:
+        # One line per pivot, and pivots are at most PIVOT_BYTES.
+        sides = F.broadcast(sides)
 
     def fresh(*names: str):
         # Both sides may come from one table; new attribute ids keep the cogroup unambiguous.

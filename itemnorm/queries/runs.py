@@ -11,7 +11,7 @@ from itemnorm.plans.runs import RunStore, completed_clusters, only_clusters, run
 from itemnorm.queries.enrichment import PATTERNS
 from itemnorm.queries.inputs import GROUPED, PARTS, catalogue, digest_embedder, flat, memory, parts
 from itemnorm.queries.registry import query
-from itemnorm.session import scratch_path
+from itemnorm.session import cut_lineage, scratch_path
 
 ROW = ["cluster_id", "row_pos"]
 
@@ -152,7 +152,9 @@ def m1(spark, d):
 
     p = parts(spark, d)
     values = F.create_map(F.lit("size"), F.concat("size", F.lit(" mm")), F.lit("price"), "price", F.lit("brand"), "brand", F.lit("type"), "type", F.lit("name"), "name")
-    named = p.select("pos", standardize_map(values).alias("values")).withColumn("enriched", render_template(F.lit("{brand} {type} {name}"), "values"))
+    named = cut_lineage(
+        p.select("pos", standardize_map(values).alias("values")).withColumn("enriched", render_template(F.lit("{brand} {type} {name}"), "values"))
+    )
     entries = named.select(F.xxhash64("enriched").alias("cluster_id"), F.lit(0).cast("bigint").alias("row_pos"), "pos", "values", "enriched")
     clusters = entries.groupBy("cluster_id").agg(F.first("enriched").alias("enriched"), F.count("*").alias("n_items")).withColumns(
         {"attribute_merge": F.create_map(F.lit("size"), F.lit("accumulative")), "attribute_merge_separators": empty_map()}

@@ -166,3 +166,10 @@ def win2(spark, d):
 )
 def win3(spark, d):
     return page(table(spark, d, "orders").select(F.col("o_orderkey").alias("row_id"), "o_orderstatus"), 3, 100)
+
+
+@query("srt3_input_order", "SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS place FROM (SELECT min(doc_id) AS row_id FROM documents GROUP BY trim(text, e' \\n\\t\\r'), lang)")
+def srt3(spark, d):
+    """Kept rows with their dense place in input order, without one global window."""
+    kept = st.clean_rows(source_table(spark, d).drop("source")).select("row_id", F.lit(0).alias("all"))
+    return dense_position(kept, ["all"], "row_id", "place").select("row_id", "place")
