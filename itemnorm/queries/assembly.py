@@ -62,10 +62,10 @@ def agg3_long(spark, d):
 )
 def agg4(spark, d):
     c = catalogue(spark, d)
-    entries = parts(spark, d).select(
+    entries = cut_lineage(parts(spark, d).select(
         "cluster_id", "pos", "item", F.concat_ws(" ", "brand", "name").alias("enriched_name"), values_map(*ATTRIBUTES).alias("values"), "source",
         digest_vector(F.concat_ws(" ", "brand", "name")).alias("vec"),
-    )
+    ))
     out = collapse_rows(entries, c.clusters, limit=0.000001)
     n_a = out.aliases.groupBy(*ROW).agg(F.count("*").alias("n_aliases"))
     n_m = out.members.groupBy(*ROW).agg(F.count("*").alias("n_members"))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from itemnorm.functions.responses import extract_json, parse_profile, profile_is_valid
 from itemnorm.operators import enrich as en
-from itemnorm.queries.inputs import PARTS, flat, parts, table
+from itemnorm.queries.inputs import FINISHED, PARTS, flat, known_first, parts, table
 from itemnorm.queries.registry import query
 from itemnorm.session import cut_lineage, scratch_path
 
@@ -106,13 +106,13 @@ def enr3(spark, d):
 
 @query(
     "enr4_response_cache",
-    f"WITH {_PROFILE} SELECT cluster_id, batch, cluster_id <= 12 AS from_cache FROM b GROUP BY ALL",
+    f"WITH {_PROFILE}, {FINISHED} SELECT cluster_id, batch, cluster_id IN (FROM finished) AS from_cache FROM b GROUP BY ALL",
 )
 def enr4(spark, d):
-    """First half of the clusters answered and cached, then everything asked again."""
+    """Clusters starting with a known item answered and cached, then everything asked again."""
     path = scratch_path(spark, "cache")
     items = _items(spark, d)
-    _, first = en.profile_clusters(items.where("cluster_id <= 12"), en.frequency_profile(PATTERNS), ["base"])
+    _, first = en.profile_clusters(items.join(known_first(parts(spark, d)), "cluster_id", "left_semi"), en.frequency_profile(PATTERNS), ["base"])
     en.append_cache(first.cache, path)
     cache = spark.read.schema(en.CACHE).parquet(path)
     _, second = en.profile_clusters(items, en.frequency_profile(PATTERNS), ["base"], cache)

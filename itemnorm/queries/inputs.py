@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from itemnorm.functions.text import item_id
+from itemnorm.functions.text import item_id, let
 from itemnorm.functions.vectors import hash_embedding
 from itemnorm.model import Catalogue, Memory
 
@@ -121,10 +121,23 @@ def flat(m: str = "values"):
     )
 
 
+def known_first(parts_df: DataFrame) -> DataFrame:
+    """Clusters whose first item is a known one: what a run that takes known clusters first has finished."""
+    firsts = parts_df.groupBy("cluster_id").agg(F.min_by("source", "pos").alias("first_source"))
+    return firsts.where("first_source = 'memory'").select("cluster_id")
+
+
+FINISHED = "finished AS (SELECT cluster_id FROM parts GROUP BY cluster_id HAVING arg_min(source, pos) = 'memory')"
+
+
 def digest_vector(text):
     """Vector of the text's md5 digits: equal for equal texts, far apart for any two others."""
-    digits = F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: F.conv(F.substring(F.md5(text), i, F.lit(1)), 16, 10))
-    return F.transform(digits, lambda v: v.cast("double") - 7.5)
+    def digits(hexes):
+        return F.transform(
+            F.sequence(F.lit(1), F.lit(32)), lambda i: F.conv(F.substring(hexes, i, F.lit(1)), 16, 10).cast("double") - 7.5
+        )
+
+    return let(F.md5(text), digits)
 
 
 def digest_embedder(texts):

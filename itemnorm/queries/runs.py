@@ -9,7 +9,7 @@ from itemnorm.plans.clusterize import clusterize
 from itemnorm.plans.normalize import normalize, normalize_input, rededupe, with_attribute_mode
 from itemnorm.plans.runs import RunStore, completed_clusters, only_clusters, run_summary
 from itemnorm.queries.enrichment import PATTERNS
-from itemnorm.queries.inputs import GROUPED, PARTS, catalogue, digest_embedder, flat, memory, parts
+from itemnorm.queries.inputs import FINISHED, GROUPED, PARTS, catalogue, digest_embedder, flat, known_first, memory, parts
 from itemnorm.queries.registry import query
 from itemnorm.session import cut_lineage, scratch_path
 
@@ -87,16 +87,16 @@ def pip5(spark, d):
 
 
 def _half_done(spark, d):
-    """A run that stopped after the even-handed first part: clusters with the fewest rows are finished."""
+    """A run that took the clusters starting with a known item first, and stopped after them."""
     c = _prepared(spark, d)
     store = RunStore(spark, scratch_path(spark, "run"))
-    first = only_clusters(c, c.clusters.where("cluster_id <= 12"))
+    first = only_clusters(c, known_first(parts(spark, d)))
     out = normalize(first, provider=pattern_extraction(PATTERNS), embedder=digest_embedder, limit=0.000001)
     store.save(out.collapsed, out.items)
     return c, store
 
 
-@query("c1_checkpoint", f"WITH {GROUPED}, {_ITEM} SELECT cluster_id, item, name AS enriched_name FROM items WHERE cluster_id <= 12")
+@query("c1_checkpoint", f"WITH {GROUPED}, {FINISHED}, {_ITEM} SELECT cluster_id, item, name AS enriched_name FROM items WHERE cluster_id IN (FROM finished)")
 def c1(spark, d):
     _, store = _half_done(spark, d)
     return store.results()[1].select("cluster_id", "item", "enriched_name")
@@ -123,7 +123,7 @@ def c4(spark, d):
     return completed_clusters(claimed, catalogue(spark, d).clusters)
 
 
-@query("jn10_resume_anti_join", f"WITH {PARTS} SELECT DISTINCT cluster_id FROM parts WHERE cluster_id > 12")
+@query("jn10_resume_anti_join", f"WITH {PARTS}, {FINISHED} SELECT DISTINCT cluster_id FROM parts WHERE cluster_id NOT IN (FROM finished)")
 def jn10(spark, d):
     c, store = _half_done(spark, d)
     return store.pending(c.clusters).select("cluster_id")
@@ -131,8 +131,8 @@ def jn10(spark, d):
 
 @query(
     "agg10_run_summary",
-    f"""WITH {GROUPED}, i AS (SELECT DISTINCT cluster_id, item FROM members) SELECT count(*) AS expected_count, count(*) FILTER (cluster_id <= 12) AS actual_count, count(*) FILTER (cluster_id > 12) AS remaining_items_count,
-    count(DISTINCT CASE WHEN cluster_id <= 12 THEN cluster_id END) AS completed_clusters, true AS is_partial FROM i""",
+    f"""WITH {GROUPED}, {FINISHED}, i AS (SELECT m.cluster_id, f.cluster_id AS done FROM (SELECT DISTINCT cluster_id, item FROM members) m LEFT JOIN finished f ON f.cluster_id = m.cluster_id)
+    SELECT count(*) AS expected_count, count(done) AS actual_count, count(*) - count(done) AS remaining_items_count, count(DISTINCT done) AS completed_clusters, true AS is_partial FROM i""",
 )
 def agg10(spark, d):
     c, store = _half_done(spark, d)
