@@ -82,22 +82,22 @@ def land(size: np.ndarray, words: float, rows: float) -> np.ndarray:
 
 
 def mix_sources(
-    rows: DataFrame, weights: Sequence[float], share: float, limit: float = 2.0, block: int = BLOCK
+    rows: DataFrame, weights: Sequence[float], share: float, limit: float = 2.0, block: int = BLOCK, keep: Sequence[str] = ()
 ) -> DataFrame:
-    """item_id, source, size, source_size, target, copies, taken of every row.
+    """item_id, source, size, source_size, target, copies, taken of every row, and its columns named in keep.
 
     rows(item_id, text, source, ...): size is the number of words, 0 for a null or empty text. The
     sources by code point, null last, get the weights in turn. target: words the mix takes from the row's
     source; copies: how often the row is taken; taken = copies * size. No row is taken more than `limit`
     times, an integer. The sums of taken words differ from the targets by the landing only: by a few words,
-    or, in a source of one or two rows, by up to half a row. A row's block follows from a hash of its id and size, so reruns agree;
-    repeated rows are decided one by one. Rows without words are balanced as rows and add no words. An empty
-    table gives an empty result.
+    or, in a source of a few rows, by up to half a row. A row's block follows from a hash of its id and
+    size, so reruns agree; repeated rows are decided one by one. Rows without words are balanced as rows
+    and add no words. An empty table gives an empty result.
     """
     spark = rows.sparkSession
     kind = id_type(rows)
     sized = cut_lineage(
-        rows.select("item_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_PATTERN)).cast("bigint").alias("size"))
+        rows.select(*keep, "item_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_PATTERN)).cast("bigint").alias("size"))
     )
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
@@ -114,13 +114,16 @@ def mix_sources(
     by_source = spark.createDataFrame(lines, "k int, source string, source_size bigint, target double, whole int, p double, blocks bigint")
     placed = cut_lineage(
         sized.join(F.broadcast(by_source), sized["source"].eqNullSafe(by_source["source"]))
-        .select("item_id", sized["source"], "size", "source_size", "target", "whole", "p", "k", F.greatest("blocks", F.lit(1)).alias("blocks"))
+        .select(*keep, "item_id", sized["source"], "size", "source_size", "target", "whole", "p", "k", F.greatest("blocks", F.lit(1)).alias("blocks"))
     )
 
     schema = f"item_id {kind}, size bigint, k int, p double, n bigint, blocks bigint"
 
     def flight(table: pa.Table) -> pa.Table:
         table = table.sort_by([("order", "ascending"), ("item_id", "ascending"), ("size", "ascending"), ("p", "ascending")])
+        size = table["size"].to_numpy()
+        # Large rows fly first, so that the landing has rows of ordinary sizes to add up.
+        table = table.take(np.argsort(size <= 2 * size.mean(), kind="stable"))
         again = table.take(np.repeat(np.arange(table.num_rows), table["n"].to_numpy()))
         last = table["blocks"][0].as_py() == 1
         p = fly(again["p"].to_numpy(), again["size"].to_numpy(), min(LANDING - 2, again.num_rows) if last else 0)
@@ -159,10 +162,10 @@ def mix_sources(
             landed.append((r["item_id"], r["size"], k, float(x), 1, 1))
     decided = decided.union(spark.createDataFrame(landed, schema))
     extra = decided.where("p = 1").groupBy("item_id", "size", "k").agg(F.sum("n").alias("more"))
-    return _with_extra(placed, cut_lineage(extra))
+    return _with_extra(placed, cut_lineage(extra), keep)
 
 
-def _with_extra(placed: DataFrame, extra: DataFrame) -> DataFrame:
+def _with_extra(placed: DataFrame, extra: DataFrame, keep: Sequence[str]) -> DataFrame:
     """copies = whole + 1 for `more` of the rows that share an id and a size."""
     from pyspark.sql import Window
 
@@ -171,5 +174,5 @@ def _with_extra(placed: DataFrame, extra: DataFrame) -> DataFrame:
     joined = placed.join(extra, same, "left").select(placed["*"], F.coalesce("more", F.lit(0)).alias("more"), twin.alias("twin"))
     copies = F.col("whole") + F.when(F.col("twin") <= F.col("more"), 1).otherwise(0)
     return joined.withColumn("copies", copies).select(
-        "item_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("bigint").alias("taken")
+        *keep, "item_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("bigint").alias("taken")
     )
