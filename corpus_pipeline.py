@@ -54,8 +54,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; those it takes no time go."""
     prepare(spark)
     numbered = cut_lineage(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()))
-    rows = numbered.select(F.col("_row").alias("item_id"), "text", "source")
-    taken = mixing.mix_sources(rows, queries.WEIGHTS, queries.SHARE, queries.LIMIT).where("copies > 0").select(F.col("item_id").alias("_row"), "copies")
+    rows = queries.document_points(numbered, "source", "_row")
+    taken = mixing.mix_sources(rows, queries.WEIGHTS, queries.SHARE, queries.LIMIT, keep=["_row"]).where("copies > 0").select("_row", "copies")
     return numbered.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
