@@ -23,6 +23,7 @@ from itemnorm.session import cut_lineage
 from itemnorm.operators.ordering import (
     dense_position,
     dense_position_pairs,
+    dense_text_position,
     first_per_key,
     last_per_key,
     merged_maps,
@@ -182,18 +183,17 @@ def memory_to_clusters(memory: Memory, base: Sequence[str]) -> Catalogue:
     """Clusters rebuilt from memory points; differs from known_to_clusters in that a row keeps
     its first point's values, merge maps come whole, and the template stays blank.
 
-    Points are ordered by id through a numeric position computed here.
+    Points are ordered by their whole id: a cluster's id is the rank of its first point among all, its rows are
+    numbered from 0 by the ids of their first points.
     """
     points = memory.points.where(non_blank("text").isNotNull()).select(
         "item_id", strip_u("text").alias("enriched_name"), F.col("cluster_name").alias("name"),
         "attributes", "attribute_merge", "attribute_merge_separators",
     )
-    # Leading 60 bits of the id order points by id; ids are hashes, so they do not collide
-    # inside one row, where alone the order is used.
-    order = F.conv(F.substring(F.replace("item_id", F.lit("-"), F.lit("")), 1, 15), 16, 10).cast("bigint")
-    points = points.withColumn("first_idx", order)
+    points = cut_lineage(dense_text_position(points, "item_id", "first_idx"))
     heads = points.groupBy("name").agg(F.min("first_idx").alias("cluster_id"), F.lit("").alias("template"))
-    rows_pos = points.groupBy("name", "enriched_name").agg(F.min("first_idx").alias("row_pos"))
+    firsts = points.groupBy("name", "enriched_name").agg(F.min("first_idx").alias("at"))
+    rows_pos = dense_position(firsts, ["name"], "at", "row_pos").select("name", "enriched_name", "row_pos")
     uses = points.join(heads.select("name", "cluster_id"), "name").join(rows_pos, ["name", "enriched_name"])
     with_alias = memory.aliases.select("item_id", "alias_pos", strip_u("alias").alias("alias"), "values").where(
         F.length("alias") > 0
@@ -560,6 +560,27 @@ def load_into(catalogue: Catalogue, loaded: Catalogue) -> Catalogue:
     ])
 
 
+def load_full(catalogue: Catalogue, memory: Memory, wanted: DataFrame, base: Sequence[str]) -> Catalogue:
+    """Listed clusters replaced by everything memory holds under their memory name, else under their own.
+
+    A cluster keeps its id. One whose name memory does not know, or that has none, stays as it is.
+    """
+    name = F.coalesce(non_blank("memory_cluster_name"), non_blank("name")).alias("cluster_name")
+    asked = cut_lineage(catalogue.clusters.join(wanted.select("cluster_id").distinct(), "cluster_id", "left_semi").select(F.col("cluster_id").alias("to"), name))
+    points = memory.points.join(asked.select("cluster_name").distinct(), "cluster_name", "left_semi")
+    loaded = memory_to_clusters(memory.with_(points=points), base)
+    places = loaded.clusters.select("cluster_id", F.col("name").alias("cluster_name")).join(asked, "cluster_name").select("cluster_id", "to")
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.join(places, "cluster_id").withColumn("cluster_id", F.col("to")).select(*df.columns)
+
+    gone = places.select(F.col("to").alias("cluster_id"))
+    return Catalogue(*[
+        getattr(catalogue, p).join(gone, "cluster_id", "left_anti").unionByName(placed(getattr(loaded, p)))
+        for p in ("clusters", "rows", "aliases", "members", "items")
+    ])
+
+
 def find_rows(catalogue: Catalogue, hits: DataFrame) -> DataFrame:
     """hits(cluster_name, text, ...) with the row they point at: memory name of the cluster + exact enriched text."""
     names = catalogue.clusters.select("cluster_id", F.coalesce(non_blank("memory_cluster_name"), non_blank("name")).alias("cluster_name"))

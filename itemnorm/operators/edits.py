@@ -30,6 +30,8 @@ from itemnorm.operators.ordering import (
 )
 
 ROW = ["cluster_id", "row_pos"]
+# The lead columns of a cluster's table, which no attribute may be called.
+RESERVED = ("Номенклатура", "Обогащенное стандартизованное наименование")
 
 
 def _refuse(condition: Column, message: str) -> Column:
@@ -37,66 +39,120 @@ def _refuse(condition: Column, message: str) -> Column:
     return F.when(condition, F.raise_error(F.lit(message)).cast("boolean")).otherwise(F.lit(True))
 
 
+def _edit_order(edits: DataFrame, *ties: str) -> Column:
+    """Place of an edit inside its batch: edit_pos where the batch has it, then the named columns."""
+    return F.struct(*([F.col("edit_pos")] if "edit_pos" in edits.columns else []), *[F.col(t) for t in ties])
+
+
 def soft_delete(rows: DataFrame, keys: DataFrame, deleted: bool = True) -> DataFrame:
-    """Marks (or restores) the listed rows. Readers order by (deleted, row_pos)."""
+    """Marks (or restores) the listed rows where they stand. Readers order by (deleted, row_pos)."""
     flag = keys.select(*ROW).distinct().withColumn("_hit", F.lit(deleted))
     return rows.join(flag, ROW, "left").withColumn("deleted", F.coalesce("_hit", "deleted")).drop("_hit")
 
 
+def delete_rows(catalogue: Catalogue, keys: DataFrame, deleted: bool = True) -> Catalogue:
+    """keys(cluster_id, row_pos[, edit_pos]): listed rows marked and moved to the end, in edit order.
+
+    A deleted row comes last; a restored one comes behind the last live row, because deleted rows are
+    read after all live ones. The moved rows get new positions, which their aliases and members follow.
+    A row listed twice counts at its first edit.
+    """
+    hit = keys.join(catalogue.rows.select(*ROW), ROW, "left_semi")
+    place = F.col("edit_pos").cast("bigint") if "edit_pos" in keys.columns else F.col("row_pos")
+    once = hit.select(*ROW, place.alias("edit")).groupBy(*ROW).agg(F.min("edit").alias("edit"))
+    ranked = cut_lineage(dense_position_pairs(once, ["cluster_id"], "edit", "row_pos", "rank"))
+    last = catalogue.rows.groupBy("cluster_id").agg(F.max("row_pos").alias("last"))
+    moves = ranked.join(last, "cluster_id").select(*ROW, (F.col("last") + 1 + F.col("rank")).alias("_to"))
+
+    def followed(df: DataFrame) -> DataFrame:
+        return df.join(moves, ROW, "left").withColumn("row_pos", F.coalesce("_to", "row_pos")).select(*df.columns)
+
+    rows = catalogue.rows.join(moves, ROW, "left").withColumns(
+        {"deleted": F.when(F.col("_to").isNotNull(), F.lit(deleted)).otherwise(F.col("deleted")), "row_pos": F.coalesce("_to", "row_pos")}
+    ).select(*catalogue.rows.columns)
+    return catalogue.with_(rows=rows, aliases=followed(catalogue.aliases), members=followed(catalogue.members))
+
+
+def restore_rows(catalogue: Catalogue, keys: DataFrame) -> Catalogue:
+    return delete_rows(catalogue, keys, deleted=False)
+
+
 def live_rows(rows: DataFrame) -> DataFrame:
     return rows.where(~F.coalesce("deleted", F.lit(False)))
 
 
 def add_attribute(catalogue: Catalogue, names: DataFrame) -> Catalogue:
-    """names(cluster_id, attr): new attribute first in the header, "" in every row; no-op if taken."""
+    """names(cluster_id, attr[, edit_pos]): new attributes on top of the header, the last added first, "" in every row.
+
+    Names that are taken, reserved or repeated in the batch change nothing.
+    """
     new = names.join(catalogue.clusters.select("cluster_id", "attributes"), "cluster_id").where(
-        ~F.array_contains("attributes", F.col("attr"))
-    ).select("cluster_id", "attr")
-    clusters = catalogue.clusters.join(new, "cluster_id", "left").withColumn(
-        "attributes", F.when(F.col("attr").isNotNull(), F.concat(F.array("attr"), "attributes")).otherwise(F.col("attributes"))
-    ).drop("attr")
-    rows = catalogue.rows.join(new, "cluster_id", "left").withColumn(
-        "values", F.when(F.col("attr").isNotNull(), F.map_concat("values", F.create_map(F.col("attr"), F.lit("")))).otherwise(F.col("values"))
-    ).drop("attr")
+        ~F.array_contains("attributes", F.col("attr")) & ~F.col("attr").isin(*RESERVED)
+    )
+    firsts = new.groupBy("cluster_id", "attr").agg(F.min(_edit_order(names, "attr")).alias("o"))
+    more = firsts.groupBy("cluster_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("o", "attr")), asc=False), lambda e: e["attr"]).alias("_more"))
+    clusters = catalogue.clusters.join(more, "cluster_id", "left").withColumn(
+        "attributes", F.concat(F.coalesce("_more", F.array().cast("array<string>")), "attributes")
+    ).drop("_more")
+    blank = F.map_from_arrays("_more", F.transform("_more", lambda _: F.lit("")))
+    rows = catalogue.rows.join(more, "cluster_id", "left").withColumn(
+        "values", F.when(F.col("_more").isNotNull(), F.map_concat("values", blank)).otherwise(F.col("values"))
+    ).drop("_more")
     return catalogue.with_(clusters=clusters, rows=rows)
 
 
 def rename_attribute(catalogue: Catalogue, renames: DataFrame) -> Catalogue:
-    """renames(cluster_id, old, new); no-op where the new name is blank, equal or taken."""
-    wanted = renames.select("cluster_id", "old", strip_u("new").alias("new")).join(
-        catalogue.clusters.select("cluster_id", "attributes"), "cluster_id"
-    ).where((F.col("new") != "") & (F.col("new") != F.col("old")) & ~F.array_contains("attributes", F.col("new"))).select("cluster_id", "old", "new")
-    clusters = catalogue.clusters.join(wanted, "cluster_id", "left").withColumn(
-        "attributes", F.transform("attributes", lambda a: F.when(a == F.col("old"), F.col("new")).otherwise(a))
-    ).drop("old", "new")
-    moved = F.map_concat(
-        F.map_filter("values", lambda k, _: (k != F.col("old")) & (k != F.col("new"))),
-        F.create_map(F.col("new"), value_of(F.col("values"), F.col("old"))),
+    """renames(cluster_id, old, new[, edit_pos]), one after the other in edit order.
+
+    A rename changes nothing where the new name is blank, equal, reserved or, at its turn, taken.
+    """
+    listed = renames.withColumn("new", strip_u("new")).groupBy("cluster_id").agg(
+        F.array_sort(F.collect_list(F.struct(_edit_order(renames, "old", "new").alias("o"), "old", "new"))).alias("_all")
     )
-    rows = catalogue.rows.join(wanted, "cluster_id", "left").withColumn(
-        "values", F.when(F.col("new").isNotNull(), moved).otherwise(F.col("values"))
-    ).drop("old", "new")
+
+    def step(state: Column, e: Column) -> Column:
+        fits = (e["new"] != "") & (e["new"] != e["old"]) & ~e["new"].isin(*RESERVED) & ~e["old"].isin(*RESERVED) & ~F.array_contains(state["attributes"], e["new"])
+        return F.struct(
+            F.when(fits, F.transform(state["attributes"], lambda a: F.when(a == e["old"], e["new"]).otherwise(a))).otherwise(state["attributes"]).alias("attributes"),
+            F.when(fits, F.concat(state["done"], F.array(F.struct(e["old"].alias("old"), e["new"].alias("new"))))).otherwise(state["done"]).alias("done"),
+        )
+
+    start = F.struct(F.col("attributes"), F.array().cast("array<struct<old:string,new:string>>").alias("done"))
+    folded = catalogue.clusters.join(listed, "cluster_id").select("cluster_id", F.aggregate("_all", start, step).alias("_f"))
+    clusters = catalogue.clusters.join(folded, "cluster_id", "left").withColumn("attributes", F.coalesce(F.col("_f.attributes"), "attributes")).drop("_f")
+
+    def moved(values: Column, e: Column) -> Column:
+        rest = F.map_filter(values, lambda k, _: (k != e["old"]) & (k != e["new"]))
+        return F.map_concat(rest, F.create_map(e["new"], value_of(values, e["old"])))
+
+    rows = catalogue.rows.join(folded.select("cluster_id", F.col("_f.done").alias("_done")), "cluster_id", "left").withColumn(
+        "values", F.when(F.size("_done") > 0, F.aggregate("_done", F.col("values"), moved)).otherwise(F.col("values"))
+    ).drop("_done")
     return catalogue.with_(clusters=clusters, rows=rows)
 
 
 def delete_attribute(catalogue: Catalogue, names: DataFrame) -> Catalogue:
     """names(cluster_id, attr): gone from the header and from every row."""
-    clusters = catalogue.clusters.join(names, "cluster_id", "left").withColumn(
-        "attributes", F.filter("attributes", lambda a: F.coalesce(a != F.col("attr"), F.lit(True)))
-    ).drop("attr")
-    rows = catalogue.rows.join(names, "cluster_id", "left").withColumn(
-        "values", F.map_filter("values", lambda k, _: F.coalesce(k != F.col("attr"), F.lit(True)))
-    ).drop("attr")
+    gone = names.where(~F.col("attr").isin(*RESERVED)).groupBy("cluster_id").agg(F.collect_set("attr").alias("_gone"))
+    kept = lambda name: ~F.coalesce(F.array_contains("_gone", name), F.lit(False))
+    clusters = catalogue.clusters.join(gone, "cluster_id", "left").withColumn("attributes", F.filter("attributes", kept)).drop("_gone")
+    rows = catalogue.rows.join(gone, "cluster_id", "left").withColumn("values", F.map_filter("values", lambda k, _: kept(k))).drop("_gone")
     return catalogue.with_(clusters=clusters, rows=rows)
 
 
 def rename_clusters(clusters: DataFrame, renames: DataFrame) -> DataFrame:
-    """renames(cluster_id, new_name); rejected where blank or another cluster has the name."""
-    wanted = renames.select("cluster_id", strip_u("new_name").alias("new_name")).where(F.length("new_name") > 0)
+    """renames(cluster_id, new_name[, edit_pos]); refused where blank or where another cluster has the name.
+
+    Of several edits of one cluster the last counts; of clusters that want one new name the first gets it.
+    """
+    named = renames.withColumn("new_name", strip_u("new_name")).where(F.length("new_name") > 0)
+    order = _edit_order(renames, "cluster_id")
+    wanted = named.groupBy("cluster_id").agg(F.max_by("new_name", order).alias("new_name"), F.max(order).alias("o"))
     taken = clusters.select(strip_u("name").alias("new_name"), F.col("cluster_id").alias("owner")).join(wanted, "new_name").where(
         F.col("owner") != F.col("cluster_id")
     ).select("cluster_id").distinct()
-    allowed = wanted.join(taken, "cluster_id", "left_anti")
+    free = wanted.join(taken, "cluster_id", "left_anti")
+    allowed = free.groupBy("new_name").agg(F.min_by("cluster_id", "o").alias("cluster_id"))
     return clusters.join(allowed, "cluster_id", "left").withColumn("name", F.coalesce("new_name", "name")).drop("new_name")
 
 
@@ -134,8 +190,9 @@ def edit_values(catalogue: Catalogue, edits: DataFrame) -> Catalogue:
 
 
 def edit_names(rows: DataFrame, edits: DataFrame) -> DataFrame:
-    """edits(cluster_id, row_pos, enriched_name, item): null leaves a name as it is."""
-    e = edits.select(*ROW, F.col("enriched_name").alias("_e"), F.col("item").alias("_i"))
+    """edits(cluster_id, row_pos, enriched_name, item[, edit_pos]): null leaves a name as it is; the last edit of a name counts."""
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), _edit_order(edits, c)))
+    e = edits.groupBy(*ROW).agg(last("enriched_name").alias("_e"), last("item").alias("_i"))
     return rows.join(e, ROW, "left").withColumns(
         {"enriched_name": F.coalesce("_e", "enriched_name"), "item": F.coalesce("_i", "item")}
     ).drop("_e", "_i")
@@ -179,8 +236,9 @@ def regenerate_names(catalogue: Catalogue, only: DataFrame | None = None) -> tup
 
 
 def set_template(catalogue: Catalogue, templates: DataFrame) -> Catalogue:
-    """templates(cluster_id, template)."""
-    clusters = catalogue.clusters.join(templates, "cluster_id", "left").withColumn(
+    """templates(cluster_id, template[, edit_pos]); the last one of a cluster counts."""
+    last = templates.groupBy("cluster_id").agg(F.max_by("template", _edit_order(templates, "template")).alias("template"))
+    clusters = catalogue.clusters.join(last, "cluster_id", "left").withColumn(
         "enriched_name_template", F.coalesce(strip_u("template"), "enriched_name_template")
     ).drop("template")
     return catalogue.with_(clusters=clusters)
@@ -197,15 +255,21 @@ def _recomputed(catalogue: Catalogue, touched: DataFrame, members: DataFrame | N
 
 
 def set_policy(catalogue: Catalogue, policies: DataFrame) -> Catalogue:
-    """policies(cluster_id, attr, mode, separator): one attribute per cluster and call; rows recomputed."""
+    """policies(cluster_id, attr, mode, separator[, edit_pos]): the last one of an attribute counts; rows recomputed."""
     mode = F.when(F.col("mode") == "accumulative", F.lit("accumulative")).otherwise(F.lit("priority"))
-    kept = F.map_filter("attribute_merge_separators", lambda k, _: k != F.col("attr"))
-    clusters = catalogue.clusters.join(policies, "cluster_id", "left").withColumns(
+    last = policies.groupBy("cluster_id", "attr").agg(F.max_by(F.struct(mode.alias("mode"), "separator"), _edit_order(policies, "mode", "separator")).alias("p"))
+    separator = F.when((F.col("p.mode") == "accumulative") & (F.coalesce("p.separator", F.lit("")) != ""), F.col("p.separator"))
+    folded = last.groupBy("cluster_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("attr", "p.mode"))).alias("_modes"),
+        F.map_from_entries(F.collect_list(F.struct(F.col("attr").alias("k"), separator.alias("v")))).alias("_separators"),
+    )
+    kept = F.map_filter("attribute_merge_separators", lambda k, _: ~F.map_contains_key("_modes", k))
+    new = F.map_filter("_separators", lambda _, v: v.isNotNull())
+    changed = F.col("_modes").isNotNull()
+    clusters = catalogue.clusters.join(folded, "cluster_id", "left").withColumns(
         {
-            "attribute_merge": F.when(F.col("attr").isNotNull(), F.map_concat("attribute_merge", F.create_map("attr", mode))).otherwise(F.col("attribute_merge")),
-            "attribute_merge_separators": F.when(F.col("attr").isNull(), F.col("attribute_merge_separators"))
-            .when((mode == "accumulative") & (F.coalesce("separator", F.lit("")) != ""), F.map_concat(kept, F.create_map("attr", "separator")))
-            .otherwise(kept),
+            "attribute_merge": F.when(changed, F.map_concat("attribute_merge", "_modes")).otherwise(F.col("attribute_merge")),
+            "attribute_merge_separators": F.when(changed, F.map_concat(kept, new)).otherwise(F.col("attribute_merge_separators")),
         }
     ).select(*catalogue.clusters.columns)
     touched = catalogue.rows.select(*ROW).join(policies.select("cluster_id").distinct(), "cluster_id", "left_semi")
@@ -318,10 +382,11 @@ def split_aliases(catalogue: Catalogue, splits: DataFrame) -> Catalogue:
 def move_rows(catalogue: Catalogue, moves: DataFrame) -> Catalogue:
     """moves(cluster_id, row_pos, target_id, move_pos): rows appended to another cluster.
 
-    The target gains attributes the row has a value for; missing ones are filled with "".
+    A row moves once: its first move counts, later ones don't find it. The target gains attributes the row has a value for; missing ones are filled with "".
     """
     c = catalogue
     real = moves.where(F.col("target_id") != F.col("cluster_id")).join(c.rows.select(*ROW), ROW, "left_semi")
+    real = real.groupBy(*ROW).agg(F.min(F.struct("move_pos", "target_id")).alias("m")).select(*ROW, "m.target_id", "m.move_pos")
     real = dense_position(real, ["target_id"], "move_pos", "rank")
     last = c.rows.groupBy(F.col("cluster_id").alias("target_id")).agg(F.max("row_pos").alias("last"))
     heads = c.clusters.select("cluster_id", "attributes")

@@ -1,15 +1,17 @@
 """Batched requests to a model, answers checked and parsed, cached, combined.
 
-A provider is DataFrame -> DataFrame: it gets one line per request
-(request_id, items, attributes, prompt) and returns (request_id, response text).
+A provider is DataFrame -> DataFrame: it gets one line per question
+(request_id, items, attributes, prompt, attempt) and returns (request_id, response text).
 Built-in providers are plain column expressions; a real model is wrapped by
-python_provider and runs in mapInPandas.
+python_provider and runs in mapInPandas. A question whose answer is not usable is asked
+again, past the cache, up to ATTEMPTS times; only usable answers are cached.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -30,6 +32,7 @@ from itemnorm.session import cut_lineage
 
 PROFILE_BATCH = 18
 EXTRACT_BATCH = 8
+ATTEMPTS = 3
 # Fixed value: the category of a cluster nobody named.
 NO_CATEGORY = "Без категории"
 CACHE = "cache_key string, response string, cached_at timestamp"
@@ -57,13 +60,17 @@ def batched(items: DataFrame, size: int, groups: Sequence[str], carry: Sequence[
     )
 
 
-def with_keys(batches: DataFrame, kind: str, provider_name: str, groups: Sequence[str]) -> DataFrame:
-    """Adds prompt (what is asked, without the items), cache_key and request_id."""
+def with_keys(batches: DataFrame, kind: str, provider_name: str) -> DataFrame:
+    """Adds prompt (what is asked, without the items), cache_key and request_id.
+
+    request_id is a digest of the whole question, lists delimited: equal questions share it, and nothing else does.
+    A batch itself is known by its group columns and its number.
+    """
     prompt = F.concat_ws(" ", F.lit(kind), F.array_join("attributes", ", "))
     return batches.withColumn("prompt", prompt).withColumns(
         {
             "cache_key": cache_key(F.lit(provider_name), "prompt", "items", web_search=kind == "extract"),
-            "request_id": F.xxhash64(*groups, "batch"),
+            "request_id": F.sha2(F.to_json(F.struct(F.lit(kind).alias("k"), F.lit(provider_name).alias("p"), "attributes", "items")), 256),
         }
     )
 
@@ -80,7 +87,7 @@ def python_provider(load: Callable[[], Callable[[list[str], list[str], str], str
             yield pd.DataFrame({"request_id": pdf["request_id"], "response": answers})
 
     return lambda requests: requests.select("request_id", "items", "attributes", "prompt").mapInPandas(
-        run, "request_id bigint, response string"
+        run, "request_id string, response string"
     )
 
 
@@ -140,31 +147,58 @@ def pattern_extraction(patterns: dict[str, str] | None = None) -> Provider:
 
 @dataclass(frozen=True)
 class Answers:
-    """responses: requests + response + from_cache; cache: entries to append (valid answers only)."""
+    """responses: batches + response, json, from_cache, valid (usable); cache: entries to append, usable answers only."""
 
     responses: DataFrame
     cache: DataFrame
+    complete: bool
 
 
-def ask(requests: DataFrame, provider: Provider, is_valid: Callable[[str], Column], cache: DataFrame | None = None) -> Answers:
-    """Answers from fresh cache entries, else from the provider; equal requests are asked once."""
+def ask(
+    requests: DataFrame,
+    provider: Provider,
+    usable: Callable[[DataFrame], DataFrame],
+    cache: DataFrame | None = None,
+    attempts: int = ATTEMPTS,
+) -> Answers:
+    """Answers of all batches: from fresh cache entries first, else from the provider; equal questions are asked once.
+
+    usable: lines (request_id, items, json) to the same lines with a boolean `valid`. What is not valid is
+    asked again, the cache left aside; the last answer stays, marked as not valid. Each attempt is
+    written out, so a lost executor repeats no question that was answered.
+    """
     requests = cut_lineage(requests)
-    once = first_per_key(requests.select("cache_key", "request_id", "items", "attributes", "prompt"), ["cache_key"], ["request_id"])
-    if cache is None:
-        known = None
-        misses = once
-    else:
-        known = last_per_key(cache.where(is_fresh("cached_at")), ["cache_key"], ["cached_at"]).select("cache_key", "response")
-        misses = once.join(known.select("cache_key"), "cache_key", "left_anti")
-    # The answers are written out: a lost executor must not ask the model again.
-    fresh = cut_lineage(misses.select("cache_key", "request_id").join(provider(misses), "request_id").select("cache_key", "response"))
-    valid = fresh.withColumn("json", extract_json("response")).where(is_valid("json"))
-    new_entries = valid.select("cache_key", "response", F.current_timestamp().alias("cached_at"))
-    answered = fresh.withColumn("from_cache", F.lit(False))
-    if known is not None:
-        answered = answered.unionByName(known.withColumn("from_cache", F.lit(True)))
-    responses = requests.join(answered, "cache_key", "left").withColumn("json", extract_json("response"))
-    return Answers(cut_lineage(responses.withColumn("valid", is_valid("json"))), new_entries)
+    question = ["request_id", "cache_key", "items", "attributes", "prompt"]
+    open_ = first_per_key(requests.select(*question), ["request_id"], ["cache_key"]).select(*question)
+    done, fresh = [], []
+
+    def judged(asked: DataFrame, answered: DataFrame, from_cache: bool) -> DataFrame:
+        lines = asked.join(answered, "request_id").withColumns({"json": extract_json("response"), "from_cache": F.lit(from_cache)})
+        kept = ["request_id", "cache_key", "response", "json", "from_cache", "valid"]
+        return cut_lineage(usable(lines.select("request_id", "cache_key", "items", "response", "json", "from_cache")).select(*kept))
+
+    if cache is not None:
+        keys = open_.select("cache_key").distinct()
+        held = cache.where(is_fresh("cached_at")).join(keys, "cache_key", "left_semi")
+        known = last_per_key(held, ["cache_key"], ["cached_at"]).select("cache_key", "response")
+        found = judged(open_, open_.select("request_id", "cache_key").join(known, "cache_key").select("request_id", "response"), True)
+        done.append(found.where("valid"))
+        open_ = open_.join(done[-1].select("request_id"), "request_id", "left_anti")
+    for attempt in range(1, attempts + 1):
+        now = open_.withColumn("attempt", F.lit(attempt))
+        answers = judged(now, provider(now), False)
+        fresh.append(answers.where("valid"))
+        refused = now.select("request_id").join(fresh[-1].select("request_id"), "request_id", "left_anti")
+        complete = refused.isEmpty()
+        if complete or attempt == attempts:
+            done.append(answers)
+            break
+        done.append(fresh[-1])
+        open_ = open_.join(refused, "request_id", "left_semi")
+    answered, accepted = reduce(DataFrame.unionByName, done), reduce(DataFrame.unionByName, fresh)
+    responses = requests.join(answered.drop("cache_key"), "request_id", "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
+    entries = accepted.select("cache_key", "response", F.current_timestamp().alias("cached_at"))
+    return Answers(cut_lineage(responses), entries, complete)
 
 
 def append_cache(entries: DataFrame, path: str) -> None:
@@ -181,8 +215,8 @@ def profile_clusters(
 ) -> tuple[DataFrame, Answers]:
     """(cluster_id, category, attributes, name_template) for items(cluster_id, pos, item)."""
     batches = batched(items, size, ["cluster_id"]).withColumn("attributes", strings(base))
-    requests = with_keys(batches, "profile", provider_name, ["cluster_id"])
-    answers = ask(requests, provider or frequency_profile(), profile_is_valid, cache)
+    requests = with_keys(batches, "profile", provider_name)
+    answers = ask(requests, provider or frequency_profile(), lambda lines: lines.withColumn("valid", profile_is_valid("json")), cache)
     parsed = answers.responses.where("valid").select("cluster_id", "batch", parse_profile("json").alias("p"))
     return combine_profiles(parsed.select("cluster_id", "batch", "p.*"), base), answers
 
@@ -230,41 +264,42 @@ def audit_batches(requested: DataFrame, returned: DataFrame) -> DataFrame:
     )
 
 
+def complete_answers(lines: DataFrame) -> DataFrame:
+    """lines(request_id, items, json, ...) with valid: well formed, and exactly the items asked for."""
+    entries = parse_values("json")["normalized"]
+    formed = lines.withColumn("_formed", F.coalesce(values_are_valid("json"), F.lit(False)))
+    asked = formed.select(F.col("request_id").alias("batch_id"), F.explode("items").alias("item"))
+    returned = formed.where("_formed").select(F.col("request_id").alias("batch_id"), F.explode(entries["item"]).alias("item"))
+    audited = audit_batches(asked, returned).select(F.col("batch_id").alias("request_id"), "complete")
+    return formed.join(audited, "request_id", "left").withColumn("valid", F.col("_formed") & F.coalesce("complete", F.lit(False))).drop("_formed", "complete")
+
+
 def extract_values(
     items: DataFrame,
     provider: Provider | None = None,
     cache: DataFrame | None = None,
     provider_name: str = "patterns",
     size: int = EXTRACT_BATCH,
+    attempts: int = ATTEMPTS,
+    groups: Sequence[str] = ("cluster_id",),
 ) -> tuple[DataFrame, DataFrame, Answers]:
-    """(values, rejected requests, answers) for items(cluster_id, pos, item, attributes).
+    """(values, rejected batches, answers) for items(cluster_id, pos, item, attributes).
 
     values(cluster_id, item, values): one map per distinct item name of a cluster, the
-    last answer of a repeated name wins. Requests with the same attribute list share
-    batches. A batch with an incomplete or malformed answer is rejected as a whole.
+    last answer of a repeated name wins. Items of the same groups and the same attribute list share
+    batches. A batch whose answer stays incomplete or malformed after all attempts is rejected as a whole.
     """
-    keyed = items.withColumn("wanted", F.xxhash64("attributes"))
-    groups = ["cluster_id", "wanted"]
-    batches = batched(keyed, size, groups, carry=["attributes"])
-    requests = with_keys(batches, "extract", provider_name, groups)
-    answers = ask(requests, provider or pattern_extraction(), values_are_valid, cache)
-    responses = answers.responses
-    returned = responses.where("valid").select(
-        F.col("request_id").alias("batch_id"), *groups, "batch", F.posexplode(parse_values("json")["normalized"]).alias("resp_pos", "entry")
-    )
-    asked = responses.select(F.col("request_id").alias("batch_id"), F.explode("items").alias("item"))
-    audit = cut_lineage(audit_batches(asked, returned.select("batch_id", F.col("entry.item").alias("item"))).where("complete").select("batch_id"))
-    good = returned.join(audit.select("batch_id"), "batch_id", "left_semi").where(non_blank("entry.item").isNotNull())
-    lines = good.select(
+    keys = list(dict.fromkeys(["cluster_id", *groups, "attributes"]))
+    requests = with_keys(batched(items, size, keys), "extract", provider_name)
+    answers = ask(requests, provider or pattern_extraction(), complete_answers, cache, attempts)
+    good = answers.responses.where("valid").select("cluster_id", "batch", F.posexplode(parse_values("json")["normalized"]).alias("resp_pos", "entry"))
+    lines = good.where(non_blank("entry.item").isNotNull()).select(
         "cluster_id", strip_u("entry.item").alias("item"), "batch", "resp_pos", F.map_entries(clean_map("entry.values")).alias("entries")
     )
-    values = cut_lineage(
-        last_per_key(lines, ["cluster_id", "item"], ["batch", "resp_pos"]).select(
-            "cluster_id", "item", F.map_from_entries("entries").alias("values")
-        )
+    values = last_per_key(lines, ["cluster_id", "item"], ["batch", "resp_pos"]).select(
+        "cluster_id", "item", F.map_from_entries("entries").alias("values")
     )
-    rejected = responses.join(audit.select(F.col("batch_id").alias("request_id")), "request_id", "left_anti")
-    return values, rejected, answers
+    return cut_lineage(values), answers.responses.where("not valid"), answers
 
 
 def missing_attributes(items: DataFrame) -> DataFrame:

@@ -63,6 +63,21 @@ def dense_position_pairs(df: DataFrame, keys: Sequence[str], major: str, minor:
     return inner.join(starts, [*keys, major]).withColumn(out, F.col("_start") + F.col("_inside")).drop("_start", "_inside")
 
 
+def dense_text_position(df: DataFrame, text: str, out: str, prefix: int = 4) -> DataFrame:
+    """0-based rank of every row by a text that is unique in the table, in the order of its bytes.
+
+    Rows are ranked inside chunks of one prefix; one line per prefix carries the count before it. Meant for
+    ids, whose prefixes share the rows evenly.
+    """
+    part = df.withColumn("_chunk", F.substring(text, 1, prefix))
+    inside = Window.partitionBy("_chunk").orderBy(text)
+    before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = part.groupBy("_chunk").agg(F.count("*").alias("_n")).select("_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return part.withColumn("_inside", F.row_number().over(inside) - 1).join(starts, "_chunk").withColumn(
+        out, (F.col("_start") + F.col("_inside")).cast("bigint")
+    ).drop("_chunk", "_inside", "_start")
+
+
 def batch_number(df: DataFrame, keys: Sequence[str], pos: str, size: int, out: str = "batch") -> DataFrame:
     """Consecutive chunks of `size` rows per key, numbered from 0."""
     return dense_position(df, keys, pos, out).withColumn(out, F.floor(F.col(out) / size).cast("bigint"))

@@ -21,7 +21,7 @@ from itemnorm.functions.text import (
 from itemnorm.model import Catalogue
 from itemnorm.operators.collapse import collapse_rows, named_entries
 from itemnorm.operators.embedding import Embedder, embed
-from itemnorm.operators.enrich import Provider, extract_values, fill_gaps
+from itemnorm.operators.enrich import ATTEMPTS, Provider, extract_values, missing_attributes
 from itemnorm.operators.leaders import DISTANCE_LIMIT
 from itemnorm.operators.neighbours import BLOCK
 from itemnorm.operators.ordering import dense_position_pairs
@@ -77,12 +77,13 @@ def with_attribute_mode(inputs: DataFrame, mode: str = "default") -> DataFrame:
 
 @dataclass(frozen=True)
 class Normalized:
-    """items(cluster_id, item_pos, item, enriched_name, values, source), the collapsed clusters,
-    requests whose answers were unusable, and new cache entries."""
+    """items(cluster_id, item_pos, item, enriched_name, values, source) and the collapsed clusters, both only of clusters whose
+    batches all had usable answers; the rejected batches; the clusters they failed; new cache entries."""
 
     items: DataFrame
     collapsed: Catalogue
     rejected: DataFrame
+    failed: DataFrame
     cache: DataFrame
 
 
@@ -96,21 +97,27 @@ def normalize(
     rules: dict[str, list[str]] | None = None,
     limit: float = DISTANCE_LIMIT,
     block: int = BLOCK,
+    attempts: int = ATTEMPTS,
 ) -> Normalized:
-    """All clusters in one job: extract or fill values, standardise, name, embed, collapse."""
+    """All clusters in one job: extract or fill values, standardise, name, embed, collapse.
+
+    New items are asked for all attributes of their cluster, known ones for those they lack, in one pass
+    over the provider; the two kinds do not share batches.
+    """
     heads = catalogue.clusters.select("cluster_id", clean_strings("attributes").alias("attributes"), text_of("enriched_name_template").alias("_t"))
-    lines = cut_lineage((normalize_input(catalogue) if inputs is None else inputs).join(heads, "cluster_id"))
-    asked = lines.withColumnRenamed("item_pos", "pos")
-    fresh = asked.where(F.col("source") != "memory")
-    found, bad_new, new_answers = extract_values(fresh.select("cluster_id", "pos", "item", "attributes"), provider, cache)
-    new_values = fresh.select("cluster_id", "pos", "item", "source", "_t").join(found, ["cluster_id", "item"], "left")
-    known = asked.where(F.col("source") == "memory")
-    filled, bad_known, known_answers = fill_gaps(known.select("cluster_id", "pos", "item", "attributes", "values"), provider, cache)
-    known_values = filled.join(heads.select("cluster_id", "_t"), "cluster_id").withColumn("source", F.lit("memory"))
-    columns = ["cluster_id", "pos", "item", "source", "_t", "values"]
-    named = new_values.select(*columns).unionByName(known_values.select(*columns)).withColumn(
-        "values", standardize_map(F.coalesce("values", empty_map()), rules)
+    known = (F.col("source") == "memory").alias("known")
+    lines = (normalize_input(catalogue) if inputs is None else inputs).join(heads, "cluster_id")
+    lines = cut_lineage(missing_attributes(lines.withColumnRenamed("item_pos", "pos").select("*", known)))
+    wanted = lines.select("cluster_id", "pos", "item", "known", F.when(F.col("known"), F.col("missing")).otherwise(F.col("attributes")).alias("attributes"))
+    wanted = wanted.where(~F.col("known") | (F.size("attributes") > 0))
+    found, rejected, answers = extract_values(wanted, provider, cache, attempts=attempts, groups=["cluster_id", "known"])
+    failed = rejected.select("cluster_id").distinct()
+    kept = lines if answers.complete else lines.join(failed, "cluster_id", "left_anti")
+    own = F.when(F.col("known"), F.coalesce("values", empty_map())).otherwise(empty_map())
+    named = kept.join(found.withColumnRenamed("values", "_new"), ["cluster_id", "item"], "left").withColumn(
+        "values", standardize_map(F.map_concat(own, F.coalesce("_new", empty_map())), rules)
     )
+    named = named.select("cluster_id", "pos", "item", F.when(F.col("known"), F.lit("memory")).otherwise(F.col("source")).alias("source"), "_t", "values")
     entries = cut_lineage(
         embed(named.withColumn("enriched_name", enriched_or_item("_t", "values", "item")).drop("_t"), "enriched_name", embedder)
     )
@@ -119,7 +126,7 @@ def normalize(
     )
     collapsed = collapse_rows(entries, clusters, limit, block)
     items = entries.select("cluster_id", F.col("pos").alias("item_pos"), "item", "enriched_name", "values", "source")
-    return Normalized(items, collapsed, bad_new.unionByName(bad_known), new_answers.cache.unionByName(known_answers.cache))
+    return Normalized(items, collapsed, rejected, failed, answers.cache)
 
 
 def rededupe(catalogue: Catalogue, *, embedder: Embedder | None = None, limit: float = DISTANCE_LIMIT, block: int = BLOCK) -> Catalogue:

@@ -1,6 +1,6 @@
 """Building, viewing and exporting clusters."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from itemnorm.functions.text import empty_map
 from itemnorm.model import Catalogue
@@ -253,6 +253,32 @@ def jn12(spark, d):
     return out.clusters.join(n, "cluster_id").select("cluster_id", "name", "n", "source")
 
 
+@query(
+    "agg6_dense_positions",
+    f"""WITH {GROUPED} SELECT brand AS name, enriched_name, row_number() OVER (PARTITION BY brand ORDER BY {sql_item_id('enriched_name')}) - 1 AS row_pos,
+    dense_rank() OVER (ORDER BY first_id) - 1 AS cluster_rank FROM (SELECT *, min({sql_item_id('enriched_name')}) OVER (PARTITION BY brand) AS first_id FROM grouped)""",
+)
+def agg6_dense(spark, d):
+    out = a.memory_to_clusters(memory(spark, d), ["base"])
+    heads = out.clusters.select("cluster_id", "name", (F.row_number().over(Window.orderBy("cluster_id")) - 1).alias("cluster_rank"))
+    return out.rows.join(heads, "cluster_id").select("name", "enriched_name", "row_pos", "cluster_rank")
+
+
+@query(
+    "jn12_load_full",
+    f"""WITH {GROUPED} SELECT cluster_id, brand AS name, enriched_name, CASE WHEN cluster_id <= 10 THEN row_number() OVER (PARTITION BY cluster_id ORDER BY {sql_item_id('enriched_name')}) - 1 ELSE row_pos END AS row_pos,
+    CASE WHEN cluster_id <= 10 THEN 'memory' ELSE '' END AS source FROM grouped""",
+)
+def jn12_full(spark, d):
+    """Ten clusters filled from memory: the odd ones by their own name, the even ones by their memory name."""
+    c = catalogue(spark, d)
+    odd = F.col("cluster_id") % 2 == 1
+    c = c.with_(clusters=c.clusters.withColumn("memory_cluster_name", F.when(odd, F.lit(" ")).otherwise(F.col("memory_cluster_name"))))
+    out = a.load_full(c, memory(spark, d), c.clusters.where("cluster_id <= 10 OR cluster_id > 1000").select("cluster_id"), [])
+    heads = out.clusters.select("cluster_id", "name", F.col("source").alias("cluster_source"))
+    return out.rows.join(heads, "cluster_id").select("cluster_id", "name", "enriched_name", "row_pos", F.col("cluster_source").alias("source"))
+
+
 @query("jn13_find_rows", f"WITH {GROUPED} SELECT cluster_id, row_pos, enriched_name AS text FROM grouped")
 def jn13(spark, d):
     hits = memory(spark, d).points.select("cluster_name", "text")
@@ -267,6 +293,18 @@ def prj16(spark, d):
     ).select("cluster_id", "name")
 
 
+@query(
+    "prj16_same_new_name",
+    f"WITH {PARTS} SELECT DISTINCT cluster_id, CASE WHEN cluster_id = (SELECT max(cluster_id) FROM parts) THEN 'same' WHEN cluster_id = 2 THEN 'second' ELSE brand END AS name FROM parts",
+)
+def prj16_same(spark, d):
+    """All clusters want one name: the first edit, that of the highest id, gets it. Cluster 2 edits again."""
+    c = catalogue(spark, d).clusters
+    all_same = c.select("cluster_id", F.lit("same ").alias("new_name"), (-F.col("cluster_id")).alias("edit_pos"))
+    again = c.where("cluster_id = 2").select("cluster_id", F.lit("second").alias("new_name"), F.lit(1).cast("bigint").alias("edit_pos"))
+    return ed.rename_clusters(c, all_same.unionByName(again)).select("cluster_id", "name")
+
+
 @query(
     "prj19_sanitize",
     f"""WITH {GROUPED} SELECT cluster_id, row_pos, name AS item, CASE WHEN name LIKE 'small%' THEN 'memory' ELSE 'ai' END AS source FROM grouped WHERE type <> 'promo'""",

@@ -1,6 +1,6 @@
 """Batch edits of cluster rows."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from itemnorm.operators import edits as ed
 from itemnorm.queries.inputs import GROUPED, PARTS, catalogue, flat, parts, values_map
@@ -27,6 +27,42 @@ def prj14(spark, d):
     return gone.join(ed.live_rows(promo).select(*ROW), ROW, "left_semi").select(*ROW, "deleted")
 
 
+@query(
+    "prj14_restore_order",
+    f"""WITH {GROUPED}, e AS (SELECT cluster_id, name, row_pos, type, CASE WHEN type = 'small' THEN 1 WHEN type = 'large' THEN 2 ELSE 0 END AS stage FROM grouped),
+    o AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY stage = 1, stage, CASE stage WHEN 0 THEN row_pos ELSE -row_pos END) - 1 AS place FROM e)
+    SELECT cluster_id, name AS item, place, type = 'small' AS deleted, (SELECT count(*) FROM members m WHERE m.cluster_id = o.cluster_id AND m.row_pos = o.row_pos) AS n_members FROM o""",
+)
+def prj14_order(spark, d):
+    """Small and large rows deleted from the last to the first, then the large ones restored likewise: they follow the live rows."""
+    c = catalogue(spark, d).stored("rows", "aliases", "members")
+    of = lambda c, *t: c.rows.where(F.col("values")["type"].isin(*t)).select(*ROW, (-F.col("row_pos")).alias("edit_pos"))
+    c = ed.delete_rows(c, of(c, "small", "large")).stored("rows", "members")
+    back = c.rows.where(F.col("values")["type"] == "large").select(*ROW, F.col("row_pos").alias("edit_pos"))
+    c = ed.restore_rows(c, back)
+    n = c.members.groupBy(*ROW).agg(F.count("*").alias("n_members"))
+    order = Window.partitionBy("cluster_id").orderBy("deleted", "row_pos")
+    return c.rows.withColumn("place", F.row_number().over(order) - 1).join(n, ROW).select("cluster_id", "item", "place", "deleted", "n_members")
+
+
+@query(
+    "prj15_many_edits",
+    f"""WITH {GROUPED} SELECT cluster_id, row_pos, 'c,a,kind,cost' AS attributes, 'a=|c=|cost=' || price || '|kind=' || size AS flat_values, (SELECT count(*) FROM grouped x WHERE x.cluster_id = g.cluster_id) AS n_rows FROM grouped g""",
+)
+def prj15_many(spark, d):
+    """Several adds, deletes and renames of one cluster in each batch; rows are neither lost nor multiplied."""
+    c = catalogue(spark, d)
+    each = c.clusters.select("cluster_id")
+    lines = lambda rows, *names: each.crossJoin(spark.createDataFrame(rows, "edit_pos int, " + ", ".join(f"{n} string" for n in names)))
+    c = ed.add_attribute(c, lines([(0, "a"), (1, "b"), (2, "c"), (3, "a"), (4, "size"), (5, ed.RESERVED[0])], "attr"))
+    c = ed.delete_attribute(c, lines([(0, "b"), (1, "type"), (2, "b"), (3, ed.RESERVED[1])], "attr"))
+    c = ed.rename_attribute(c, lines([(0, "size", "x"), (1, "price", " cost "), (2, "x", "kind"), (3, "a", "c"), (4, "kind", ed.RESERVED[0])], "old", "new"))
+    c = ed.set_template(c, lines([(0, "{kind}"), (1, "{cost}")], "template"))
+    heads = c.clusters.select("cluster_id", F.array_join("attributes", ",").alias("attributes"))
+    n = c.rows.groupBy("cluster_id").agg(F.count("*").alias("n_rows"))
+    return c.rows.join(heads, "cluster_id").join(n, "cluster_id").select(*ROW, "attributes", flat().alias("flat_values"), "n_rows")
+
+
 @query(
     "prj15_attribute_edits",
     f"WITH {GROUPED} SELECT cluster_id, row_pos, 'note,kind,price' AS attributes, 'kind=' || type || '|note=|price=' || price AS flat_values FROM grouped",
@@ -81,6 +117,19 @@ def jn11(spark, d):
     return _rows(ed.move_rows(c, moves)).drop("item")
 
 
+@query(
+    "jn11_repeated_move",
+    f"""WITH {GROUPED}, mv AS (SELECT *, row_number() OVER (ORDER BY row_pos) - 1 AS r FROM grouped WHERE name = 'small ring' AND cluster_id <> 1), mx AS (SELECT max(row_pos) AS last FROM grouped WHERE cluster_id = 1)
+    SELECT 1::BIGINT AS cluster_id, mx.last + 1 + r AS row_pos, enriched_name FROM mv g, mx UNION ALL SELECT cluster_id, row_pos, enriched_name FROM grouped g WHERE NOT (name = 'small ring' AND cluster_id <> 1)""",
+)
+def jn11_repeated(spark, d):
+    """Each row named twice: to cluster 1, then to cluster 2; it moves once."""
+    c = catalogue(spark, d)
+    first = c.rows.where("item = 'small ring' AND cluster_id <> 1").select(*ROW, F.lit(1).cast("bigint").alias("target_id"), F.col("row_pos").alias("move_pos"))
+    later = first.withColumns({"target_id": F.lit(2).cast("bigint"), "move_pos": F.col("move_pos") + 1_000_000_000})
+    return _rows(ed.move_rows(c, later.unionByName(first))).select(*ROW, "enriched_name")
+
+
 _SIZES = "string_agg(size, '; ' ORDER BY p)"
 
 

@@ -89,6 +89,52 @@ def enr2(spark, d):
     return values.select("cluster_id", "item", flat().alias("flat_values"))
 
 
+def stubborn(text: str, wrong_attempts: int):
+    """Provider that leaves out an item in every batch with `text` in an item, the first so many times."""
+    good = en.pattern_extraction(PATTERNS)
+
+    def answer(requests):
+        wrong = F.exists("items", lambda i: i.contains(text)) & (F.col("attempt") <= wrong_attempts)
+        flags = requests.select("request_id", wrong.alias("wrong"))
+        return good(requests).join(flags, "request_id").select(
+            "request_id", F.when(F.col("wrong"), F.lit('{"normalized": [{"item": "other", "values": {}}]}')).otherwise(F.col("response")).alias("response")
+        )
+
+    return answer
+
+
+_BATCHES = f"{PARTS}, b AS (SELECT *, (row_number() OVER (PARTITION BY cluster_id ORDER BY pos) - 1) // 8 AS batch FROM parts)"
+
+
+@query(
+    "enr2_rejected",
+    f"""WITH {_BATCHES}, bad AS (SELECT cluster_id, batch FROM b GROUP BY ALL HAVING bool_or(contains(item, ' promo 7')))
+    SELECT cluster_id, item, bool_or((cluster_id, batch) NOT IN (FROM bad)) AS answered, count(*) FILTER ((cluster_id, batch) IN (FROM bad)) AS refused FROM b GROUP BY ALL""",
+)
+def enr2_rejected(spark, d):
+    """Batches that are never answered as asked: refused as a whole, the others answered; nothing of them is cached."""
+    asked = cut_lineage(_items(spark, d).withColumn("attributes", F.array(F.lit("type"), F.lit("size"))))
+    values, rejected, answers = en.extract_values(asked, stubborn(" promo 7", en.ATTEMPTS))
+    kept = answers.cache.where(F.col("response").contains('"other"')).select(F.lit("cached a refused answer").alias("item"))
+    refused = rejected.select("cluster_id", F.explode("items").alias("item")).groupBy("cluster_id", "item").agg(F.count("*").alias("refused"))
+    out = asked.select("cluster_id", "item").distinct().unionByName(kept.withColumn("cluster_id", F.lit(0).cast("bigint")))
+    return out.join(values.select("cluster_id", "item", F.lit(True).alias("answered")), ["cluster_id", "item"], "left").join(refused, ["cluster_id", "item"], "left").select(
+        "cluster_id", "item", F.coalesce("answered", F.lit(False)).alias("answered"), F.coalesce("refused", F.lit(0)).alias("refused")
+    )
+
+
+@query("enr2_retry", f"WITH {PARTS} SELECT DISTINCT cluster_id, item, 'size=' || size || ' mm|type=' || type AS flat_values FROM parts")
+def enr2_retry(spark, d):
+    """A cache that holds bad answers, and a provider wrong at the first attempt: the second one is used."""
+    path = scratch_path(spark, "cache")
+    asked = cut_lineage(_items(spark, d).withColumn("attributes", F.array(F.lit("type"), F.lit("size"))))
+    _, _, bad = en.extract_values(asked, stubborn("", en.ATTEMPTS))
+    lines = bad.responses.select("cache_key", "response", F.current_timestamp().alias("cached_at"))
+    en.append_cache(lines, path)
+    values, _, _ = en.extract_values(asked, stubborn(" promo 7", 1), spark.read.schema(en.CACHE).parquet(path))
+    return values.select("cluster_id", "item", flat().alias("flat_values"))
+
+
 @query(
     "enr3_fill_gaps",
     f"""WITH {PARTS}, asked AS (SELECT DISTINCT cluster_id, item FROM parts WHERE source = 'memory')

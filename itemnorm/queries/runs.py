@@ -7,8 +7,8 @@ from itemnorm.operators.enrich import frequency_profile, pattern_extraction
 from itemnorm.operators.matching import match_memory
 from itemnorm.plans.clusterize import clusterize
 from itemnorm.plans.normalize import normalize, normalize_input, rededupe, with_attribute_mode
-from itemnorm.plans.runs import RunStore, completed_clusters, only_clusters, run_summary
-from itemnorm.queries.enrichment import PATTERNS
+from itemnorm.plans.runs import RunStore, completed_clusters, normalize_run, only_clusters, run_summary
+from itemnorm.queries.enrichment import PATTERNS, stubborn
 from itemnorm.queries.inputs import FINISHED, GROUPED, PARTS, catalogue, digest_embedder, flat, known_first, memory, parts
 from itemnorm.queries.registry import query
 from itemnorm.session import cut_lineage, scratch_path
@@ -110,6 +110,26 @@ def c2(spark, d):
     return store.results()[1].select("cluster_id", "item", "enriched_name")
 
 
+_SPOILT = "spoilt AS (SELECT cluster_id FROM parts GROUP BY cluster_id HAVING bool_or(contains(item, ' promo 7')))"
+_HOW = {"embedder": digest_embedder, "limit": 0.000001}
+
+
+@query("c1_failed_cluster", f"WITH {GROUPED}, {_SPOILT}, {_ITEM} SELECT cluster_id, item, name AS enriched_name FROM items WHERE cluster_id NOT IN (FROM spoilt)")
+def c1_failed(spark, d):
+    """Clusters with a batch that is never answered as asked have no result and are not done."""
+    c, store = _prepared(spark, d).stored("clusters", "members", "rows", "items"), RunStore(spark, scratch_path(spark, "run"))
+    normalize_run(c, store, slice_items=500, provider=stubborn(" promo 7", 99), attempts=2, **_HOW)
+    return store.results()[1].join(store.done().select("cluster_id"), "cluster_id", "left_semi").select("cluster_id", "item", "enriched_name")
+
+
+@query("c2_resume_after_failure", f"WITH {GROUPED}, {_SPOILT}, {_ITEM} SELECT cluster_id, item, name AS enriched_name, cluster_id IN (FROM spoilt) AS second_run FROM items")
+def c2_after_failure(spark, d):
+    c, store = _prepared(spark, d).stored("clusters", "members", "rows", "items"), RunStore(spark, scratch_path(spark, "run"))
+    again = cut_lineage(normalize_run(c, store, provider=stubborn(" promo 7", 99), attempts=1, **_HOW).select("cluster_id", F.lit(True).alias("second_run")))
+    normalize_run(c, store, provider=pattern_extraction(PATTERNS), **_HOW)
+    return store.results()[1].join(again, "cluster_id", "left").select("cluster_id", "item", "enriched_name", F.coalesce("second_run", F.lit(False)).alias("second_run"))
+
+
 @query("c3_restart", f"WITH {PARTS} SELECT DISTINCT cluster_id FROM parts")
 def c3(spark, d):
     c, store = _half_done(spark, d)

@@ -175,8 +175,22 @@ def test_batches_are_audited_and_rejected(spark):
     values, rejected, answers = en.extract_values(items, en.python_provider(load))
     assert {r["item"]: r["values"] for r in values.collect()} == {f"i{p}": {"a": f"i{p}a"} for p in range(10)}
     assert [r["items"] for r in rejected.collect()] == [["lost"]]
-    again = en.extract_values(items, en.python_provider(lambda: None), answers.cache)[2]
-    assert again.responses.where("not from_cache").count() == 0
+    again = en.extract_values(items, en.python_provider(load), answers.cache)[2]
+    # A refused answer is not cached, so it is asked for again.
+    assert [r["items"] for r in again.responses.where("not from_cache").collect()] == [["lost"]]
+    usable = items.where("item <> 'lost'")
+    assert en.extract_values(usable, en.python_provider(lambda: None), answers.cache)[2].responses.where("not from_cache").count() == 0
+
+
+def test_points_whose_ids_share_their_first_digits_stay_apart(spark):
+    from itemnorm.model import POINT_ALIASES, POINTS, Memory
+    from itemnorm.operators.assemble import memory_to_clusters
+
+    ids = ["01234567-89ab-5cde-8001-000000000001", "01234567-89ab-5cde-8001-000000000002", "01234567-89ab-5cde-8001-000000000000"]
+    points = spark.createDataFrame([(i, f"name {n}", {"a": str(n)}, "same" if n < 2 else "other", {}, {}, None, None) for n, i in enumerate(ids)], POINTS)
+    aliases = spark.createDataFrame([(i, 0, f"alias {n}", None) for n, i in enumerate(ids)], POINT_ALIASES)
+    out = memory_to_clusters(Memory(points, aliases), [])
+    assert {(r["cluster_id"], r["row_pos"], r["item"], r["values"]["a"]) for r in out.rows.collect()} == {(1, 0, "alias 0", "0"), (1, 1, "alias 1", "1"), (0, 0, "alias 2", "2")}
 
 
 def test_normalize_fills_only_gaps_of_known_items(spark):
