@@ -52,9 +52,16 @@ def hash_embedding(text: Column | str, dimensions: int = DIMENSIONS) -> Column:
         return F.transform(F.sequence(F.lit(1), F.length(p) - 2), bucket)
 
     def counts_of(buckets: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(dimensions - 1)),
-            lambda d: F.size(F.filter(buckets, lambda b: b == d)).cast("double"),
-        )
+        # The bounds of each bucket's run in the sorted buckets: a sentinel per bucket is sorted along, so
+        # neighbouring sentinels' places differ by the bucket's count plus one.
+        sentinels = F.sequence(F.lit(0), F.lit(dimensions))
+        ordered = F.array_sort(F.concat(F.transform(buckets, lambda b: 2 * b + 1), F.transform(sentinels, lambda d: 2 * d)))
+
+        def places(o: Column) -> Column:
+            return F.filter(F.transform(o, lambda v, i: F.when(v % 2 == 0, i)), lambda i: i.isNotNull())
+
+        return let(let(ordered, places), lambda p: F.transform(
+            F.sequence(F.lit(1), F.lit(dimensions)), lambda d: (F.get(p, d) - F.get(p, d - 1) - 1).cast("double")
+        ))
 
     return unit(let(let(padded, buckets_of), counts_of))

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from itemnorm.functions.vectors import DIMENSIONS, hash_embedding
+from itemnorm.session import cut_lineage
 
 BATCH = 32
 Embedder = Callable[[DataFrame], DataFrame]
@@ -22,49 +23,39 @@ def hashing_embedder(dimensions: int = DIMENSIONS) -> Embedder:
     return embed_texts
 
 
-def model_embedder(load: Callable[[], Callable[[list[str]], list[list[float]]]], batch: int = BATCH) -> Embedder:
-    """load() runs once per task and returns texts -> vectors, called with `batch` texts at a time."""
+def model_embedder(
+    load: Callable[[], Callable[[list[str]], list[list[float]]]], batch: int = BATCH, optional: bool = False
+) -> Embedder:
+    """load() runs once per task and returns texts -> vectors, called with `batch` texts at a time.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = load()
-        for pdf in frames:
-            texts = pdf["text"].tolist()
-            vectors: list[list[float]] = []
-            for start in range(0, len(texts), batch):
-                vectors.extend(model(texts[start : start + batch]))
-            yield pd.DataFrame({"text": texts, "vec": [[float(x) for x in v] for v in vectors]})
-
-    return lambda texts: texts.select("text").mapInPandas(run, "text string, vec array<double>")
-
-
-def optional_embedder(load: Callable[[], Callable[[list[str]], list[list[float]]]], batch: int = BATCH) -> Embedder:
-    """Like model_embedder, but a batch the model fails on gets null vectors."""
+    optional: a batch the model fails on gets null vectors instead of failing the job.
+    """
 
-    def guarded_load():
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()
 
-        def call(texts: list[str]) -> list[list[float]]:
+        def call(texts: list[str]) -> list:
             try:
-                return model(texts)
+                return [[float(x) for x in v] for v in model(texts)]
             except Exception:
+                if not optional:
+                    raise
                 return [None] * len(texts)
 
-        return call
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = guarded_load()
         for pdf in frames:
             texts = pdf["text"].tolist()
-            vectors: list = []
-            for start in range(0, len(texts), batch):
-                vectors.extend(model(texts[start : start + batch]))
-            yield pd.DataFrame({"text": texts, "vec": [None if v is None else [float(x) for x in v] for v in vectors]})
+            vectors = [v for start in range(0, len(texts), batch) for v in call(texts[start : start + batch])]
+            yield pd.DataFrame({"text": texts, "vec": vectors})
 
     return lambda texts: texts.select("text").mapInPandas(run, "text string, vec array<double>")
 
 
+def optional_embedder(load: Callable[[], Callable[[list[str]], list[list[float]]]], batch: int = BATCH) -> Embedder:
+    return model_embedder(load, batch, optional=True)
+
+
 def embed(df: DataFrame, text: str, embedder: Embedder | None = None, out: str = "vec") -> DataFrame:
-    """Adds the vector of a text column; each distinct text is embedded once."""
+    """Adds the vector of a text column: the built-in one row by row in the JVM, a model's once per distinct text."""
     if embedder is None:
         return df.withColumn(out, hash_embedding(text))
     texts = df.select(F.col(text).alias("text")).distinct()
@@ -87,8 +78,6 @@ def embed_preferred(df: DataFrame, text: str, preferred: Embedder, local: Embedd
 
     Vectors of two providers are never mixed, they live in different spaces.
     """
-    from itemnorm.session import cut_lineage
-
     tried = cut_lineage(embed(df, text, preferred))
     if tried.where(F.col("vec").isNull()).isEmpty():
         return tried

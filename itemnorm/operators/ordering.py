@@ -101,15 +101,24 @@ def _edge_per_key(df, keys, order, pick):
 def page(df: DataFrame, number: int, size: int = 10, order: str = "row_id") -> DataFrame:
     """One page by position; size is kept in 1..100 and the page inside the table.
 
-    Carries total_rows, total_pages and the page shown. The only action is a count.
+    Carries total_rows, total_pages and the page shown. Rows are counted per chunk of ids (unique whole
+    numbers); only the chunks that hold the page are sorted, however deep it lies.
     """
     size = min(100, max(1, size))
-    total = df.count()
+    chunk = F.shiftright(F.col(order), SPAN_BITS)
+    counts = df.groupBy(chunk.alias("chunk")).agg(F.count("*").alias("n"))
+    before = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    upto = counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     pages = max(1, -(-total // size))
     number = min(max(1, number), pages)
+    first, last = (number - 1) * size, number * size
+    held = upto.where((F.col("start") < last) & (F.col("start") + F.col("n") > first))
+    span = held.agg(F.min("chunk").alias("low"), F.max("chunk").alias("high"), F.min("start").alias("start")).first()
+    here = df.where("false") if span["low"] is None else df.where(chunk.between(span["low"], span["high"]))
     return (
-        df.orderBy(order)
-        .offset((number - 1) * size)
+        here.orderBy(order)
+        .offset(first - (span["start"] or 0))
         .limit(size)
         .withColumn("page", F.lit(number))
         .withColumn("total_rows", F.lit(total).cast("bigint"))

@@ -28,22 +28,29 @@ def drop_empty_rows(df: DataFrame) -> DataFrame:
     return df.where(non_blank(F.concat(*[text_of(c) for c in data_columns(df)])).isNotNull())
 
 
-def clean_rows(df: DataFrame) -> DataFrame:
-    """No empty rows, first of equal rows; equal rows are counted map-side before the shuffle."""
+def _digests(df: DataFrame) -> DataFrame:
+    """row_id, digest, empty: of each row's stripped cells, so that no text is shuffled.
+
+    The digest covers the cells with their lengths; SHA-256 keeps different rows apart.
+    """
     columns = data_columns(df)
-    kept = stripped(drop_empty_rows(df)).groupBy(*columns).agg(F.min(ROW_ID).alias(ROW_ID))
-    return kept.select(ROW_ID, *columns)
+    cells = F.concat(*[F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)) for c in columns])
+    return stripped(df).select(ROW_ID, F.unhex(F.sha2(cells, 256)).alias("digest"), (F.length(F.concat(*columns)) == 0).alias("empty"))
+
+
+def clean_rows(df: DataFrame) -> DataFrame:
+    """No empty rows, first of equal rows. Digests and ids are shuffled; texts only where the join does not fit a broadcast."""
+    first = _digests(df).where(~F.col("empty")).groupBy("digest").agg(F.min(ROW_ID).alias(ROW_ID))
+    return stripped(df).join(first.select(ROW_ID), ROW_ID, "left_semi")
 
 
 def clean_stats(df: DataFrame) -> DataFrame:
     """total_rows, kept_rows, removed_empty, removed_duplicates in one line."""
-    columns = data_columns(df)
-    groups = stripped(df).groupBy(*columns).agg(F.count("*").alias("n"))
-    empty = F.length(F.concat(*columns)) == 0
+    groups = _digests(df).groupBy("digest", "empty").agg(F.count("*").alias("n"))
     totals = groups.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"),
-        F.count_if(~empty).alias("kept_rows"),
-        F.coalesce(F.sum(F.when(empty, F.col("n"))), F.lit(0)).alias("removed_empty"),
+        F.count_if(~F.col("empty")).alias("kept_rows"),
+        F.coalesce(F.sum(F.when(F.col("empty"), F.col("n"))), F.lit(0)).alias("removed_empty"),
     )
     return totals.withColumn(
         "removed_duplicates", F.col("total_rows") - F.col("kept_rows") - F.col("removed_empty")

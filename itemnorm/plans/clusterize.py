@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
@@ -17,6 +17,9 @@ from itemnorm.operators.neighbours import BLOCK
 from itemnorm.session import cut_lineage
 
 
+Clusterer = Callable[[DataFrame], DataFrame]
+
+
 @dataclass(frozen=True)
 class Clusterized:
     matches: DataFrame
@@ -34,20 +37,25 @@ def clusterize(
     local: Embedder | None = None,
     alt: Embedder | None = None,
     cluster_by: str = "local",
+    clusterer: Clusterer | None = None,
     profiler: Provider | None = None,
     cache: DataFrame | None = None,
     threshold: float = DISTANCE_THRESHOLD,
     max_distance: float = MATCH_DISTANCE,
     block: int = BLOCK,
 ) -> Clusterized:
-    """items(item_idx, item). cluster_by picks the one provider whose vectors group the unknown items."""
+    """items(item_idx, item). cluster_by picks the one provider whose vectors group the unknown items.
+
+    With "alt" every item needs an alternative vector; if one has none, the local vectors group them all.
+    clusterer: items(item_idx, item, vec) -> (item_idx, cluster_id), average linkage by default.
+    """
     embedded = cut_lineage(embed_dual(items.select("item_idx", "item"), "item", local, alt))
     matches = cut_lineage(match_memory(embedded, memory, max_distance, block))
     known = known_items(embedded, matches, memory)
-    unknown = unknown_items(embedded, matches).select(
-        "item_idx", "item", F.col("vec_alt" if cluster_by == "alt" else "vec_local").alias("vec")
-    )
-    labels = cluster_items(unknown, "vec", threshold, block)
+    new = unknown_items(embedded, matches)
+    by_alt = cluster_by == "alt" and new.where(F.col("vec_alt").isNull()).isEmpty()
+    unknown = new.select("item_idx", "item", F.col("vec_alt" if by_alt else "vec_local").alias("vec"))
+    labels = cluster_items(unknown, "vec", threshold, block) if clusterer is None else clusterer(unknown).select("item_idx", "cluster_id")
     groups = cut_lineage(unknown.select("item_idx", "item").join(labels, "item_idx"))
     profiles, new_answers = profile_clusters(groups.select("cluster_id", F.col("item_idx").alias("pos"), "item"), profiler, base, cache)
 

@@ -25,19 +25,13 @@ def _stored(spark, d, vectors=False):
 
 @query("src4_rules_standardize", f"WITH {PARTS} SELECT pos, name || ' ' || type || ' ' || size || ' ММ' AS value FROM parts")
 def src4(spark, d):
-    """A rule file read from disk drives the standardiser."""
-    import json
-    import os
-    import tempfile
-
+    """A rule file in the shared folder drives the standardiser."""
     from itemnorm.functions.text import standardize
     from itemnorm.sources.files import load_rules
 
-    folder = tempfile.mkdtemp(prefix="itemnorm-rules-")
-    path = os.path.join(folder, "rules.json")
-    with open(path, "w", encoding="utf-8") as handle:
-        json.dump({"ММ": ["mm"]}, handle, ensure_ascii=False)
-    return parts(spark, d).select("pos", standardize("item", load_rules(path)).alias("value"))
+    path = scratch_path(spark, "rules")
+    spark.createDataFrame([('{"ММ": ["mm"]}',)], "value string").coalesce(1).write.text(path)
+    return parts(spark, d).select("pos", standardize("item", load_rules(spark, f"{path}/part-*")).alias("value"))
 
 
 @query("src5_memory_scan", f"WITH {GROUPED} SELECT {_ID} AS item_id, enriched_name AS text, brand AS cluster_name FROM grouped")

@@ -13,11 +13,11 @@ EXPORT_HEADER = ["Обогащенное наименование", "Исход
 BOM = "\ufeff"
 
 
-def read_items(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = True) -> DataFrame:
+def read_items(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = False) -> DataFrame:
     """All-string table: stripped cells, "" for missing; the last of equal headers wins.
 
-    multi_line keeps quoted line breaks; turn it off for files without them so that
-    one large file is split over many tasks.
+    A large file is split over many tasks, line by line. For files whose quoted cells hold line breaks
+    set multi_line: such a file is read by one task, because only a read from its start can tell quotes.
     """
     reader = spark.read.option("sep", sep).option("quote", '"').option("escape", '"')
     reader = reader.option("multiLine", multi_line).option("encoding", "UTF-8").option("inferSchema", False)
@@ -40,10 +40,16 @@ def normalize_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*clean_headers(df.columns))
 
 
-def load_rules(path: str) -> dict[str, list[str]]:
-    """canonical -> synonyms, in file order. A small configuration file, read on the driver."""
-    with open(path, encoding="utf-8") as handle:
-        return {str(k): [str(s) for s in v] for k, v in json.load(handle).items()}
+MAX_RULES_BYTES = 16 << 20
+
+
+def load_rules(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """canonical -> synonyms, in file order. A configuration file of at most MAX_RULES_BYTES in any store Spark reads."""
+    size = spark.read.format("binaryFile").load(path).select("length").first()
+    if size is None or size["length"] > MAX_RULES_BYTES:
+        raise ValueError(f"{path} is no rule file, or larger than {MAX_RULES_BYTES} bytes")
+    content = spark.read.format("binaryFile").load(path).select("content").first()["content"]
+    return {str(k): [str(s) for s in v] for k, v in json.loads(bytes(content).decode("utf-8")).items()}
 
 
 def _csv_line(cells: F.Column) -> F.Column:

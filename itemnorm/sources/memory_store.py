@@ -120,9 +120,9 @@ def _non_blank_map(c: str) -> F.Column:
 
 
 def memory_load(memory: Memory, cluster_name: str) -> Memory:
-    """Points of one cluster; the default cluster also holds those without a name."""
+    """Points of one cluster; the default cluster also holds those without a name, a blank name none."""
     name = cluster_name.strip()
-    wanted = F.col("cluster_name") == name
+    wanted = (F.col("cluster_name") == name) & F.lit(bool(name))
     if name == MEMORY_CLUSTER:
         wanted = wanted | (text_of("cluster_name") == "")
     points = memory.points.where(wanted)

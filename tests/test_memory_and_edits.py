@@ -156,7 +156,7 @@ def test_export_bytes_and_reading_back(spark):
 def test_read_items_messy_file(spark, tmp_path):
     path = tmp_path / "t.csv"
     path.write_bytes("﻿name, size ,name\n a ,1,b\n\"x\ny\",2\n".encode())
-    df = read_items(spark, str(path))
+    df = read_items(spark, str(path), multi_line=True)
     assert df.columns == ["name", "size"]
     assert [tuple(r) for r in df.collect()] == [("b", "1"), ("", "2")]
 
