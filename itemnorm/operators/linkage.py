@@ -41,7 +41,7 @@ def cluster_items(
     state = nodes.select("node", F.transform("u", lambda v: v * F.col("n")).alias("total"), "n")
     merges = None
     while state.count() > block:
-        means = state.select("node", F.transform("total", lambda v: v / F.col("n")).alias("mean"))
+        means = cut_lineage(state.select("node", F.transform("total", lambda v: v / F.col("n")).alias("mean")))
         nearest = cut_lineage(
             best_neighbours(
                 means.select(F.col("node").alias("l_id"), F.col("mean").alias("l_vec")),
@@ -60,6 +60,9 @@ def cluster_items(
         if pairs.isEmpty():
             break
         merges = pairs if merges is None else merges.unionByName(pairs)
+        # Average linkage is reducible: a cluster without a partner inside the threshold gets none by merges of
+        # others, whose mean distance to it lies between theirs. It is final and looked up no more.
+        state = state.join(nearest.select(F.col("l_id").alias("node")), "node", "left_semi")
         absorbed = pairs.join(state.withColumnRenamed("node", "gone"), "gone").select(
             F.col("keep").alias("node"), F.col("total").alias("t2"), F.col("n").alias("n2")
         )

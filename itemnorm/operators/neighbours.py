@@ -3,8 +3,8 @@
 Every left row gets its best right row (or k best) with similarity >= a bound. Only
 winners leave a task; pairs are never emitted. Candidates are found exactly, without
 recall loss, by metric pruning: each right row lives in the cell of its nearest pivot;
-a left row visits a cell only if the triangle inequality on angles allows a match
-there. Cells and left visits larger than a block are split into blocks, so a hot cell
+a left row looks in its own nearest pivot's cell first and visits another only if the
+triangle inequality on angles allows a better match there. Cells and left visits larger than a block are split into blocks, so a hot cell
 becomes many bounded tasks.
 
 Vectors may be shorter than 1 (means of unit vectors): the score is the dot product,
@@ -20,7 +20,9 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from itemnorm.session import cut_lineage
 
 BLOCK = 4096
 PIVOT_BYTES = 16 << 20
@@ -62,23 +64,35 @@ def assign_cells(right: DataFrame, pivots: np.ndarray) -> DataFrame:
     return right.mapInPandas(assign, f"{_ddl(right)}, cell int, angle double")
 
 
-def route_cells(left: DataFrame, pivots: np.ndarray, radius: np.ndarray, min_similarity: float) -> DataFrame:
-    """Left rows with every cell that can hold a match."""
+def route_cells(left: DataFrame, pivots: np.ndarray, radius: np.ndarray, own_cell: bool | None = None) -> DataFrame:
+    """Left rows (with the angle `reach` their matches lie within) and every cell that can hold a match.
+
+    own_cell: only the cell of the nearest pivot, or only the others.
+    """
     shared = left.sparkSession.sparkContext.broadcast((pivots, radius))
-    reach = math.acos(max(-1.0, min(1.0, min_similarity))) + _SLACK
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         centres, radii = shared.value
         for pdf in batches:
             if len(pdf):
                 angles = _angles(pdf["l_vec"], centres)
-                own = angles.min(axis=1, keepdims=True)
-                open_ = (angles - radii[None, :] <= reach) & (angles - own <= 2 * reach)
+                nearest = np.zeros(angles.shape, bool)
+                nearest[np.arange(len(pdf)), angles.argmin(axis=1)] = True
+                reach = pdf["reach"].to_numpy()[:, None]
+                # A right row lies in the cell of its own nearest pivot, hence the second bound.
+                open_ = (angles - radii[None, :] <= reach) & (angles - angles.min(axis=1, keepdims=True) <= 2 * reach)
                 open_ &= radii[None, :] >= 0
+                if own_cell is not None:
+                    open_ = nearest if own_cell else open_ & ~nearest
                 yield pdf.assign(cells=[np.flatnonzero(o).astype("int32") for o in open_])
 
     routed = left.mapInPandas(route, f"{_ddl(left)}, cells array<int>")
-    return routed.withColumn("cell", F.explode("cells")).drop("cells")
+    return routed.withColumn("cell", F.explode("cells")).drop("cells", "reach")
+
+
+def _reach(similarity: Column) -> Column:
+    """Largest angle at which a product of vectors of length <= 1 reaches the similarity."""
+    return F.when(similarity >= 0, F.acos(F.least(similarity, F.lit(1.0)))).otherwise(F.lit(math.pi)) + F.lit(_SLACK)
 
 
 def _ddl(df: DataFrame) -> str:
@@ -109,18 +123,51 @@ def best_neighbours(
     earlier_only keeps r_id < l_id; strict makes the bound exclusive.
     """
     on = list(on)
+    # Both sides are read many times below: sizes, pivots, radii, blocks, and the joins themselves.
+    left, right = cut_lineage(left), cut_lineage(right)
     pivots = pick_pivots(right, right.count(), block)
-    if pivots is None:
-        left_cells = left.withColumn("cell", F.lit(0))
-        right_cells = right.withColumn("cell", F.lit(0))
-    else:
-        placed = assign_cells(right, pivots)
-        radius = np.full(len(pivots), -1.0)
-        for row in placed.groupBy("cell").agg(F.max("angle").alias("r")).collect():
-            radius[row["cell"]] = row["r"] + _SLACK
-        left_cells = route_cells(left, pivots, radius, min_similarity)
-        right_cells = placed.drop("angle")
+    order = [-F.col("similarity"), F.col("r_id")] if prefer == "similar" else [F.col("r_id")]
 
+    def best_of(found: DataFrame) -> DataFrame:
+        if k == 1:
+            best = found.groupBy(*on, "l_id").agg(F.min_by(F.struct("r_id", "similarity"), F.struct(*order)).alias("b"))
+            return best.select(*on, "l_id", "b.r_id", "b.similarity")
+        # At most k lines per (left row, visited block) arrive here.
+        w = Window.partitionBy(*on, "l_id").orderBy(*order)
+        return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    def meet(left_cells: DataFrame, right_cells: DataFrame) -> DataFrame:
+        return _meet(left_cells, right_cells, on, min_similarity, prefer, earlier_only, skip_self, strict, k, block)
+
+    if pivots is None:
+        return best_of(meet(left.withColumn("cell", F.lit(0)), right.withColumn("cell", F.lit(0))))
+    placed = cut_lineage(assign_cells(right, pivots))
+    radius = np.full(len(pivots), -1.0)
+    for row in placed.groupBy("cell").agg(F.max("angle").alias("r")).collect():
+        radius[row["cell"]] = row["r"] + _SLACK
+    cells = placed.drop("angle")
+    least = _reach(F.lit(float(min_similarity)))
+    if prefer != "similar":
+        return best_of(meet(cut_lineage(route_cells(left.withColumn("reach", least), pivots, radius)), cells))
+    # The nearest pivot's cell first: what is found there says how far other cells need to be visited.
+    own = cut_lineage(best_of(meet(cut_lineage(route_cells(left.withColumn("reach", least), pivots, radius, own_cell=True)), cells)))
+    full = own if k == 1 else own.where(F.col("rank") == k)
+    bounds = full.select(*on, "l_id", F.greatest(_reach_bound(), F.lit(float(min_similarity))).alias("bound"))
+    reaching = left.join(bounds, [*on, "l_id"], "left").withColumn("reach", _reach(F.coalesce("bound", F.lit(float(min_similarity))))).drop("bound")
+    others = cut_lineage(route_cells(reaching, pivots, radius, own_cell=False))
+    return best_of(own.drop("rank").unionByName(meet(others, cells)))
+
+
+def _reach_bound() -> Column:
+    """The similarity found, less the rounding of similarities."""
+    return F.col("similarity") - F.lit(10.0**-DIGITS)
+
+
+def _meet(
+    left_cells: DataFrame, right_cells: DataFrame, on: list[str], min_similarity: float, prefer: str, earlier_only: bool,
+    skip_self: bool, strict: bool, k: int, block: int,
+) -> DataFrame:
+    """on..., l_id, r_id, similarity: the best k of every block of a cell for the left rows that visit it."""
     group = [*on, "cell"]
     right_blocks = _blocks(right_cells, group, block, "r_blocks")
     left_blocks = _blocks(left_cells, group, block, "l_blocks")
@@ -172,16 +219,7 @@ def best_neighbours(
         out = {name: [key[i]] * len(li) for i, name in enumerate(on)}
         return pd.DataFrame({**out, "l_id": l_id[li], "r_id": r_id[ri], "similarity": scores[li, ri]}, columns=names)
 
-    types = {f.name: f.dataType.simpleString() for f in [*left.schema.fields, *right.schema.fields]}
+    types = {f.name: f.dataType.simpleString() for f in [*left_cells.schema.fields, *right_cells.schema.fields]}
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in on), f"l_id {types['l_id']}", f"r_id {types['r_id']}", "similarity double"])
     parts = [*group, "lb", "rb"]
-    found = spread_left.groupBy(*parts).cogroup(spread_right.groupBy(*parts)).applyInPandas(match, schema)
-    order = [-F.col("similarity"), F.col("r_id")] if prefer == "similar" else [F.col("r_id")]
-    if k == 1:
-        best = found.groupBy(*on, "l_id").agg(
-            F.min_by(F.struct("r_id", "similarity"), F.struct(*order)).alias("b")
-        )
-        return best.select(*on, "l_id", "b.r_id", "b.similarity")
-    # At most k lines per (left row, visited block) arrive here.
-    w = Window.partitionBy(*on, "l_id").orderBy(*order)
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return spread_left.groupBy(*parts).cogroup(spread_right.groupBy(*parts)).applyInPandas(match, schema)
