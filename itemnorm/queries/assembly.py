@@ -44,7 +44,8 @@ def agg3(spark, d):
 )
 def agg3_long(spark, d):
     """Accumulative fold of one attribute over big groups with a found separator."""
-    docs = table(spark, d, "documents").withColumn("cluster_id", F.xxhash64("lang", "source"))
+    docs = table(spark, d, "documents")
+    docs = docs.join(docs.groupBy("lang", "source").agg(F.min("doc_id").alias("cluster_id")), ["lang", "source"])
     members = docs.select("cluster_id", F.lit(0).cast("bigint").alias("row_pos"), F.col("doc_id").alias("member_pos"), F.create_map(F.lit("v"), F.concat_ws(",", "source", "lang")).alias("values"))
     clusters = docs.select("cluster_id", "lang", "source").distinct().withColumns(
         {"attribute_merge": F.create_map(F.lit("v"), F.lit("accumulative")), "attribute_merge_separators": empty_map()}
@@ -53,6 +54,22 @@ def agg3_long(spark, d):
     return folded.join(clusters, "cluster_id").select("lang", "source", F.try_element_at("values", F.lit("v")).alias("merged"))
 
 
+@query(
+    "agg3_separator_changes",
+    f"""WITH {PARTS}, r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY pos) AS n FROM parts),
+    f AS (SELECT cluster_id, arg_min(size, n) AS first_size FROM r GROUP BY cluster_id), d AS (SELECT cluster_id, min(n) AS other FROM r JOIN f USING (cluster_id) WHERE size <> first_size GROUP BY cluster_id)
+    SELECT cluster_id, string_agg(size || ' mm', '/' ORDER BY n) FILTER (n = 1 OR n >= other) AS merged FROM r LEFT JOIN d USING (cluster_id) GROUP BY cluster_id""",
+)
+def agg3_slash(spark, d):
+    """A policy separator that joins but does not split: a value is dropped only where it equals the whole text so far."""
+    p = parts(spark, d)
+    members = p.select("cluster_id", F.lit(0).cast("bigint").alias("row_pos"), F.col("pos").alias("member_pos"), F.create_map(F.lit("v"), F.concat("size", F.lit(" mm"))).alias("values"))
+    clusters = p.select("cluster_id").distinct().withColumns(
+        {"attribute_merge": F.create_map(F.lit("v"), F.lit("accumulative")), "attribute_merge_separators": F.create_map(F.lit("v"), F.lit("/"))}
+    )
+    return fold_groups(members, clusters, ROW, "member_pos").select("cluster_id", F.try_element_at("values", F.lit("v")).alias("merged"))
+
+
 @query(
     "agg4_collapse_rows",
     f"""WITH {GROUPED}, {_SIZES} SELECT g.cluster_id, g.row_pos, g.enriched_name, (SELECT arg_min(alias, alias_pos) FROM aliases a WHERE a.cluster_id = g.cluster_id AND a.row_pos = g.row_pos) AS item,

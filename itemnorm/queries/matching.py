@@ -8,7 +8,7 @@ from itemnorm.model import Memory
 from itemnorm.operators import matching as m
 from itemnorm.operators.assemble import normalized_to_memory, name_map, rows_to_memory
 from itemnorm.operators.embedding import embed_dual, hashing_embedder
-from itemnorm.queries.inputs import GROUPED, PARTS, catalogue, flat, memory, parts, sql_embedding, sql_item_id, table
+from itemnorm.queries.inputs import GROUPED, PARTS, catalogue, digest_vector, flat, memory, parts, sql_embedding, sql_item_id, table
 from itemnorm.queries.registry import query
 from itemnorm.session import cut_lineage, scratch_path
 from itemnorm.sources import memory_store as ms
@@ -115,6 +115,27 @@ def jn2(spark, d):
     return near.withColumn("score", F.round("score", 5))
 
 
+@query("jn2_small_block", f"WITH {GROUPED}, {_KNN} SELECT pos AS item_idx, item_id, round(s, 5) AS score FROM parts JOIN top USING (item)")
+def jn2_small(spark, d):
+    """Cells and visits as on a large memory."""
+    items = parts(spark, d).select(F.col("pos").alias("item_idx"), hash_embedding("item").alias("vec_local"))
+    return m.knn_match(items, memory(spark, d, vectors=True), "vec_local", 0.3, block=64).withColumn("score", F.round("score", 5))
+
+
+@query(
+    "jn2_bare_points",
+    f"""WITH {GROUPED}, {_KNN}, best AS (SELECT item, arg_min(enriched_name, (-s, {_ID})) AS enriched_name, max(s) AS s FROM sims WHERE s >= 0.7 GROUP BY item)
+    SELECT pos AS item_idx, {_ID.replace('enriched_name', 'b.enriched_name')} AS item_id, round(s, 5) AS score FROM parts JOIN best b USING (item) JOIN grouped g ON g.enriched_name = b.enriched_name WHERE g.type <> 'small'""",
+)
+def jn2_bare(spark, d):
+    """Points without attributes are nearest for some items: those have no match, the runner-up is not tried."""
+    mem = memory(spark, d, vectors=True)
+    none = F.create_map().cast("map<string,string>")
+    mem = mem.with_(points=mem.points.withColumn("attributes", F.when(F.col("attributes")["type"] == "small", none).otherwise(F.col("attributes"))))
+    items = parts(spark, d).select(F.col("pos").alias("item_idx"), hash_embedding("item").alias("vec_local"))
+    return m.knn_match(items, mem, "vec_local", 0.3).withColumn("score", F.round("score", 5))
+
+
 def _mixed(spark, d):
     """Items known by alias (memory type) and others under a spelling memory has not seen."""
     p = parts(spark, d)
@@ -142,6 +163,21 @@ def jn3(spark, d):
     return _matched(spark, d)[1].select("item_idx", "item_id", "matched_by")
 
 
+@query(
+    "jn3_alternative_vector",
+    f"""WITH {GROUPED}, {_KEYS}, {_MIXED} SELECT x.item_idx, CASE WHEN k.matched_by = 'payload' THEN k.item_id WHEN p.type = 'promo' THEN {_ID.replace('enriched_name', "p.brand || ' ' || p.name")} ELSE k.item_id END AS item_id,
+    CASE WHEN k.matched_by = 'payload' THEN 'payload' WHEN p.type = 'promo' THEN 'gemini' ELSE k.matched_by END AS matched_by
+    FROM mixed x JOIN parts p ON p.pos = x.item_idx LEFT JOIN matched k ON k.item_idx = x.item_idx WHERE k.item_id IS NOT NULL OR p.type = 'promo'""",
+)
+def jn3_alternative(spark, d):
+    """An alternative vector, held by promo parts only, beats the local one and yields to an alias."""
+    mem = memory(spark, d, vectors=True)
+    mem = mem.with_(points=mem.points.withColumn("vec_alt", digest_vector(F.col("text"))))
+    p = parts(spark, d).select(F.col("pos").alias("item_idx"), F.when(F.col("type") == "promo", digest_vector(F.concat_ws(" ", "brand", "name"))).alias("vec_alt"))
+    items = embed_dual(_mixed(spark, d), "item").drop("vec_alt").join(p, "item_idx")
+    return m.match_memory(items, mem).select("item_idx", "item_id", "matched_by")
+
+
 @query(
     "jn4_known_unknown",
     f"""WITH {GROUPED}, {_KEYS}, {_MIXED} SELECT x.item_idx, CASE WHEN k.item_id IS NULL THEN x.item ELSE g.enriched_name END AS name, coalesce(g.brand, '') AS cluster_name

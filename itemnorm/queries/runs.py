@@ -9,7 +9,8 @@ from itemnorm.plans.clusterize import clusterize
 from itemnorm.plans.normalize import normalize, normalize_input, rededupe, with_attribute_mode
 from itemnorm.plans.runs import RunStore, completed_clusters, normalize_run, only_clusters, run_summary
 from itemnorm.queries.enrichment import PATTERNS, stubborn
-from itemnorm.queries.inputs import FINISHED, GROUPED, PARTS, catalogue, digest_embedder, flat, known_first, memory, parts
+from itemnorm.queries.inputs import FINISHED, GROUPED, PARTS, catalogue, digest_embedder, digest_vector, flat, known_first, memory, parts, sql_item_id
+from itemnorm.queries.matching import _KEYS as KEYS
 from itemnorm.queries.registry import query
 from itemnorm.session import cut_lineage, scratch_path
 
@@ -25,11 +26,21 @@ def _run_items(spark, d):
     return p.unionByName(table(spark, d, "benchmark").select((F.col("item_id") + top + 1).alias("item_idx"), F.col("text").alias("item")))
 
 
-@query("pip1_clusterize")
+_PIP1 = f"""WITH {GROUPED}, {KEYS}, t AS (SELECT trim(text, e' \\n\\t\\r') AS item, min(item_id) AS first FROM benchmark GROUP BY ALL),
+    w AS (SELECT item, unnest(string_split(lower(trim(regexp_replace(item, '\\s+', ' ', 'g'))), ' ')) AS w FROM t), c AS (SELECT item, w, count(*) AS n FROM w GROUP BY ALL)
+    SELECT g.brand AS name, 'memory' AS source, count(DISTINCT g.row_pos) AS n_rows, 'type,size,price' AS attributes
+      FROM parts p JOIN keys k ON lower(p.item) = k.key JOIN grouped g ON {sql_item_id('g.enriched_name')} = k.item_id GROUP BY g.brand
+    UNION ALL SELECT arg_min(w, (-n, w)), 'ai', (SELECT count(*) FROM benchmark b WHERE trim(b.text, e' \\n\\t\\r') = c.item), 'base' FROM c GROUP BY item"""
+
+
+@query("pip1_clusterize", _PIP1)
 def pip1(spark, d):
-    out = clusterize(_run_items(spark, d), memory(spark, d, vectors=True), ["base"], profiler=frequency_profile(PATTERNS))
+    """Items that memory knows by alias, and texts it does not know, each of which is a cluster of its copies."""
+    mem = memory(spark, d)
+    mem = mem.with_(points=mem.points.withColumn("vec_local", digest_vector(F.col("text"))))
+    out = clusterize(_run_items(spark, d), mem, ["base"], local=digest_embedder, profiler=frequency_profile(PATTERNS))
     n = out.catalogue.rows.groupBy("cluster_id").agg(F.count("*").alias("n_rows"))
-    return out.catalogue.clusters.join(n, "cluster_id").select("cluster_id", "name", "source", F.array_join("attributes", ",").alias("attributes"), "enriched_name_template", "n_rows")
+    return out.catalogue.clusters.join(n, "cluster_id").select("name", "source", "n_rows", F.array_join("attributes", ",").alias("attributes"))
 
 
 def _prepared(spark, d):
@@ -175,7 +186,8 @@ def m1(spark, d):
     named = cut_lineage(
         p.select("pos", standardize_map(values).alias("values")).withColumn("enriched", render_template(F.lit("{brand} {type} {name}"), "values"))
     )
-    entries = named.select(F.xxhash64("enriched").alias("cluster_id"), F.lit(0).cast("bigint").alias("row_pos"), "pos", "values", "enriched")
+    ids = named.groupBy("enriched").agg(F.min("pos").alias("cluster_id"))
+    entries = named.join(ids, "enriched").select("cluster_id", F.lit(0).cast("bigint").alias("row_pos"), "pos", "values", "enriched")
     clusters = entries.groupBy("cluster_id").agg(F.first("enriched").alias("enriched"), F.count("*").alias("n_items")).withColumns(
         {"attribute_merge": F.create_map(F.lit("size"), F.lit("accumulative")), "attribute_merge_separators": empty_map()}
     )
