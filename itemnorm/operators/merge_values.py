@@ -156,23 +156,37 @@ def fold_accumulative(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
     if not facts["typed"]:
         return cells
-    # Any other separator is not split again, so the fold works on the text itself and
-    # its result is about as long as its input; order is all that matters.
-    typed = (
-        filled.where(~set_like)
-        .groupBy(*group)
-        .agg(
-            F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), "value"))).alias("vs"),
-            F.first("sep").alias("sep"),
-        )
-        .select(
-            *group,
-            F.aggregate(
-                F.col("vs"), F.lit(""), lambda acc, v: merge_accumulative(acc, v["value"], F.col("sep"))
-            ).alias("merged"),
-        )
+    return cells.unionByName(_typed(filled.where(~set_like), group))
+
+
+def _typed(filled: DataFrame, group: list[str]) -> DataFrame:
+    """Values joined by a separator that does not split: all parts in order, but for repeats of the whole text so far.
+
+    While no part holds the separator, and the separator none of `;,|`, the text so far equals a part only as
+    long as it is the first part alone: repeats of that are dropped up to the first value that brings
+    another part, and everything after it stays. Only groups in which a part holds the separator are
+    folded value by value.
+    """
+    lines = cut_lineage(filled.select(*group, "pos", "sep", F.posexplode(split_parts("value")).alias("idx", "part")))
+    facts = lines.groupBy(*group).agg(
+        F.bool_or(F.col("part").contains(F.col("sep")) | F.col("sep").rlike(SPLIT_PATTERN)).alias("hard"),
+        F.min(F.struct("pos", "idx")).alias("first"),
+        F.min_by("part", F.struct("pos", "idx")).alias("alone"),
+    )
+    known = cut_lineage(lines.join(facts, group))
+    others = known.where(F.col("part") != F.col("alone")).groupBy(*group).agg(F.min("pos").alias("other"))
+    easy = known.where(~F.col("hard")).join(others, group, "left")
+    kept = easy.where((F.struct("pos", "idx") == F.col("first")) | (F.col("part") != F.col("alone")) | (F.col("pos") > F.col("other")))
+    joined = kept.groupBy(*group).agg(
+        F.array_sort(F.collect_list(F.struct("pos", "idx", "part"))).alias("ps"), F.first("sep").alias("sep")
+    ).select(*group, F.array_join(F.col("ps.part"), "\x00").alias("t"), "sep").select(*group, F.replace("t", F.lit("\x00"), "sep").alias("merged"))
+    hard = facts.where("hard").select(*group)
+    folded = (
+        filled.join(hard, group, "left_semi").groupBy(*group)
+        .agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("vs"), F.first("sep").alias("sep"))
+        .select(*group, F.aggregate(F.col("vs"), F.lit(""), lambda acc, v: merge_accumulative(acc, v["value"], F.col("sep"))).alias("merged"))
     )
-    return cells.unionByName(typed)
+    return joined.unionByName(folded)
 
 
 def fold_groups(members: DataFrame, clusters: DataFrame, keys: Sequence[str], pos: str) -> DataFrame:

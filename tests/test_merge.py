@@ -93,3 +93,27 @@ def test_running_sum_across_chunks(spark):
     assert places == list(range(90))
     sizes = batch_number(df, ["k"], "p", 8).groupBy("k", "batch").count().collect()
     assert max(r["count"] for r in sizes) == 8
+
+
+def test_typed_separators_equal_the_fold_value_by_value(spark):
+    import random
+    import re
+
+    from itemnorm.operators.merge_values import fold_accumulative
+
+    def parts_of(text):
+        return list(dict.fromkeys(p.strip() for p in re.split("[;,|]", text) if p.strip()))
+
+    rng, lines, want = random.Random(5), [], {}
+    for g in range(60):
+        sep = rng.choice(["/", " - ", "+", "/;"])
+        values = [rng.choice(["a", "b", "a; b", "b, a", "a;a", " a ", "", "c", f"a{sep}b", "|"][: 8 if g % 2 else 10]) for _ in range(rng.randint(1, 9))]
+        text = ""
+        for k, v in enumerate(values):
+            lines.append((g, "x", k, v, sep))
+            if v:
+                text = sep.join(dict.fromkeys(parts_of(text) + parts_of(v)))
+        want[g] = text
+    df = spark.createDataFrame(lines, "g bigint, attr string, pos bigint, value string, sep string")
+    got = {r["g"]: r["merged"] for r in fold_accumulative(df, ["g"]).collect()}
+    assert got == {g: t for g, t in want.items() if g in got} and all(not t for g, t in want.items() if g not in got)
