@@ -216,7 +216,7 @@ upserted AS (SELECT lower(text) AS k, text, type, cluster_name FROM fresh UNION
 def snk1(spark, d):
     path = scratch_path(spark, "memory")
     ms.write_memory(spark, path, memory(spark, d))
-    ms.write_memory(spark, path, ms.memory_upsert(ms.read_memory(spark, path), *_fresh(spark, d)))
+    ms.save_points(spark, path, *_fresh(spark, d))
     return ms.read_memory(spark, path).points.select("item_id", "text", F.try_element_at("attributes", F.lit("type")).alias("type"), "cluster_name")
 
 
@@ -225,7 +225,10 @@ def snk1(spark, d):
     f"WITH {GROUPED}, {_UPSERT} SELECT text, cluster_name FROM upserted u WHERE NOT (cluster_name = 'Brand#5' AND NOT EXISTS (SELECT 1 FROM fresh f WHERE f.text = u.text))",
 )
 def snk2(spark, d):
-    return ms.memory_replace_cluster(memory(spark, d), "Brand#5", *_fresh(spark, d)).points.select("text", "cluster_name")
+    path = scratch_path(spark, "memory")
+    ms.write_memory(spark, path, memory(spark, d))
+    ms.save_points(spark, path, *_fresh(spark, d), replace_cluster=" Brand#5 ")
+    return ms.read_memory(spark, path).points.select("text", "cluster_name")
 
 
 @query(
@@ -250,14 +253,18 @@ def snk4(spark, d):
 
 @query("snk5_delete_cluster", f"WITH {GROUPED} SELECT enriched_name AS text, (SELECT count(*) FROM grouped WHERE brand = 'Brand#9') AS removed FROM grouped WHERE brand <> 'Brand#9'")
 def snk5(spark, d):
-    kept, removed = ms.memory_delete_cluster(memory(spark, d), " Brand#9")
-    return kept.points.select("text", F.lit(removed).cast("bigint").alias("removed"))
+    path = scratch_path(spark, "memory")
+    ms.write_memory(spark, path, memory(spark, d))
+    removed = ms.remove_cluster(spark, path, " Brand#9")
+    return ms.read_memory(spark, path).points.select("text", F.lit(removed).cast("bigint").alias("removed"))
 
 
 @query("snk6_delete_text", f"WITH {GROUPED} SELECT enriched_name AS text, (SELECT count(*) FROM grouped WHERE enriched_name = 'Brand#7 old rod') AS removed FROM grouped WHERE enriched_name <> 'Brand#7 old rod'")
 def snk6(spark, d):
-    kept, removed = ms.memory_delete_text(memory(spark, d), "Brand#7 old rod ")
-    return kept.points.select("text", F.lit(removed).cast("bigint").alias("removed"))
+    path = scratch_path(spark, "memory")
+    ms.write_memory(spark, path, memory(spark, d))
+    removed = ms.remove_text(spark, path, "Brand#7 old rod ")
+    return ms.read_memory(spark, path).points.select("text", F.lit(removed).cast("bigint").alias("removed"))
 
 
 @query("snk7_clear_memory", f"WITH {GROUPED} SELECT count(*) AS before, 0::BIGINT AS after, count(*) > 0 AS existed FROM grouped")

@@ -1,22 +1,35 @@
-"""Memory of known items on Parquet: two tables under one versioned folder.
+"""Memory of known items on Parquet: points and aliases in folders, and one commit file per version.
 
-    <path>/v=<n>/points   one line per item, partitioned by nothing but sorted by cluster
-    <path>/v=<n>/aliases  one line per original item of a point
+    <path>/data-<id>/points   points a version added, sorted by cluster, and their aliases beside them
+    <path>/data-<id>/gone     ids whose earlier points a version replaced or removed
+    <path>/commit-<n>         the folder of version n, and whether it holds everything
 
-A write makes the next version and never touches the one being read, so a job that
-loses executors half-way leaves the current memory as it was. The newest version with
-both tables complete (Spark's _SUCCESS marker) is the current one.
+A small save writes only what it changes; readers put the folders of a chain together, an id's points of a
+version counting unless a later version lists the id as gone. Every CHAIN versions one is written
+whole. A commit file is created once and never overwritten: a writer that started from an older version
+than the current one finds its number taken and fails, and data of a job that died is never read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import json
+import uuid
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from itemnorm.functions.text import MEMORY_CLUSTER, clean_map, item_id, strip_u, text_of
 from itemnorm.model import POINT_ALIASES, POINTS, Memory
 from itemnorm.operators.ordering import last_per_key
+from itemnorm.session import cut_lineage
+
+#: Versions that a reader puts together before a save writes everything again.
+CHAIN = 8
+GONE = "item_id string"
 
-PARTS = ("points", "aliases")
+
+class StaleMemory(RuntimeError):
+    """The memory has a newer version than the one the writer started from."""
 
 
 def _fs(spark: SparkSession, path: str):
@@ -26,58 +39,147 @@ def _fs(spark: SparkSession, path: str):
 
 
 def current_version(spark: SparkSession, path: str) -> int:
-    """Newest complete version, 0 when there is none."""
+    """Newest committed version, 0 when there is none."""
     fs, path_of = _fs(spark, path)
     if not fs.exists(path_of(path)):
         return 0
-    versions = sorted(
-        (int(s.getPath().getName()[2:]) for s in fs.listStatus(path_of(path)) if s.getPath().getName().startswith("v=")),
-        reverse=True,
-    )
-    for v in versions:
-        if all(fs.exists(path_of(f"{path}/v={v}/{part}/_SUCCESS")) for part in PARTS):
-            return v
-    return 0
+    names = [s.getPath().getName() for s in fs.listStatus(path_of(path))]
+    return max([0, *(int(n.removeprefix("commit-")) for n in names if n.startswith("commit-"))])
+
+
+def _commit(spark: SparkSession, path: str, version: int, folder: str, whole: bool) -> None:
+    fs, path_of = _fs(spark, path)
+    try:
+        stream = fs.create(path_of(f"{path}/commit-{version}"), False)
+    except Exception as taken:
+        raise StaleMemory(f"version {version} of {path} was committed by another writer") from taken
+    stream.write(bytearray(json.dumps({"folder": folder, "whole": whole}).encode()))
+    stream.close()
+
+
+def _chain(spark: SparkSession, path: str, version: int) -> list[tuple[int, str, bool]]:
+    """(version, folder, whole) from the given version back to the last whole one."""
+    fs, path_of = _fs(spark, path)
+    out: list[tuple[int, str, bool]] = []
+    while version and not (out and out[-1][2]):
+        stream = fs.open(path_of(f"{path}/commit-{version}"))
+        held = json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        stream.close()
+        out.append((version, held["folder"], held["whole"]))
+        version -= 1
+    return out
 
 
 def empty_memory(spark: SparkSession) -> Memory:
     return Memory(spark.createDataFrame([], POINTS), spark.createDataFrame([], POINT_ALIASES))
 
 
-def read_memory(spark: SparkSession, path: str, with_vectors: bool = True) -> Memory:
-    """Current version; without vectors their columns are never read from disk."""
-    v = current_version(spark, path)
-    if not v:
+def read_memory(spark: SparkSession, path: str, with_vectors: bool = True, version: int | None = None) -> Memory:
+    """The current or the given version; without vectors their columns are never read from disk."""
+    chain = _chain(spark, path, current_version(spark, path) if version is None else version)
+    if not chain:
         return empty_memory(spark)
-    points = spark.read.schema(POINTS).parquet(f"{path}/v={v}/points")
-    aliases = spark.read.schema(POINT_ALIASES).parquet(f"{path}/v={v}/aliases")
-    return Memory(points if with_vectors else points.drop("vec_local", "vec_alt"), aliases)
+    gone = None
+    if len(chain) > 1:
+        lists = [spark.read.schema(GONE).parquet(f"{path}/{f}/gone").withColumn("_gone", F.lit(v)) for v, f, whole in chain if not whole]
+        gone = reduce(DataFrame.unionByName, lists).groupBy("item_id").agg(F.max("_gone").alias("_gone"))
+
+    def part(name: str, schema: str) -> DataFrame:
+        frames = [spark.read.schema(schema).parquet(f"{path}/{f}/{name}") for _, f, _ in chain]
+        if not with_vectors and name == "points":
+            frames = [f.drop("vec_local", "vec_alt") for f in frames]
+        if gone is None:
+            return frames[0]
+        tagged = reduce(DataFrame.unionByName, [f.withColumn("_v", F.lit(v)) for f, (v, _, _) in zip(frames, chain)])
+        return tagged.join(gone, "item_id", "left").where(F.col("_gone").isNull() | (F.col("_v") >= F.col("_gone"))).select(*frames[0].columns)
+
+    return Memory(part("points", POINTS), part("aliases", POINT_ALIASES))
+
+
+def _write(spark: SparkSession, path: str, memory: Memory, gone: DataFrame | None, version: int) -> int:
+    """Range partitioning by cluster gives files narrow cluster_name ranges, so a load of one cluster skips
+    files by their statistics, and a huge cluster still spans files."""
+    folder = f"data-{uuid.uuid4().hex}"
+    memory.points.repartitionByRange("cluster_name", "item_id").sortWithinPartitions("cluster_name", "item_id").write.parquet(
+        f"{path}/{folder}/points"
+    )
+    memory.aliases.repartitionByRange("item_id", "alias_pos").sortWithinPartitions("item_id").write.parquet(f"{path}/{folder}/aliases")
+    if gone is not None:
+        gone.select("item_id").distinct().write.parquet(f"{path}/{folder}/gone")
+    _commit(spark, path, version, folder, gone is None)
+    return version
 
 
-def write_memory(spark: SparkSession, path: str, memory: Memory) -> int:
-    """Writes the next version and returns its number.
+def write_memory(spark: SparkSession, path: str, memory: Memory, base: int | None = None) -> int:
+    """Writes everything as the next version and returns its number; base: the version the memory was read at."""
+    return _write(spark, path, memory, None, (current_version(spark, path) if base is None else base) + 1)
 
-    Range partitioning by cluster gives files narrow cluster_name ranges, so a load of
-    one cluster skips files by their statistics, and a huge cluster still spans files.
-    """
+
+def _change(spark: SparkSession, path: str, added: Memory, gone: DataFrame, base: int) -> int:
+    if not base or len(_chain(spark, path, base)) >= CHAIN:
+        old = read_memory(spark, path, version=base)
+        out = gone.select("item_id").distinct()
+        whole = Memory(*[getattr(old, p).join(out, "item_id", "left_anti").unionByName(getattr(added, p)) for p in ("points", "aliases")])
+        return _write(spark, path, whole, None, base + 1)
+    return _write(spark, path, added, gone, base + 1)
+
+
+def save_points(spark: SparkSession, path: str, new_points: DataFrame, new_aliases: DataFrame, replace_cluster: str | None = None, base: int | None = None) -> int:
+    """Upsert on disk, after removing the points of replace_cluster; arguments as in memory_upsert."""
+    base = current_version(spark, path) if base is None else base
+    added = memory_upsert(empty_memory(spark), new_points, new_aliases)
+    added = Memory(cut_lineage(added.points), added.aliases)
+    gone = added.points.select("item_id")
+    if replace_cluster is not None:
+        gone = gone.union(_ids(read_memory(spark, path, with_vectors=False, version=base), _of_cluster(replace_cluster)))
+    return _change(spark, path, added, gone, base)
+
+
+def remove_cluster(spark: SparkSession, path: str, cluster_name: str, base: int | None = None) -> int:
+    """Deletes one cluster on disk by listing its ids as gone; how many points that removed."""
+    return _remove(spark, path, _of_cluster(cluster_name), base)
+
+
+def remove_text(spark: SparkSession, path: str, text: str, base: int | None = None) -> int:
+    return _remove(spark, path, _of_text(text), base)
+
+
+def _remove(spark: SparkSession, path: str, doomed: Column, base: int | None) -> int:
+    base = current_version(spark, path) if base is None else base
+    ids = cut_lineage(_ids(read_memory(spark, path, with_vectors=False, version=base), doomed))
+    removed = ids.count()
+    if removed:
+        _change(spark, path, empty_memory(spark), ids, base)
+    return removed
+
+
+def _ids(memory: Memory, wanted: Column) -> DataFrame:
+    return memory.points.where(wanted).select("item_id")
+
+
+def vacuum(spark: SparkSession, path: str, keep: int = 2) -> int:
+    """Deletes data that only versions older than the last `keep` use; how many folders went."""
     fs, path_of = _fs(spark, path)
-    v = current_version(spark, path) + 1
-    while fs.exists(path_of(f"{path}/v={v}")):
-        v += 1
-    memory.points.repartitionByRange("cluster_name", "item_id").sortWithinPartitions(
-        "cluster_name", "item_id"
-    ).write.parquet(f"{path}/v={v}/points")
-    memory.aliases.repartitionByRange("item_id", "alias_pos").sortWithinPartitions("item_id").write.parquet(
-        f"{path}/v={v}/aliases"
-    )
-    return v
+    last = current_version(spark, path)
+    used = {folder for v in range(max(1, last - keep + 1), last + 1) for _, folder, _ in _chain(spark, path, v)}
+    oldest = min((v for k in range(max(1, last - keep + 1), last + 1) for v, _, _ in _chain(spark, path, k)), default=1)
+    gone = 0
+    for version in range(oldest - 1, 0, -1):
+        if not fs.exists(path_of(f"{path}/commit-{version}")):
+            break
+        folder = _chain(spark, path, version)[0][1]
+        if folder not in used:
+            gone += bool(fs.delete(path_of(f"{path}/{folder}"), True))
+        fs.delete(path_of(f"{path}/commit-{version}"), False)
+    return gone
 
 
 def clear_memory(spark: SparkSession, path: str) -> bool:
     """Makes an empty version current; tells whether there was anything before."""
-    had = not read_memory(spark, path, with_vectors=False).points.isEmpty()
-    if current_version(spark, path):
-        write_memory(spark, path, empty_memory(spark))
+    base = current_version(spark, path)
+    had = not read_memory(spark, path, with_vectors=False, version=base).points.isEmpty()
+    if base:
+        write_memory(spark, path, empty_memory(spark), base)
     return had
 
 
@@ -173,14 +275,22 @@ def _without(memory: Memory, doomed: F.Column) -> Memory:
     return Memory(points, memory.aliases.join(points.select("item_id"), "item_id", "left_semi"))
 
 
+def _of_cluster(cluster_name: str) -> Column:
+    return (cluster_label() == cluster_name.strip()) & F.lit(bool(cluster_name.strip()))
+
+
+def _of_text(text: str) -> Column:
+    return (text_of("text") == text.strip()) & F.lit(bool(text.strip()))
+
+
 def memory_delete_cluster(memory: Memory, cluster_name: str) -> tuple[Memory, int]:
     """Memory without one cluster, and how many points that removed."""
-    doomed = (cluster_label() == cluster_name.strip()) & F.lit(bool(cluster_name.strip()))
+    doomed = _of_cluster(cluster_name)
     return _without(memory, doomed), memory.points.where(doomed).count()
 
 
 def memory_delete_text(memory: Memory, text: str) -> tuple[Memory, int]:
-    doomed = (text_of("text") == text.strip()) & F.lit(bool(text.strip()))
+    doomed = _of_text(text)
     return _without(memory, doomed), memory.points.where(doomed).count()
 
 

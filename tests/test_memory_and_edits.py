@@ -55,16 +55,45 @@ def test_memory_versions_and_partial_writes(spark):
     ms.write_memory(spark, path, memory(spark))
     mem = ms.read_memory(spark, path)
     assert mem.points.count() == 3
-    # A version with only one of its tables is not read.
-    mem.points.write.parquet(f"{path}/v=2/points")
+    # Data that was never committed is not read.
+    mem.points.write.parquet(f"{path}/data-died/points")
     assert ms.current_version(spark, path) == 1
     kept, removed = ms.memory_delete_cluster(mem, "C ")
-    assert removed == 2 and ms.write_memory(spark, path, kept) == 3
+    assert removed == 2 and ms.write_memory(spark, path, kept) == 2
     assert [r["text"] for r in ms.read_memory(spark, path, with_vectors=False).points.collect()] == ["gamma"]
     assert ms.memory_load(mem, "Память").points.count() == 1
     assert ms.clear_memory(spark, path) and not ms.clear_memory(spark, path)
 
 
+def test_small_saves_write_only_what_they_change(spark):
+    import os
+
+    path = scratch_path(spark, "memory-test")
+    ms.write_memory(spark, path, memory(spark))
+    before = {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, files in os.walk(path) for f in files}
+    names = "save_pos long, text string, attributes map<string,string>, cluster_name string, attribute_merge map<string,string>, attribute_merge_separators map<string,string>, vec_local array<double>, vec_alt array<double>"
+    new = spark.createDataFrame([(0, "alpha", {"a": "new"}, "D", {}, {}, None, None), (1, "delta", {"a": "1"}, "D", {}, {}, None, None)], names)
+    aliases = spark.createDataFrame([(0, 0, "al", None), (1, 0, "de", None)], "save_pos long, alias_pos long, alias string, values map<string,string>")
+    base = ms.current_version(spark, path)
+    assert ms.save_points(spark, path, new, aliases) == 2
+    with pytest.raises(ms.StaleMemory):
+        ms.save_points(spark, path, new, aliases, base=base)
+    got = {r["text"]: (r["cluster_name"], r["attributes"].get("a")) for r in ms.read_memory(spark, path).points.collect()}
+    assert got["alpha"] == ("D", "new") and got["delta"] == ("D", "1") and len(got) == 4
+    assert ms.remove_text(spark, path, " delta ") == 1 and ms.remove_text(spark, path, "delta") == 0
+    assert ms.remove_cluster(spark, path, "D") == 1
+    left = ms.read_memory(spark, path)
+    assert {r["text"] for r in left.points.collect()} == set(got) - {"alpha", "delta"}
+    assert {r["item_id"] for r in left.aliases.collect()} <= {r["item_id"] for r in left.points.collect()}
+    after = {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, files in os.walk(path) for f in files}
+    assert {f: after[f] for f in before} == before
+    # A long chain is written whole again, an id that comes back counts, and old data can go.
+    for _ in range(ms.CHAIN + 1):
+        ms.save_points(spark, path, new, aliases)
+    assert {r["text"] for r in ms.read_memory(spark, path).points.collect()} == set(got)
+    assert ms.vacuum(spark, path) > 0 and ms.read_memory(spark, path).points.count() == 4
+
+
 def catalogue(spark):
     clusters = spark.createDataFrame(
         [(1, "One", ["a", "b"], "{a}-{b}", {"a": "accumulative"}, {}, "", ""), (2, "Two", ["a"], "", {}, {}, "ai", "")], CLUSTERS
