@@ -10,6 +10,9 @@ which a sequence's capacity bounds; pieces and sequences meet their places in jo
 
 from __future__ import annotations
 
+import re
+import sys
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -23,46 +26,73 @@ from itemnorm.session import cut_lineage
 
 CAPACITY = 2048
 GROUPS = 256
-#: Words whose ids a Python worker remembers.
-CACHE = 400_000
+#: Words, and runs of letters, whose ids a Python worker remembers.
+CACHE = 300_000
 
-Tokenise = Callable[[list[str]], list[bytes]]
+Tokenise = Callable[[str], bytes]
 
 
 class WordTokeniser:
     """Ids of whole texts by a tokenizers file, as little-endian unsigned 32-bit bytes.
 
-    The file's pre-tokeniser never joins characters across a space or a line break, so a text's ids are
-    those of its space-separated parts in a row; each part is given to the library once and remembered.
+    For files that lower-case, cut at white space into runs of letters, single digits and runs of other
+    signs, and give each run to byte-level BPE by itself (word_bpe_49k.json). A text's ids are then those of
+    its space-separated words in a row, and a word of plain signs is cut into runs here, whose ids
+    the library's model gives; any other word goes through the library whole. Words and runs are
+    remembered, up to CACHE of each.
     """
 
+    PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+    # The file's pattern of runs, for plain signs in lower case.
+    RUNS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
     def __init__(self, path: str):
         self.path = path
-        self._library = None
-        self._ids: dict[str, bytes] = {}
+        self._words: dict[str, bytes] | None = None
 
     def __getstate__(self):
-        return {"path": self.path, "_library": None, "_ids": {}}
+        return {"path": self.path, "_words": None}
+
+    def __call__(self, text: str) -> bytes:
+        if self._words is None:
+            # A Python worker runs many tasks, and each gets its own copy of this module: what takes long to
+            # load and to learn is kept with the interpreter.
+            held = sys.__dict__.setdefault("_itemnorm_word_ids", {})
+            if self.path not in held:
+                held[self.path] = _WordIds(self.path, self.PLAIN, self.RUNS)
+            self._words = held[self.path]
+        return b"".join(map(self._words.__getitem__, text.replace("\n", " ").split(" ")))
+
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+class _WordIds(dict):
+    def __init__(self, path: str, plain: re.Pattern, runs: re.Pattern):
         from tokenizers import Tokenizer
 
-        if self._library is None:
-            self._library = Tokenizer.from_file(self.path)
-        out = []
-        for text in texts:
-            words = text.replace("\n", " ").split(" ")
-            new = list(set(words).difference(self._ids))
-            if new:
-                if len(self._ids) + len(new) > CACHE:
-                    self._ids.clear()
-                    new = list(set(words))
-                for first in range(0, len(new), 10_000):
-                    part = new[first : first + 10_000]
-                    for word, e in zip(part, self._library.encode_batch_fast(part, add_special_tokens=False)):
-                        self._ids[word] = np.array(e.ids, "<u4").tobytes()
-            out.append(b"".join(map(self._ids.__getitem__, words)))
-        return out
+        super().__init__()
+        self.library = Tokenizer.from_file(path)
+        self.model, self.plain, self.runs = self.library.model, plain, runs
+        self.known: dict[str, bytes] = {}
+        # Byte-level alphabet: visible signs stand for themselves, the other bytes follow from 256 on.
+        visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        hidden = [b for b in range(256) if b not in visible]
+        self.signs = {b: 256 + n for n, b in enumerate(hidden)}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHE:
+            self.clear()
+        if "<|" not in word and self.plain.fullmatch(word):
+            ids = b"".join([self.known.get(r) or self.run(r) for r in self.runs.findall(word.lower())])
+        else:
+            ids = array("I", self.library.encode(word, add_special_tokens=False).ids).tobytes()
+        self[word] = ids
+        return ids
+
+    def run(self, run: str) -> bytes:
+        if len(self.known) >= CACHE:
+            self.known.clear()
+        signs = run if run.isascii() else run.encode().decode("latin-1").translate(self.signs)
+        self.known[run] = ids = array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
+        return ids
 
 
 def token_pieces(points: DataFrame, tokenise: Tokenise, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -80,7 +110,7 @@ def token_pieces(points: DataFrame, tokenise: Tokenise, capacity: int = CAPACITY
                 part = batch.slice(first, 256)
                 took, piece, ids = [], [], []
                 for k, text in enumerate(part.column(1).to_pylist()):
-                    whole = tokenise([text or ""])[0] + end
+                    whole = tokenise(text or "") + end
                     for n, at in enumerate(range(0, len(whole), 4 * capacity)):
                         took.append(k)
                         piece.append(n)
