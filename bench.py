@@ -21,7 +21,7 @@ HEADLINE = [
     "m1_clean_catalogue", "prj2_clean_rows", "prj3_clean_stats", "src3_row_index", "win2_batches", "scl1_lookup_key",
     "scl3_standardize", "scl5_render_template", "scl16_extract_json", "emb1_embed_texts", "emb3_best_neighbour", "agg1_average_linkage", "agg2_leader_groups",
     "agg3_group_value_merge", "agg4_collapse_rows", "jn1_alias_match", "jn2_nearest_match", "jn5_overlay_rows", "exp1_export_rows",
-    "enr2_extract_values", "pip2_normalize_rows",
+    "enr2_extract_values", "pip2_normalize_rows", "pip1_clusterize", "srt2_batch_search", "pip7_merge_rows", "pip8_split_aliases", "snk1_memory_upsert",
 ]
 
 

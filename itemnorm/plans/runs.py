@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from itemnorm.model import ALIASES, CLUSTERS, ITEMS, MEMBERS, ROWS, Catalogue
 from itemnorm.operators.ordering import running_sum
 from itemnorm.plans.normalize import normalize, normalize_input
-from itemnorm.session import cut_lineage
+from itemnorm.session import cut_lineage, scratch_run
 from itemnorm.sources.memory_store import _fs
 
 SCHEMAS = {"clusters": CLUSTERS, "rows": ROWS, "aliases": ALIASES, "members": MEMBERS, "items": ITEMS}
@@ -74,16 +74,18 @@ def normalize_run(catalogue: Catalogue, store: RunStore, *, slice_items: int = 1
     """Normalises pending clusters slice by slice and saves each slice; the clusters still pending after it.
 
     A slice holds whole clusters in id order, about slice_items items of them (one larger cluster is a
-    slice by itself). A run that dies keeps what it saved, and another one goes on from there. Clusters
-    with a batch that had no usable answer are not saved and stay pending. how: arguments of normalize.
+    slice by itself). A slice's intermediate tables go once it is saved. A run that dies keeps what it
+    saved, and another one goes on from there. Clusters with a batch that had no usable answer are not
+    saved and stay pending. how: arguments of normalize.
     """
     waiting = store.pending(catalogue.clusters).select("cluster_id")
     sizes = normalize_input(only_clusters(catalogue, waiting)).groupBy("cluster_id").agg(F.count("*").alias("n")).withColumn("all", F.lit(0))
     upto = running_sum(sizes, ["all"], "cluster_id", "n", "upto")
     plan = cut_lineage(upto.select("cluster_id", F.floor((F.col("upto") - F.col("n")) / slice_items).alias("part")))
     for row in plan.select("part").distinct().orderBy("part").toLocalIterator():
-        out = normalize(only_clusters(catalogue, plan.where(F.col("part") == row["part"])), **how)
-        store.save(out.collapsed, out.items)
+        with scratch_run(store.spark):
+            out = normalize(only_clusters(catalogue, plan.where(F.col("part") == row["part"])), **how)
+            store.save(out.collapsed, out.items)
     return store.pending(catalogue.clusters)
 
 

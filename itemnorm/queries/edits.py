@@ -53,7 +53,8 @@ def prj15_many(spark, d):
     """Several adds, deletes and renames of one cluster in each batch; rows are neither lost nor multiplied."""
     c = catalogue(spark, d)
     each = c.clusters.select("cluster_id")
-    lines = lambda rows, *names: each.crossJoin(spark.createDataFrame(rows, "edit_pos int, " + ", ".join(f"{n} string" for n in names)))
+    one = lambda row, names: F.struct(*[F.lit(v).alias(n) for v, n in zip(row, ("edit_pos", *names))])
+    lines = lambda rows, *names: each.select("cluster_id", F.inline(F.array(*[one(r, names) for r in rows])))
     c = ed.add_attribute(c, lines([(0, "a"), (1, "b"), (2, "c"), (3, "a"), (4, "size"), (5, ed.RESERVED[0])], "attr"))
     c = ed.delete_attribute(c, lines([(0, "b"), (1, "type"), (2, "b"), (3, ed.RESERVED[1])], "attr"))
     c = ed.rename_attribute(c, lines([(0, "size", "x"), (1, "price", " cost "), (2, "x", "kind"), (3, "a", "c"), (4, "kind", ed.RESERVED[0])], "old", "new"))

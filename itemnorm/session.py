@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,9 +58,26 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_RUN: ContextVar[str] = ContextVar("run", default="")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path for a written intermediate table."""
-    return os.path.join(shared_dir(spark), "itemnorm", f"{label}-{uuid.uuid4().hex}")
+    """A fresh path for a written intermediate table, inside the folder of the run if there is one."""
+    return os.path.join(shared_dir(spark), "itemnorm", _RUN.get(), f"{label}-{uuid.uuid4().hex}")
+
+
+@contextmanager
+def scratch_run(spark: SparkSession):
+    """Intermediate tables written inside go when the block ends; what it makes has to be written elsewhere by then."""
+    name = f"run-{uuid.uuid4().hex}"
+    folder = os.path.join(shared_dir(spark), "itemnorm", name)
+    token = _RUN.set(name)
+    try:
+        yield
+    finally:
+        _RUN.reset(token)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
