@@ -13,27 +13,28 @@ from itemnorm.session import cut_lineage
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _judged(docs: DataFrame, scored: DataFrame, rejected: int) -> DataFrame:
-    """The documents without those that got the rejected verdict; a null id is matched like any other.
-
-    Equal ids with different texts are judged together: one rejected text rejects the id.
-    """
-    out = scored.where(F.col("predicted") == rejected).select(F.col("item_id").alias("_id")).distinct()
-    return docs.join(out, docs["doc_id"].eqNullSafe(out["_id"]), "left_anti").select(*COLUMNS)
+def _points(docs: DataFrame) -> DataFrame:
+    """The documents with their id as item_id too, so that a scorer can hand the whole row on."""
+    return docs.select(F.col("doc_id").alias("item_id"), *COLUMNS)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, fitted on the labels of these documents, predicts as good."""
-    points = queries.document_points(docs)
+    """Documents that the quality classifier, fitted on the labels of these documents, predicts as good.
+
+    Each row is judged by its own text, without a shuffle.
+    """
+    points = _points(docs)
     labels = queries.document_labels(prepare(spark), sf_dir, "quality", lambda d: queries.remainder(d, 3) != 1)
-    return _judged(docs, quality.score_quality(points, quality.fit_quality(points, labels)), 0)
+    scored = quality.score_quality(points, quality.fit_quality(points, labels), keep=COLUMNS)
+    return scored.where("predicted = 1").select(*COLUMNS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity field, fitted on the labels of these documents, does not predict as toxic."""
-    points = queries.document_points(docs)
+    points = _points(docs)
     labels = queries.document_labels(prepare(spark), sf_dir, "toxic", lambda d: queries.remainder(d, 5) != 0)
-    return _judged(docs, toxicity.score_toxicity(points, toxicity.fit_toxicity(points, labels)), 1)
+    scored = toxicity.score_toxicity(points, toxicity.fit_toxicity(points, labels), keep=COLUMNS)
+    return scored.where("predicted = 0").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

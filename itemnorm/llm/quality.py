@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from itertools import combinations
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from itemnorm.llm.common import id_type, map_batches, text_bytes
 from itemnorm.llm.labelled import labelled_sample
@@ -194,17 +195,20 @@ def fit_quality(points: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -
     return fit_additive(x, frame["label"].to_numpy(dtype=float))
 
 
-def score_quality(points: DataFrame, model: QualityModel) -> DataFrame:
-    """item_id, score, predicted of every point: the chance that its label is 1, and score >= 0.5.
+def score_quality(points: DataFrame, model: QualityModel, keep: Sequence[str] = ()) -> DataFrame:
+    """item_id, score, predicted of every point: the chance that its label is 1, and score >= 0.5; and its columns named in keep.
 
     points(item_id, text, ...): the score depends on the whole text only. A null or empty text has the
     score of all-zero features; null ids, repeated rows and extra columns change nothing.
     """
-    schema = f"item_id {id_type(points)}, score double, predicted int"
+    kept = "".join(f"`{c}` {id_type(points, c)}, " for c in keep)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = np.array([text_features(t) for t in batch.column(1).to_pylist()], dtype=float).reshape(-1, len(FEATURES))
         score = model.score(x)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["item_id", "score", "predicted"])
+        return pa.RecordBatch.from_arrays(
+            [*batch.columns[2:], batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*keep, "item_id", "score", "predicted"]
+        )
 
-    return map_batches(points.select("item_id", "text"), run, schema)
+    cols = points.select("item_id", "text", *[F.col(c).alias(f"_keep{k}") for k, c in enumerate(keep)])
+    return map_batches(cols, run, f"{kept}item_id {id_type(points)}, score double, predicted int")

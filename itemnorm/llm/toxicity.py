@@ -9,12 +9,14 @@ over the marginals, fitted on training texts that gave no markers, gives the sco
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from itemnorm.llm.common import id_type, map_batches
 from itemnorm.llm.labelled import labelled_sample
@@ -117,12 +119,18 @@ def _markers(texts: list[list[str]], labels: np.ndarray) -> list[str]:
     """Features of several toxic texts whose share of toxic texts, both kinds weighed alike, is high."""
     found = (Counter(), Counter())
     for words, label in zip(texts, labels):
-        found[int(label)].update({f for w in set(words) for f in token_features(w)})
+        if label:
+            found[1].update({f for w in set(words) for f in token_features(w)})
+    often = {f for f, n in found[1].items() if n >= MIN_TEXTS}
+    for words, label in zip(texts, labels):
+        if not label:
+            found[0].update({f for w in set(words) for f in token_features(w) if f in often})
     toxic, clean = max(1, int(labels.sum())), max(1, int(len(labels) - labels.sum()))
     kept = []
-    for f, n in found[1].items():
+    for f in often:
+        n = found[1][f]
         rate, other = n / toxic, (found[0][f] + 0.5) / clean
-        if n >= MIN_TEXTS and rate / (rate + other) >= PRECISION and n / (n + found[0][f]) >= 0.5:
+        if rate / (rate + other) >= PRECISION and n / (n + found[0][f]) >= 0.5:
             kept.append((-n, f))
     return [f for _, f in sorted(kept)[:MAX_FEATURES]]
 
@@ -237,19 +245,19 @@ def fit_toxicity(points: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
     one kind only, the model gives every text one low, or that kind's, score.
     """
     frame = labelled_sample(points, labels, rows).toPandas().sort_values("item_id")
-    texts = [TOKEN.findall(t) for t in frame["text"]]
+    texts = [list(map(sys.intern, TOKEN.findall(t))) for t in frame["text"]]
     return fit_field(texts, frame["label"].to_numpy(dtype=float), np.arange(len(frame)) % 4 == 3)
 
 
-def score_toxicity(points: DataFrame, model: ToxicityModel) -> DataFrame:
-    """item_id, score, predicted, spans of every point.
+def score_toxicity(points: DataFrame, model: ToxicityModel, keep: Sequence[str] = ()) -> DataFrame:
+    """item_id, score, predicted, spans of every point, and its columns named in keep.
 
     score: chance that the label is 1; predicted: score >= 0.5; spans: array<struct<start, length>> in
     characters of the text, neighbouring toxic tokens joined. points(item_id, text, ...): a null text
     counts as empty, an empty one has no spans and the score of no toxic token. Null ids, repeated rows
     and extra columns change nothing.
     """
-    schema = f"item_id {id_type(points)}, score double, predicted int, spans array<struct<start:int,length:int>>"
+    kept = "".join(f"`{c}` {id_type(points, c)}, " for c in keep)
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
     emissions = _Emissions(model.weights)
 
@@ -263,8 +271,9 @@ def score_toxicity(points: DataFrame, model: ToxicityModel) -> DataFrame:
             spans += [_spans(t, p) for t, p in zip(part, tagged)]
         score = np.concatenate(scores) if scores else np.empty(0)
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(spans, spans_type)],
-            names=["item_id", "score", "predicted", "spans"],
+            [*batch.columns[2:], batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(spans, spans_type)],
+            names=[*keep, "item_id", "score", "predicted", "spans"],
         )
 
-    return map_batches(points.select("item_id", "text"), run, schema)
+    cols = points.select("item_id", "text", *[F.col(c).alias(f"_keep{k}") for k, c in enumerate(keep)])
+    return map_batches(cols, run, f"{kept}item_id {id_type(points)}, score double, predicted int, spans array<struct<start:int,length:int>>")
