@@ -165,7 +165,7 @@ def ask(
 
     usable: lines (request_id, items, json) to the same lines with a boolean `valid`. What is not valid is
     asked again, the cache left aside; the last answer stays, marked as not valid. Each attempt is
-    written out, so a lost executor repeats no question that was answered.
+    written out, so a lost executor repeats no question that was answered; what follows reads those tables.
     """
     requests = cut_lineage(requests)
     question = ["request_id", "cache_key", "items", "attributes", "prompt"]
@@ -198,7 +198,7 @@ def ask(
     answered, accepted = reduce(DataFrame.unionByName, done), reduce(DataFrame.unionByName, fresh)
     responses = requests.join(answered.drop("cache_key"), "request_id", "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
     entries = accepted.select("cache_key", "response", F.current_timestamp().alias("cached_at"))
-    return Answers(cut_lineage(responses), entries, complete)
+    return Answers(responses, entries, complete)
 
 
 def append_cache(entries: DataFrame, path: str) -> None:
@@ -299,7 +299,7 @@ def extract_values(
     values = last_per_key(lines, ["cluster_id", "item"], ["batch", "resp_pos"]).select(
         "cluster_id", "item", F.map_from_entries("entries").alias("values")
     )
-    return cut_lineage(values), answers.responses.where("not valid"), answers
+    return values, answers.responses.where("not valid"), answers
 
 
 def missing_attributes(items: DataFrame) -> DataFrame:
