@@ -53,6 +53,17 @@ def id_type(df: DataFrame, name: str = "item_id") -> str:
     return df.schema[name].dataType.simpleString()
 
 
+def hash_place(*columns: Column | str) -> Column:
+    """A hash from 0 to 2**63 - 1, by which a bounded sample is chosen."""
+    return F.shiftrightunsigned(F.xxhash64(*columns), 1)
+
+
+def hash_bound(total: int, wanted: float) -> int:
+    """Largest hash_place of about `wanted` of `total` rows."""
+    top = 2**63 - 1
+    return top if total <= wanted else int(top * (wanted / total))
+
+
 def dense_number(df: DataFrame, keys: list[str], order: list[Column], out: str, salts: int = 64) -> DataFrame:
     """0-based number inside each key without a task that holds a whole key.
 

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from itemnorm.llm.common import id_type
+from itemnorm.llm.common import hash_bound, hash_place, id_type
 from itemnorm.llm.vectors import usable, vector_classes
 from itemnorm.session import cut_lineage
 
@@ -112,11 +112,15 @@ def nearest_points(
     classes = cut_lineage(vector_classes(offered, take))
     asked = cut_lineage(given.groupBy("vec").agg(F.min("item_idx").alias("asked_id")))
 
-    # The radius of each dimension from a sample of at most SAMPLE distinct points, chosen by hash.
-    nth = F.row_number().over(Window.partitionBy(F.size("vec")).orderBy(F.xxhash64("class_id"), "class_id"))
+    # The radius of each dimension from a sample of at most SAMPLE distinct points, those of the smallest hashes.
+    sizes = {r["dims"]: r["n"] for r in classes.groupBy(F.size("vec").alias("dims")).agg(F.count("*").alias("n")).collect()}
+    bounds = spark.createDataFrame([(d, hash_bound(n, 1.5 * SAMPLE + 100)) for d, n in sizes.items()], "dims int, bound bigint")
+    near = classes.select("vec", F.size("vec").alias("dims"), hash_place("class_id").alias("order"), "class_id").join(F.broadcast(bounds), "dims")
     sample: dict[int, list] = {}
-    for row in classes.withColumn("n", nth).where(F.col("n") <= SAMPLE).select("vec").toLocalIterator():
-        sample.setdefault(len(row["vec"]), []).append(row["vec"])
+    for row in near.where(F.col("order") <= F.col("bound")).orderBy("order", "class_id").toLocalIterator():
+        held = sample.setdefault(row["dims"], [])
+        if len(held) < SAMPLE:
+            held.append(row["vec"])
     hashing = {d: StableHash(d, sample_radius(np.array(rows, float), k), tables, hashes, seed) for d, rows in sample.items()}
     chance = 1 - (1 - success) ** (1 / tables)
 
