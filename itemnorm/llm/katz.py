@@ -14,6 +14,7 @@ Arrays travel as compressed binary columns.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -50,6 +51,19 @@ def unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(kind.itemsize, -1).T).view(kind).ravel()
 
 
+def _slope(n: list[int]) -> float:
+    """Slope of the line through log n[r] over log r; 0 with fewer than two counts of counts.
+
+    A count of counts is spread over the gap to its neighbours that are not 0.
+    """
+    seen = [r for r in range(1, len(n)) if n[r]]
+    if len(seen) < 2:
+        return 0.0
+    before = [0, *seen[:-1]]
+    after = [*seen[1:], 2 * seen[-1] - seen[-2]]
+    return float(np.polyfit(np.log(seen), [math.log(2 * n[r] / (b - a)) for r, a, b in zip(seen, before, after)], 1)[0])
+
+
 @dataclass(frozen=True)
 class Discounts:
     """Good-Turing factors of the counts 1..DISCOUNTED; larger counts keep theirs."""
@@ -60,16 +74,24 @@ class Discounts:
     def fit(n: list[int]) -> "Discounts":
         """n[r]: how many things were seen r times, up to DISCOUNTED + 1; n[0] is not used.
 
-        Where the counts of counts give no factor in (0, 1] (small or repetitive data), an absolute discount
-        estimated from n[1] and n[2] stands in for all.
+        The chance of a thing seen r times is x[r] times r / T: Turing's (r + 1) n[r + 1] / (r n[r]) up to the first r
+        where it leaves (0, 1) or is within its error of a line fitted to log n[r] over log r (Simple
+        Good-Turing), that line's ratio from there on, and never less than for a smaller r. As in Katz, the
+        factors 1 - m (1 - x[r]) leave n[1] to the unseen. Only where the counts of counts have no falling line
+        or nothing but single ones, an absolute discount estimated from n[1] and n[2] stands in for all.
         """
         k = DISCOUNTED
-        if all(n[1 : k + 2]):
-            common = (k + 1) * n[k + 1] / n[1]
-            if common < 1:
-                d = [((r + 1) * n[r + 1] / n[r] / r - common) / (1 - common) for r in range(1, k + 1)]
-                if all(0 < x <= 1 for x in d):
-                    return Discounts(tuple(d))
+        slope = _slope(n[: k + 2])
+        if n[1] and any(n[2 : k + 1]) and slope < -1:
+            x, turing = [], True
+            for r in range(1, k + 1):
+                line, raw = ((r + 1) / r) ** (slope + 1), (r + 1) * n[r + 1] / n[r] / r if n[r] else 0.0
+                if turing:
+                    error = (r + 1) / r / n[r] * math.sqrt(n[r + 1] * (1 + n[r + 1] / n[r])) if n[r] else 0.0
+                    turing = 0 < raw < 1 and abs(raw - line) > 1.65 * error
+                x.append(max(raw if turing else line, *x[-1:], 0.0))
+            m = n[1] / sum(n[r] * r * (1 - x[r - 1]) for r in range(1, k + 1))
+            return Discounts(tuple(1 - m * (1 - v) for v in x))
         share = min(0.9, max(0.1, n[1] / (n[1] + 2 * n[2]))) if n[1] + n[2] else 0.5
         return Discounts(tuple((r - share) / r for r in range(1, k + 1)))
 

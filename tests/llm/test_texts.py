@@ -180,6 +180,27 @@ def test_katz_probabilities_add_up_to_one():
         assert sum(p2(a, w) for w in [*one, unknown]) == pytest.approx(1)
 
 
+def test_good_turing_holds_for_tables_with_copies():
+    # Counts of counts of words and pairs of documents with repeated passages: n[5] is too large for n[4].
+    for n in ([0, 200420, 57120, 23804, 13644, 12859, 6775], [0, 1482341, 227973, 46941, 19718, 17404, 6993]):
+        d = katz.Discounts.fit(n).factors
+        assert all(0 < a <= b <= 1 for a, b in zip(d, d[1:]))
+        assert sum(n[r] * r * (1 - d[r - 1]) for r in range(1, 6)) == pytest.approx(n[1])  # what Good-Turing leaves to the unseen
+        share = n[1] / (n[1] + 2 * n[2])
+        assert all(abs(d[r - 1] - (r - share) / r) > 0.01 for r in (1, 2, 3))  # no absolute discount
+
+
+def test_good_turing_of_thin_and_odd_counts():
+    assert katz.Discounts.fit([0, 40, 10, 0, 2, 0, 0]).factors[0] > 0
+    for n in ([0, 0, 5, 3, 1, 1, 1], [0, 9, 0, 0, 0, 0, 0], [0, 1, 2, 3, 4, 5, 6], [0] * 7):
+        share = min(0.9, max(0.1, n[1] / (n[1] + 2 * n[2]))) if n[1] + n[2] else 0.5
+        assert katz.Discounts.fit(n).factors == tuple((r - share) / r for r in range(1, 6))
+    rng = np.random.default_rng(0)
+    for _ in range(2000):
+        n = [0, *rng.integers(0, 10 ** rng.integers(1, 7), 6).tolist()]
+        assert all(0 < x <= 1 for x in katz.Discounts.fit(n).factors), n
+
+
 def test_katz_without_training_texts_and_rows(spark):
     held = awkward_points(spark).withColumn("held_out", F.lit(True))
     got = katz.score_texts(held).collect()
