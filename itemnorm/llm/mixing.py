@@ -2,7 +2,8 @@
 
 A source that has to give t of its s words takes every row floor(t / s) times and each row once more
 with the inclusion probability that is left. The flight phase moves these probabilities along vectors
-that change neither the words nor the rows taken, until at most two rows of a block are undecided. The
+that change neither the words nor the rows taken, until at most two rows of a block are undecided; each
+move is drawn up or down so that a row's chance is its inclusion probability, whatever its size. The
 undecided rows of all blocks meet again in new blocks, until one small landing problem per source
 remains, LANDING rows at most, which is decided by trying all its roundings.
 """
@@ -14,6 +15,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from itemnorm.llm.common import WORD_PATTERN, id_type
@@ -48,12 +50,14 @@ def source_targets(sizes: Sequence[int], weights: Sequence[float], share: float,
     return out
 
 
-def fly(p: np.ndarray, size: np.ndarray, spare: int = 0) -> np.ndarray:
+def fly(p: np.ndarray, size: np.ndarray, spare: int = 0, seed: int = 0) -> np.ndarray:
     """Flight phase: three rows at a time move in the null space of (words, rows).
 
     Each step decides at least one of the three; of the rows before the last `spare` ones, which do not
-    fly, at most two stay undecided.
+    fly, at most two stay undecided. A step goes up or down as far as it can, by a draw that leaves every
+    row its inclusion probability in the mean.
     """
+    draws = np.random.default_rng(seed).random(len(p))
     p = np.where(p < _EPS, 0.0, np.where(p > 1 - _EPS, 1.0, p))
     live: list[int] = []
     for nxt in range(len(p) - spare):
@@ -68,7 +72,8 @@ def fly(p: np.ndarray, size: np.ndarray, spare: int = 0) -> np.ndarray:
             at = p[live]
             with np.errstate(divide="ignore", invalid="ignore"):
                 up = np.where(v > 0, (1 - at) / v, np.where(v < 0, -at / v, np.inf)).min()
-            at = np.clip(at + up * v, 0, 1)
+                down = np.where(v > 0, at / v, np.where(v < 0, (at - 1) / v, np.inf)).min()
+            at = np.clip(at + (up if draws[nxt] * (up + down) < down else -down) * v, 0, 1)
             at[at < _EPS], at[at > 1 - _EPS] = 0.0, 1.0
             p[live] = at
             live = [x for x in live if 0 < p[x] < 1]
@@ -126,7 +131,9 @@ def mix_sources(
         table = table.take(np.argsort(size <= 2 * size.mean(), kind="stable"))
         again = table.take(np.repeat(np.arange(table.num_rows), table["n"].to_numpy()))
         last = table["blocks"][0].as_py() == 1
-        p = fly(again["p"].to_numpy(), again["size"].to_numpy(), min(LANDING - 2, again.num_rows) if last else 0)
+        # The draws follow from the rows of the block, so reruns agree.
+        seed = xxhash.xxh64_intdigest(again["order"].to_numpy().tobytes(), table["k"][0].as_py())
+        p = fly(again["p"].to_numpy(), again["size"].to_numpy(), min(LANDING - 2, again.num_rows) if last else 0, seed)
         ones = pa.array(np.ones(len(p), np.int64))
         return pa.table([again["item_id"], again["size"], again["k"], pa.array(p), ones, again["blocks"]], names=["item_id", "size", "k", "p", "n", "blocks"])
 

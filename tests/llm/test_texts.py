@@ -226,6 +226,16 @@ def test_flight_keeps_words_and_rows():
     assert after.sum() == pytest.approx(p.sum()) and after @ size == pytest.approx(p @ size)
 
 
+def test_inclusion_does_not_depend_on_size(spark):
+    rng = np.random.default_rng(0)
+    sizes = np.maximum(1, rng.lognormal(3, 1, (60, 600))).astype(int)
+    rows = [(600 * s + k, "w " * int(n), f"src{s:02}") for s, own in enumerate(sizes) for k, n in enumerate(own)]
+    points = spark.createDataFrame(rows, "item_id bigint, text string, source string")
+    got = mixing.mix_sources(points, (1,), 0.2, 2.0).select("size", "copies", (F.col("target") / F.col("source_size")).alias("p")).toPandas()
+    rank = got["size"].rank(method="first") * 10 // (len(got) + 1)
+    assert (got["copies"] - got["p"]).groupby(rank).mean().abs().max() < 0.02
+
+
 @pytest.mark.parametrize("block", [4096, 8])
 def test_mix_meets_the_targets(spark, block):
     rows = awkward_texts()
