@@ -4,8 +4,10 @@ A table hashes a vector to the cell floor((a_j . x + b_j) / width) of its `hashe
 Two points at distance r differ by a normal variable of spread r in every projection, so for an item the
 chance that a neighbour at that distance lies in a perturbed cell is a product of normal interval
 masses. Cells are visited in that order of estimated success until their chances add up to what a table
-has to find. The radius r is the distance of the k-th neighbour in a bounded sample, which is no less
-than that in the whole table, so the estimate errs on the side of more cells.
+has to find. The radius r of the first visit is the median distance of the k-th neighbour in a bounded sample.
+It is too small for items in thin regions, so each item whose k-th found point is farther than that visits
+again with this distance as its own radius; it is no less than that of its k-th neighbour, so the estimate
+errs on the side of more cells. An item whose considered cells cannot reach the chance is compared with all.
 """
 
 from __future__ import annotations
@@ -60,14 +62,21 @@ class StableHash:
     def cells(self, x: np.ndarray, table: int) -> np.ndarray:
         return np.floor(self.positions(x, table)).astype(np.int64)
 
-    def probes(self, x: np.ndarray, table: int, chance: float) -> Iterator[np.ndarray]:
-        """Cells of each row of x, likeliest first, until their chances reach `chance`."""
+    def probes(self, x: np.ndarray, table: int, chance: float, radii: np.ndarray | None = None) -> Iterator[np.ndarray | None]:
+        """Cells of each row of x, likeliest first, until their chances reach `chance`; None if all do not.
+
+        radii: of each row, in place of the table's.
+        """
         at = self.positions(x, table)
         home = np.floor(at).astype(np.int64)
         edges = np.array([*SHIFTS, SHIFTS[-1] + 1])[None, None, :] - (at - home)[:, :, None]
-        mass = np.diff(0.5 * (1 + _erf(edges * (self.width / self.radius) / math.sqrt(2))), axis=2)
+        spread = self.width / (np.full(len(x), self.radius) if radii is None else radii)
+        mass = np.diff(0.5 * (1 + _erf(edges * spread[:, None, None] / math.sqrt(2))), axis=2)
         shifts = np.stack(np.meshgrid(*[SHIFTS] * at.shape[1], indexing="ij"), -1).reshape(-1, at.shape[1])
         for own, p in zip(home, mass):
+            if p.sum(1).prod() < chance:
+                yield None
+                continue
             joint = p[0]
             for one in p[1:]:
                 joint = (joint[:, None] * one[None, :]).ravel()
@@ -100,8 +109,9 @@ def nearest_points(
     the original vectors in double precision. Every usable point is indexed. An item meets points of as
     many components as it has. With skip_self a point with the item's own id is left out, and both ids
     have one type. Rows whose vector or id is null, or whose vector is empty, zero or holds null or
-    non-finite components, take no part. An item whose visited cells hold fewer than k points is compared
-    with all. Repeated rows count once; equal vectors are indexed once.
+    non-finite components, take no part. An item visits again by its own distance of the k-th found point where
+    that is above the radius of the sample; one whose visited cells hold fewer than k points, or whose
+    distance is too large for the cells, is compared with all. Repeated rows count once; equal vectors are indexed once.
     """
     spark = points.sparkSession
     take = k + 1 if skip_self else k
@@ -141,14 +151,20 @@ def nearest_points(
                     )
 
     def probe_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The cells to visit; one line without a cell for an item that no cells are enough for."""
         for batch in batches:
             for rows, x, own in by_dims(batch):
                 ids = batch.column("asked_id").take(pa.array(rows)).to_pylist()
-                for t in range(tables):
-                    for i, cells in zip(ids, own.probes(x, t, chance)):
-                        n = len(cells)
+                reach = batch.column("reach").take(pa.array(rows)).to_numpy(zero_copy_only=False)  # of null: NaN
+                wide = np.flatnonzero(~(reach <= own.radius))
+                ids, x, reach = [ids[n] for n in wide], x[wide], np.where(np.isnan(reach), own.radius, reach)[wide]
+                for i, *found in zip(ids, *(own.probes(x, t, chance, reach) for t in range(tables))):
+                    if any(cells is None for cells in found):
+                        found = [None]
+                    for t, cells in enumerate(found):
+                        n, cells = (1, [None]) if cells is None else (len(cells), cells.tolist())
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([i] * n, batch.column("asked_id").type), pa.array(np.full(n, x.shape[1], np.int32)), pa.array(np.full(n, t, np.int32)), pa.array(cells.tolist(), pa.list_(pa.int64()))], names=["asked_id", "dims", "table", "cell"]
+                            [pa.array([i] * n, batch.column("asked_id").type), pa.array(np.full(n, x.shape[1], np.int32)), pa.array(np.full(n, t, np.int32)), pa.array(cells, pa.list_(pa.int64()))], names=["asked_id", "dims", "table", "cell"]
                         )
 
     hashed = cut_lineage(classes.select("class_id", "vec").mapInArrow(hash_points, f"class_id {id_kind}, dims int, table int, cell array<bigint>"))
@@ -161,13 +177,18 @@ def nearest_points(
     part = F.pmod(F.xxhash64("cell_id", "split"), F.col("parts")).alias("part")
     indexed = hashed.join(cells, ["dims", "table", "cell"]).withColumn("split", F.pmod(F.xxhash64("class_id"), F.col("splits")))
     indexed = indexed.select("class_id", "table", "dims", part, "cell_id").join(classes.select("class_id", "vec"), "class_id")
-    probes = asked.select("asked_id", "vec").mapInArrow(probe_items, f"asked_id {idx_kind}, dims int, table int, cell array<bigint>")
-    visits = (
-        probes.join(cells, ["dims", "table", "cell"])
-        .withColumn("split", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("splits") - 1)))
-        .select("asked_id", "dims", "table", part, "cell_id")
-        .groupBy("asked_id", "dims", "table", "part").agg(F.collect_set("cell_id").alias("visited"))
-    )
+
+    def probes(wanted: DataFrame) -> DataFrame:
+        return wanted.select("asked_id", "vec", "reach").mapInArrow(probe_items, f"asked_id {idx_kind}, dims int, table int, cell array<bigint>")
+
+    def visits(probed: DataFrame) -> DataFrame:
+        return (
+            probed.join(cells, ["dims", "table", "cell"])
+            .withColumn("split", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("splits") - 1)))
+            .select("asked_id", "dims", "table", part, "cell_id")
+            .groupBy("asked_id", "dims", "table", "part").agg(F.collect_set("cell_id").alias("visited"))
+        )
+
     counts = asked.groupBy(F.size("vec").alias("dims")).agg(F.ceil(F.count("*") / item_block).cast("bigint").alias("item_blocks"))
     own_block = F.pmod(F.xxhash64("asked_id"), F.col("item_blocks")).alias("item_block")
     key = ["dims", "table", "part", "item_block"]
@@ -208,9 +229,15 @@ def nearest_points(
         return wanted.groupBy(*key).cogroup(spread.groupBy(*key)).applyInArrow(rerank, schema)
 
     blocked = asked.withColumn("dims", F.size("vec")).join(F.broadcast(counts), "dims").select("asked_id", "vec", "dims", own_block)
-    found = cut_lineage(compare(visits.join(blocked.drop("dims"), "asked_id")).distinct())
-    # The rest: items for which the visited cells held too few.
-    enough = found.groupBy("asked_id").agg(F.count("*").alias("n")).where(F.col("n") >= take).select("asked_id")
+    own_items = blocked.drop("dims")
+    found = cut_lineage(compare(visits(probes(asked.withColumn("reach", F.lit(None).cast("double")))).join(own_items, "asked_id")).distinct())
+    # Each item's own radius, and what it has to visit again for that.
+    nth = Window.partitionBy("asked_id").orderBy("score", "class_id")
+    enough = found.withColumn("n", F.row_number().over(nth)).where(F.col("n") == take).select("asked_id", F.col("score").alias("reach"))
+    again = cut_lineage(probes(asked.join(enough, "asked_id")))
+    found = found.union(compare(visits(again.where("cell is not null")).join(own_items, "asked_id")))
+    # The rest: items for which the visited cells held too few, or whose radius is too large for them.
+    enough = enough.select("asked_id").join(again.where("cell is null").select("asked_id"), "asked_id", "left_anti")
     places = spread.where("table = 0").select("dims", "part").distinct().select(F.col("dims").alias("dims"), F.col("part").alias("part"))
     rest = blocked.join(enough, "asked_id", "left_anti").join(places, "dims").select(
         "asked_id", "vec", "dims", F.lit(0).alias("table"), "part", "item_block", F.lit(None).cast("array<bigint>").alias("visited")

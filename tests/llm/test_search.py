@@ -88,6 +88,22 @@ def test_nearest_points_recall_and_scores(spark, blocks):
     assert [r[:2] for r in got] == [r[:2] for r in want]
 
 
+def test_recall_outside_of_dense_clusters(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((4, 64))
+    dense = np.repeat(centres, 600, axis=0) + rng.standard_normal((2400, 64)) * 0.3
+    # Thin clusters, wider than the radius of the dense ones, whose items have their neighbours beyond it.
+    thin = np.repeat(rng.standard_normal((20, 64)), 80, axis=0) + rng.standard_normal((1600, 64)) * 0.6
+    x = np.concatenate([dense, thin])
+    x = (x / np.linalg.norm(x, axis=1)[:, None])[rng.permutation(len(x))]
+    items, points = tables(spark, list(enumerate(x.tolist())), 40)
+    got = {(r["item_idx"], r["item_id"]) for r in nearest_points(items, points, 10, skip_self=True).collect()}
+    far = np.linalg.norm(x[::40, None] - x[None], axis=2)
+    want = {(40 * n, int(i)) for n, row in enumerate(far) for i in np.argsort(row)[1:11]}
+    own = [len({i for q, i in got & want if q == 40 * n}) for n in range(len(far))]
+    assert np.mean(own) >= 9.5 and len(got) == len(want)
+
+
 def test_few_visited_cells_fall_back_to_all_points(spark):
     rows = awkward_vectors(n=40)
     items, points = tables(spark, rows, 10)
