@@ -10,6 +10,8 @@ from itemnorm.llm import mixing, packing, quality, queries, simhash, toxicity
 from itemnorm.llm.common import prepare
 from itemnorm.session import cut_lineage
 
+#: Near-duplicates of the pipeline: words of a shingle, least Jaccard similarity, differing bits the index looks for.
+SHINGLE, SIMILARITY, DISTANCE = 5, 0.8, 7
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -40,14 +42,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each class of near-duplicates.
 
-    Of rows that repeat that id one stays; documents without an id stay if nothing with an id is like them.
+    Near-duplicates share SIMILARITY of their shingles of SHINGLE words; the SimHash index finds them up to DISTANCE bits. Of rows that repeat that id one stays; documents without an id stay if nothing with an id is like them.
     """
     prepare(spark)
     numbered = cut_lineage(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()))
     # Rows are told apart by (id, row), so that repeated ids count as copies too.
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("_row"))
-    found = simhash.near_duplicates(numbered.select(key.alias("item_id"), "text"))
-    kept = found.where("item_id = component_id").select(F.col("item_id._row").alias("_row"))
+    points = numbered.select(F.col("_row").alias("row_id"), key.alias("item_id"), "text")
+    kept = simhash.similar_firsts(points, SHINGLE, DISTANCE, SIMILARITY).withColumnRenamed("row_id", "_row")
     return numbered.join(kept, "_row", "left_semi").select(*COLUMNS)
 
 

@@ -6,10 +6,14 @@ all fingerprints, and pairs within it would grow with the square of the table; s
 the 8 positions lie in two halves of four, a pair that shares five positions shares three within one half,
 and the index key is (three positions, their bytes), eight keys a fingerprint. Pairs that meet there are
 counted: those with fewer shared positional bytes than guaranteed are dropped, the rest are verified.
+For other distances the key is two of distance + 2 runs of bits. Where texts have to be similar, not only
+their fingerprints, links found this way are candidates that are checked on all shingles.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -29,17 +33,21 @@ BLOCK = 1024
 _POWERS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Unsigned SimHash over XXH64 of all word shingles of the whole text; 0 without words."""
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of all word shingles of the whole text; of all its words where it has fewer, none without words."""
     words = text_bytes(text).lower().split()
-    if not words:
-        return 0
     if len(words) < shingle:
-        grams = [b" ".join(words)]
+        grams = [b" ".join(words)] if words else []
     else:
         grams = map(b" ".join, zip(*(words[k:] for k in range(shingle))))
-    digest, total, ones = xxhash.xxh64_intdigest, 0, np.zeros(64, np.int64)
-    hashes = np.array([digest(g, SEED) for g in grams], dtype="<u8")
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(g, SEED) for g in grams], dtype="<u8")
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Unsigned SimHash over XXH64 of all word shingles of the whole text; 0 without words."""
+    hashes = shingles(text, shingle)
+    total, ones = 0, np.zeros(64, np.int64)
     for first in range(0, len(hashes), 1 << 16):
         part = hashes[first : first + (1 << 16)]
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -61,14 +69,15 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >= 1 << 63 else mask
 
 
-def _index_positions(distance: int) -> list[tuple[int, ...]]:
-    """Sets of positions of which any two fingerprints within the distance share one whole."""
+def _index_masks(distance: int) -> list[int]:
+    """Bit masks of which any two fingerprints within the distance agree on one whole."""
     if distance == 3:
-        return [c for half in (range(4), range(4, 8)) for c in combinations(half, 3)]
+        return [sum(0xFF << (8 * p) for p in c) for half in (range(4), range(4, 8)) for c in combinations(half, 3)]
     if not 0 <= distance <= 7:
         raise ValueError("the byte index guarantees a shared byte up to 7 differing bits")
-    # distance + 1 runs of neighbouring positions: the differing bytes miss one of them.
-    return [tuple(int(x) for x in run) for run in np.array_split(np.arange(8), distance + 1)]
+    # distance + 2 runs of neighbouring bits: the differing bits miss two of them.
+    runs = [sum(1 << int(b) for b in run) for run in np.array_split(np.arange(64), distance + 2)]
+    return [a | b for a, b in combinations(runs, 2)]
 
 
 def _links(left: np.ndarray, right: np.ndarray, distance: int) -> list[tuple[int, int]]:
@@ -109,9 +118,8 @@ def near_links(prints: DataFrame, distance: int = DISTANCE, block: int = BLOCK)
     fingerprints, which gives a spanning set of its links, fewer than it has fingerprints, never all pairs.
     """
     keys = []
-    for n, positions in enumerate(_index_positions(distance)):
-        mask = _signed(sum(0xFF << (8 * p) for p in positions))
-        keys.append(F.struct(F.lit(n).alias("positions"), F.col("fingerprint").bitwiseAND(F.lit(mask)).alias("bytes")))
+    for n, mask in enumerate(_index_masks(distance)):
+        keys.append(F.struct(F.lit(n).alias("positions"), F.col("fingerprint").bitwiseAND(F.lit(_signed(mask))).alias("bytes")))
     index = prints.select("fingerprint", F.explode(F.array(*keys)).alias("key")).select("key.positions", "key.bytes", "fingerprint")
     lists = index.groupBy("positions", "bytes").agg(F.count("*").alias("n")).where("n > 1")
     listed = cut_lineage(index.join(lists, ["positions", "bytes"]))
@@ -189,3 +197,78 @@ def near_duplicates(points: DataFrame, shingle: int = SHINGLE, distance: int = D
     firsts = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_print = cut_lineage(placed.join(firsts, "root").select("fingerprint", "component_id"))
     return prints.join(by_print, "fingerprint").select("item_id", "fingerprint", "component_id")
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sets as sorted distinct values."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def _similar_links(nodes: np.ndarray, prints: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, distance: int, similarity: float) -> list[tuple[int, int]]:
+    """A spanning set of links of the pairs, one of left and one of right, that are within the distance and similar."""
+    root = list(range(len(nodes)))
+
+    def find(v: int) -> int:
+        while root[v] != v:
+            root[v] = root[root[v]]
+            v = root[v]
+        return v
+
+    out = []
+    for u in left.tolist():
+        near = right[np.bitwise_count((prints[u] ^ prints[right]).view(np.uint64)) <= distance]
+        for v in near.tolist():
+            p, q = find(u), find(v)
+            a, b = sorted((len(sets[u]), len(sets[v])))
+            if p != q and a >= similarity * b and jaccard(sets[u], sets[v]) >= similarity:
+                root[max(p, q)] = min(p, q)
+                out.append((int(nodes[u]), int(nodes[v])))
+    return out
+
+
+def similar_firsts(points: DataFrame, shingle: int, distance: int, similarity: float, block: int = BLOCK // 2) -> DataFrame:
+    """row_id of the point of the smallest item_id in each class of similar texts.
+
+    points(row_id, item_id, text), row_id a distinct bigint. Texts of the same words are one; others are linked if
+    their fingerprints differ in at most `distance` bits and their sets of word shingles have at least that
+    Jaccard similarity, computed on all shingles. Only texts of which the index finds a near fingerprint
+    send their shingles; every two blocks of a connected class of fingerprints meet in one group.
+    """
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(2).to_pylist()
+        words = [hashlib.sha256(b" ".join(text_bytes(t).lower().split())).digest() for t in texts]
+        prints = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints), pa.array(words, pa.binary())], names=["row_id", "item_id", "fingerprint", "words"])
+
+    read = map_batches(points.select("row_id", "item_id", "text"), run, f"row_id bigint, item_id {id_type(points)}, fingerprint bigint, words binary")
+    first = F.min(F.struct("item_id", "row_id"))
+    texts = cut_lineage(read.groupBy("words", "fingerprint").agg(first.alias("first")).select(F.col("first.row_id").alias("node"), F.col("first.item_id").alias("first_id"), "fingerprint"))
+    roots = connected(near_links(texts.select("fingerprint").distinct(), distance)).withColumnRenamed("node", "fingerprint")
+    placed = texts.join(roots, "fingerprint", "left").select("node", "fingerprint", F.coalesce("root", "fingerprint").alias("root"))
+    sizes = placed.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
+    crowds = cut_lineage(placed.join(sizes, "root").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")))
+
+    def read_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingles(t, shingle)).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sets, pa.binary())], names=["node", "fingerprint", "root", "blocks", "shingles"])
+
+    wanted = crowds.join(points.select(F.col("row_id").alias("node"), "text"), "node").select("node", "fingerprint", "root", "blocks", "text")
+    dealt = (
+        wanted.mapInArrow(read_sets, "node bigint, fingerprint bigint, root bigint, blocks int, shingles binary")
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .select("node", "fingerprint", "root", "own", "shingles", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select("node", "fingerprint", "root", "own", "shingles", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    )
+
+    def tiles(table: pa.Table) -> pa.Table:
+        own, i, j = table["own"].to_numpy(), table["i"][0].as_py(), table["j"][0].as_py()
+        sets = [np.frombuffer(s, "<u8") for s in table["shingles"].to_pylist()]
+        found = _similar_links(table["node"].to_numpy(), table["fingerprint"].to_numpy(), sets, np.flatnonzero(own == i), np.flatnonzero(own == j), distance, similarity)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    classes = connected(dealt.groupBy("root", "i", "j").applyInArrow(tiles, "a bigint, b bigint"))
+    named = texts.join(classes, "node", "left").select(F.coalesce("root", "node").alias("class"), F.struct("first_id", "node").alias("first"))
+    return named.groupBy("class").agg(F.min("first").alias("first")).select(F.col("first.node").alias("row_id"))

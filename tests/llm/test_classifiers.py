@@ -183,6 +183,30 @@ def test_dedup_stage_keeps_one_of_each_class(spark):
     assert Counter((r["doc_id"] is None, r["doc_id"] or 0) for r in kept) == Counter(best.values())
 
 
+def test_dedup_stage_links_near_copies_by_their_similarity(spark):
+    from itemnorm.llm import simhash
+
+    rng = np.random.default_rng(4)
+    texts = []
+    for n in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 200)]
+        copy, other = list(words), list(words)
+        copy[100] = "new"
+        for at in range(10, 200, 20):  # ten changed words: similarity 0.6
+            other[at] = f"x{n}-{at}"
+        texts += [words, copy, other]
+    texts = [" ".join(t) for t in texts]
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for t in texts]
+    prints = [simhash.fingerprint(t, 5) for t in texts]
+    like = [[j for j in range(len(texts)) if len(a & sets[j]) >= 0.8 * len(a | sets[j]) and (prints[i] ^ prints[j]).bit_count() <= 7] for i, a in enumerate(sets)]
+    want = {i for i, own in enumerate(like) if min(own) == i}  # of three variants only two are alike, so no chains
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF_DIR).collect()}
+    assert kept == want
+    assert sum(i % 3 == 1 for i in kept) <= 12  # of 60 copies of similarity 0.95
+    assert all(i in kept for i in range(2, 180, 3))
+
+
 def test_mix_stage_repeats_documents(spark):
     rows = [(k, "a b c d", "en", "s0" if k < 10 else "s1", 7) for k in range(200)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
