@@ -19,9 +19,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from itemnorm.llm.best import BestRows, kth_scores, least_of
+from itemnorm.llm.best import BestRows
 from itemnorm.llm.common import arrow_rows, id_type
 from itemnorm.llm.vectors import usable
 from itemnorm.session import cut_lineage
@@ -30,18 +31,20 @@ ANCHOR_BYTES = 16 << 20
 BLOCK = 4096
 #: One of so many points is searched first, for the k-th scores that bound the search of the others.
 SEED_OF = 16
-FIRST_DEPTH, DEPTH_GROWTH = 16, 4
+FIRST_DEPTH, DEPTH_GROWTH = 16, 2
 NOTHING = np.iinfo(np.int64).min
 ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 
 class CandidateLists:
-    """The candidate lists of one block: per dimension the points in ascending order of their component."""
+    """The candidate lists of one block: per dimension the points by their component, greatest first and least first."""
 
     def __init__(self, vectors: np.ndarray):
         self.vectors = vectors
-        self.order = np.argsort(vectors, axis=0, kind="stable").T
-        self.sorted = np.take_along_axis(vectors.T, self.order, 1)
+        order = np.argsort(vectors, axis=0, kind="stable").T.astype(np.int32)
+        values = np.take_along_axis(vectors.T, order, 1)
+        self.order = np.concatenate([order[:, ::-1], order])
+        self.values = np.concatenate([values[:, ::-1], values])
         self.top = float(np.abs(vectors).max(initial=0))
         self.floats = vectors.astype(float)
 
@@ -59,21 +62,59 @@ class CandidateLists:
         if not len(dims):
             yield np.arange(points), np.zeros(points, np.int64), NOTHING
             return
-        rising = (weights < 0)[:, None]
+        lists = dims + len(anchor) * (weights < 0)
         met = np.zeros(points, bool)
-        depth, step = 0, FIRST_DEPTH
-        while depth < points:
+        depth, step, left = 0, FIRST_DEPTH, points
+        while left:
             upto = min(points, depth + step)
-            here = np.where(rising, self.order[dims, depth:upto], self.order[dims, points - upto : points - depth])
             new = np.zeros(points, bool)
-            new[here.ravel()] = True
-            rows = np.flatnonzero(new & ~met)
+            new[self.order[lists, depth:upto].ravel()] = True
+            new &= ~met
+            rows = np.flatnonzero(new)
             met |= new
-            last = np.where(rising[:, 0], self.sorted[dims, upto - 1], self.sorted[dims, points - upto])
-            yield rows, self.scores(rows, anchor), NOTHING if upto == points else int(weights @ last)
+            left -= len(rows)
+            yield rows, self.scores(rows, anchor), int(weights @ self.values[lists, upto - 1]) if left else NOTHING
             depth, step = upto, step * DEPTH_GROWTH
 
 
+class _Found:
+    """What a task has found: the k best scores of every group, which bound what is still wanted, and the rows."""
+
+    def __init__(self, least: np.ndarray, k: int, id_kind: pa.DataType):
+        self.k, self.least = k, least
+        self.best = np.full((len(least), k), NOTHING)
+        self.kept = BestRows(k, id_kind)
+        self.pending: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def wanted(self, groups: np.ndarray) -> np.ndarray:
+        """A score per group that its k-th best row reaches, as far as known."""
+        return np.maximum(self.least[groups], self.best[groups].min(axis=1))
+
+    def offer(self, groups: np.ndarray, scores: np.ndarray, inside: np.ndarray) -> None:
+        """scores of different rows, inside: which count for which group."""
+        held = np.concatenate([self.best[groups], np.where(inside, scores, NOTHING)], axis=1)
+        self.best[groups] = np.partition(held, held.shape[1] - self.k, axis=1)[:, -self.k :]
+
+    def take(self, groups: np.ndarray, rows: np.ndarray, scores: np.ndarray, inside: np.ndarray) -> None:
+        group, place = np.nonzero(inside & (scores >= self.wanted(groups)[:, None]))
+        if len(group):
+            self.pending.append((groups[group], rows[place], scores[place]))
+
+    def end_of(self, part: pa.RecordBatch, own_ids: pa.Array | None = None) -> None:
+        """Every id of the classes taken from this batch, but for the groups' own ids."""
+        if self.pending:
+            group, rows, score = (np.concatenate(c) for c in zip(*self.pending))
+            ids = part["item_ids"].take(pa.array(rows))
+            sizes = np.diff(ids.offsets.to_numpy())
+            group, score, flat = np.repeat(group, sizes), np.repeat(score, sizes), ids.flatten()
+            if own_ids is not None:
+                other = pc.not_equal(flat, own_ids.take(pa.array(group)))
+                flat, other = flat.filter(other), other.to_numpy(zero_copy_only=False)
+                group, score = group[other], score[other]
+            self.kept.add(group, score, flat)
+            self.pending = []
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, pa.RecordBatch]]:
     """dims, labels, vectors, lines of each batch, one block per number of components."""
     for batch in batches:
@@ -83,13 +124,6 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray
             yield int(n), part["cluster_name"].to_numpy(zero_copy_only=False), part["vec"].flatten().to_numpy().reshape(part.num_rows, -1), part
 
 
-def _spread(kept: BestRows, group: np.ndarray, rows: np.ndarray, scores: np.ndarray, part: pa.RecordBatch) -> None:
-    """Every id of the given classes."""
-    ids = part["item_ids"].take(pa.array(rows))
-    sizes = np.diff(ids.offsets.to_numpy())
-    kept.add(np.repeat(group, sizes), np.repeat(scores, sizes), ids.flatten())
-
-
 def hard_negatives(
     anchors: DataFrame, points: DataFrame, positives: int = 5, negatives: int = 3, low: int = 50, high: int = 95, *,
     anchor_bytes: int = ANCHOR_BYTES, block: int = BLOCK,
@@ -184,35 +218,28 @@ def _same_label(shared, bound, k: int, id_kind: pa.DataType):
     """The k best points of an anchor's label, other ids only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors, least = shared.value, bound.value
-        best: list = [None] * len(anchors.vectors)
-        kept = BestRows(k, id_kind)
-        own_ids = anchors.ids.to_pylist()
+        anchors = shared.value
+        found = _Found(bound.value, k, id_kind)
         for dims, labels, vectors, part in _blocks(batches):
             for label in np.unique(labels):
                 rows = np.flatnonzero(labels == label)
                 lists = CandidateLists(vectors[rows])
                 for a in np.flatnonzero((anchors.labels == label) & (anchors.dims == dims)):
-                    found, scores = [], []
+                    group, met = np.array([a]), []
                     for new, score, threshold in lists.read(anchors.vectors[a]):
-                        reach = score >= least_of(best, a, k, int(least[a]))
-                        new, score = new[reach], score[reach]
-                        # The anchor's own class may hold nothing but the anchor: it proves no k-th score.
-                        others = (lists.vectors[new] != anchors.vectors[a]).any(axis=1)
-                        kth_scores(best, a, score[others], k)
-                        found.append(new)
-                        scores.append(score)
-                        if threshold < least_of(best, a, k, int(least[a])):
+                        reach = score >= found.wanted(group)[0]
+                        if reach.any():
+                            new, score = new[reach], score[reach]
+                            # The anchor's own class may hold nothing but the anchor: it proves no k-th score.
+                            found.offer(group, score, (lists.vectors[new] != anchors.vectors[a]).any(axis=1)[None, :])
+                            met.append((new, score))
+                        if threshold < found.wanted(group)[0]:
                             break
-                    new, score = np.concatenate(found), np.concatenate(scores)
-                    reach = score >= least_of(best, a, k, int(least[a]))
-                    ids = part["item_ids"].take(pa.array(rows[new[reach]]))
-                    sizes = np.diff(ids.offsets.to_numpy())
-                    flat = ids.flatten()
-                    other = pa.array([i != own_ids[a] for i in flat.to_pylist()], pa.bool_())
-                    score = np.repeat(score[reach], sizes)[other.to_numpy(zero_copy_only=False)]
-                    kept.add(np.full(len(score), a), score, flat.filter(other))
-        yield from kept.batches()
+                    if met:
+                        new, score = (np.concatenate(c) for c in zip(*met))
+                        found.take(group, rows[new], score, np.ones((1, len(new)), bool))
+            found.end_of(part, anchors.ids)
+        yield from found.kept.batches()
 
     return run
 
@@ -221,30 +248,31 @@ def _other_labels(shared, bounds, bound, windows: int, k: int, id_kind: pa.DataT
     """The k best points of other labels inside each window of an anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors, (lows, highs), least = shared.value, bounds.value, bound.value
-        best: list = [None] * len(lows)
-        kept = BestRows(k, id_kind)
+        anchors, (lows, highs) = shared.value, bounds.value
+        found = _Found(np.maximum(lows, bound.value), k, id_kind)
         for dims, labels, vectors, part in _blocks(batches):
             lists = CandidateLists(vectors)
             for a in np.flatnonzero(anchors.dims == dims):
-                own = [w for w in range(a * windows, (a + 1) * windows) if lows[w] <= highs[w]]
-                if not own:
+                group = np.arange(a * windows, (a + 1) * windows)
+                group = group[lows[group] <= highs[group]]
+                if not len(group):
                     continue
-                floor = {w: max(int(lows[w]), int(least[w])) for w in own}
-                found, scores = [], []
+                high, met = highs[group][:, None], []
+                wanted = found.wanted(group)
                 for new, score, threshold in lists.read(anchors.vectors[a]):
-                    reach = (score >= min(floor.values())) & (labels[new] != anchors.labels[a])
-                    new, score = new[reach], score[reach]
-                    for w in own:
-                        kth_scores(best, w, score[(score >= floor[w]) & (score <= highs[w])], k)
-                    found.append(new)
-                    scores.append(score)
-                    if threshold < min(least_of(best, w, k, floor[w]) for w in own):
+                    reach = score >= wanted.min()
+                    reach &= labels[new] != anchors.labels[a]
+                    if reach.any():
+                        new, score = new[reach], score[reach]
+                        found.offer(group, score, (score >= wanted[:, None]) & (score <= high))
+                        met.append((new, score))
+                        wanted = found.wanted(group)
+                    if threshold < wanted.min():
                         break
-                new, score = np.concatenate(found), np.concatenate(scores)
-                for w in own:
-                    inside = (score >= least_of(best, w, k, floor[w])) & (score <= highs[w])
-                    _spread(kept, np.full(int(inside.sum()), w), new[inside], score[inside], part)
-        yield from kept.batches()
+                if met:
+                    new, score = (np.concatenate(c) for c in zip(*met))
+                    found.take(group, new, score, score <= high)
+            found.end_of(part)
+        yield from found.kept.batches()
 
     return run
