@@ -1,7 +1,8 @@
 """Operators for preparing training text from item records; nothing else in the library imports them.
 
-The text operators read memory points (`item_id`, `text`), the vector operators items (`item_idx`,
-`vec_local`) and points (`item_id`, `vec_local`), the mix reads rows with a `source`. Columns that an
+The text operators read memory points (`item_id`, `text`) and items (`item_idx`, `item`), the vector operators items (`item_idx`,
+`vec_local`) and points (`item_id`, `cluster_name`, `vec_local`), chats are messages of model requests (`request_id`,
+`role`, `content`), the mix reads rows with a `source`. Columns that an
 operator does not name are ignored, so extra columns of any name cannot clash.
 """
 
