@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 
 from itemnorm.functions.text import col, let, lookup_key
 
 DIMENSIONS = 64
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -41,27 +49,38 @@ def unit(a: Column | str) -> Column:
     )
 
 
-def hash_embedding(text: Column | str, dimensions: int = DIMENSIONS) -> Column:
-    """Unit vector of hashed character trigrams of the padded lookup key."""
-    padded = F.concat(F.lit("  "), lookup_key(text), F.lit(" "))
-
-    def buckets_of(p: Column) -> Column:
-        def bucket(i: Column) -> Column:
-            return F.conv(F.substring(F.md5(F.substring(p, i, F.lit(3))), 1, 6), 16, 10).cast("int") % dimensions
-
-        return F.transform(F.sequence(F.lit(1), F.length(p) - 2), bucket)
+#: Trigrams whose bucket a task remembers.
+_REMEMBERED = 1 << 20
 
-    def counts_of(buckets: Column) -> Column:
-        # The bounds of each bucket's run in the sorted buckets: a sentinel per bucket is sorted along, so
-        # neighbouring sentinels' places differ by the bucket's count plus one.
-        sentinels = F.sequence(F.lit(0), F.lit(dimensions))
-        ordered = F.array_sort(F.concat(F.transform(buckets, lambda b: 2 * b + 1), F.transform(sentinels, lambda d: 2 * d)))
 
-        def places(o: Column) -> Column:
-            return F.filter(F.transform(o, lambda v, i: F.when(v % 2 == 0, i)), lambda i: i.isNotNull())
-
-        return let(let(ordered, places), lambda p: F.transform(
-            F.sequence(F.lit(1), F.lit(dimensions)), lambda d: (F.get(p, d) - F.get(p, d - 1) - 1).cast("double")
-        ))
-
-    return unit(let(let(padded, buckets_of), counts_of))
+def hash_embedding(text: Column | str, dimensions: int = DIMENSIONS) -> Column:
+    """Unit vector of hashed character trigrams of the padded lookup key, null for a null text.
+
+    A batch function: a digest per trigram is computed once per task and not once per place in a text.
+    """
+    return _trigram_vectors(dimensions)(F.concat(F.lit("  "), lookup_key(text), F.lit(" ")))
+
+
+def _trigram_vectors(dimensions: int):
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        bucket: dict[str, int] = {}
+
+        def vector(padded: str | None) -> np.ndarray | None:
+            if padded is None:
+                return None
+            places = []
+            for n in range(len(padded) - 2):
+                trigram = padded[n : n + 3]
+                place = bucket.get(trigram)
+                if place is None:
+                    if len(bucket) >= _REMEMBERED:
+                        bucket.clear()
+                    place = bucket[trigram] = int(hashlib.md5(trigram.encode("utf-8", "surrogatepass")).hexdigest()[:6], 16) % dimensions
+                places.append(place)
+            counts = np.bincount(places, minlength=dimensions).astype(np.float64)
+            return counts / np.sqrt((counts * counts).sum())
+
+        for texts in batches:
+            yield pd.Series([vector(t) for t in texts])
+
+    return F.pandas_udf(embed, "array<double>")

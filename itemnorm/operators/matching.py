@@ -11,6 +11,7 @@ from itemnorm.functions.vectors import dot, unit
 from itemnorm.model import Memory
 from itemnorm.operators.neighbours import BLOCK, best_neighbours
 from itemnorm.operators.ordering import first_per_key
+from itemnorm.session import cut_lineage
 from itemnorm.sources.memory_store import cluster_label, parse_memory
 
 MATCH_DISTANCE = 0.15
@@ -54,15 +55,17 @@ def knn_match(
     If that point has no attributes there is no match: the runner-up is not tried.
     Equal item vectors are looked up once.
     """
-    wanted = items.select("item_idx", unit(vec).alias("u")).where(F.col("u").isNotNull())
+    wanted = cut_lineage(items.select("item_idx", unit(vec).alias("u")).where(F.col("u").isNotNull()))
     queries = wanted.groupBy("u").agg(F.min("item_idx").alias("l_id"))
-    points = memory.points.select(F.col("item_id").alias("r_id"), unit(vec).alias("r_vec")).where(
-        F.col("r_vec").isNotNull()
+    points = cut_lineage(
+        memory.points.select(F.col("item_id").alias("r_id"), unit(vec).alias("r_vec"), (F.size("attributes") > 0).alias("usable")).where(
+            F.col("r_vec").isNotNull()
+        )
     )
     near = best_neighbours(
-        queries.select("l_id", F.col("u").alias("l_vec")), points, round(1.0 - max_distance, 12), block=block
+        queries.select("l_id", F.col("u").alias("l_vec")), points.select("r_id", "r_vec"), round(1.0 - max_distance, 12), block=block
     )
-    usable = memory.points.where(F.size("attributes") > 0).select("item_id")
+    usable = points.where("usable").select(F.col("r_id").alias("item_id"))
     found = near.select("l_id", F.col("r_id").alias("item_id"), F.col("similarity").alias("score")).join(
         usable, "item_id", "left_semi"
     )

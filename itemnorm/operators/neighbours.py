@@ -1,102 +1,33 @@
-"""Exact nearest / earliest neighbour join on vectors, routed by pivots.
+"""Exact nearest / earliest neighbour join on vectors, routed by a tree of cells.
 
 Every left row gets its best right row (or k best) with similarity >= a bound. Only
 winners leave a task; pairs are never emitted. Candidates are found exactly, without
-recall loss, by metric pruning: each right row lives in the cell of its nearest pivot;
-a left row looks in its own nearest pivot's cell first and visits another only if the
-triangle inequality on angles allows a better match there. Cells and left visits larger than a block are split into blocks, so a hot cell
+recall loss: each right row lies in a cell of a tree (see cells), and a left row visits the group of cells
+that promises most, and then only those whose bounds allow something better than what it found there.
+Groups and left visits larger than a block are split into blocks, so a hot cell
 becomes many bounded tasks.
 
 Vectors may be shorter than 1 (means of unit vectors): the score is the dot product,
-and dot(l, r) >= s implies cos(l, r) >= s, so routing by direction stays exact.
+and dot(l, r) >= s implies cos(l, r) >= s, so bounds on angles stay exact.
 """
 
 from __future__ import annotations
 
-import math
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+from itemnorm.operators.cells import grow_cells, measure, place_rows, visits
 from itemnorm.session import cut_lineage
 
 BLOCK = 4096
-PIVOT_BYTES = 16 << 20
 DIGITS = 9
 # Functions run inside tasks travel with the job, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
-_SLACK = 1e-6
-
-
-def pick_pivots(right: DataFrame, rows: int, block: int = BLOCK) -> np.ndarray | None:
-    """About one pivot per half block of rows, evenly spread by hash, at most PIVOT_BYTES."""
-    if rows <= block:
-        return None
-    width = len(right.select("r_vec").limit(1).collect()[0][0])
-    wanted = min(math.ceil(2 * rows / block), max(1, PIVOT_BYTES // (8 * width)))
-    sample = right.select("r_vec", F.xxhash64("r_id").alias("h")).orderBy("h").limit(wanted).collect()
-    pivots = np.array([row[0] for row in sample], dtype=np.float64)
-    lengths = np.linalg.norm(pivots, axis=1)
-    return pivots[lengths > 0] / lengths[lengths > 0, None]
-
-
-def _angles(vectors: pd.Series, pivots: np.ndarray) -> np.ndarray:
-    m = np.stack(vectors.to_numpy()).astype(np.float64)
-    lengths = np.linalg.norm(m, axis=1, keepdims=True)
-    lengths[lengths == 0] = 1.0
-    return np.arccos(np.clip((m / lengths) @ pivots.T, -1.0, 1.0))
-
-
-def assign_cells(right: DataFrame, pivots: np.ndarray) -> DataFrame:
-    shared = right.sparkSession.sparkContext.broadcast(pivots)
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                angles = _angles(pdf["r_vec"], shared.value)
-                cell = angles.argmin(axis=1)
-                yield pdf.assign(cell=cell.astype("int32"), angle=angles[np.arange(len(pdf)), cell])
-
-    return right.mapInPandas(assign, f"{_ddl(right)}, cell int, angle double")
-
-
-def route_cells(left: DataFrame, pivots: np.ndarray, radius: np.ndarray, own_cell: bool | None = None) -> DataFrame:
-    """Left rows (with the angle `reach` their matches lie within) and every cell that can hold a match.
-
-    own_cell: only the cell of the nearest pivot, or only the others.
-    """
-    shared = left.sparkSession.sparkContext.broadcast((pivots, radius))
-
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        centres, radii = shared.value
-        for pdf in batches:
-            if len(pdf):
-                angles = _angles(pdf["l_vec"], centres)
-                nearest = np.zeros(angles.shape, bool)
-                nearest[np.arange(len(pdf)), angles.argmin(axis=1)] = True
-                reach = pdf["reach"].to_numpy()[:, None]
-                # A right row lies in the cell of its own nearest pivot, hence the second bound.
-                open_ = (angles - radii[None, :] <= reach) & (angles - angles.min(axis=1, keepdims=True) <= 2 * reach)
-                open_ &= radii[None, :] >= 0
-                if own_cell is not None:
-                    open_ = nearest if own_cell else open_ & ~nearest
-                yield pdf.assign(cells=[np.flatnonzero(o).astype("int32") for o in open_])
-
-    routed = left.mapInPandas(route, f"{_ddl(left)}, cells array<int>")
-    return routed.withColumn("cell", F.explode("cells")).drop("cells", "reach")
-
-
-def _reach(similarity: Column) -> Column:
-    """Largest angle at which a product of vectors of length <= 1 reaches the similarity."""
-    return F.when(similarity >= 0, F.acos(F.least(similarity, F.lit(1.0)))).otherwise(F.lit(math.pi)) + F.lit(_SLACK)
-
-
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
 def _blocks(df: DataFrame, keys: Sequence[str], block: int, out: str) -> DataFrame:
@@ -123,9 +54,9 @@ def best_neighbours(
     earlier_only keeps r_id < l_id; strict makes the bound exclusive.
     """
     on = list(on)
-    # Both sides are read many times below: sizes, pivots, radii, blocks, and the joins themselves.
+    # Both sides are read many times below: sizes, cells, boxes, blocks, and the joins themselves.
     left, right = cut_lineage(left), cut_lineage(right)
-    pivots = pick_pivots(right, right.count(), block)
+    cells = grow_cells(right, right.count(), block)
     order = [-F.col("similarity"), F.col("r_id")] if prefer == "similar" else [F.col("r_id")]
 
     def best_of(found: DataFrame) -> DataFrame:
@@ -139,28 +70,21 @@ def best_neighbours(
     def meet(left_cells: DataFrame, right_cells: DataFrame) -> DataFrame:
         return _meet(left_cells, right_cells, on, min_similarity, prefer, earlier_only, skip_self, strict, k, block)
 
-    if pivots is None:
+    if cells is None:
         return best_of(meet(left.withColumn("cell", F.lit(0)), right.withColumn("cell", F.lit(0))))
-    placed = cut_lineage(assign_cells(right, pivots))
-    radius = np.full(len(pivots), -1.0)
-    for row in placed.groupBy("cell").agg(F.max("angle").alias("r")).collect():
-        radius[row["cell"]] = row["r"] + _SLACK
-    cells = placed.drop("angle")
-    least = _reach(F.lit(float(min_similarity)))
+    placed = cut_lineage(place_rows(right, cells))
+    cells = measure(placed, cells)
+    held = placed.drop("leaf", "angle")
+    least = F.lit(float(min_similarity))
     if prefer != "similar":
-        return best_of(meet(cut_lineage(route_cells(left.withColumn("reach", least), pivots, radius)), cells))
-    # The nearest pivot's cell first: what is found there says how far other cells need to be visited.
-    own = cut_lineage(best_of(meet(cut_lineage(route_cells(left.withColumn("reach", least), pivots, radius, own_cell=True)), cells)))
+        return best_of(meet(cut_lineage(visits(left.withColumn("least", least), cells)), held))
+    # The most promising group first: what is found there says what others have to promise.
+    own = cut_lineage(best_of(meet(cut_lineage(visits(left.withColumn("least", least), cells, own=True)), held)))
     full = own if k == 1 else own.where(F.col("rank") == k)
-    bounds = full.select(*on, "l_id", F.greatest(_reach_bound(), F.lit(float(min_similarity))).alias("bound"))
-    reaching = left.join(bounds, [*on, "l_id"], "left").withColumn("reach", _reach(F.coalesce("bound", F.lit(float(min_similarity))))).drop("bound")
-    others = cut_lineage(route_cells(reaching, pivots, radius, own_cell=False))
-    return best_of(own.drop("rank").unionByName(meet(others, cells)))
-
-
-def _reach_bound() -> Column:
-    """The similarity found, less the rounding of similarities."""
-    return F.col("similarity") - F.lit(10.0**-DIGITS)
+    found = full.select(*on, "l_id", F.greatest(F.col("similarity") - F.lit(10.0**-DIGITS), least).alias("found"))
+    reaching = left.join(found, [*on, "l_id"], "left").withColumn("least", F.coalesce("found", least)).drop("found")
+    others = cut_lineage(visits(reaching, cells, own=False))
+    return best_of(own.drop("rank").unionByName(meet(others, held)))
 
 
 def _meet(
@@ -173,7 +97,7 @@ def _meet(
     left_blocks = _blocks(left_cells, group, block, "l_blocks")
     sides = right_blocks.join(left_blocks, group)
     if not on:
-        # One line per pivot, and pivots are at most PIVOT_BYTES.
+        # One line per group of cells, and cells are at most CELL_BYTES.
         sides = F.broadcast(sides)
 
     def fresh(*names: str):
@@ -199,22 +123,21 @@ def _meet(
             return pd.DataFrame(columns=names)
         rpdf = rpdf.sort_values("r_id", kind="stable")
         l_id, r_id = lpdf["l_id"].to_numpy(), rpdf["r_id"].to_numpy()
-        scores = np.stack(lpdf["l_vec"].to_numpy()) @ np.stack(rpdf["r_vec"].to_numpy()).T
-        scores = np.round(scores, DIGITS)
-        ok = scores > min_similarity if strict else scores >= min_similarity
+        scores = np.round(np.stack(lpdf["l_vec"].to_numpy()) @ np.stack(rpdf["r_vec"].to_numpy()).T, DIGITS)
         if earlier_only:
-            ok &= r_id[None, :] < l_id[:, None]
+            scores[r_id[None, :] >= l_id[:, None]] = -np.inf
         if skip_self:
-            ok &= r_id[None, :] != l_id[:, None]
-        rank = scores if prefer == "similar" else np.broadcast_to(-np.arange(len(r_id), dtype=float), scores.shape)
-        rank = np.where(ok, rank, -np.inf)
-        if k == 1:
-            best = rank.argmax(axis=1)[:, None]
-        else:
-            best = np.argsort(-rank, axis=1, kind="stable")[:, :k]
+            scores[r_id[None, :] == l_id[:, None]] = -np.inf
+
+        def reaches(found: np.ndarray) -> np.ndarray:
+            return found > min_similarity if strict else found >= min_similarity
+
+        # Right rows stand in the order of their ids: the first of equal scores, or the first that reaches, is wanted.
+        rank = scores if prefer == "similar" else reaches(scores)
+        best = rank.argmax(axis=1)[:, None] if k == 1 else np.argsort(-rank.astype(float), axis=1, kind="stable")[:, :k]
         li = np.repeat(np.arange(len(l_id)), best.shape[1])
         ri = best.ravel()
-        hit = ok[li, ri]
+        hit = reaches(scores[li, ri])
         li, ri = li[hit], ri[hit]
         out = {name: [key[i]] * len(li) for i, name in enumerate(on)}
         return pd.DataFrame({**out, "l_id": l_id[li], "r_id": r_id[ri], "similarity": scores[li, ri]}, columns=names)

@@ -122,6 +122,13 @@ def jn2_small(spark, d):
     return m.knn_match(items, memory(spark, d, vectors=True), "vec_local", 0.3, block=64).withColumn("score", F.round("score", 5))
 
 
+@query("jn2_indexed", f"WITH {GROUPED}, {_KNN} SELECT pos AS item_idx, item_id, round(s, 5) AS score FROM parts JOIN top USING (item)")
+def jn2_indexed(spark, d):
+    """Through the cell tree: groups of cells whose boxes can hold a match are visited, others are not."""
+    items = parts(spark, d).select(F.col("pos").alias("item_idx"), hash_embedding("item").alias("vec_local"))
+    return m.knn_match(items, memory(spark, d, vectors=True), "vec_local", 0.3, block=256).withColumn("score", F.round("score", 5))
+
+
 @query(
     "jn2_bare_points",
     f"""WITH {GROUPED}, {_KNN}, best AS (SELECT item, arg_min(enriched_name, (-s, {_ID})) AS enriched_name, max(s) AS s FROM sims WHERE s >= 0.7 GROUP BY item)

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from itemnorm.functions.vectors import unit
+from itemnorm.functions.vectors import hash_embedding, unit
+from itemnorm.operators import cells as ce
 from itemnorm.operators.leaders import leader_groups
 from itemnorm.operators.linkage import cluster_items
 from itemnorm.operators.neighbours import best_neighbours
@@ -89,3 +90,64 @@ def test_clustering_needs_no_data(spark):
     assert cluster_items(spark.createDataFrame([], "item_idx long, vec array<double>")).count() == 0
     one = spark.createDataFrame([(5, [1.0, 0.0])], "item_idx long, vec array<double>")
     assert [tuple(r) for r in cluster_items(one).collect()] == [(5, 5)]
+
+
+def names(spark):
+    """Spellings of parts on the left, brand and name on the right: vectors of hashed trigrams."""
+    parts = [f"{a} {b}" for a in ("large", "small", "hot", "blue", "new", "round", "dark", "green") for b in ("gear", "plate", "rod", "bolt", "ring", "valve", "pump", "belt")]
+    left = [(n, f"{p} {t} {7 * n % 50} mm") for n, (p, t) in enumerate((p, t) for p in parts for t in ("promo", "standard", "economy", "medium"))]
+    right = [(n, f"Brand#{b} {p}") for n, (p, b) in enumerate((p, b) for p in parts for b in range(11, 36))]
+    embedded = lambda rows, side: spark.createDataFrame(rows, f"{side}_id long, text string").select(f"{side}_id", hash_embedding("text").alias(f"{side}_vec"))
+    return embedded(left, "l").cache(), embedded(right, "r").cache()
+
+
+def test_few_groups_are_visited_for_sparse_vectors(spark):
+    left, right = names(spark)
+    cells = ce.grow_cells(right, right.count(), 64)
+    placed = ce.place_rows(right, cells).cache()
+    assert placed.count() == right.count()
+    measured = ce.measure(placed, cells)
+    visited = ce.visits(left.withColumn("least", F.lit(0.7)), measured).cache()
+    groups = len(measured.first_of_group)
+    assert groups >= 20
+    per_row = visited.count() / left.count()
+    print(f"groups visited per row: {per_row:.2f} of {groups}")
+    assert per_row < groups / 5
+    # Nothing that reaches the bound lies in a group that is not visited.
+    l, r = {x[0]: np.array(x[1]) for x in left.collect()}, {x["r_id"]: (np.array(x["r_vec"]), x["cell"]) for x in placed.collect()}
+    seen = {(x["l_id"], x["cell"]) for x in visited.collect()}
+    assert all((i, cell) in seen for i, v in l.items() for w, cell in r.values() if v @ w >= 0.7)
+
+
+def test_boxes_bound_signed_vectors_and_short_ones(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(300, 5))
+    v = units(v) * rng.uniform(0.2, 1, size=(300, 1))
+    v[7] = v[8] = v[9]
+    cells = ce.Cells(*ce._grow(v, 4, 40))
+    leaf, angle = cells.nearest(v)
+    high = np.array([v[leaf == n].max(axis=0) if (leaf == n).any() else np.zeros(5) for n in range(len(cells.group))])
+    low = np.array([v[leaf == n].min(axis=0) if (leaf == n).any() else np.zeros(5) for n in range(len(cells.group))])
+    radius = np.array([angle[leaf == n].max() + ce.SLACK if (leaf == n).any() else -1.0 for n in range(len(cells.group))])
+    whole = ce.Cells(cells.centres, cells.group, high, low, radius)
+    for least in (0.6, 0.1, -0.3):
+        open_, best = whole.open_groups(v, np.full(len(v), least))
+        numbers = whole.group[whole.first_of_group]
+        for i, j in zip(*np.nonzero(v @ v.T >= least)):
+            assert open_[i, np.flatnonzero(numbers == whole.group[leaf[j]])[0]]
+
+
+def test_trigram_vectors_are_unit_counts_of_hashed_trigrams(spark):
+    import hashlib
+
+    texts = ["Болт М8 🙂", "", None, "a" * 50_000, "  two   words "]
+    rows = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, text string").select("n", hash_embedding("text").alias("v")).collect()
+    got = {r["n"]: r["v"] for r in rows}
+    assert got[2] is None
+    for n, t in enumerate(texts):
+        if t is not None:
+            padded = "  " + " ".join(t.lower().split()) + " "
+            counts = np.zeros(64)
+            for k in range(len(padded) - 2):
+                counts[int(hashlib.md5(padded[k : k + 3].encode()).hexdigest()[:6], 16) % 64] += 1
+            assert got[n] == pytest.approx(list(counts / np.linalg.norm(counts)), abs=1e-12)
