@@ -1,10 +1,11 @@
 """Batched requests to a model, answers checked and parsed, cached, combined.
 
 A provider is DataFrame -> DataFrame: it gets one line per question
-(request_id, items, attributes, prompt, attempt) and returns (request_id, response text).
+(request_id, items, attributes, prompt, attempt) and returns (request_id, response text), and, where a
+question can fail by itself, error and retriable.
 Built-in providers are plain column expressions; a real model is wrapped by
 python_provider and runs in mapInPandas. A question whose answer is not usable is asked
-again, past the cache, up to ATTEMPTS times; only usable answers are cached.
+again, past the cache, up to ATTEMPTS times, one that failed for good is not; only usable answers are cached.
 """
 
 from __future__ import annotations
@@ -75,19 +76,49 @@ def with_keys(batches: DataFrame, kind: str, provider_name: str) -> DataFrame:
     )
 
 
-def python_provider(load: Callable[[], Callable[[list[str], list[str], str], str]]) -> Provider:
-    """load() runs once per task; its result is called with (items, attributes, prompt) per request."""
+# What a message of an error that may pass says.
+PASSING = ("429", "rate limit", "rate_limit", "too many requests", "quota", "resource exhausted", "resource_exhausted", "json", "empty llm response", "validation error")
+
+
+def may_pass(error: Exception) -> bool:
+    """Errors of limits, connections and malformed answers may pass; all others are final."""
+    if isinstance(error, (ValueError, TimeoutError, ConnectionError)):
+        return True
+    text = str(error).lower()
+    return any(mark in text for mark in PASSING)
+
+
+def python_provider(
+    load: Callable[[], Callable[[list[str], list[str], str], str]], retriable: Callable[[Exception], bool] = may_pass
+) -> Provider:
+    """load() runs once per task; its result is called with (items, attributes, prompt) per request.
+
+    A call that raises fails its own request: the line carries the error and whether asking again may help,
+    and the other requests of the task go on. A model that cannot be loaded fails the requests of its task.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ask = load()
+        ask = failed = None
+        try:
+            ask = load()
+        except Exception as error:  # noqa: BLE001
+            failed = error
+
+        def answer(*request) -> tuple[str | None, str | None, bool | None]:
+            try:
+                if failed is not None:
+                    raise failed
+                return ask(*request), None, None
+            except Exception as error:  # noqa: BLE001
+                return None, f"{type(error).__name__}: {error}", bool(retriable(error))
+
         for pdf in frames:
-            answers = [
-                ask(list(i), list(a), p) for i, a, p in zip(pdf["items"], pdf["attributes"], pdf["prompt"], strict=True)
-            ]
-            yield pd.DataFrame({"request_id": pdf["request_id"], "response": answers})
+            answers = [answer(list(i), list(a), p) for i, a, p in zip(pdf["items"], pdf["attributes"], pdf["prompt"], strict=True)]
+            columns = list(zip(*answers)) or [(), (), ()]
+            yield pd.DataFrame({"request_id": pdf["request_id"], **{c: pd.Series(v, dtype=object, index=pdf.index) for c, v in zip(("response", "error", "retriable"), columns)}})
 
     return lambda requests: requests.select("request_id", "items", "attributes", "prompt").mapInPandas(
-        run, "request_id string, response string"
+        run, "request_id string, response string, error string, retriable boolean"
     )
 
 
@@ -147,7 +178,8 @@ def pattern_extraction(patterns: dict[str, str] | None = None) -> Provider:
 
 @dataclass(frozen=True)
 class Answers:
-    """responses: batches + response, json, from_cache, valid (usable); cache: entries to append, usable answers only."""
+    """responses: batches + response, json, from_cache, valid (usable), error (what the provider raised last, if it did);
+    cache: entries to append, usable answers only; complete: every batch has a usable answer."""
 
     responses: DataFrame
     cache: DataFrame
@@ -173,9 +205,14 @@ def ask(
     done, fresh = [], []
 
     def judged(asked: DataFrame, answered: DataFrame, from_cache: bool) -> DataFrame:
+        for name, kind in (("error", "string"), ("retriable", "boolean")):
+            if name not in answered.columns:
+                answered = answered.withColumn(name, F.lit(None).cast(kind))
+        answered = answered.select("request_id", "response", "error", F.coalesce("retriable", F.lit(True)).alias("retriable"))
         lines = asked.join(answered, "request_id").withColumns({"json": extract_json("response"), "from_cache": F.lit(from_cache)})
-        kept = ["request_id", "cache_key", "response", "json", "from_cache", "valid"]
-        return cut_lineage(usable(lines.select("request_id", "cache_key", "items", "response", "json", "from_cache")).select(*kept))
+        sure = F.coalesce("valid", F.lit(False)) & F.col("error").isNull()
+        kept = ["request_id", "cache_key", "response", "json", "from_cache", "error", "retriable", sure.alias("valid")]
+        return cut_lineage(usable(lines.select("request_id", "cache_key", "items", "response", "json", "from_cache", "error", "retriable")).select(*kept))
 
     if cache is not None:
         keys = open_.select("cache_key").distinct()
@@ -184,19 +221,24 @@ def ask(
         found = judged(open_, open_.select("request_id", "cache_key").join(known, "cache_key").select("request_id", "response"), True)
         done.append(found.where("valid"))
         open_ = open_.join(done[-1].select("request_id"), "request_id", "left_anti")
+    complete = True
     for attempt in range(1, attempts + 1):
         now = open_.withColumn("attempt", F.lit(attempt))
         answers = judged(now, provider(now), False)
         fresh.append(answers.where("valid"))
-        refused = now.select("request_id").join(fresh[-1].select("request_id"), "request_id", "left_anti")
-        complete = refused.isEmpty()
-        if complete or attempt == attempts:
+        # What failed for good is not asked again; what the provider left out is.
+        closed = answers.where(F.col("valid") | ~F.col("retriable"))
+        complete = complete and answers.where(~F.col("valid") & ~F.col("retriable")).isEmpty()
+        again = now.select("request_id").join(closed.select("request_id"), "request_id", "left_anti")
+        last = again.isEmpty()
+        if last or attempt == attempts:
+            complete = complete and last
             done.append(answers)
             break
-        done.append(fresh[-1])
-        open_ = open_.join(refused, "request_id", "left_semi")
+        done.append(closed)
+        open_ = open_.join(again, "request_id", "left_semi")
     answered, accepted = reduce(DataFrame.unionByName, done), reduce(DataFrame.unionByName, fresh)
-    responses = requests.join(answered.drop("cache_key"), "request_id", "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
+    responses = requests.join(answered.drop("cache_key", "retriable"), "request_id", "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
     entries = accepted.select("cache_key", "response", F.current_timestamp().alias("cached_at"))
     return Answers(responses, entries, complete)
 
@@ -212,13 +254,26 @@ def profile_clusters(
     cache: DataFrame | None = None,
     provider_name: str = "frequency",
     size: int = PROFILE_BATCH,
-) -> tuple[DataFrame, Answers]:
-    """(cluster_id, category, attributes, name_template) for items(cluster_id, pos, item)."""
+) -> tuple[DataFrame, DataFrame, Answers]:
+    """(profiles, rejected batches, answers) for items(cluster_id, pos, item).
+
+    profiles(cluster_id, category, attributes, name_template) holds the clusters whose batches all have a usable
+    answer. A cluster with a rejected batch has no profile: a part of its answers would be a wrong one.
+    """
     batches = batched(items, size, ["cluster_id"]).withColumn("attributes", strings(base))
     requests = with_keys(batches, "profile", provider_name)
     answers = ask(requests, provider or frequency_profile(), lambda lines: lines.withColumn("valid", profile_is_valid("json")), cache)
-    parsed = answers.responses.where("valid").select("cluster_id", "batch", parse_profile("json").alias("p"))
-    return combine_profiles(parsed.select("cluster_id", "batch", "p.*"), base), answers
+    rejected = answers.responses.where("not valid")
+    whole = answers.responses if answers.complete else answers.responses.join(rejected.select("cluster_id").distinct(), "cluster_id", "left_anti")
+    parsed = whole.select("cluster_id", "batch", parse_profile("json").alias("p"))
+    return combine_profiles(parsed.select("cluster_id", "batch", "p.*"), base), rejected, answers
+
+
+def failed_groups(rejected: DataFrame) -> DataFrame:
+    """cluster_id, batches, error: the groups of rejected batches, how many they have, and the error of the first that raised."""
+    return rejected.groupBy("cluster_id").agg(
+        F.count("*").alias("batches"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("batch"))).alias("error")
+    )
 
 
 def combine_profiles(profiles: DataFrame, base: Sequence[str] = ()) -> DataFrame:
@@ -265,13 +320,14 @@ def audit_batches(requested: DataFrame, returned: DataFrame) -> DataFrame:
 
 
 def complete_answers(lines: DataFrame) -> DataFrame:
-    """lines(request_id, items, json, ...) with valid: well formed, and exactly the items asked for."""
-    entries = parse_values("json")["normalized"]
-    formed = lines.withColumn("_formed", F.coalesce(values_are_valid("json"), F.lit(False)))
-    asked = formed.select(F.col("request_id").alias("batch_id"), F.explode("items").alias("item"))
-    returned = formed.where("_formed").select(F.col("request_id").alias("batch_id"), F.explode(entries["item"]).alias("item"))
-    audited = audit_batches(asked, returned).select(F.col("batch_id").alias("request_id"), "complete")
-    return formed.join(audited, "request_id", "left").withColumn("valid", F.col("_formed") & F.coalesce("complete", F.lit(False))).drop("_formed", "complete")
+    """lines(request_id, items, json, ...) with valid: well formed, and exactly the items asked for, as audit_batches
+    counts them. A batch holds its items in one line, so nothing moves."""
+    given = F.transform(parse_values("json")["normalized"], lambda e: text_of(e["item"]))
+    same = (
+        (F.size("items") == F.size(given)) & ~F.array_contains(given, "")
+        & (F.size(F.array_except("items", given)) == 0) & (F.size(F.array_except(given, F.col("items"))) == 0)
+    )
+    return lines.withColumn("valid", F.coalesce(values_are_valid("json"), F.lit(False)) & F.coalesce(same, F.lit(False)))
 
 
 def extract_values(

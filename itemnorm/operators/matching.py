@@ -81,16 +81,20 @@ def match_memory(
 
     items(item_idx, item, vec_local[, vec_alt]); unmatched items are absent.
     """
-    base = items.select("item_idx")
-    named = alias_match(items, memory).select("item_idx", F.col("item_id").alias("by_alias"))
-    out = base.join(named, "item_idx", "left")
+    out = items.select("item_idx")
+    named = cut_lineage(alias_match(items, memory).select("item_idx", F.col("item_id").alias("by_alias")))
+    out = out.join(named, "item_idx", "left")
+    # Vectors are looked up only for what no better tier has found.
+    left = items.join(named.select("item_idx"), "item_idx", "left_anti")
     tiers = []
+    # The labels of the tiers.
     for label, vec in (("gemini", "vec_alt"), ("local", "vec_local")):
         if vec in items.columns and vec in memory.points.columns:
-            near = knn_match(items, memory, vec, max_distance, block)
+            near = cut_lineage(knn_match(left, memory, vec, max_distance, block))
             out = out.join(
                 near.select("item_idx", F.struct("item_id", "score").alias(f"_{label}")), "item_idx", "left"
             )
+            left = left.join(near.select("item_idx"), "item_idx", "left_anti")
             tiers.append(label)
     none = F.lit(None).cast("string")
     by = F.when(F.col("by_alias").isNotNull(), F.lit("payload"))

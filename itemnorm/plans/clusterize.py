@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from itemnorm.model import Catalogue, Memory
 from itemnorm.operators.assemble import known_to_clusters, new_clusters, union_catalogues
 from itemnorm.operators.embedding import Embedder, embed_dual
-from itemnorm.operators.enrich import Provider, profile_clusters
+from itemnorm.operators.enrich import Provider, failed_groups, profile_clusters
 from itemnorm.operators.linkage import DISTANCE_THRESHOLD, cluster_items
 from itemnorm.operators.matching import MATCH_DISTANCE, known_items, match_memory, unknown_items
 from itemnorm.operators.neighbours import BLOCK
@@ -22,11 +22,16 @@ Clusterer = Callable[[DataFrame], DataFrame]
 
 @dataclass(frozen=True)
 class Clusterized:
+    """The catalogue holds the groups that have a profile; failed(cluster_id, known, items, batches, error) lists the others,
+    rejected their batches without a usable answer. known and groups hold the items of all groups."""
+
     matches: DataFrame
     known: DataFrame
     groups: DataFrame
     catalogue: Catalogue
     cache: DataFrame
+    rejected: DataFrame
+    failed: DataFrame
 
 
 def clusterize(
@@ -47,7 +52,8 @@ def clusterize(
     """items(item_idx, item). cluster_by picks the one provider whose vectors group the unknown items.
 
     With "alt" every item needs an alternative vector; if one has none, the local vectors group them all.
-    clusterer: items(item_idx, item, vec) -> (item_idx, cluster_id), average linkage by default.
+    clusterer: items(item_idx, item, vec) -> (item_idx, cluster_id), average linkage by default. Known and
+    new groups are profiled in one pass; a group without a valid profile is no cluster of the catalogue, but one of failed.
     """
     embedded = cut_lineage(embed_dual(items.select("item_idx", "item"), "item", local, alt))
     matches = cut_lineage(match_memory(embedded, memory, max_distance, block))
@@ -57,13 +63,18 @@ def clusterize(
     unknown = new.select("item_idx", "item", F.col("vec_alt" if by_alt else "vec_local").alias("vec"))
     labels = cluster_items(unknown, "vec", threshold, block) if clusterer is None else clusterer(unknown).select("item_idx", "cluster_id")
     groups = cut_lineage(unknown.select("item_idx", "item").join(labels, "item_idx"))
-    profiles, new_answers = profile_clusters(groups.select("cluster_id", F.col("item_idx").alias("pos"), "item"), profiler, base, cache)
-
-    # Item names of a known group are profiled under the group's first item index.
+    # Item names of a known group are profiled under the group's first item index; new groups have theirs, so ids do not meet.
     firsts = known.groupBy("cluster_name").agg(F.min("item_idx").alias("cluster_id"))
-    by_group = known.join(firsts, "cluster_name").select("cluster_id", F.col("item_idx").alias("pos"), "item")
-    known_profiles, known_answers = profile_clusters(by_group, profiler, base, cache)
-    templates = firsts.join(known_profiles.select("cluster_id", "name_template"), "cluster_id", "left").select("cluster_name", "name_template")
-    known = cut_lineage(known.join(templates, "cluster_name", "left"))
-    catalogue = union_catalogues(new_clusters(groups, profiles, base), known_to_clusters(known, memory, base))
-    return Clusterized(matches, known, groups, catalogue, new_answers.cache.unionByName(known_answers.cache))
+    known = cut_lineage(known.join(firsts, "cluster_name"))
+    lines = lambda df, is_known: df.select("cluster_id", F.col("item_idx").alias("pos"), "item", F.lit(is_known).alias("known"))
+    every = lines(groups, False).unionByName(lines(known, True))
+    profiles, rejected, answers = profile_clusters(every.drop("known"), profiler, base, cache)
+    profiles = cut_lineage(profiles)
+    failed = failed_groups(rejected).join(every.groupBy("cluster_id", "known").agg(F.count("*").alias("items")), "cluster_id").select(
+        "cluster_id", "known", "items", "batches", "error"
+    )
+    held = profiles.select("cluster_id", "name_template")
+    named = cut_lineage(known.join(held, "cluster_id").drop("cluster_id"))
+    grouped = groups if answers.complete else groups.join(held.select("cluster_id"), "cluster_id", "left_semi")
+    catalogue = union_catalogues(new_clusters(grouped, profiles, base), known_to_clusters(named, memory, base))
+    return Clusterized(matches, known.drop("cluster_id"), groups, catalogue, answers.cache, rejected, failed)

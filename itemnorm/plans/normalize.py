@@ -21,7 +21,7 @@ from itemnorm.functions.text import (
 from itemnorm.model import Catalogue
 from itemnorm.operators.collapse import collapse_rows, named_entries
 from itemnorm.operators.embedding import Embedder, embed
-from itemnorm.operators.enrich import ATTEMPTS, Provider, extract_values, missing_attributes
+from itemnorm.operators.enrich import ATTEMPTS, Provider, extract_values, failed_groups, missing_attributes
 from itemnorm.operators.leaders import DISTANCE_LIMIT
 from itemnorm.operators.neighbours import BLOCK
 from itemnorm.operators.ordering import dense_position_pairs
@@ -78,7 +78,7 @@ def with_attribute_mode(inputs: DataFrame, mode: str = "default") -> DataFrame:
 @dataclass(frozen=True)
 class Normalized:
     """items(cluster_id, item_pos, item, enriched_name, values, source) and the collapsed clusters, both only of clusters whose
-    batches all had usable answers; the rejected batches; the clusters they failed; new cache entries."""
+    batches all had usable answers; the rejected batches; failed(cluster_id, batches, error), the clusters they failed; new cache entries."""
 
     items: DataFrame
     collapsed: Catalogue
@@ -111,7 +111,7 @@ def normalize(
     wanted = lines.select("cluster_id", "pos", "item", "known", F.when(F.col("known"), F.col("missing")).otherwise(F.col("attributes")).alias("attributes"))
     wanted = wanted.where(~F.col("known") | (F.size("attributes") > 0))
     found, rejected, answers = extract_values(wanted, provider, cache, attempts=attempts, groups=["cluster_id", "known"])
-    failed = rejected.select("cluster_id").distinct()
+    failed = failed_groups(rejected)
     kept = lines if answers.complete else lines.join(failed, "cluster_id", "left_anti")
     own = F.when(F.col("known"), F.coalesce("values", empty_map())).otherwise(empty_map())
     named = kept.join(found.withColumnRenamed("values", "_new"), ["cluster_id", "item"], "left").withColumn(

@@ -75,10 +75,35 @@ words AS (SELECT cluster_id, batch, unnest(string_split(item, ' ')) AS w FROM b)
     SELECT cluster_id, category, 'base,size,type' AS attributes, '{{size}} {{type}}' AS name_template FROM best""",
 )
 def enr1(spark, d):
-    profiles, _ = en.profile_clusters(_items(spark, d), en.frequency_profile(PATTERNS), ["base"])
+    profiles, _, _ = en.profile_clusters(_items(spark, d), en.frequency_profile(PATTERNS), ["base"])
     return profiles.select("cluster_id", "category", F.array_join("attributes", ",").alias("attributes"), "name_template")
 
 
+def misprofiled(text: str):
+    """Provider of profiles that answers in no JSON where an item holds `text`."""
+    good = en.frequency_profile(PATTERNS)
+
+    def answer(requests):
+        wrong = requests.select("request_id", F.exists("items", lambda i: i.contains(text)).alias("wrong"))
+        return good(requests).join(wrong, "request_id").select("request_id", F.when(F.col("wrong"), F.lit("no idea")).otherwise(F.col("response")).alias("response"))
+
+    return answer
+
+
+@query(
+    "enr1_rejected",
+    f"""WITH {_PROFILE}, best AS (SELECT cluster_id, arg_min(w, (-n, w)) AS category FROM counted WHERE batch = 0 GROUP BY cluster_id),
+    bad AS (SELECT cluster_id, count(DISTINCT batch) AS batches FROM b WHERE contains(item, ' promo 7') GROUP BY cluster_id)
+    SELECT b.cluster_id, CASE WHEN d.batches IS NULL THEN category END AS category, coalesce(d.batches, 0) AS batches FROM best b LEFT JOIN bad d USING (cluster_id)""",
+)
+def enr1_rejected(spark, d):
+    """Clusters with a batch that is never answered in JSON: no profile, and listed with their rejected batches."""
+    items = _items(spark, d)
+    profiles, rejected, _ = en.profile_clusters(items, misprofiled(" promo 7"), ["base"])
+    every = items.select("cluster_id").distinct().join(profiles.select("cluster_id", "category"), "cluster_id", "left")
+    return every.join(en.failed_groups(rejected), "cluster_id", "left").select("cluster_id", "category", F.coalesce("batches", F.lit(0)).alias("batches"))
+
+
 @query(
     "enr2_extract_values",
     f"WITH {PARTS} SELECT DISTINCT cluster_id, item, 'size=' || size || ' mm|type=' || type AS flat_values FROM parts",
@@ -158,10 +183,10 @@ def enr4(spark, d):
     """Clusters starting with a known item answered and cached, then everything asked again."""
     path = scratch_path(spark, "cache")
     items = _items(spark, d)
-    _, first = en.profile_clusters(items.join(known_first(parts(spark, d)), "cluster_id", "left_semi"), en.frequency_profile(PATTERNS), ["base"])
+    _, _, first = en.profile_clusters(items.join(known_first(parts(spark, d)), "cluster_id", "left_semi"), en.frequency_profile(PATTERNS), ["base"])
     en.append_cache(first.cache, path)
     cache = spark.read.schema(en.CACHE).parquet(path)
-    _, second = en.profile_clusters(items, en.frequency_profile(PATTERNS), ["base"], cache)
+    _, _, second = en.profile_clusters(items, en.frequency_profile(PATTERNS), ["base"], cache)
     return second.responses.where("valid").select("cluster_id", "batch", "from_cache")
 
 

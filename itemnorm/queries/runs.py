@@ -3,12 +3,12 @@
 from pyspark.sql import functions as F
 
 from itemnorm.operators.collapse import named_entries
-from itemnorm.operators.enrich import frequency_profile, pattern_extraction
+from itemnorm.operators.enrich import frequency_profile, pattern_extraction, python_provider
 from itemnorm.operators.matching import match_memory
 from itemnorm.plans.clusterize import clusterize
 from itemnorm.plans.normalize import normalize, normalize_input, rededupe, with_attribute_mode
 from itemnorm.plans.runs import RunStore, completed_clusters, normalize_run, only_clusters, run_summary
-from itemnorm.queries.enrichment import PATTERNS, stubborn
+from itemnorm.queries.enrichment import PATTERNS, misprofiled, stubborn
 from itemnorm.queries.inputs import FINISHED, GROUPED, PARTS, catalogue, digest_embedder, digest_vector, flat, known_first, memory, parts, sql_item_id
 from itemnorm.queries.matching import _KEYS as KEYS
 from itemnorm.queries.registry import query
@@ -43,6 +43,34 @@ def pip1(spark, d):
     return out.catalogue.clusters.join(n, "cluster_id").select("name", "source", "n_rows", F.array_join("attributes", ",").alias("attributes"))
 
 
+@query(
+    "pip1_failed_group",
+    f"""WITH {GROUPED}, {KEYS}, hit AS (SELECT p.pos, p.item, g.brand FROM parts p JOIN keys k ON lower(p.item) = k.key JOIN grouped g ON {sql_item_id('g.enriched_name')} = k.item_id),
+    named AS (SELECT pos AS item_idx, item, brand AS grp, true AS known FROM hit UNION ALL SELECT item_id + 1 + (SELECT max(pos) FROM parts), text, trim(text, e' \n\t\r'), false FROM benchmark),
+    grps AS (SELECT grp, known, min(item_idx) AS cluster_id, count(*) AS items FROM named GROUP BY ALL),
+    b AS (SELECT g.cluster_id, item, (row_number() OVER (PARTITION BY g.cluster_id ORDER BY item_idx) - 1) // 18 AS batch FROM named n JOIN grps g ON n.grp = g.grp AND n.known = g.known),
+    bad AS (SELECT cluster_id, count(DISTINCT batch) AS batches FROM b WHERE contains(item, ' promo 7') OR contains(item, 'ae') GROUP BY cluster_id)
+    SELECT g.cluster_id, g.known, g.items, CASE WHEN d.batches IS NULL THEN 'catalogue' ELSE 'failed' END AS listed, coalesce(d.batches, 0) AS batches FROM grps g LEFT JOIN bad d USING (cluster_id)""",
+)
+def pip1_failed(spark, d):
+    """Known and new groups of which some never get a valid profile: those are not in the catalogue, but listed."""
+    mem = memory(spark, d)
+    mem = mem.with_(points=mem.points.withColumn("vec_local", digest_vector(F.col("text"))))
+    wrong = misprofiled("ae")
+
+    def profiler(requests):
+        promo = requests.select("request_id", F.exists("items", lambda i: i.contains(" promo 7")).alias("promo"))
+        return wrong(requests).join(promo, "request_id").select("request_id", F.when(~F.col("promo"), F.col("response")).alias("response"))
+
+    out = clusterize(_run_items(spark, d), mem, ["base"], local=digest_embedder, profiler=profiler)
+    firsts = out.known.groupBy("cluster_name").agg(F.min("item_idx").alias("cluster_id"), F.count("*").alias("items"))
+    sizes = firsts.select("cluster_id", F.lit(True).alias("known"), "items").unionByName(
+        out.groups.groupBy("cluster_id").agg(F.count("*").alias("items")).withColumn("known", F.lit(False))
+    )
+    there = out.catalogue.clusters.select("cluster_id").join(sizes, "cluster_id").withColumns({"listed": F.lit("catalogue"), "batches": F.lit(0).cast("bigint")})
+    return there.unionByName(out.failed.withColumn("listed", F.lit("failed")).drop("error"))
+
+
 def _prepared(spark, d):
     """Working set with attributes that the patterns can find and a template that tells names apart."""
     c = catalogue(spark, d)
@@ -141,6 +169,39 @@ def c2_after_failure(spark, d):
     return store.results()[1].join(again, "cluster_id", "left").select("cluster_id", "item", "enriched_name", F.coalesce("second_run", F.lit(False)).alias("second_run"))
 
 
+def _raising(words):
+    """Provider that raises where an item holds one of the words: for good, or in passing."""
+    def load():
+        import json
+        import re
+
+        def ask(items, attributes, prompt):
+            for word, error in words:
+                if any(word in i for i in items):
+                    raise error(f"{word.strip()} is refused")
+            rules = {"type": r" (\w+) \d+ mm", "size": r"(\d+ mm)"}
+            return json.dumps({"normalized": [{"item": i, "values": {a: re.search(rules[a], i).group(1) for a in attributes}} for i in items]})
+
+        return ask
+
+    return python_provider(load)
+
+
+@query(
+    "enr2_raising_provider",
+    f"""WITH {GROUPED}, {_ITEM}, f AS (SELECT cluster_id, bool_or(contains(item, ' promo 7')) AS final, bool_or(contains(item, ' economy 9 ')) AS passing FROM items GROUP BY cluster_id)
+    SELECT i.cluster_id, i.item, CASE WHEN final OR passing THEN NULL ELSE i.name END AS enriched_name, final OR passing AS pending FROM items i JOIN f USING (cluster_id)""",
+)
+def enr2_raising(spark, d):
+    """A model that raises on some items: their clusters stay pending, all others are finished and saved."""
+    c, store = _prepared(spark, d).stored("clusters", "members", "rows", "items"), RunStore(spark, scratch_path(spark, "run"))
+    provider = _raising([(" promo 7", PermissionError), (" economy 9 ", TimeoutError)])
+    waiting = cut_lineage(normalize_run(c, store, slice_items=500, provider=provider, attempts=2, **_HOW).select("cluster_id", F.lit(True).alias("pending")))
+    every = normalize_input(c).select("cluster_id", "item")
+    done = store.results()[1].select("cluster_id", "item", "enriched_name")
+    return every.join(done, ["cluster_id", "item"], "left").join(waiting, "cluster_id", "left").select("cluster_id", "item", "enriched_name", F.coalesce("pending", F.lit(False)).alias("pending"))
+
+
 @query("c3_restart", f"WITH {PARTS} SELECT DISTINCT cluster_id FROM parts")
 def c3(spark, d):
     c, store = _half_done(spark, d)

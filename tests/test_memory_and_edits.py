@@ -1,4 +1,7 @@
 import glob
+import os
+import tempfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -211,6 +214,52 @@ def test_batches_are_audited_and_rejected(spark):
     assert en.extract_values(usable, en.python_provider(lambda: None), answers.cache)[2].responses.where("not from_cache").count() == 0
 
 
+def test_a_call_that_raises_fails_its_own_request(spark):
+    """Final errors are asked once, passing ones again; the other requests of the same task are answered."""
+    folder = tempfile.mkdtemp()
+
+    def load():
+        import json
+        import os
+        import uuid
+
+        def ask(items, attributes, prompt):
+            open(os.path.join(folder, f"{items[0]}-{uuid.uuid4().hex}"), "w").close()
+            if items[0] == "denied":
+                raise PermissionError("no")
+            if items[0] == "busy" and len([f for f in os.listdir(folder) if f.startswith("busy")]) < 2:
+                raise RuntimeError("429 slow down")
+            if items[0] == "never":
+                raise TimeoutError("later")
+            return json.dumps({"normalized": [{"item": i, "values": {"a": i}} for i in items]})
+
+        return ask
+
+    rows = [(n, 0, item, ["a"]) for n, item in enumerate(["fine", "denied", "busy", "never", "good"])]
+    items = spark.createDataFrame(rows, "cluster_id long, pos long, item string, attributes array<string>").coalesce(1)
+    values, rejected, answers = en.extract_values(items, en.python_provider(load), attempts=3)
+    assert {r["item"] for r in values.collect()} == {"fine", "busy", "good"}
+    assert {(r["items"][0], r["error"]) for r in rejected.collect()} == {("denied", "PermissionError: no"), ("never", "TimeoutError: later")}
+    assert not answers.complete and answers.cache.count() == 3
+    asked = Counter(name.split("-")[0] for name in os.listdir(folder))
+    assert asked == {"fine": 1, "denied": 1, "busy": 2, "never": 3, "good": 1}
+    assert {(r["cluster_id"], r["batches"], r["error"]) for r in en.failed_groups(rejected).collect()} == {(1, 1, "PermissionError: no"), (3, 1, "TimeoutError: later")}
+    broken = en.extract_values(items, en.python_provider(lambda: 1 / 0), attempts=2)[1]
+    assert {r["error"] for r in broken.collect()} == {"ZeroDivisionError: division by zero"}
+
+
+def test_a_profile_that_lacks_a_batch_is_none(spark):
+    def load():
+        return lambda items, attributes, prompt: "?" if "bad" in items else '{"category": "c", "attributes": ["x"], "name_template": ""}'
+
+    rows = [(1, n, f"i{n}") for n in range(40)] + [(2, n, "bad" if n == 30 else f"j{n}") for n in range(40)]
+    items = spark.createDataFrame(rows, "cluster_id long, pos long, item string")
+    profiles, rejected, answers = en.profile_clusters(items, en.python_provider(load), ["base"])
+    assert [(r["cluster_id"], r["attributes"]) for r in profiles.collect()] == [(1, ["base", "x"])]
+    assert [(r["cluster_id"], r["batch"], r["error"]) for r in rejected.collect()] == [(2, 1, None)]
+    assert answers.cache.count() == 5
+
+
 def test_points_whose_ids_share_their_first_digits_stay_apart(spark):
     from itemnorm.model import POINT_ALIASES, POINTS, Memory
     from itemnorm.operators.assemble import memory_to_clusters
