@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from itemnorm.model import ALIASES, CLUSTERS, ITEMS, MEMBERS, ROWS, Catalogue
 from itemnorm.operators.ordering import running_sum
 from itemnorm.plans.normalize import normalize, normalize_input
-from itemnorm.session import cut_lineage, scratch_run
-from itemnorm.sources.memory_store import _fs
+from itemnorm.session import cut_lineage, scratch_path, scratch_run
+from itemnorm.sources.commits import names, put_if_absent
 
 SCHEMAS = {"clusters": CLUSTERS, "rows": ROWS, "aliases": ALIASES, "members": MEMBERS, "items": ITEMS}
 NORMALIZED = "cluster_id bigint, item_pos bigint, item string, enriched_name string, values map<string,string>, source string"
@@ -19,37 +19,38 @@ NORMALIZED = "cluster_id bigint, item_pos bigint, item string, enriched_name str
 class RunStore:
     """Results of finished clusters under one folder.
 
-    Every save appends its tables tagged with a save id and writes the done marker
-    last. Lines of a save without a marker are never read, so a save that died half-way
-    leaves nothing behind, and a cluster counts as done only when all of it is there.
+        <path>/save-<id>/<table>   what one save holds
+        <path>/done-<id>           appears last and whole, when all of it is there
+
+    A save without its done file is never read, so one that died half-way leaves nothing behind, and a cluster counts as done
+    only when all of it is there. A save reads no other save.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def saves(self) -> list[str]:
+        """Ids of the saves that count."""
+        return sorted(n.removeprefix("done-") for n in names(self.spark, self.path) if n.startswith("done-"))
 
     def _read(self, part: str, schema: str) -> DataFrame:
-        fs, path_of = _fs(self.spark, self.path)
-        full = f"{schema}, save_id string"
-        if not fs.exists(path_of(f"{self.path}/{part}")):
-            return self.spark.createDataFrame([], full)
-        return self.spark.read.schema(full).parquet(f"{self.path}/{part}")
+        saves = self.saves()
+        if not saves:
+            return self.spark.createDataFrame([], f"{schema}, save_id string")
+        folders = [f"{self.path}/save-{i}/{part}" for i in saves]
+        return self.spark.read.schema(schema).parquet(*folders).withColumn("save_id", F.regexp_extract("_metadata.file_path", r"/save-([0-9a-f]+)/[^/]+/[^/]+$", 1))
 
     def save(self, collapsed: Catalogue, normalized: DataFrame) -> str:
         save_id = uuid.uuid4().hex
         parts = {p: getattr(collapsed, p) for p in SCHEMAS} | {"normalized": normalized}
         for part, df in parts.items():
-            df.withColumn("save_id", F.lit(save_id)).write.mode("append").parquet(f"{self.path}/{part}")
-        done = self._read("clusters", CLUSTERS).where(F.col("save_id") == save_id).select("cluster_id", "save_id")
-        done.write.mode("append").parquet(f"{self.path}/done")
+            df.write.parquet(f"{self.path}/save-{save_id}/{part}")
+        put_if_absent(self.spark, f"{self.path}/done-{save_id}", {"tables": sorted(parts)})
         return save_id
 
     def done(self) -> DataFrame:
         """cluster_id, save_id: a cluster saved twice counts by one of its saves."""
-        fs, path_of = _fs(self.spark, self.path)
-        schema = "cluster_id bigint, save_id string"
-        if not fs.exists(path_of(f"{self.path}/done")):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/done").groupBy("cluster_id").agg(F.max("save_id").alias("save_id"))
+        return self._read("clusters", CLUSTERS).groupBy("cluster_id").agg(F.max("save_id").alias("save_id"))
 
     def results(self) -> tuple[Catalogue, DataFrame]:
         done = self.done()
@@ -62,7 +63,7 @@ class RunStore:
 
     def restart(self) -> "RunStore":
         """A store that has seen nothing: a new folder, earlier results stay unread."""
-        return RunStore(self.spark, f"{self.path.rstrip('/')}-{uuid.uuid4().hex}")
+        return RunStore(self.spark, f"{self.path}-{uuid.uuid4().hex}")
 
 
 def only_clusters(catalogue: Catalogue, clusters: DataFrame) -> Catalogue:
@@ -70,22 +71,48 @@ def only_clusters(catalogue: Catalogue, clusters: DataFrame) -> Catalogue:
     return Catalogue(*[getattr(catalogue, p).join(keep, "cluster_id", "left_semi") for p in SCHEMAS])
 
 
+class Slices:
+    """A catalogue written once, every table partitioned by slice, so that a slice is read without the rest."""
+
+    def __init__(self, catalogue: Catalogue, plan: DataFrame) -> None:
+        """plan(cluster_id, part): clusters without a line are left out."""
+        self.spark = plan.sparkSession
+        self.path = scratch_path(self.spark, "slices")
+        for table in SCHEMAS:
+            rows = getattr(catalogue, table).join(plan.select("cluster_id", "part"), "cluster_id")
+            # Rows of a slice lie in few files, and a slice of one huge cluster in as many as it needs.
+            order = ["part", "cluster_id", *(c for c in ("row_pos", "item_pos") if c in rows.columns)]
+            rows.repartitionByRange(*order).write.partitionBy("part").parquet(f"{self.path}/{table}")
+
+    def read(self, part: int) -> Catalogue:
+        def table(name: str) -> DataFrame:
+            folder = f"{self.path}/{name}/part={part}"
+            if f"part={part}" not in names(self.spark, f"{self.path}/{name}"):
+                return self.spark.createDataFrame([], SCHEMAS[name])
+            return self.spark.read.schema(SCHEMAS[name]).parquet(folder)
+
+        return Catalogue(**{name: table(name) for name in SCHEMAS})
+
+
 def normalize_run(catalogue: Catalogue, store: RunStore, *, slice_items: int = 1_000_000, **how) -> DataFrame:
     """Normalises pending clusters slice by slice and saves each slice; the clusters still pending after it.
 
     A slice holds whole clusters in id order, about slice_items items of them (one larger cluster is a
-    slice by itself). A slice's intermediate tables go once it is saved. A run that dies keeps what it
+    slice by itself). The pending part of the catalogue is written once by slice, and a slice reads its own files only.
+    All intermediate tables of a slice go once it is saved. A run that dies keeps what it
     saved, and another one goes on from there. Clusters with a batch that had no usable answer are not
     saved and stay pending. how: arguments of normalize.
     """
-    waiting = store.pending(catalogue.clusters).select("cluster_id")
-    sizes = normalize_input(only_clusters(catalogue, waiting)).groupBy("cluster_id").agg(F.count("*").alias("n")).withColumn("all", F.lit(0))
-    upto = running_sum(sizes, ["all"], "cluster_id", "n", "upto")
-    plan = cut_lineage(upto.select("cluster_id", F.floor((F.col("upto") - F.col("n")) / slice_items).alias("part")))
-    for row in plan.select("part").distinct().orderBy("part").toLocalIterator():
-        with scratch_run(store.spark):
-            out = normalize(only_clusters(catalogue, plan.where(F.col("part") == row["part"])), **how)
-            store.save(out.collapsed, out.items)
+    with scratch_run(store.spark):
+        waiting = store.pending(catalogue.clusters).select("cluster_id")
+        sizes = normalize_input(only_clusters(catalogue, waiting)).groupBy("cluster_id").agg(F.count("*").alias("n")).withColumn("all", F.lit(0))
+        upto = running_sum(sizes, ["all"], "cluster_id", "n", "upto")
+        plan = cut_lineage(upto.select("cluster_id", F.floor((F.col("upto") - F.col("n")) / slice_items).alias("part")))
+        slices = Slices(catalogue, plan)
+        for row in plan.select("part").distinct().orderBy("part").toLocalIterator():
+            with scratch_run(store.spark):
+                out = normalize(slices.read(row["part"]), **how)
+                store.save(out.collapsed, out.items)
     return store.pending(catalogue.clusters)
 
 

@@ -12,6 +12,7 @@ from itemnorm.queries.inputs import GROUPED, PARTS, catalogue, digest_vector, fl
 from itemnorm.queries.registry import query
 from itemnorm.session import cut_lineage, scratch_path
 from itemnorm.sources import memory_store as ms
+from itemnorm.sources.commits import file_system
 
 _ID = sql_item_id("enriched_name")
 
@@ -227,6 +228,18 @@ def snk1(spark, d):
     return ms.read_memory(spark, path).points.select("item_id", "text", F.try_element_at("attributes", F.lit("type")).alias("type"), "cluster_name")
 
 
+@query("snk1_torn_commit", f"WITH {GROUPED}, {_UPSERT} SELECT {sql_item_id('text')} AS item_id, text, type, cluster_name, 3 AS version FROM upserted")
+def snk1_torn(spark, d):
+    """A commit file that was begun and never written is no version: readers pass it over, and a save goes on from the one before."""
+    path = scratch_path(spark, "memory")
+    ms.write_memory(spark, path, memory(spark, d))
+    fs, path_of = file_system(spark, path)
+    fs.create(path_of(f"{path}/commit-2"), False).close()
+    version = ms.save_points(spark, path, *_fresh(spark, d), base=1)
+    points = ms.read_memory(spark, path).points
+    return points.select("item_id", "text", F.try_element_at("attributes", F.lit("type")).alias("type"), "cluster_name", F.lit(version).alias("version"))
+
+
 @query(
     "snk2_replace_cluster",
     f"WITH {GROUPED}, {_UPSERT} SELECT text, cluster_name FROM upserted u WHERE NOT (cluster_name = 'Brand#5' AND NOT EXISTS (SELECT 1 FROM fresh f WHERE f.text = u.text))",

@@ -1,6 +1,6 @@
 """Whole runs: clusterize, normalise, rededupe, checkpoints."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from itemnorm.operators.collapse import named_entries
 from itemnorm.operators.enrich import frequency_profile, pattern_extraction, python_provider
@@ -149,6 +149,21 @@ def c2(spark, d):
     return store.results()[1].select("cluster_id", "item", "enriched_name")
 
 
+@query(
+    "c1_sliced_run",
+    f"""WITH {GROUPED}, {_ITEM}, n AS (SELECT cluster_id, count(*) AS n FROM items GROUP BY cluster_id),
+    s AS (SELECT cluster_id, (sum(n) OVER (ORDER BY cluster_id) - n) // 600 AS slice FROM n)
+    SELECT cluster_id, item, name AS enriched_name, CAST(dense_rank() OVER (ORDER BY slice) AS INTEGER) AS save_no FROM items JOIN s USING (cluster_id)""",
+)
+def c1_sliced(spark, d):
+    """A run in slices of about 600 items: one save per slice, each holding its own clusters."""
+    c, store = _prepared(spark, d), RunStore(spark, scratch_path(spark, "run"))
+    normalize_run(c, store, slice_items=600, provider=pattern_extraction(PATTERNS), embedder=digest_embedder, limit=0.000001)
+    firsts = store.done().groupBy("save_id").agg(F.min("cluster_id").alias("first"))
+    numbered = firsts.select("save_id", F.rank().over(Window.orderBy("first")).alias("save_no"))
+    return store.results()[1].join(store.done(), "cluster_id").join(numbered, "save_id").select("cluster_id", "item", "enriched_name", "save_no")
+
+
 _SPOILT = "spoilt AS (SELECT cluster_id FROM parts GROUP BY cluster_id HAVING bool_or(contains(item, ' promo 7')))"
 _HOW = {"embedder": digest_embedder, "limit": 0.000001}
 

@@ -2,17 +2,17 @@
 
     <path>/data-<id>/points   points a version added, sorted by cluster, and their aliases beside them
     <path>/data-<id>/gone     ids whose earlier points a version replaced or removed
-    <path>/commit-<n>         the folder of version n, and whether it holds everything
+    <path>/commit-<n>         the folder of version n, the version it builds on, and whether it holds everything
 
 A small save writes only what it changes; readers put the folders of a chain together, an id's points of a
 version counting unless a later version lists the id as gone. Every CHAIN versions one is written
-whole. A commit file is created once and never overwritten: a writer that started from an older version
-than the current one finds its number taken and fails, and data of a job that died is never read.
+whole. A commit file appears whole, once, and is never overwritten: a writer that started from an older version
+than the current one finds that out or finds its number taken, and fails, and data of a job that died is never read. A
+commit file that is torn all the same is no version: readers go back to the one before, and its number is left out.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
 from functools import reduce
 
@@ -22,6 +22,7 @@ from itemnorm.functions.text import MEMORY_CLUSTER, clean_map, item_id, strip_u,
 from itemnorm.model import POINT_ALIASES, POINTS, Memory
 from itemnorm.operators.ordering import last_per_key
 from itemnorm.session import cut_lineage
+from itemnorm.sources.commits import file_system, names, put_if_absent, read_commit
 
 #: Versions that a reader puts together before a save writes everything again.
 CHAIN = 8
@@ -32,41 +33,39 @@ class StaleMemory(RuntimeError):
     """The memory has a newer version than the one the writer started from."""
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+def _numbers(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of all commit files, newest first."""
+    tails = [n.removeprefix("commit-") for n in names(spark, path) if n.startswith("commit-")]
+    return sorted((int(t) for t in tails if t.isdigit()), reverse=True)
+
+
+def _held(spark: SparkSession, path: str, version: int) -> dict | None:
+    held = read_commit(spark, f"{path}/commit-{version}")
+    return held if held and {"folder", "whole"} <= held.keys() else None
 
 
 def current_version(spark: SparkSession, path: str) -> int:
     """Newest committed version, 0 when there is none."""
-    fs, path_of = _fs(spark, path)
-    if not fs.exists(path_of(path)):
-        return 0
-    names = [s.getPath().getName() for s in fs.listStatus(path_of(path))]
-    return max([0, *(int(n.removeprefix("commit-")) for n in names if n.startswith("commit-"))])
+    return next((n for n in _numbers(spark, path) if _held(spark, path, n)), 0)
 
 
-def _commit(spark: SparkSession, path: str, version: int, folder: str, whole: bool) -> None:
-    fs, path_of = _fs(spark, path)
-    try:
-        stream = fs.create(path_of(f"{path}/commit-{version}"), False)
-    except Exception as taken:
-        raise StaleMemory(f"version {version} of {path} was committed by another writer") from taken
-    stream.write(bytearray(json.dumps({"folder": folder, "whole": whole}).encode()))
-    stream.close()
+def _commit(spark: SparkSession, path: str, base: int, folder: str, whole: bool) -> int:
+    """The number after all others: who read the same list of commits wants the same number, and one of them gets it."""
+    number = max(_numbers(spark, path), default=0) + 1
+    if current_version(spark, path) != base or not put_if_absent(spark, f"{path}/commit-{number}", {"folder": folder, "whole": whole, "base": base}):
+        raise StaleMemory(f"{path} has a newer version than {base}")
+    return number
 
 
 def _chain(spark: SparkSession, path: str, version: int) -> list[tuple[int, str, bool]]:
     """(version, folder, whole) from the given version back to the last whole one."""
-    fs, path_of = _fs(spark, path)
     out: list[tuple[int, str, bool]] = []
     while version and not (out and out[-1][2]):
-        stream = fs.open(path_of(f"{path}/commit-{version}"))
-        held = json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        stream.close()
+        held = _held(spark, path, version)
+        if held is None:
+            raise ValueError(f"{version} is no version of {path}")
         out.append((version, held["folder"], held["whole"]))
-        version -= 1
+        version = held.get("base", version - 1)
     return out
 
 
@@ -96,7 +95,7 @@ def read_memory(spark: SparkSession, path: str, with_vectors: bool = True, versi
     return Memory(part("points", POINTS), part("aliases", POINT_ALIASES))
 
 
-def _write(spark: SparkSession, path: str, memory: Memory, gone: DataFrame | None, version: int) -> int:
+def _write(spark: SparkSession, path: str, memory: Memory, gone: DataFrame | None, base: int) -> int:
     """Range partitioning by cluster gives files narrow cluster_name ranges, so a load of one cluster skips
     files by their statistics, and a huge cluster still spans files."""
     folder = f"data-{uuid.uuid4().hex}"
@@ -106,13 +105,12 @@ def _write(spark: SparkSession, path: str, memory: Memory, gone: DataFrame | Non
     memory.aliases.repartitionByRange("item_id", "alias_pos").sortWithinPartitions("item_id").write.parquet(f"{path}/{folder}/aliases")
     if gone is not None:
         gone.select("item_id").distinct().write.parquet(f"{path}/{folder}/gone")
-    _commit(spark, path, version, folder, gone is None)
-    return version
+    return _commit(spark, path, base, folder, gone is None)
 
 
 def write_memory(spark: SparkSession, path: str, memory: Memory, base: int | None = None) -> int:
     """Writes everything as the next version and returns its number; base: the version the memory was read at."""
-    return _write(spark, path, memory, None, (current_version(spark, path) if base is None else base) + 1)
+    return _write(spark, path, memory, None, current_version(spark, path) if base is None else base)
 
 
 def _change(spark: SparkSession, path: str, added: Memory, gone: DataFrame, base: int) -> int:
@@ -120,8 +118,8 @@ def _change(spark: SparkSession, path: str, added: Memory, gone: DataFrame, base
         old = read_memory(spark, path, version=base)
         out = gone.select("item_id").distinct()
         whole = Memory(*[getattr(old, p).join(out, "item_id", "left_anti").unionByName(getattr(added, p)) for p in ("points", "aliases")])
-        return _write(spark, path, whole, None, base + 1)
-    return _write(spark, path, added, gone, base + 1)
+        return _write(spark, path, whole, None, base)
+    return _write(spark, path, added, gone, base)
 
 
 def save_points(spark: SparkSession, path: str, new_points: DataFrame, new_aliases: DataFrame, replace_cluster: str | None = None, base: int | None = None) -> int:
@@ -159,17 +157,17 @@ def _ids(memory: Memory, wanted: Column) -> DataFrame:
 
 def vacuum(spark: SparkSession, path: str, keep: int = 2) -> int:
     """Deletes data that only versions older than the last `keep` use; how many folders went."""
-    fs, path_of = _fs(spark, path)
-    last = current_version(spark, path)
-    used = {folder for v in range(max(1, last - keep + 1), last + 1) for _, folder, _ in _chain(spark, path, v)}
-    oldest = min((v for k in range(max(1, last - keep + 1), last + 1) for v, _, _ in _chain(spark, path, k)), default=1)
+    fs, path_of = file_system(spark, path)
+    numbers = _numbers(spark, path)
+    versions = [n for n in numbers if _held(spark, path, n)]
+    chains = [line for v in versions[:keep] for line in _chain(spark, path, v)]
+    used = {folder for _, folder, _ in chains}
+    oldest = min((v for v, _, _ in chains), default=1)
     gone = 0
-    for version in range(oldest - 1, 0, -1):
-        if not fs.exists(path_of(f"{path}/commit-{version}")):
-            break
-        folder = _chain(spark, path, version)[0][1]
-        if folder not in used:
-            gone += bool(fs.delete(path_of(f"{path}/{folder}"), True))
+    for version in (n for n in numbers if n < oldest):
+        held = _held(spark, path, version)
+        if held and held["folder"] not in used:
+            gone += bool(fs.delete(path_of(f"{path}/{held['folder']}"), True))
         fs.delete(path_of(f"{path}/commit-{version}"), False)
     return gone
 

@@ -290,3 +290,61 @@ def test_selection_refuses_unknown_clusters(spark):
     assert [r["cluster_id"] for r in select_clusters(c, picked).orderBy("sel_pos").collect()] == [2, 1]
     with pytest.raises(Exception, match="out of range"):
         select_clusters(c, spark.createDataFrame([(0, 9)], "sel_pos long, cluster_id long")).collect()
+
+
+def test_commits_appear_whole_or_not_at_all(spark):
+    from itemnorm.sources.commits import file_system, names, put_if_absent, read_commit
+
+    path = scratch_path(spark, "commits")
+    file_system(spark, path)[0].mkdirs(file_system(spark, path)[1](path))
+    assert put_if_absent(spark, f"{path}/commit-1", {"n": 1})
+    assert not put_if_absent(spark, f"{path}/commit-1", {"n": 2})
+    assert read_commit(spark, f"{path}/commit-1") == {"n": 1}
+    assert names(spark, path) == ["commit-1"]
+    with pytest.raises(Exception) as denied:  # no disk of that name: not a taken number
+        put_if_absent(spark, "nosuchstore://x/commit-1", {"n": 1})
+    assert not isinstance(denied.value, ms.StaleMemory)
+
+
+def test_a_torn_commit_is_no_version(spark):
+    from itemnorm.sources.commits import file_system
+
+    path = scratch_path(spark, "memory")
+    first = memory(spark)
+    assert ms.write_memory(spark, path, first) == 1
+    fs, path_of = file_system(spark, path)
+    for name, text in (("commit-2", b""), ("commit-3", b'{"folder": "da'), ("commit-x", b"")):
+        stream = fs.create(path_of(f"{path}/{name}"), False)
+        stream.write(bytearray(text))
+        stream.close()
+    assert ms.current_version(spark, path) == 1
+    assert ms.read_memory(spark, path).points.count() == first.points.count()
+    assert ms.remove_text(spark, path, "alpha", base=1) == 1
+    assert ms.current_version(spark, path) == 4
+    assert ms.read_memory(spark, path).points.count() == first.points.count() - 1
+    with pytest.raises(ms.StaleMemory):
+        ms.remove_text(spark, path, "beta", base=1)
+    assert ms.remove_text(spark, path, "beta") == 1 and ms.current_version(spark, path) == 5
+    ms.write_memory(spark, path, first)
+    assert ms.vacuum(spark, path, keep=1) >= 1
+    assert ms.current_version(spark, path) == 6 and ms.read_memory(spark, path).points.count() == first.points.count()
+
+
+def test_a_slice_reads_its_own_files(spark):
+    from itemnorm.plans.runs import RunStore, Slices
+
+    c = catalogue(spark)
+    plan = spark.createDataFrame([(1, 0), (2, 3)], "cluster_id long, part long")
+    slices = Slices(c, plan)
+    for part, cluster in ((0, 1), (3, 2)):
+        held = slices.read(part)
+        for name in ("clusters", "rows", "aliases", "members", "items"):
+            got, want = getattr(held, name), getattr(c, name).where(F.col("cluster_id") == cluster)
+            assert all(f"/part={part}/" in f for f in got.inputFiles())
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
+    store = RunStore(spark, scratch_path(spark, "run"))
+    assert store.done().count() == 0
+    save = store.save(c, spark.createDataFrame([(1, 0, "a", "a", {}, "ai")], "cluster_id long, item_pos long, item string, enriched_name string, values map<string,string>, source string"))
+    c.clusters.write.parquet(f"{store.path}/save-dead/clusters")  # a save that died
+    assert store.saves() == [save]
+    assert {r["cluster_id"] for r in store.done().collect()} == {1, 2} and store.results()[0].clusters.count() == 2
