@@ -4,10 +4,13 @@ A table hashes a vector to the cell floor((a_j . x + b_j) / width) of its `hashe
 Two points at distance r differ by a normal variable of spread r in every projection, so for an item the
 chance that a neighbour at that distance lies in a perturbed cell is a product of normal interval
 masses. Cells are visited in that order of estimated success until their chances add up to what a table
-has to find. The radius r of the first visit is the median distance of the k-th neighbour in a bounded sample.
-It is too small for items in thin regions, so each item whose k-th found point is farther than that visits
+has to find. The radius r of the first visit is the median over a few sampled points of the distance to their k-th neighbour
+among all points. It is too small for items in thin regions, so each item whose k-th found point is farther than that visits
 again with this distance as its own radius; it is no less than that of its k-th neighbour, so the estimate
 errs on the side of more cells. An item whose considered cells cannot reach the chance is compared with all.
+
+Points are stored once per table, in parts of whole cells. Only distances to points of visited cells are computed,
+and a part is copied once per item_block of the items that visit it, so copies follow the visits.
 """
 
 from __future__ import annotations
@@ -30,21 +33,54 @@ WIDTH = 1.5
 SHIFTS = (-2, -1, 0, 1, 2)
 #: Chance that a neighbour at the radius lies in a visited cell of some table.
 SUCCESS = 0.96
-SAMPLE = 2048
+#: Sampled points of each dimension whose k-th neighbour is looked up among all points.
 SAMPLE_ITEMS = 64
 POINT_BLOCK = 4096
 ITEM_BLOCK = 2048
-_erf = np.vectorize(math.erf, otypes=[float])
 
 
-def sample_radius(sample: np.ndarray, k: int) -> float:
-    """Median distance of the k-th neighbour among the sample's own rows; its largest where it has fewer."""
-    if len(sample) < 2:
-        return 1.0
-    items = sample[:SAMPLE_ITEMS]
-    square = np.maximum((items**2).sum(1)[:, None] + (sample**2).sum(1)[None, :] - 2 * items @ sample.T, 0)
-    square.sort(axis=1)
-    return float(np.sqrt(np.median(square[:, min(k, len(sample) - 1)]))) or 1.0
+def _erf(x: np.ndarray) -> np.ndarray:
+    return np.frompyfunc(math.erf, 1, 1)(x).astype(float)
+
+
+def sample_radii(classes: DataFrame, k: int) -> dict[int, float]:
+    """Per number of components the median distance of SAMPLE_ITEMS points to their k-th neighbour, in one pass over all points.
+
+    The sample are the points of the smallest hashes; a task sends the k + 1 smallest distances of each.
+    Where points have fewer neighbours, the farthest counts; 1 where there is none.
+    """
+    spark = classes.sparkSession
+    sizes = {r["dims"]: r["n"] for r in classes.groupBy(F.size("vec").alias("dims")).agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return {}
+    bounds = spark.createDataFrame([(d, hash_bound(n, 1.5 * SAMPLE_ITEMS + 100)) for d, n in sizes.items()], "dims int, bound bigint")
+    near = classes.select("vec", F.size("vec").alias("dims"), hash_place("class_id").alias("order"), "class_id").join(F.broadcast(bounds), "dims")
+    chosen: dict[int, list] = {}
+    for row in near.where(F.col("order") <= F.col("bound")).orderBy("order", "class_id").toLocalIterator():
+        held = chosen.setdefault(row["dims"], [])
+        if len(held) < SAMPLE_ITEMS:
+            held.append(row["vec"])
+    shared = spark.sparkContext.broadcast({d: np.array(rows, float) for d, rows in chosen.items()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, np.ndarray] = {}
+        for batch in batches:
+            lengths = np.array(batch.column("vec").value_lengths())
+            for d in np.unique(lengths):
+                rows = np.flatnonzero(lengths == d)
+                y, x = _matrix(batch.column("vec").take(pa.array(rows)), len(rows)), shared.value[int(d)]
+                square = np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * x @ y.T, 0)
+                held = np.concatenate([best[d], square], axis=1) if d in best else square
+                best[d] = np.partition(held, k, axis=1)[:, : k + 1] if held.shape[1] > k + 1 else held
+        for d, held in best.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(held.size, d, np.int32)), pa.array(np.repeat(np.arange(len(held)), held.shape[1])), pa.array(np.sqrt(held.ravel()))], names=["dims", "item", "distance"]
+            )
+
+    found = classes.select("vec").mapInArrow(run, "dims int, item bigint, distance double")
+    nth = Window.partitionBy("dims", "item").orderBy("distance")
+    kth = found.withColumn("n", F.row_number().over(nth)).where(F.col("n") <= k + 1).groupBy("dims", "item").agg(F.max("distance").alias("distance"))
+    return {r["dims"]: r["radius"] or 1.0 for r in kth.groupBy("dims").agg(F.median("distance").alias("radius")).collect()}
 
 
 class StableHash:
@@ -122,16 +158,7 @@ def nearest_points(
     classes = cut_lineage(vector_classes(offered, take))
     asked = cut_lineage(given.groupBy("vec").agg(F.min("item_idx").alias("asked_id")))
 
-    # The radius of each dimension from a sample of at most SAMPLE distinct points, those of the smallest hashes.
-    sizes = {r["dims"]: r["n"] for r in classes.groupBy(F.size("vec").alias("dims")).agg(F.count("*").alias("n")).collect()}
-    bounds = spark.createDataFrame([(d, hash_bound(n, 1.5 * SAMPLE + 100)) for d, n in sizes.items()], "dims int, bound bigint")
-    near = classes.select("vec", F.size("vec").alias("dims"), hash_place("class_id").alias("order"), "class_id").join(F.broadcast(bounds), "dims")
-    sample: dict[int, list] = {}
-    for row in near.where(F.col("order") <= F.col("bound")).orderBy("order", "class_id").toLocalIterator():
-        held = sample.setdefault(row["dims"], [])
-        if len(held) < SAMPLE:
-            held.append(row["vec"])
-    hashing = {d: StableHash(d, sample_radius(np.array(rows, float), k), tables, hashes, seed) for d, rows in sample.items()}
+    hashing = {d: StableHash(d, radius, tables, hashes, seed) for d, radius in sample_radii(classes, k).items()}
     chance = 1 - (1 - success) ** (1 / tables)
 
     def by_dims(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, StableHash]]:
@@ -176,7 +203,7 @@ def nearest_points(
     )
     part = F.pmod(F.xxhash64("cell_id", "split"), F.col("parts")).alias("part")
     indexed = hashed.join(cells, ["dims", "table", "cell"]).withColumn("split", F.pmod(F.xxhash64("class_id"), F.col("splits")))
-    indexed = indexed.select("class_id", "table", "dims", part, "cell_id").join(classes.select("class_id", "vec"), "class_id")
+    indexed = cut_lineage(indexed.select("class_id", "table", "dims", part, "cell_id").join(classes.select("class_id", "vec"), "class_id"))
 
     def probes(wanted: DataFrame) -> DataFrame:
         return wanted.select("asked_id", "vec", "reach").mapInArrow(probe_items, f"asked_id {idx_kind}, dims int, table int, cell array<bigint>")
@@ -189,11 +216,6 @@ def nearest_points(
             .groupBy("asked_id", "dims", "table", "part").agg(F.collect_set("cell_id").alias("visited"))
         )
 
-    counts = asked.groupBy(F.size("vec").alias("dims")).agg(F.ceil(F.count("*") / item_block).cast("bigint").alias("item_blocks"))
-    own_block = F.pmod(F.xxhash64("asked_id"), F.col("item_blocks")).alias("item_block")
-    key = ["dims", "table", "part", "item_block"]
-    spread = indexed.join(F.broadcast(counts), "dims").select("class_id", "vec", "cell_id", "dims", "table", "part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("item_blocks") - 1)).alias("item_block"))
-    spread = cut_lineage(spread)
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
     nothing = pa.table([pa.array([], arrow[idx_kind]), pa.array([], arrow[id_kind]), pa.array([], pa.float64())], names=["asked_id", "class_id", "score"])
 
@@ -201,46 +223,51 @@ def nearest_points(
         """The nearest `take` of the part per item, equal distances included."""
         if not a.num_rows or not b.num_rows:
             return nothing
+        b = b.sort_by("cell_id")
         y = _matrix(b["vec"], b.num_rows)
-        names, cell = np.unique(b["cell_id"].to_numpy(), return_inverse=True)
+        names, starts = np.unique(b["cell_id"].to_numpy(), return_index=True)
+        ends = np.append(starts[1:], b.num_rows)
         norms, out = (y**2).sum(1), []
-        for first in range(0, a.num_rows, 128):
-            rows = a.slice(first, 128)
-            x = _matrix(rows["vec"], rows.num_rows)
-            square = (x**2).sum(1)[:, None] + norms[None, :] - 2 * x @ y.T
-            for n, own in enumerate(rows["visited"].to_pylist()):
-                if own is not None:  # null: every cell
-                    open_ = np.zeros(len(names), bool)
-                    at = np.searchsorted(names, own)
-                    at = np.minimum(at, len(names) - 1)
-                    open_[at[names[at] == own]] = True
-                    square[n, ~open_[cell]] = np.inf
-            m = min(take, square.shape[1])
-            bound = np.partition(square, m - 1, axis=1)[:, m - 1]
+        x = _matrix(a["vec"], a.num_rows)
+        for n, own in enumerate(a["visited"].to_pylist()):
+            if own is None:  # every cell
+                j = np.arange(b.num_rows)
+            else:
+                at = np.searchsorted(names, own)
+                j = np.concatenate([np.arange(starts[c], ends[c]) for c in at])
+            square = norms[j] - 2 * (y[j] @ x[n]) + (own_norm := (x[n] ** 2).sum())
+            m = min(take, len(j))
             # Rounding in the product form may reorder near ties; all within its error are computed exactly.
-            slack = 1e-9 * (norms.max() + (x**2).sum(1))
-            i, j = np.nonzero(np.isfinite(square) & (square <= (bound + slack)[:, None]))
-            out.append(pa.table([rows["asked_id"].take(pa.array(i)), b["class_id"].take(pa.array(j)), pa.array(exact_distances(x[i], y[j]))], names=["asked_id", "class_id", "score"]))
-        return pa.concat_tables(out)
+            j = j[square <= np.partition(square, m - 1)[m - 1] + 1e-9 * (norms[j].max() + own_norm)]
+            out.append((np.full(len(j), n), j, exact_distances(np.broadcast_to(x[n], (len(j), x.shape[1])), y[j])))
+        i, j, score = (np.concatenate(c) for c in zip(*out))
+        return pa.table([a["asked_id"].take(pa.array(i)), b["class_id"].take(pa.array(j)), pa.array(score)], names=["asked_id", "class_id", "score"])
 
     schema = f"asked_id {idx_kind}, class_id {id_kind}, score double"
 
     def compare(wanted: DataFrame) -> DataFrame:
-        return wanted.groupBy(*key).cogroup(spread.groupBy(*key)).applyInArrow(rerank, schema)
-
-    blocked = asked.withColumn("dims", F.size("vec")).join(F.broadcast(counts), "dims").select("asked_id", "vec", "dims", own_block)
-    own_items = blocked.drop("dims")
-    found = cut_lineage(compare(visits(probes(asked.withColumn("reach", F.lit(None).cast("double")))).join(own_items, "asked_id")).distinct())
+        """wanted(asked_id, dims, table, part, visited): a part meets its visitors in blocks of item_block."""
+        wanted = cut_lineage(wanted)
+        place = ["dims", "table", "part"]
+        blocks = wanted.groupBy(*place).agg(F.ceil(F.count("*") / item_block).cast("bigint").alias("blocks"))
+        visitors = wanted.join(blocks, place).withColumn("block", F.pmod(F.xxhash64("asked_id"), F.col("blocks"))).join(own, "asked_id")
+        copies = indexed.join(blocks.select(*[F.col(c).alias(c) for c in place], "blocks"), place).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+        key = [*place, "block"]
+        a = visitors.select(*key, "asked_id", "vec", "visited").groupBy(*key)
+        return a.cogroup(copies.select(*key, "class_id", "vec", "cell_id").groupBy(*key)).applyInArrow(rerank, schema)
+
+    own = asked.select("asked_id", "vec")
+    found = cut_lineage(compare(visits(probes(asked.withColumn("reach", F.lit(None).cast("double"))))).distinct())
     # Each item's own radius, and what it has to visit again for that.
     nth = Window.partitionBy("asked_id").orderBy("score", "class_id")
     enough = found.withColumn("n", F.row_number().over(nth)).where(F.col("n") == take).select("asked_id", F.col("score").alias("reach"))
     again = cut_lineage(probes(asked.join(enough, "asked_id")))
-    found = found.union(compare(visits(again.where("cell is not null")).join(own_items, "asked_id")))
+    found = found.union(compare(visits(again.where("cell is not null"))))
     # The rest: items for which the visited cells held too few, or whose radius is too large for them.
     enough = enough.select("asked_id").join(again.where("cell is null").select("asked_id"), "asked_id", "left_anti")
-    places = spread.where("table = 0").select("dims", "part").distinct().select(F.col("dims").alias("dims"), F.col("part").alias("part"))
-    rest = blocked.join(enough, "asked_id", "left_anti").join(places, "dims").select(
-        "asked_id", "vec", "dims", F.lit(0).alias("table"), "part", "item_block", F.lit(None).cast("array<bigint>").alias("visited")
+    places = indexed.where("table = 0").select("dims", "part").distinct()
+    rest = own.withColumn("dims", F.size("vec")).join(enough, "asked_id", "left_anti").join(places, "dims").select(
+        "asked_id", "dims", F.lit(0).alias("table"), "part", F.lit(None).cast("array<bigint>").alias("visited")
     )
     merged = found.union(compare(rest)).distinct()
     best = Window.partitionBy("asked_id").orderBy("score")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 from llm_tables import awkward_vectors, good  # noqa: E402
 
-from itemnorm.llm.lsh import StableHash, nearest_points  # noqa: E402
+from itemnorm.llm.lsh import HASHES, SUCCESS, TABLES, StableHash, nearest_points, sample_radii  # noqa: E402
 from itemnorm.llm.topk import quantised, top_k_points, usable  # noqa: E402
 
 
@@ -104,6 +104,34 @@ def test_recall_outside_of_dense_clusters(spark):
     assert np.mean(own) >= 9.5 and len(got) == len(want)
 
 
+def test_few_points_of_clustered_vectors_are_measured(spark):
+    """The radius is that of neighbours in the whole table, so on clusters few cells are visited and recall stays."""
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.standard_normal((120, 32)), 100, axis=0) + rng.standard_normal((12_000, 32)) * 0.2
+    x = (x / np.linalg.norm(x, axis=1)[:, None])[rng.permutation(len(x))]
+    items, points = tables(spark, list(enumerate(x.tolist())), 100)
+    classes = points.select(F.col("item_id").alias("class_id"), F.col("vec_local").alias("vec")).cache()
+    radius = sample_radii(classes, 10)[32]
+    far = np.linalg.norm(x[::100, None] - x[None], axis=2)
+    true = np.median(np.sort(far, axis=1)[:, 10])
+    assert 0.8 * true < radius < 1.25 * true
+    own = StableHash(32, radius, TABLES, HASHES, 7)
+    chance = 1 - (1 - SUCCESS) ** (1 / TABLES)
+    measured = []
+    for t in range(TABLES):
+        places = [tuple(c) for c in own.cells(x, t).tolist()]
+        for cells in own.probes(x[::100], t, chance):
+            held = {tuple(c) for c in cells.tolist()}
+            measured.append(np.mean([p in held for p in places]))
+    print(f"points measured per item and table: {np.mean(measured):.3f}")
+    assert np.mean(measured) < 0.1
+    got = {(r["item_idx"], r["item_id"]) for r in nearest_points(items, points, 10, skip_self=True).collect()}
+    want = {(100 * n, int(i)) for n, row in enumerate(far) for i in np.argsort(row)[1:11]}
+    recall = len(got & want) / len(want)
+    print(f"recall {recall:.3f}")
+    assert recall >= 0.95 and len(got) == len(want)
+
+
 def test_few_visited_cells_fall_back_to_all_points(spark):
     rows = awkward_vectors(n=40)
     items, points = tables(spark, rows, 10)
