@@ -2,14 +2,16 @@
 
 For unit vectors the mean pairwise distance of two clusters is 1 - mean(A).mean(B), so
 a cluster is (sum of vectors, count). Average linkage is reducible: all pairs that are
-each other's nearest can merge in the same round. Each round is one nearest-neighbour
-join of the cluster means, one self join and one written table. Once no more than a
+each other's nearest can merge in the same round, and a merge makes nothing nearer to a third cluster than
+the nearer of its two parts was. So a cluster keeps its nearest one until that takes part in a merge, and
+a round looks up only the new clusters and those that lost their nearest. Once no more than a
 block of clusters is left, one task finishes that bounded remainder.
 """
 
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -25,12 +27,14 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def cluster_items(
-    items: DataFrame, vec: str = "vec", threshold: float = DISTANCE_THRESHOLD, block: int = BLOCK
-) -> DataFrame:
+    items: DataFrame, vec: str = "vec", threshold: float = DISTANCE_THRESHOLD, block: int = BLOCK,
+    on_round: Callable[[int, int], None] | None = None,
+) -> DataFrame:
     """item_idx, cluster_id for items(item_idx, vec). cluster_id is the smallest item_idx inside.
 
     Two clusters merge while their mean distance is below the threshold. A zero vector
     is at distance 1 from everything and stays alone. Needs a threshold <= 1.
+    on_round hears of every round how many clusters are open and how many of them were looked up.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
@@ -39,19 +43,21 @@ def cluster_items(
     # Copies of one vector are at distance 0 and always end up together.
     nodes = cut_lineage(usable.groupBy("u").agg(F.min("item_idx").alias("node"), F.count("*").alias("n")))
     state = nodes.select("node", F.transform("u", lambda v: v * F.col("n")).alias("total"), "n")
-    merges = None
-    while state.count() > block:
+    merges = nearest = dirty = None
+    while (open_count := state.count()) > block:
         means = cut_lineage(state.select("node", F.transform("total", lambda v: v / F.col("n")).alias("mean")))
-        nearest = cut_lineage(
-            best_neighbours(
-                means.select(F.col("node").alias("l_id"), F.col("mean").alias("l_vec")),
-                means.select(F.col("node").alias("r_id"), F.col("mean").alias("r_vec")),
-                1.0 - threshold,
-                skip_self=True,
-                strict=True,
-                block=block,
-            )
-        )
+        asked = means if dirty is None else means.join(dirty, "node", "left_semi")
+        if on_round is not None:
+            on_round(open_count, asked.count())
+        found = best_neighbours(
+            asked.select(F.col("node").alias("l_id"), F.col("mean").alias("l_vec")),
+            means.select(F.col("node").alias("r_id"), F.col("mean").alias("r_vec")),
+            1.0 - threshold,
+            skip_self=True,
+            strict=True,
+            block=block,
+        ).select("l_id", "r_id")
+        nearest = cut_lineage(found if nearest is None else nearest.unionByName(found))
         back = nearest.select(F.col("l_id").alias("r_id"), F.col("r_id").alias("l_id"))
         pairs = nearest.join(back, ["l_id", "r_id"]).where(F.col("l_id") < F.col("r_id")).select(
             F.col("l_id").alias("keep"), F.col("r_id").alias("gone")
@@ -60,7 +66,7 @@ def cluster_items(
         if pairs.isEmpty():
             break
         merges = pairs if merges is None else merges.unionByName(pairs)
-        # Average linkage is reducible: a cluster without a partner inside the threshold gets none by merges of
+        # A cluster without a partner inside the threshold gets none by merges of
         # others, whose mean distance to it lies between theirs. It is final and looked up no more.
         state = state.join(nearest.select(F.col("l_id").alias("node")), "node", "left_semi")
         absorbed = pairs.join(state.withColumnRenamed("node", "gone"), "gone").select(
@@ -77,6 +83,12 @@ def cluster_items(
                 (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"),
             )
         )
+        # Only clusters whose nearest took part in a merge, and the merged ones themselves, are looked up again.
+        touched = pairs.select(F.explode(F.array("keep", "gone")).alias("node"))
+        kept = nearest.join(touched.select(F.col("node").alias("l_id")), "l_id", "left_anti")
+        stale = kept.join(touched.select(F.col("node").alias("r_id")), "r_id", "left_semi").select(F.col("l_id").alias("node"))
+        dirty = cut_lineage(stale.unionByName(pairs.select(F.col("keep").alias("node"))))
+        nearest = kept.join(dirty.select(F.col("node").alias("l_id")), "l_id", "left_anti").select("l_id", "r_id")
     else:
         rest = cut_lineage(
             state.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_finisher(threshold), "keep bigint, gone bigint")

@@ -56,7 +56,8 @@ def best_neighbours(
     on = list(on)
     # Both sides are read many times below: sizes, cells, boxes, blocks, and the joins themselves.
     left, right = cut_lineage(left), cut_lineage(right)
-    cells = grow_cells(right, right.count(), block)
+    # A block of left rows meets every right row in one pass, which is less than placing those in cells.
+    cells = grow_cells(right, right.count(), block) if left.count() > block else None
     order = [-F.col("similarity"), F.col("r_id")] if prefer == "similar" else [F.col("r_id")]
 
     def best_of(found: DataFrame) -> DataFrame:

@@ -63,6 +63,17 @@ def test_average_linkage_equals_brute_force(spark, block):
     assert {r[0]: r[1] for r in got} == linkage(v, 0.2)
 
 
+def test_rounds_look_up_less_and_less(spark):
+    v = sample(150, d=6, seed=7)
+    rounds = []
+    got = cluster_items(frame(spark, v, "item_idx long, vec array<double>"), threshold=0.3, block=40, on_round=lambda *r: rounds.append(r)).collect()
+    print("open and looked up per round:", rounds)
+    assert {r[0]: r[1] for r in got} == linkage(v, 0.3)
+    assert len(rounds) >= 3 and rounds[0][0] == rounds[0][1]
+    assert all(asked < open_ for open_, asked in rounds[2:])
+    assert sum(asked for _, asked in rounds) < 0.9 * sum(open_ for open_, _ in rounds)
+
+
 @pytest.mark.parametrize("block", [4096, 8])
 def test_leader_groups_equal_the_sequential_loop(spark, block):
     v = sample(40, seed=1)
