@@ -3,24 +3,29 @@
 The outcome is the lexicographically first independent set, found in rounds: every
 undecided row looks up its earliest neighbour among leaders and undecided rows. None
 earlier: it leads. That neighbour leads: it joins it. Otherwise it waits. The lookup
-returns one line per row, so a group of near-copies costs lines, not pairs. Clusters
+returns one line per row, so a group of near-copies costs lines, not pairs. Where rows still wait, a task
+per cluster then decides about a block of its first waiting rows in order: each knows its earliest leader so far, and what comes before it is
+in the same task. So a chain of rows that wait for one another costs its length over a block in rounds. Clusters
 of at most a block of distinct vectors skip the rounds: one bounded task decides each.
 """
 
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from itemnorm.functions.vectors import unit
 from itemnorm.operators.neighbours import BLOCK, DIGITS, best_neighbours
 from itemnorm.session import cut_lineage
 
 DISTANCE_LIMIT = 0.15
+#: Stands for no leader; no position is as large.
+NONE = 2**63 - 1
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
@@ -32,10 +37,11 @@ def leader_groups(
     key: str = "cluster_id",
     pos: str = "pos",
     block: int = BLOCK,
+    on_round: Callable[[int], None] | None = None,
 ) -> DataFrame:
     """key, pos, leader_pos: pos of the row's leader (itself for a leader).
 
-    Zero vectors are at distance 1 from everything and lead alone. Needs a limit < 1.
+    on_round hears of every round over clusters beyond a block how many rows are undecided. Zero vectors are at distance 1 from everything and lead alone. Needs a limit < 1.
     """
     if not 0 <= limit < 1:
         raise ValueError("limit must be in [0, 1)")
@@ -54,7 +60,7 @@ def leader_groups(
     )
     if not sizes.where(F.col("n") > block).isEmpty():
         big = cut_lineage(sized.where(F.col("n") > block).drop("n"))
-        decided = decided.unionByName(_decide_in_rounds(big, key, least, block))
+        decided = decided.unionByName(_decide_in_rounds(big, key, least, block, on_round))
     decided = cut_lineage(decided.join(firsts, [key, "pos"]))
     copies = usable.join(decided.select(key, "u", "leader_pos"), [key, "u"]).select(key, "pos", "leader_pos")
     alone = units.where(F.col("u").isNull()).select(key, "pos", F.col("pos").alias("leader_pos"))
@@ -77,31 +83,87 @@ def _decider(key: str, least: float):
     return decide
 
 
-def _decide_in_rounds(big: DataFrame, key: str, least: float, block: int) -> DataFrame:
+def _first_rows(waiting: DataFrame, key: str, block: int) -> DataFrame:
+    """The waiting rows of each key up to a position, at most `block` of them.
+
+    Positions are counted in equal spans of each key's range, four to a block of rows if they are even; a key whose first span
+    holds more than a block gives none.
+    """
+    ends = waiting.groupBy(key).agg(F.min("pos").alias("_low"), (F.max("pos") - F.min("pos") + 1).alias("_width"), F.ceil(4 * F.count("*") / block).cast("bigint").alias("_spans"))
+    span = F.floor((F.col("pos") - F.col("_low")) / F.col("_width") * F.col("_spans"))
+    placed = waiting.join(ends, key).withColumn("_span", span)
+    order = Window.partitionBy(key).orderBy("_span")
+    upto = placed.groupBy(key, "_span").agg(F.count("*").alias("_n")).withColumn("_upto", F.sum("_n").over(order)).where(F.col("_upto") <= block)
+    return placed.join(upto.groupBy(key).agg(F.max("_span").alias("_last")), key).where(F.col("_span") <= F.col("_last")).select(key, "pos", "u")
+
+
+def _prefix_decider(key: str, least: float):
+    """Rows in order: the earliest of the leader known before and the near new leaders, else a new leader."""
+
+    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        pos = pdf["pos"].to_numpy()
+        u = np.stack(pdf["u"].to_numpy()).astype(np.float64)
+        known = pdf["leader"].to_numpy()
+        # The earliest leader inside the task each row is near to; leaders come in order, so the first one stays.
+        inside = np.full(len(pos), -1, dtype=np.int64)
+        leader = np.empty(len(pos), dtype=np.int64)
+        for n in range(len(pos)):
+            found = min(known[n], pos[inside[n]] if inside[n] >= 0 else NONE)
+            leader[n] = pos[n] if found == NONE else found
+            if found == NONE:
+                near = np.flatnonzero((inside[n + 1 :] < 0) & (np.round(u[n + 1 :] @ u[n], DIGITS) >= least)) + n + 1
+                inside[near] = n
+        return pd.DataFrame({key: pdf[key].to_numpy(), "pos": pos, "leader_pos": leader})
+
+    return decide
+
+
+def _decide_in_rounds(big: DataFrame, key: str, least: float, block: int, on_round: Callable[[int], None] | None = None) -> DataFrame:
     undecided = big
-    leaders = None
-    joined = None
-    while True:
-        pool = undecided if leaders is None else undecided.unionByName(leaders)
-        near = best_neighbours(
-            undecided.select(key, F.col("pos").alias("l_id"), F.col("u").alias("l_vec")),
-            pool.select(key, F.col("pos").alias("r_id"), F.col("u").alias("r_vec")),
+    leaders = joined = None
+    key_type = big.schema[key].dataType.simpleString()
+
+    def earliest(left: DataFrame, right: DataFrame) -> DataFrame:
+        return best_neighbours(
+            left.select(key, F.col("pos").alias("l_id"), F.col("u").alias("l_vec")),
+            right.select(key, F.col("pos").alias("r_id"), F.col("u").alias("r_vec")),
             least,
             on=[key],
             prefer="earliest",
             earlier_only=True,
             block=block,
         ).select(key, F.col("l_id").alias("pos"), F.col("r_id").alias("first_near"))
-        looked = cut_lineage(undecided.join(near, [key, "pos"], "left"))
-        new_leaders = looked.where(F.col("first_near").isNull()).select(key, "pos", "u")
-        leaders = cut_lineage(new_leaders if leaders is None else leaders.unionByName(new_leaders))
-        waiting = looked.where(F.col("first_near").isNotNull())
-        lead = leaders.select(key, F.col("pos").alias("first_near"), F.lit(True).alias("leads"))
-        checked = waiting.join(lead, [key, "first_near"], "left")
-        members = checked.where("leads").select(key, "pos", F.col("first_near").alias("leader_pos"), "u")
+
+    def take(found: DataFrame) -> None:
+        """found(key, pos, leader_pos, u): decided rows."""
+        nonlocal leaders, joined
+        new, members = found.where("leader_pos = pos").select(key, "pos", "u"), found.where("leader_pos <> pos").select(key, "pos", "leader_pos", "u")
+        leaders = cut_lineage(new if leaders is None else leaders.unionByName(new))
         joined = cut_lineage(members if joined is None else joined.unionByName(members))
-        undecided = cut_lineage(checked.where(F.col("leads").isNull()).select(key, "pos", "u"))
+
+    while True:
+        if on_round is not None:
+            on_round(undecided.count())
+        near = earliest(undecided, undecided if leaders is None else undecided.unionByName(leaders))
+        looked = cut_lineage(undecided.join(near, [key, "pos"], "left"))
+        first = F.col("first_near")
+        leading = looked.where(first.isNull()).select(key, "pos", F.col("pos").alias("leader_pos"), "u")
+        lead = leading.select(key, F.col("pos").alias("first_near"), F.lit(True).alias("leads"))
+        if leaders is not None:
+            lead = lead.unionByName(leaders.select(key, F.col("pos").alias("first_near"), F.lit(True).alias("leads")))
+        checked = cut_lineage(looked.where(first.isNotNull()).join(lead, [key, "first_near"], "left"))
+        take(leading.unionByName(checked.where("leads").select(key, "pos", first.alias("leader_pos"), "u")))
+        waiting = checked.where(F.col("leads").isNull()).select(key, "pos", "u")
+        if waiting.isEmpty():
+            break
+        rows = cut_lineage(_first_rows(waiting, key, block))
+        if not rows.isEmpty():
+            known = earliest(rows, leaders).withColumnRenamed("first_near", "leader")
+            decided = rows.join(known, [key, "pos"], "left").withColumn("leader", F.coalesce("leader", F.lit(NONE))).groupBy(key).applyInPandas(_prefix_decider(key, least), f"`{key}` {key_type}, pos bigint, leader_pos bigint")
+            take(cut_lineage(decided.join(rows, [key, "pos"])))
+            waiting = waiting.join(rows.select(key, "pos"), [key, "pos"], "left_anti")
+        undecided = cut_lineage(waiting)
         if undecided.isEmpty():
             break
-    leading = leaders.select(key, "pos", F.col("pos").alias("leader_pos"))
-    return joined.select(key, "pos", "leader_pos").unionByName(leading)
+    return joined.select(key, "pos", "leader_pos").unionByName(leaders.select(key, "pos", F.col("pos").alias("leader_pos")))

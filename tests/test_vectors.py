@@ -82,6 +82,19 @@ def test_leader_groups_equal_the_sequential_loop(spark, block):
     assert {r["pos"]: r["leader_pos"] for r in got} == greedy(v, 0.15)
 
 
+def test_a_chain_takes_rounds_by_the_block(spark):
+    turn = np.arange(60) * 0.5
+    v = np.zeros((60, 22))
+    v[np.arange(60), (turn // (np.pi / 2)).astype(int)] = np.cos(turn % (np.pi / 2))
+    v[np.arange(60), (turn // (np.pi / 2)).astype(int) + 1] = np.sin(turn % (np.pi / 2))
+    rounds = []
+    entries = frame(spark, v, "pos long, vec array<double>").withColumn("cluster_id", F.lit(7).cast("bigint"))
+    got = leader_groups(entries, limit=0.15, block=20, on_round=rounds.append).collect()
+    assert {r["pos"]: r["leader_pos"] for r in got} == greedy(v, 0.15) == {n: n - n % 2 for n in range(60)}
+    print("undecided per round:", rounds)
+    assert len(rounds) <= 5
+
+
 @pytest.mark.parametrize("k, least", [(1, 0.9), (3, 0.5), (2, -0.5)])
 def test_best_neighbours_lose_nothing_to_routing(spark, k, least):
     v = units(sample(120, seed=2))
