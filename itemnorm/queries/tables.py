@@ -23,6 +23,22 @@ def src1(spark, d):
     return read_items(spark, path)
 
 
+@query("src1_multi_line", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(trim(text, e' \\n\\t\\r')) AS text_md5, coalesce(source, '') AS source FROM documents")
+def src1_multi(spark, d):
+    """Texts with line breaks and quotes, written out and read back in ranges of 64 kB, most of which begin inside a record."""
+    path = scratch_path(spark, "csv")
+    docs = table(spark, d, "documents").select("doc_id", F.btrim("text", F.lit(" \n\t\r")).alias("text"), "source")
+    docs.coalesce(1).write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(64 << 10))
+    try:
+        held = cut_lineage(read_items(spark, path, multi_line=True))
+    finally:
+        spark.conf.set(key, before)
+    return held.select("doc_id", F.md5("text").alias("text_md5"), "source")
+
+
 @query("src2_headers", "SELECT CAST(s_suppkey AS VARCHAR) AS col_1, s_name AS name, CAST(s_nationkey AS VARCHAR) AS col_3 FROM supplier")
 def src2(spark, d):
     s = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string"), "s_name", F.col("s_nationkey").cast("string"))

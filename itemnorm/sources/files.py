@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from itemnorm.functions.text import safe_file_name, text_of
 
@@ -17,19 +20,69 @@ def read_items(spark: SparkSession, path: str, sep: str = ",", multi_line: bool
     """All-string table: stripped cells, "" for missing; the last of equal headers wins.
 
     A large file is split over many tasks, line by line. For files whose quoted cells hold line breaks
-    set multi_line: such a file is read by one task, because only a read from its start can tell quotes.
+    set multi_line: records are then put together by quote parity, see quoted_records, and such a file is split over
+    many tasks too.
     """
+    if multi_line:
+        return _read_quoted(spark, path, sep)
     reader = spark.read.option("sep", sep).option("quote", '"').option("escape", '"')
-    reader = reader.option("multiLine", multi_line).option("encoding", "UTF-8").option("inferSchema", False)
+    reader = reader.option("encoding", "UTF-8").option("inferSchema", False)
     head = reader.option("header", False).csv(path).head(1)
     if not head:
         raise ValueError(f"no columns in {path}")
-    names = clean_headers([(v or "").lstrip(BOM) for v in head[0]], keep_blank=True)
+    names = _header(head[0])
     df = reader.option("header", True).csv(path).toDF(*[f"_{i}" for i in range(len(names))])
+    return _named(df, names)
+
+
+def _header(cells: Iterable[str | None]) -> list[str]:
+    return clean_headers([(v or "").lstrip(BOM) for v in cells], keep_blank=True)
+
+
+def _named(df: DataFrame, names: list[str]) -> DataFrame:
     last = {name: i for i, name in enumerate(names)}
     return df.select(*[text_of(f"_{i}").alias(name) for name, i in last.items()])
 
 
+def quoted_records(spark: SparkSession, path: str) -> DataFrame:
+    """file, record_no, record: the records of delimited files, line breaks inside quotes kept; record_no counts from 0 in each file.
+
+    A line break ends a record where the quotes before it are even in number. Every task counts the quotes and
+    record starts of its own byte range; one line per range carries both on to the ranges after it,
+    so no task reads a file from its start. Empty records are left out but counted.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"),
+        F.col("value").alias("line"), (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).alias("quotes"),
+    )
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("file", "block").orderBy("n")
+    upto = F.coalesce(F.sum("quotes").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # How many records start in a range depends on whether it begins inside quotes: both counts are taken.
+    odd = lines.withColumn("odd", upto % 2)
+    ranges = odd.groupBy("file", "block").agg(F.sum("quotes").alias("q"), F.count_if(F.col("odd") == 0).alias("even_starts"), F.count_if(F.col("odd") == 1).alias("odd_starts"))
+    opened = ranges.withColumn("open", F.coalesce(F.sum("q").over(before), F.lit(0)) % 2)
+    starts = F.when(F.col("open") == 0, F.col("even_starts")).otherwise(F.col("odd_starts"))
+    ranges = opened.withColumn("first", F.coalesce(F.sum(starts).over(before), F.lit(0))).select("file", "block", "open", "first")
+    placed = odd.join(ranges, ["file", "block"]).withColumn("start", ((F.col("odd") + F.col("open")) % 2 == 0).cast("bigint"))
+    numbered = placed.withColumn("record_no", F.col("first") + F.sum("start").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    whole = numbered.groupBy("file", "record_no").agg(F.array_sort(F.collect_list(F.struct("block", "n", "line"))).alias("lines"))
+    record = F.regexp_replace(F.array_join(F.transform("lines", lambda e: e["line"]), "\n"), "\r$", "")
+    return whole.select("file", "record_no", record.alias("record")).where(F.col("record") != "")
+
+
+def _read_quoted(spark: SparkSession, path: str, sep: str) -> DataFrame:
+    records = quoted_records(spark, path)
+    options = {"sep": sep, "quote": '"', "escape": '"'}
+    first = records.where("record_no = 0").orderBy("file").head(1)
+    if not first:
+        raise ValueError(f"no columns in {path}")
+    names = _header(next(csv.reader(io.StringIO(first[0]["record"], newline=""), delimiter=sep)))
+    schema = ", ".join(f"_{i} string" for i in range(len(names)))
+    cells = records.where("record_no > 0").select(F.from_csv("record", schema, {**options, "multiLine": "true", "maxCharsPerColumn": "-1"}).alias("r"))
+    return _named(cells.select("r.*"), names)
+
+
 def clean_headers(names: list[str], keep_blank: bool = False) -> list[str]:
     """Stripped header names; a blank one is called col_<n>, counting from 1."""
     stripped = [name.strip() for name in names]

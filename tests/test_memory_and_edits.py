@@ -348,3 +348,25 @@ def test_a_slice_reads_its_own_files(spark):
     c.clusters.write.parquet(f"{store.path}/save-dead/clusters")  # a save that died
     assert store.saves() == [save]
     assert {r["cluster_id"] for r in store.done().collect()} == {1, 2} and store.results()[0].clusters.count() == 2
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_quoted_line_breaks_are_read_by_many_tasks(spark, tmp_path, end):
+    """Ranges of a few bytes: any of them may begin inside quotes, hold no line end, or begin at one."""
+    cells = [(str(n), ["a,b", 'say "x"', f"one{end}two{end}{end}three", "", "x" * (n % 90), f'"{end}"'][n % 6], "end") for n in range(300)]
+    quoted = lambda c: '"' + c.replace('"', '""') + '"' if any(x in c for x in ',"\n\r') else c
+    lines = [",".join(quoted(c) for c in row) for row in [("id", f"no{end}te", "last"), *cells]]
+    (tmp_path / "a.csv").write_text(end.join(lines[:150]) + end + end, newline="")
+    (tmp_path / "b.csv").write_text(end.join([lines[0], *lines[150:]]), newline="")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        got = read_items(spark, str(tmp_path), multi_line=True)
+        assert got.columns == ["id", f"no{end}te", "last"]
+        found = {tuple(r) for r in got.collect()}
+        tasks = spark.read.text(str(tmp_path)).rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert tasks > 5
+    plain = lambda c: c.replace("\r\n", "\n").strip()
+    assert {tuple(plain(c) for c in r) for r in found} == {tuple(plain(c) for c in r) for r in cells}
