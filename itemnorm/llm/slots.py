@@ -2,19 +2,23 @@
 
 A record's slot never changes. What changes is the map of slots to shards, a table of as many lines as
 there are slots; a rebalance edits it and writes the next version, so readers of an older one go on.
+New data are placed by the newest version; it is edited only where shards have drifted apart or their number changes.
 """
 
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from itemnorm.llm.common import dense_number
 from itemnorm.session import cut_lineage
+from itemnorm.sources.commits import names
 
 SLOTS = 4096
+#: How far shards of a stored map may drift apart, as a share of their mean, before it is edited.
+SLACK = 0.02
 
 
 def slot_of(record_id: Column, slots: int = SLOTS) -> Column:
@@ -41,8 +45,9 @@ class SlotMap:
     def first(shards: int, slots: int = SLOTS) -> "SlotMap":
         return SlotMap(1, tuple(s % shards for s in range(slots)))
 
-    def rebalanced(self, sizes: list[int], shards: int) -> "SlotMap":
-        """Next version: slots move, largest useful first, until no move brings shards closer.
+    def rebalanced(self, sizes: list[int], shards: int, slack: float = 0.0) -> "SlotMap":
+        """Next version: slots move, largest useful first, until no move brings shards closer, or they differ by at most
+        `slack` of their mean.
 
         A slot moves from the fullest shard to the emptiest while that lowers the larger of the two;
         where no single slot does, two are exchanged. Slots of shards that no longer exist are dealt out
@@ -67,6 +72,8 @@ class SlotMap:
             high = max(range(shards), key=lambda k: (total[k], -k))
             low = min(range(shards), key=lambda k: (total[k], k))
             gap = total[high] - total[low]
+            if gap <= slack * sum(total) / shards:
+                break
             move = max(((s, n) for s, n in held[high].items() if 0 < n < gap), key=lambda x: (-abs(gap - 2 * x[1]), -x[0]), default=None)
             swap = self._exchange(held[high], held[low], gap)
             if move is None and swap is None:
@@ -123,16 +130,28 @@ class SlotMap:
         rows = spark.read.schema("virtual_slot int, shard int").parquet(f"{path}/v={version}").orderBy("virtual_slot").collect()
         return SlotMap(version, tuple(r["shard"] for r in rows))
 
+    @staticmethod
+    def newest(spark: SparkSession, path: str) -> tuple["SlotMap | None", int]:
+        """The last version written whole, None without any, and the first number that is free."""
+        tails = [n.removeprefix("v=") for n in names(spark, path) if n.startswith("v=")]
+        numbers = sorted((int(t) for t in tails if t.isdigit()), reverse=True)
+        whole = next((n for n in numbers if "_SUCCESS" in names(spark, f"{path}/v={n}")), None)
+        return None if whole is None else SlotMap.read(spark, path, whole), max(numbers, default=0) + 1
+
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(list(enumerate(self.shard_of)), "virtual_slot int, shard int")
 
 
-def shard_points(points: DataFrame, shards: int, path: str, slots: int = SLOTS) -> DataFrame:
+def shard_points(points: DataFrame, shards: int, path: str, slots: int = SLOTS, slack: float = SLACK) -> DataFrame:
     """item_id, size, text_crc32, virtual_slot, shard, place, map_version of every point.
 
     points(item_id, text, ...): size is the UTF-8 bytes of the text plus 1, so an empty or null text
-    counts 1. The first map deals slots out in turn; the bytes of the slots edit it until shards differ
-    as little as moves and exchanges of whole slots allow. Both versions are written under `path`. place
+    counts 1; texts of any length are only measured and digested. Where `path` holds no map, the first one deals slots out in turn,
+    and the bytes of the slots edit it until shards differ
+    as little as moves and exchanges of whole slots allow. Both versions are written under `path`. Where there is a map, its newest version
+    is used as it is while shards differ by at most `slack` of their mean; else, or if the number of shards
+    changes, it is edited by the fewest moves that a fullest-to-emptiest rule needs, more shards taking slots only into
+    themselves, and the edited map is the next version. place
     numbers the rows of a shard from 0 without gaps. Equal ids share a slot and a shard; all null ids
     share one. Repeated rows keep a place each; an empty table gives an empty result.
     """
@@ -146,11 +165,22 @@ def shard_points(points: DataFrame, shards: int, path: str, slots: int = SLOTS)
             slot_of(F.coalesce(F.col("item_id").cast("string"), F.lit("")), slots).alias("virtual_slot"),
         )
     )
-    loads = slot_loads(records, slots)
-    start = SlotMap.first(shards, slots)
-    balanced = start.rebalanced([size for _, size in loads], shards)
-    start.write(spark, path)
-    balanced.write(spark, path)
+    sizes = [size for _, size in slot_loads(records, slots)]
+    held, number = SlotMap.newest(spark, path)
+    if held is None:
+        start = replace(SlotMap.first(shards, slots), version=number)
+        balanced = start.rebalanced(sizes, shards)
+        start.write(spark, path)
+        balanced.write(spark, path)
+    else:
+        if len(held.shard_of) != slots:
+            raise ValueError(f"the map under {path} has {len(held.shard_of)} slots")
+        more = shards > max(held.shard_of) + 1
+        balanced = replace(held.grown(sizes, shards) if more else held.rebalanced(sizes, shards, slack), version=number)
+        if balanced.shard_of == held.shard_of:
+            balanced = held
+        else:
+            balanced.write(spark, path)
     placed = records.join(F.broadcast(balanced.table(spark)), "virtual_slot").withColumn("map_version", F.lit(balanced.version))
     return dense_number(placed, ["shard"], [F.col("item_id"), F.col("text_crc32"), F.col("size")], "place", salts=256).select(
         "item_id", "size", "text_crc32", "virtual_slot", "shard", "place", "map_version"

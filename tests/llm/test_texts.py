@@ -15,6 +15,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 from llm_tables import awkward_points, awkward_texts, empty_points  # noqa: E402
 
 from itemnorm.llm import katz, mixing, packing, simhash, slots  # noqa: E402
+from itemnorm.sources.commits import file_system  # noqa: E402
 from itemnorm.llm.queries import packed_digest, tokenizer_path  # noqa: E402
 from itemnorm.session import scratch_path  # noqa: E402
 
@@ -100,6 +101,31 @@ def test_shards_balance_bytes_and_number_their_rows(spark):
     assert slots.shard_points(empty_points(spark), 4, scratch_path(spark, "map")).count() == 0
 
 
+def test_a_stored_map_is_edited_not_made_anew(spark):
+    path = scratch_path(spark, "slot-map")
+    rows = [(n, "x" * (n % 50), "s") for n in range(3000)]
+    place = lambda more, shards=4: {r["item_id"]: (r["shard"], r["map_version"]) for r in slots.shard_points(awkward_points(spark, rows + more), shards, path, slots=256).collect()}
+    first = place([])
+    assert {v for _, v in first.values()} == {2}
+    assert place([]) == first  # even shards: nothing moves and no version is written
+    heavy = [(5000 + n, "y" * 900, "s") for n in range(60)]
+    second = place(heavy)
+    assert {v for _, v in second.values()} == {3}
+    moved = [i for i in first if first[i][0] != second[i][0]]
+    assert 0 < len(moved) < len(first) / 2
+    loads = Counter()
+    for i, text, _ in rows + heavy:
+        loads[second[i][0]] += len(text) + 1
+    assert max(loads.values()) - min(loads.values()) <= 0.03 * sum(loads.values()) / 4
+    spark.range(1).write.parquet(f"{path}/v=4")
+    file_system(spark, path)[0].delete(file_system(spark, path)[1](f"{path}/v=4/_SUCCESS"), False)  # a writer that died
+    third = place(heavy, 5)
+    assert {v for _, v in third.values()} == {5}
+    assert all(third[i][0] in (second[i][0], 4) for i in second) and any(s == 4 for s, _ in third.values())
+    with pytest.raises(ValueError):
+        slots.shard_points(awkward_points(spark), 4, path, slots=128)
+
+
 def test_slot_map_versions():
     sizes = [int(x) for x in np.random.default_rng(1).integers(1, 1000, 512)]
     start = slots.SlotMap.first(8, 512)
