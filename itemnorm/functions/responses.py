@@ -49,6 +49,7 @@ def extract_json(response: Column | str) -> Column:
     return F.coalesce(
         _wrapped(body),
         F.when(has_object, _wrapped(F.substring(body, first, last - first + 1))),
+        # The two keys that are looked for in answers that are no JSON as a whole.
         _keyed_list(body, "attributes", r'(?is)"attributes"\s*:\s*(\[.*?\])'),
         _keyed_list(body, "normalized", r'(?is)"normalized"\s*:\s*(\[.*\])'),
         F.when(bracket > 0, _wrapped(F.substring(body, bracket, F.length(body)))),

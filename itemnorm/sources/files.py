@@ -98,9 +98,9 @@ MAX_RULES_BYTES = 16 << 20
 
 def load_rules(spark: SparkSession, path: str) -> dict[str, list[str]]:
     """canonical -> synonyms, in file order. A configuration file of at most MAX_RULES_BYTES in any store Spark reads."""
-    size = spark.read.format("binaryFile").load(path).select("length").first()
-    if size is None or size["length"] > MAX_RULES_BYTES:
-        raise ValueError(f"{path} is no rule file, or larger than {MAX_RULES_BYTES} bytes")
+    sizes = spark.read.format("binaryFile").load(path).select("length").head(2)
+    if len(sizes) != 1 or sizes[0]["length"] > MAX_RULES_BYTES:
+        raise ValueError(f"{path} is not one rule file, or larger than {MAX_RULES_BYTES} bytes")
     content = spark.read.format("binaryFile").load(path).select("content").first()["content"]
     return {str(k): [str(s) for s in v] for k, v in json.loads(bytes(content).decode("utf-8")).items()}
 
