@@ -15,9 +15,10 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from itemnorm.functions.responses import (
+    CACHE_DAYS,
     cache_key,
     extract_json,
     is_fresh,
@@ -30,6 +31,7 @@ from itemnorm.functions.text import clean_map, empty_map, lookup_key, non_blank,
 from itemnorm.operators.assemble import distinct_in_order, strings
 from itemnorm.operators.ordering import batch_number, first_per_key, last_per_key
 from itemnorm.session import cut_lineage
+from itemnorm.sources.commits import file_system, names
 
 PROFILE_BATCH = 18
 EXTRACT_BATCH = 8
@@ -216,7 +218,7 @@ def ask(
 
     if cache is not None:
         keys = open_.select("cache_key").distinct()
-        held = cache.where(is_fresh("cached_at")).join(keys, "cache_key", "left_semi")
+        held = fresh_entries(cache, keys)
         known = last_per_key(held, ["cache_key"], ["cached_at"]).select("cache_key", "response")
         found = judged(open_, open_.select("request_id", "cache_key").join(known, "cache_key").select("request_id", "response"), True)
         done.append(found.where("valid"))
@@ -243,8 +245,41 @@ def ask(
     return Answers(responses, entries, complete)
 
 
+#: Hexadecimal digits of a key's digest that name its bucket.
+BUCKET_DIGITS = 1
+
+
+def cache_bucket(key: str = "cache_key") -> Column:
+    return F.substring(F.md5(F.col(key).cast("binary")), 1, BUCKET_DIGITS)
+
+
 def append_cache(entries: DataFrame, path: str) -> None:
-    entries.write.mode("append").parquet(path)
+    """Adds entries to the cache under path, in folders by the day of the answer and the bucket of the key."""
+    placed = entries.withColumns({"day": F.to_date("cached_at"), "bucket": F.concat(F.lit("b"), cache_bucket())})
+    placed.repartition("day", "bucket").write.mode("append").partitionBy("day", "bucket").parquet(path)
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """The cache under path; `ask` reads only the days that are fresh and the buckets it has keys in. Empty where there is none."""
+    schema = f"{CACHE}, day date, bucket string"
+    return spark.read.schema(schema).parquet(path) if names(spark, path) else spark.createDataFrame([], schema)
+
+
+def fresh_entries(cache: DataFrame, keys: DataFrame) -> DataFrame:
+    """Fresh entries of cache for keys(cache_key). Of a cache kept in days and buckets no other day and bucket is read."""
+    held = cache.where(is_fresh("cached_at"))
+    if {"day", "bucket"} <= set(cache.columns):
+        wanted = [r[0] for r in keys.select(F.concat(F.lit("b"), cache_bucket())).distinct().collect()]  # at most 16 ** BUCKET_DIGITS
+        held = held.where(F.col("bucket").isin(wanted) & (F.col("day") >= F.date_sub(F.current_date(), CACHE_DAYS + 1)))
+    return held.join(keys, "cache_key", "left_semi")
+
+
+def expire_cache(spark: SparkSession, path: str, days: int = CACHE_DAYS) -> int:
+    """Deletes the days whose answers are all older than `days`; how many went."""
+    fs, path_of = file_system(spark, path)
+    last = spark.range(1).select(F.date_sub(F.current_date(), days + 1).cast("string")).head()[0]
+    old = [n for n in names(spark, path) if n.startswith("day=") and n.removeprefix("day=") < last]
+    return sum(bool(fs.delete(path_of(f"{path}/{n}"), True)) for n in old)
 
 
 def profile_clusters(

@@ -190,6 +190,23 @@ def enr4(spark, d):
     return second.responses.where("valid").select("cluster_id", "batch", "from_cache")
 
 
+@query(
+    "enr4_pruned_cache",
+    f"WITH {_PROFILE}, {FINISHED} SELECT cluster_id, batch, cluster_id IN (FROM finished) AS from_cache FROM b GROUP BY ALL",
+)
+def enr4_pruned(spark, d):
+    """The same through a cache kept in days and buckets, beside entries of expired days, which are removed."""
+    path = scratch_path(spark, "cache")
+    items = _items(spark, d)
+    _, _, first = en.profile_clusters(items.join(known_first(parts(spark, d)), "cluster_id", "left_semi"), en.frequency_profile(PATTERNS), ["base"])
+    en.append_cache(first.cache, path)
+    asked = en.profile_clusters(items, en.frequency_profile(PATTERNS), ["base"])[2].cache
+    en.append_cache(asked.withColumn("cached_at", F.col("cached_at") - F.expr("interval 40 days")), path)
+    _, _, second = en.profile_clusters(items, en.frequency_profile(PATTERNS), ["base"], en.read_cache(spark, path))
+    expired = en.expire_cache(spark, path)
+    return second.responses.where("valid").where(F.lit(expired == 1)).select("cluster_id", "batch", "from_cache")
+
+
 @query("scl17_profile_check", "SELECT event_id, event_type <> 'error' AS valid, CASE WHEN event_type <> 'error' THEN event_type END AS category FROM events")
 def scl17_profile(spark, d):
     body = F.when(

@@ -370,3 +370,27 @@ def test_quoted_line_breaks_are_read_by_many_tasks(spark, tmp_path, end):
     assert tasks > 5
     plain = lambda c: c.replace("\r\n", "\n").strip()
     assert {tuple(plain(c) for c in r) for r in found} == {tuple(plain(c) for c in r) for r in cells}
+
+
+def test_a_cache_is_read_by_bucket_and_forgets_days(spark):
+    path = scratch_path(spark, "cache")
+    now = F.current_timestamp()
+    keys = spark.range(60).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("cache_key"), F.lit("{}").alias("response"))
+    assert en.read_cache(spark, path).count() == 0
+    en.append_cache(keys.withColumn("cached_at", now), path)
+    en.append_cache(keys.withColumn("cached_at", now - F.expr("interval 45 days")), path)
+    one = keys.where("cache_key = 'k7'").select("cache_key")
+    own = one.select(F.concat(F.lit("b"), en.cache_bucket())).first()[0]
+    # Files of other buckets and days are no Parquet any more: whoever opens one fails.
+    days = sorted(os.path.basename(p) for p in glob.glob(f"{path}/day=*"))
+    spoilt = [f for f in glob.glob(f"{path}/day=*/bucket=*/*.parquet") if f"/{days[1]}/bucket={own}/" not in f]
+    for f in spoilt:
+        with open(f, "wb") as out:
+            out.write(b"not parquet")
+        crc = os.path.join(os.path.dirname(f), f".{os.path.basename(f)}.crc")
+        if os.path.exists(crc):
+            os.remove(crc)
+    assert len(days) == 2 and len(spoilt) > 10
+    assert [r["cache_key"] for r in en.fresh_entries(en.read_cache(spark, path), one).collect()] == ["k7"]
+    assert en.expire_cache(spark, path) == 1 and en.expire_cache(spark, path) == 0
+    assert len(glob.glob(f"{path}/day=*")) == 1
