@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, functions as F
 
+from itemnorm.functions.rule_index import apply_rules
+
 # The characters a Unicode strip removes.
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
@@ -86,16 +86,12 @@ def sheet_name(name: Column | str, fallback: Column | str) -> Column:
 
 
 def standardize(c: Column | str, rules: dict[str, list[str]] | None = None) -> Column:
-    """Unit spellings to their canonical form, rule by rule, then one space before the unit."""
-    out = col(c)
-    for canonical, synonyms in (UNIT_RULES if rules is None else rules).items():
-        spellings = "|".join(re.escape(s) for s in [canonical, *synonyms])
-        replacement = re.sub(r"([\\$])", r"\\\1", canonical)
-        out = F.regexp_replace(out, rf"(?iuU)(?<!\w)(?:{spellings})(?!\w)", replacement)
-        out = F.regexp_replace(
-            out, rf"(?iuU)(\d+(?:[.,]\d+)?)\s*{re.escape(canonical)}\b", "$1 " + replacement
-        )
-    return collapse_spaces(out)
+    """Unit spellings to their canonical form, rule by rule, then one space before the unit.
+
+    Only rules whose spellings a text can hold are tried on it, so neither its cost nor the plan grows
+    with the number of rules.
+    """
+    return collapse_spaces(apply_rules(col(c), UNIT_RULES if rules is None else rules))
 
 
 def standardize_map(values: Column | str, rules: dict[str, list[str]] | None = None) -> Column:

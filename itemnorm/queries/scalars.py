@@ -55,6 +55,20 @@ def scl3(spark, d):
     return table(spark, d, "part").select("p_partkey", standardize(raw).alias("value"))
 
 
+@query(
+    "scl3_many_rules",
+    """SELECT p_partkey, '7 K' || min(p_partkey) OVER (PARTITION BY p_name, p_size) || '; x' || p_name || ' ' || p_size || 'x' AS value FROM part""",
+)
+def scl3_many(spark, d):
+    """Thousands of rules, one per name and size of a part (names and sizes are fixed lists, whatever the number of parts)."""
+    p = table(spark, d, "part")
+    found = p.groupBy("p_name", "p_size").agg(F.min("p_partkey").alias("first")).collect()
+    rules = {f"K{r['first']}": [f"{r['p_name']} {r['p_size']}"] for r in sorted(found, key=lambda r: r["first"])}
+    size = F.col("p_size").cast("string")
+    raw = F.concat(F.lit("7  "), F.upper("p_name"), F.lit(" "), size, F.lit("; x"), "p_name", F.lit(" "), size, F.lit("x"))
+    return p.select("p_partkey", standardize(raw, rules).alias("value"))
+
+
 @query("scl4_standardize_map", f"SELECT p_partkey, 'name=' || p_name || '|size=' || p_size || CASE p_type {_unit(1)} ELSE ' см' END AS flat_values FROM part")
 def scl4(spark, d):
     raw = F.concat(F.col("p_size").cast("string"), F.expr(f"CASE p_type {_unit(0)} ELSE ' cm' END"))

@@ -1,3 +1,4 @@
+import random
 import uuid
 
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from itemnorm.functions import merging as m
 from itemnorm.functions import text as t
 from itemnorm.functions.responses import extract_json
+from itemnorm.functions.rule_index import rule_steps
 from itemnorm.functions.vectors import cosine_distance, hash_embedding
 
 
@@ -26,6 +28,48 @@ def test_standardize_units(spark):
     assert values(spark, [(c,) for c in cases], t.standardize("a")) == list(cases.values())
 
 
+def rule_chain(text, rules):
+    """Every rule on every text, in order."""
+    for canonical, synonyms in rules.items():
+        step = rule_steps(canonical, synonyms)
+        text = F.regexp_replace(F.regexp_replace(text, step["find"], step["put"]), step["count"], step["spaced"])
+    return t.collapse_spaces(text)
+
+
+PIECES = [
+    "kg", "KG", "кг", "г", "гр", "гр.", "5", "12", "1,5", "x5", "x", "л", "Литр", "ml", "мл.", "-", ".", "м", "M3", "м³", "_", "кило", "kilo",
+    "куб м", "м2", "%", "ß", "SS", "ẞ", "İ", "i", "\u212a", "ς", "ОДОΣ", "σ", "5x", "25", "\u0301", "ſ", "s", " ", "  ",
+]
+
+
+@pytest.mark.parametrize(
+    "rules",
+    [
+        t.UNIT_RULES,
+        # Rules that feed later ones, spellings of several words, units that start with a digit.
+        {"kg": ["kilo", "x"], "кг": ["kg", "кило"], "м³": ["куб м", "m3", "м 3"], "5x": ["x 5"], "x5": ["5 x", "2 5"], "%": ["x"], "ss": ["ß", "s"]},
+        {"": ["кило"], "г.": ["гр"], "i": ["İ", "K"], "σ": ["ОДОΣ"], "a b": ["kg x", "л"], "b": ["a", "x b"]},
+        {"x": ["12"], "м": ["м2", "M3"], "л": ["ml", ""]},
+        {"$1": ["kg"], "\\": ["г"]},
+        {},
+    ],
+)
+def test_indexed_rules_equal_the_rule_chain(spark, rules):
+    draw = random.Random(5)
+    texts = ["".join(draw.choice(PIECES) + draw.choice(["", " "]) for _ in range(draw.randint(0, 9))) for _ in range(1500)]
+    df = spark.createDataFrame([(x,) for x in [*texts, None, "", "кг " * 5000]], "a string")
+    wrong = df.select("a", t.standardize("a", rules).alias("got"), rule_chain(F.col("a"), rules).alias("want")).where(~F.col("got").eqNullSafe(F.col("want")))
+    assert wrong.collect() == []
+
+
+def test_the_plan_does_not_grow_with_the_rules(spark):
+    for n in (3, 500):
+        rules = {f"W{i}": [f"red {i}", f"blue bolt {i}"] for i in range(n)}
+        plan = spark.range(3).select(t.standardize(F.col("id").cast("string"), rules))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("regexp_replace(lambda") == 2
+    assert "from_json" not in spark.range(3).select(t.standardize(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_item_id_is_uuid5_and_ignores_case_and_outer_space(spark):
     got = values(spark, [("Фильтр А",), ("  фильтр а ",)], t.item_id("a"))
     want = str(uuid.uuid5(uuid.UUID(t.ITEM_NAMESPACE), "фильтр а"))
