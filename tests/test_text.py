@@ -63,11 +63,13 @@ def test_indexed_rules_equal_the_rule_chain(spark, rules):
 
 
 def test_the_plan_does_not_grow_with_the_rules(spark):
+    calls = set()
     for n in (3, 500):
         rules = {f"W{i}": [f"red {i}", f"blue bolt {i}"] for i in range(n)}
         plan = spark.range(3).select(t.standardize(F.col("id").cast("string"), rules))._jdf.queryExecution().analyzed().toString()
-        assert plan.count("regexp_replace(lambda") == 2
-    assert "from_json" not in spark.range(3).select(t.standardize(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
+        calls.add(plan.count("regexp_replace("))
+    assert len(calls) == 1
+    assert "from_json" not in spark.range(3).select(t.standardize(F.col("id").cast("string")).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_item_id_is_uuid5_and_ignores_case_and_outer_space(spark):
