@@ -21,10 +21,12 @@ from itemnorm.functions.merging import (
     split_parts,
 )
 from itemnorm.functions.text import clean_map
-from itemnorm.operators.ordering import merged_maps, running_sum
+from itemnorm.operators.ordering import dense_position, merged_maps, running_sum
 from itemnorm.session import cut_lineage
 
 SPAN = 16
+#: Values of one group folded in one row before the text outgrows the parts.
+FOLD_BLOCK = 1024
 
 
 def explode_values(df: DataFrame, keys: Sequence[str], pos: str, values: str = "values") -> DataFrame:
@@ -162,31 +164,94 @@ def fold_accumulative(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
 def _typed(filled: DataFrame, group: list[str]) -> DataFrame:
     """Values joined by a separator that does not split: all parts in order, but for repeats of the whole text so far.
 
-    While no part holds the separator, and the separator none of `;,|`, the text so far equals a part only as
-    long as it is the first part alone: repeats of that are dropped up to the first value that brings
-    another part, and everything after it stays. Only groups in which a part holds the separator are
-    folded value by value.
+    While no part holds the separator, the text so far equals a part only as long as it is the first part
+    alone: repeats of that are dropped up to the first value that brings another part, and everything
+    after it stays. Groups in which a part holds the separator are folded by `_growing_fold`. Only a
+    separator that itself holds one of `;,|` is folded value by value in one row: every step splits and
+    joins the whole text again, and the text grows with each.
     """
     lines = cut_lineage(filled.select(*group, "pos", "sep", F.posexplode(split_parts("value")).alias("idx", "part")))
     facts = lines.groupBy(*group).agg(
-        F.bool_or(F.col("part").contains(F.col("sep")) | F.col("sep").rlike(SPLIT_PATTERN)).alias("hard"),
+        F.bool_or(F.col("part").contains(F.col("sep"))).alias("held"),
+        F.bool_or(F.col("sep").rlike(SPLIT_PATTERN)).alias("split"),
         F.min(F.struct("pos", "idx")).alias("first"),
         F.min_by("part", F.struct("pos", "idx")).alias("alone"),
     )
     known = cut_lineage(lines.join(facts, group))
     others = known.where(F.col("part") != F.col("alone")).groupBy(*group).agg(F.min("pos").alias("other"))
-    easy = known.where(~F.col("hard")).join(others, group, "left")
+    easy = known.where(~F.col("held") & ~F.col("split")).join(others, group, "left")
     kept = easy.where((F.struct("pos", "idx") == F.col("first")) | (F.col("part") != F.col("alone")) | (F.col("pos") > F.col("other")))
     joined = kept.groupBy(*group).agg(
         F.array_sort(F.collect_list(F.struct("pos", "idx", "part"))).alias("ps"), F.first("sep").alias("sep")
     ).select(*group, F.array_join(F.col("ps.part"), "\x00").alias("t"), "sep").select(*group, F.replace("t", F.lit("\x00"), "sep").alias("merged"))
-    hard = facts.where("hard").select(*group)
+    split = facts.where("split").select(*group)
     folded = (
-        filled.join(hard, group, "left_semi").groupBy(*group)
+        filled.join(split, group, "left_semi").groupBy(*group)
         .agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("vs"), F.first("sep").alias("sep"))
         .select(*group, F.aggregate(F.col("vs"), F.lit(""), lambda acc, v: merge_accumulative(acc, v["value"], F.col("sep"))).alias("merged"))
     )
-    return joined.unionByName(folded)
+    out = joined.unionByName(folded)
+    held = facts.where(F.col("held") & ~F.col("split")).select(*group)
+    if held.isEmpty():
+        return out
+    values = filled.join(held, group, "left_semi").select(*group, "pos", "sep", split_parts("value").alias("ps"))
+    return out.unionByName(_growing_fold(values, group))
+
+
+def _growing_fold(values: DataFrame, group: list[str], block: int = FOLD_BLOCK) -> DataFrame:
+    """group, merged over values(group, pos, sep, ps): a part is dropped where it equals the whole text so far.
+
+    The text so far only grows, so once it is longer than the longest part of its group everything stays.
+    Until then a group goes on in rounds: values that are the text so far alone are skipped up to the
+    first that adds something, and at most `block` values from there are folded in one row. No task
+    holds more of a group than that, but for its finished cell.
+    """
+    lines = cut_lineage(dense_position(values.where(F.size("ps") > 0), group, "pos", "at"))
+    state = cut_lineage(
+        lines.groupBy(*group)
+        .agg(F.first("sep").alias("sep"), F.max(F.array_max(F.transform("ps", F.length))).alias("longest"), F.max("at").alias("last"))
+        .select(*group, "sep", "longest", "last", F.lit("").alias("t"), F.lit(-1).cast("bigint").alias("done"))
+    )
+    is_open = (F.length("t") <= F.col("longest")) & (F.col("done") < F.col("last"))
+
+    def grown(acc, v):
+        new = F.filter(v["ps"], lambda p: p != acc["t"])
+        added = F.replace(F.array_join(new, "\x00"), F.lit("\x00"), F.col("sep"))
+        text = F.when(F.size(new) == 0, acc["t"]).when(acc["t"] == "", added).otherwise(F.concat(acc["t"], "sep", added))
+        return F.when(F.length(acc["t"]) > F.col("longest"), acc).otherwise(F.struct(text.alias("t"), (acc["used"] + 1).alias("used")))
+
+    closed = state.where(~is_open)
+    while not state.isEmpty():
+        opened = state.where(is_open)
+        starts = (
+            lines.select(*group, "at", "ps").join(opened, group)
+            .where((F.col("at") > F.col("done")) & (F.col("ps") != F.array("t")))
+            .groupBy(*group).agg(F.min("at").alias("start"))
+        )
+        placed = cut_lineage(opened.join(starts, group, "left"))
+        # Nothing but repeats of the text so far is left.
+        closed = closed.unionByName(placed.where(F.col("start").isNull()).drop("start").withColumn("done", F.col("last")))
+        going = placed.where(F.col("start").isNotNull())
+        taken = (
+            lines.select(*group, "at", "ps").join(going.select(*group, "start"), group)
+            .where((F.col("at") >= F.col("start")) & (F.col("at") < F.col("start") + block))
+            .groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("at", "ps"))).alias("vs"))
+        )
+        zero = F.struct(F.col("t"), F.lit(0).alias("used"))
+        state = cut_lineage(
+            going.join(taken, group).withColumn("f", F.aggregate("vs", zero, grown))
+            .select(*group, "sep", "longest", "last", F.col("f.t").alias("t"), (F.col("start") + F.col("f.used") - 1).alias("done"))
+        )
+        closed = closed.unionByName(state.where(~is_open))
+    tails = (
+        lines.select(*group, "at", "ps").join(closed.select(*group, "done"), group).where(F.col("at") > F.col("done"))
+        .groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("at", "ps"))).alias("vs"))
+        .select(*group, F.array_join(F.flatten(F.col("vs.ps")), "\x00").alias("tail"))
+    )
+    tail = F.replace("tail", F.lit("\x00"), F.col("sep"))
+    return closed.join(tails, group, "left").select(
+        *group, F.when(F.col("tail").isNull(), F.col("t")).otherwise(F.concat("t", "sep", tail)).alias("merged")
+    )
 
 
 def fold_groups(members: DataFrame, clusters: DataFrame, keys: Sequence[str], pos: str) -> DataFrame:

@@ -70,6 +70,24 @@ def agg3_slash(spark, d):
     return fold_groups(members, clusters, ROW, "member_pos").select("cluster_id", F.try_element_at("values", F.lit("v")).alias("merged"))
 
 
+@query(
+    "agg3_hard_separator",
+    f"""WITH {PARTS}, v AS (SELECT CASE WHEN pos % 3 = 0 THEN 0 ELSE cluster_id END AS cluster_id, pos,
+      CASE CAST(size AS INT) % 4 WHEN 0 THEN 'a/b' WHEN 1 THEN 'a' WHEN 2 THEN 'b' ELSE 'a/b/a, b' END AS v FROM parts)
+    SELECT cluster_id, list_reduce(list_prepend('', list(v ORDER BY pos)), lambda t, x: CASE WHEN len(list_filter(string_split(x, ', '), lambda p: p <> t)) = 0 THEN t
+      ELSE CASE WHEN t = '' THEN '' ELSE t || '/' END || array_to_string(list_filter(string_split(x, ', '), lambda p: p <> t), '/') END) AS merged FROM v GROUP BY cluster_id""",
+)
+def agg3_hard(spark, d):
+    """Parts that hold the separator they are joined with; one group has a third of all rows."""
+    p = parts(spark, d).withColumn("cluster_id", F.when(F.col("pos") % 3 == 0, F.lit(0).cast("bigint")).otherwise(F.col("cluster_id")))
+    value = F.expr("CASE CAST(size AS INT) % 4 WHEN 0 THEN 'a/b' WHEN 1 THEN 'a' WHEN 2 THEN 'b' ELSE 'a/b/a, b' END")
+    members = p.select("cluster_id", F.lit(0).cast("bigint").alias("row_pos"), F.col("pos").alias("member_pos"), F.create_map(F.lit("v"), value).alias("values"))
+    clusters = p.select("cluster_id").distinct().withColumns(
+        {"attribute_merge": F.create_map(F.lit("v"), F.lit("accumulative")), "attribute_merge_separators": F.create_map(F.lit("v"), F.lit("/"))}
+    )
+    return fold_groups(members, clusters, ROW, "member_pos").select("cluster_id", F.try_element_at("values", F.lit("v")).alias("merged"))
+
+
 @query(
     "agg4_collapse_rows",
     f"""WITH {GROUPED}, {_SIZES} SELECT g.cluster_id, g.row_pos, g.enriched_name, (SELECT arg_min(alias, alias_pos) FROM aliases a WHERE a.cluster_id = g.cluster_id AND a.row_pos = g.row_pos) AS item,

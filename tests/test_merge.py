@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 from itemnorm.operators import merge_values
 from itemnorm.operators.collapse import collapse_rows
 from itemnorm.operators.merge_values import fold_accumulative, fold_groups
@@ -117,3 +119,28 @@ def test_typed_separators_equal_the_fold_value_by_value(spark):
     df = spark.createDataFrame(lines, "g bigint, attr string, pos bigint, value string, sep string")
     got = {r["g"]: r["merged"] for r in fold_accumulative(df, ["g"]).collect()}
     assert got == {g: t for g, t in want.items() if g in got} and all(not t for g, t in want.items() if g not in got)
+
+
+@pytest.mark.parametrize("block", [1, 3, 1024])
+def test_growing_fold_in_rounds_equals_the_fold_value_by_value(spark, block):
+    rng = random.Random(block)
+    lines, want = [], {}
+    for g in range(60):
+        sep = rng.choice(["/", "--"])
+        plain = ["a", "b", "aa"]
+        # Texts a fold can have reached, so that repeats of the whole text so far occur.
+        reached = [sep.join(rng.choices(plain, k=n)) for n in (2, 2, 3, 4)]
+        values = [[p for p in dict.fromkeys(rng.choices(plain[:2] + reached, k=rng.randint(1, 2)))] for _ in range(rng.randint(1, 40))]
+        if g % 3 == 0:
+            values = [["a"], ["a"], ["b"], *[["a" + sep + "b"]] * 9, ["b"], *[[sep.join("abb")]] * 5]
+        if g == 1:
+            values = [["a" + sep + "b"]] * 12
+        text = ""
+        for ps in values:
+            new = [p for p in ps if p != text]
+            text = sep.join([*([text] if text else []), *new]) if new else text
+        want[g] = text
+        lines += [(g, 7 * i + 3, sep, ps) for i, ps in enumerate(values)]
+    df = spark.createDataFrame(lines, "g int, pos bigint, sep string, ps array<string>").repartition(5)
+    got = {r["g"]: r["merged"] for r in merge_values._growing_fold(df, ["g"], block).collect()}
+    assert got == want
