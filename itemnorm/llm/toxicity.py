@@ -26,9 +26,10 @@ SAMPLE_ROWS = 8_000
 STARTS = (4, 5, 6)
 MIN_TEXTS = 3
 PRECISION = 0.7
-MAX_FEATURES = 50_000
-#: Tokens in a row that one chain joins.
-CHAIN = 64
+#: Tokens of a text that are worked on in one row; the chain runs on from row to row.
+PIECE = 64
+#: Of the training texts without any marker one in so many trains the field, with that weight.
+PLAIN_SHARE = 8
 STEPS = 60
 CACHE = 200_000
 
@@ -62,39 +63,83 @@ class ToxicityModel:
     document: np.ndarray = field(default_factory=lambda: np.zeros(5))
 
 
-def _chains(values: np.ndarray, filler: float) -> np.ndarray:
-    rows = -(-len(values) // CHAIN)
-    out = np.full(rows * CHAIN, filler)
+def _pieces(values: np.ndarray, filler: float) -> np.ndarray:
+    rows = -(-len(values) // PIECE)
+    out = np.full(rows * PIECE, filler)
     out[: len(values)] = values
-    return out.reshape(rows, CHAIN)
+    return out.reshape(rows, PIECE)
 
 
-def marginals(emissions: np.ndarray, moves: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Toxic marginals per token of each row, and expected moves summed over all rows; mask: real tokens."""
+def _scaled(message: np.ndarray) -> np.ndarray:
+    return message / message.sum(0)
+
+
+def _messages(toxic: np.ndarray, t: np.ndarray, mask: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What reaches the first token of each row from the rows before it, and the last token from those after it.
+
+    A row maps what reaches it to its end by a 2 x 2 matrix. Those of all rows are made side by side, then passed
+    on from row to row: the k-th rows of all texts at once, first to last and back.
+    """
+    n, steps = toxic.shape
+    ahead, behind = np.ones((2, n)), np.ones((2, n))
+    longest = int(place.max()) if n else 0
+    if not longest:
+        return ahead, behind
+    # through[s, v]: from tag s of the first token to tag v of the last real one.
+    through = np.zeros((2, 2, n))
+    through[0, 0], through[1, 1] = 1.0, toxic[:, 0]
+    for i in range(1, steps):
+        moved = np.stack([through[:, 0] * t[0, 0] + through[:, 1] * t[1, 0], (through[:, 0] * t[0, 1] + through[:, 1] * t[1, 1]) * toxic[:, i]], 1)
+        through = np.where(mask[:, i], moved / moved.sum((0, 1)), through)
+    rows = np.split(np.argsort(place, kind="stable"), np.cumsum(np.bincount(place))[:-1])
+    for k in range(1, longest + 1):
+        here = rows[k]
+        end = (ahead[:, here - 1][:, None] * through[:, :, here - 1]).sum(0)
+        ahead[:, here] = _scaled(np.stack([end[0] * t[0, v] + end[1] * t[1, v] for v in (0, 1)]))
+    for k in range(longest, 0, -1):
+        here = rows[k]
+        start = (through[:, :, here] * behind[:, here]).sum(1)
+        behind[:, here - 1] = _scaled(np.stack([t[u, 0] * start[0] + t[u, 1] * start[1] for u in (0, 1)]))
+    return ahead, behind
+
+
+def marginals(emissions: np.ndarray, moves: np.ndarray, mask: np.ndarray, place: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Toxic marginals per token, and expected moves summed over all texts, by their weight.
+
+    Rows are pieces of texts, those of one text in order; place: number of a row in its text; mask: real tokens,
+    all of them but at a text's end. The chain runs through the whole text.
+    """
     n, steps = emissions.shape
     toxic = np.exp(np.clip(emissions, -30, 30))
     t = np.exp(moves)
+    ahead, behind = _messages(toxic, t, mask, place)
     forward = np.empty((steps, 2, n))
     backward = np.empty((steps, 2, n))
-    a = np.stack([np.ones(n), toxic[:, 0]])
-    forward[0] = a / a.sum(0)
+    forward[0] = _scaled(np.stack([ahead[0], ahead[1] * toxic[:, 0]]))
     for i in range(1, steps):
         a = np.stack([forward[i - 1, 0] * t[0, 0] + forward[i - 1, 1] * t[1, 0], (forward[i - 1, 0] * t[0, 1] + forward[i - 1, 1] * t[1, 1]) * toxic[:, i]])
-        a /= a.sum(0)
-        forward[i] = np.where(mask[:, i], a, forward[i - 1])
-    backward[-1] = 0.5
+        forward[i] = np.where(mask[:, i], _scaled(a), forward[i - 1])
+    backward[-1] = behind
     for i in range(steps - 2, -1, -1):
         b1 = backward[i + 1, 1] * toxic[:, i + 1]
         b = np.stack([t[0, 0] * backward[i + 1, 0] + t[0, 1] * b1, t[1, 0] * backward[i + 1, 0] + t[1, 1] * b1])
-        b /= b.sum(0)
-        backward[i] = np.where(mask[:, i + 1], b, 0.5)
+        backward[i] = np.where(mask[:, i + 1], _scaled(b), behind)
     both = forward * backward
     p = (both[:, 1] / both.sum(1)).T
+    weight = np.ones(n) if weight is None else weight
     expected = np.zeros((2, 2))
+
+    def add(before, i, rows, share):
+        e = [np.ones(len(share)), toxic[rows, i]]
+        joint = np.stack([[before[u] * t[u, v] * e[v] * backward[i, v][rows] for v in (0, 1)] for u in (0, 1)])
+        return (joint / joint.sum((0, 1)) * share).sum(2)
+
+    everything = slice(None)
     for i in range(1, steps):
-        e = [np.ones(n), toxic[:, i]]
-        joint = np.stack([[forward[i - 1, u] * t[u, v] * e[v] * backward[i, v] for v in (0, 1)] for u in (0, 1)])
-        expected += (joint / joint.sum((0, 1)) * mask[:, i]).sum(2)
+        expected += add(forward[i - 1], i, everything, mask[:, i] * weight)
+    later = np.flatnonzero(place > 0)
+    if len(later):
+        expected += add(forward[-1][:, later - 1], 0, later, weight[later])
     return p * mask, expected
 
 
@@ -132,11 +177,14 @@ def _markers(texts: list[list[str]], labels: np.ndarray) -> list[str]:
         rate, other = n / toxic, (found[0][f] + 0.5) / clean
         if rate / (rate + other) >= PRECISION and n / (n + found[0][f]) >= 0.5:
             kept.append((-n, f))
-    return [f for _, f in sorted(kept)[:MAX_FEATURES]]
+    return [f for _, f in sorted(kept)]
+
 
+def fit_field(texts: list[list[str]], labels: np.ndarray, aggregate: np.ndarray, plain_share: int = PLAIN_SHARE) -> ToxicityModel:
+    """aggregate: which texts fit the document model; the others give markers and train the field.
 
-def fit_field(texts: list[list[str]], labels: np.ndarray, aggregate: np.ndarray) -> ToxicityModel:
-    """aggregate: which texts fit the document model; the others give markers and train the field."""
+    Texts are trained on whole. Of those without any marker one in `plain_share` takes part, weighted by it.
+    """
     model = ToxicityModel()
     if not len(labels) or labels.min() == labels.max():
         share = (labels.sum() + 0.5) / (len(labels) + 1.0) if len(labels) else 0.0
@@ -146,8 +194,8 @@ def fit_field(texts: list[list[str]], labels: np.ndarray, aggregate: np.ndarray)
     features = _markers([texts[i] for i in own], labels[own])
     index = {f: k for k, f in enumerate(features)}
     cache: dict[str, list[int]] = {}
-    rows, row_labels, row_masks, at, which = [], [], [], [], []
-    count = 0
+    tag_rows, mask_rows, places, weights, at, which = [], [], [], [], [], []
+    count = plain = 0
     for i in own:
         words = texts[i]
         if not words:
@@ -158,35 +206,44 @@ def fit_field(texts: list[list[str]], labels: np.ndarray, aggregate: np.ndarray)
                 cache[w] = [index[f] for f in token_features(w) if f in index]
             marks.append(cache[w])
         hit = np.fromiter((bool(m) for m in marks), bool, len(marks))
-        tag = _chains((hit & bool(labels[i])).astype(float), 0.0)
-        mask = _chains(np.ones(len(words)), 0.0) > 0
-        # Whole texts give the counts above; of the chains without any marker every eighth trains the field.
-        keep = (_chains(hit.astype(float), 0.0) > 0).any(1) | (np.arange(len(tag)) % 8 == 0)
-        place = np.cumsum(keep) - 1
+        if not hit.any():
+            plain += 1
+            if plain % plain_share != 1 % plain_share:
+                continue
+        tag_rows.append(_pieces((hit & bool(labels[i])).astype(float), 0.0))
+        mask_rows.append(_pieces(np.ones(len(words)), 0.0) > 0)
+        places.append(np.arange(len(mask_rows[-1])))
+        weights.append(np.full(len(mask_rows[-1]), 1.0 if hit.any() else float(plain_share)))
         for t in np.flatnonzero(hit):
-            if keep[t // CHAIN]:
-                for k in marks[t]:
-                    at.append((count + place[t // CHAIN]) * CHAIN + t % CHAIN)
-                    which.append(k)
-        rows.append(mask[keep].sum(1))
-        row_labels.append(tag[keep])
-        row_masks.append(mask[keep])
-        count += int(keep.sum())
-    tags, mask = np.concatenate(row_labels), np.concatenate(row_masks)
+            for k in marks[t]:
+                at.append(count * PIECE + t)
+                which.append(k)
+        count += len(mask_rows[-1])
+    if not count:
+        return fit_field([], np.empty(0), np.empty(0, bool))
+    tags, mask = np.concatenate(tag_rows), np.concatenate(mask_rows)
+    place, weight = np.concatenate(places), np.concatenate(weights)
+    share = mask * weight[:, None]
     at_, which_ = np.array(at, np.int64), np.array(which, np.int64)
     seen = np.bincount(which_, tags.ravel()[at_], len(features)) if len(at_) else np.zeros(len(features))
-    both = mask[:, 1:]
-    moved = np.array([[(((tags[:, :-1] == u) & (tags[:, 1:] == v)) & both).sum() for v in (0, 1)] for u in (0, 1)], float)
-    size = mask.sum()
+    later = np.flatnonzero(place > 0)
+
+    def moves_of(u: int, v: int) -> float:
+        inside = ((tags[:, :-1] == u) & (tags[:, 1:] == v)) * share[:, 1:]
+        return inside.sum() + (((tags[later - 1, -1] == u) & (tags[later, 0] == v)) * weight[later]).sum()
+
+    moved = np.array([[moves_of(u, v) for v in (0, 1)] for u in (0, 1)])
+    size = share.sum()
 
     def slope(w: np.ndarray) -> np.ndarray:
         moves, bias, own_weights = w[:4].reshape(2, 2), w[4], w[5:]
         e = np.full(mask.size, bias)
         if len(at_):
             e += np.bincount(at_, own_weights[which_], mask.size)
-        p, expected = marginals(e.reshape(mask.shape), moves, mask)
+        p, expected = marginals(e.reshape(mask.shape), moves, mask, place, weight)
         flat = p.ravel()
-        g = np.concatenate([(moved - expected).ravel(), [tags.sum() - p.sum()], seen - (np.bincount(which_, flat[at_], len(features)) if len(at_) else 0)])
+        # A text with markers has weight 1, so what the features see needs none.
+        g = np.concatenate([(moved - expected).ravel(), [(tags * share).sum() - (p * share).sum()], seen - (np.bincount(which_, flat[at_], len(features)) if len(at_) else 0)])
         return g / size - 1e-6 * w
 
     start = np.zeros(5 + len(features))
@@ -203,21 +260,22 @@ def fit_field(texts: list[list[str]], labels: np.ndarray, aggregate: np.ndarray)
 
 
 def text_marginals(texts: list[list[str]], model: ToxicityModel, emissions: _Emissions | None = None) -> list[np.ndarray]:
-    """Toxic marginals of the tokens of each text, all chains of the batch side by side."""
+    """Toxic marginals of the tokens of each text, all pieces of the batch side by side."""
     emissions = _Emissions(model.weights) if emissions is None else emissions
-    rows, masks, sizes = [], [], []
+    rows, masks, places, sizes = [], [], [], []
     for words in texts:
         sizes.append(len(words))
         if words:
             values = np.fromiter(map(emissions.__getitem__, words), float, len(words)) + model.bias
-            rows.append(_chains(values, 0.0))
-            masks.append(_chains(np.ones(len(words)), 0.0) > 0)
+            rows.append(_pieces(values, 0.0))
+            masks.append(_pieces(np.ones(len(words)), 0.0) > 0)
+            places.append(np.arange(len(rows[-1])))
     if not rows:
         return [np.empty(0) for _ in texts]
-    p = marginals(np.concatenate(rows), model.moves, np.concatenate(masks))[0]
+    p = marginals(np.concatenate(rows), model.moves, np.concatenate(masks), np.concatenate(places))[0]
     out, start = [], 0
     for n in sizes:
-        k = -(-n // CHAIN)
+        k = -(-n // PIECE)
         out.append(p[start : start + k].ravel()[:n])
         start += k
     return out
@@ -238,15 +296,16 @@ def _spans(text: str, p: np.ndarray) -> list[dict[str, int]]:
     return out
 
 
-def fit_toxicity(points: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> ToxicityModel:
+def fit_toxicity(points: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, plain_share: int = PLAIN_SHARE) -> ToxicityModel:
     """Model from points(item_id, text) and labels(item_id, label): 1 for toxic items.
 
-    `rows` bounds the labelled sample whose texts come to the driver. Without labels, or with labels of
+    `rows` bounds the labelled sample whose texts come to the driver; of its texts without any marker one in
+    `plain_share` trains the field, weighted by it. Without labels, with an empty table, or with labels of
     one kind only, the model gives every text one low, or that kind's, score.
     """
     frame = labelled_sample(points, labels, rows).toPandas().sort_values("item_id")
     texts = [list(map(sys.intern, TOKEN.findall(t))) for t in frame["text"]]
-    return fit_field(texts, frame["label"].to_numpy(dtype=float), np.arange(len(frame)) % 4 == 3)
+    return fit_field(texts, frame["label"].to_numpy(dtype=float), np.arange(len(frame)) % 4 == 3, plain_share)
 
 
 def score_toxicity(points: DataFrame, model: ToxicityModel, keep: Sequence[str] = ()) -> DataFrame:

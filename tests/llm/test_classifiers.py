@@ -82,12 +82,55 @@ def test_forward_backward_equals_enumeration():
     e, mask = rng.standard_normal((3, 7)), np.zeros((3, 7), bool)
     for k, n in enumerate(sizes):
         mask[k, :n] = True
-    p, expected = toxicity.marginals(e, moves, mask)
+    p, expected = toxicity.marginals(e, moves, mask, np.zeros(len(sizes), int))
     for k, n in enumerate(sizes):
         assert p[k, :n] == pytest.approx(chain_brute(e[k, :n], moves))
     assert expected.sum() == pytest.approx(sum(n - 1 for n in sizes))
 
 
+def whole_chain(e, moves):
+    """Forward and backward over one text, token by token."""
+    t, n = np.exp(moves), len(e)
+    emit = np.stack([np.ones(n), np.exp(e)], 1)
+    forward, backward = np.empty((n, 2)), np.ones((n, 2))
+    forward[0] = emit[0] / emit[0].sum()
+    for i in range(1, n):
+        forward[i] = forward[i - 1] @ t * emit[i]
+        forward[i] /= forward[i].sum()
+    moved = np.zeros((2, 2))
+    for i in range(n - 2, -1, -1):
+        backward[i] = t @ (emit[i + 1] * backward[i + 1])
+        backward[i] /= backward[i].sum()
+        joint = forward[i][:, None] * t * (emit[i + 1] * backward[i + 1])[None, :]
+        moved += joint / joint.sum()
+    both = forward * backward
+    return both[:, 1] / both.sum(1), moved
+
+
+def test_marginals_run_through_texts_of_many_pieces():
+    rng = np.random.default_rng(3)
+    moves = np.array([[1.5, -2.0], [-1.0, 2.5]])
+    sizes = [1, 63, 64, 65, 128, 129, 700, 30_000, 2]
+    texts = [rng.normal(-1, 2, n) for n in sizes]
+    weights = rng.choice([1.0, 8.0], len(sizes))
+    rows = np.concatenate([toxicity._pieces(e, 0.0) for e in texts])
+    mask = np.concatenate([toxicity._pieces(np.ones(len(e)), 0.0) > 0 for e in texts])
+    place = np.concatenate([np.arange(-(-n // toxicity.PIECE)) for n in sizes])
+    p, expected = toxicity.marginals(rows, moves, mask, place, np.repeat(weights, [-(-n // toxicity.PIECE) for n in sizes]))
+    want = [whole_chain(e, moves) for e in texts]
+    assert p[mask] == pytest.approx(np.concatenate([w[0] for w in want]), abs=1e-9)
+    assert expected == pytest.approx(sum(w * m for w, (_, m) in zip(weights, want)), rel=1e-9)
+
+
+def test_words_in_front_of_a_text_change_its_spans_only_through_the_chain():
+    """A long clean start, of whatever length, leaves the same marginals behind it."""
+    model = toxicity.ToxicityModel({"=vile": 4.0, "=near": 1.0}, -2.0, np.array([[1.0, -1.0], [-1.0, 1.0]]))
+    tail = ["c"] * 40 + ["vile", "near", "c", "near", "vile"] + ["c"] * 90
+    alone = toxicity.text_marginals([["c"] * 200 + tail], model)[0][200:]
+    for front in (201, 207, 231, 263, 264):
+        assert toxicity.text_marginals([["c"] * front + tail], model)[0][front:] == pytest.approx(alone, abs=1e-9)
+
+
 def made_texts(seed, n):
     rng = random.Random(seed)
     clean, bad = [f"w{k}" for k in range(300)], ["vilex", "vilemo", "nastor", "nastik"]
