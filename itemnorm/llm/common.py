@@ -64,6 +64,13 @@ def hash_bound(total: int, wanted: float) -> int:
     return top if total <= wanted else int(top * (wanted / total))
 
 
+def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], by: str, salts: int = 16) -> DataFrame:
+    """rows joined with `keyed`, one line per key, so that a hot key's rows are dealt over `salts` tasks by column `by`."""
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    copies = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, [*keys, "_salt"]).drop("_salt")
+
+
 def dense_number(df: DataFrame, keys: list[str], order: list[Column], out: str, salts: int = 64) -> DataFrame:
     """0-based number inside each key without a task that holds a whole key.
 
