@@ -11,7 +11,7 @@ from itemnorm.llm.common import prepare
 from itemnorm.session import cut_lineage
 
 #: Near-duplicates of the pipeline: words of a shingle, least Jaccard similarity, differing bits the index looks for.
-SHINGLE, SIMILARITY, DISTANCE = 5, 0.8, 7
+SHINGLE, SIMILARITY, DISTANCE = 5, 0.8, 3
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -23,7 +23,8 @@ def _points(docs: DataFrame) -> DataFrame:
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on the labels of these documents, predicts as good.
 
-    Each row is judged by its own text, without a shuffle.
+    Each row is judged by its own whole text, without a shuffle. A null text is judged as an empty one, rows that repeat are
+    judged alike, and a null id only keeps a row out of the fit. An empty table gives an empty result.
     """
     points = _points(docs)
     labels = queries.document_labels(prepare(spark), sf_dir, "quality", lambda d: queries.remainder(d, 3) != 1)
@@ -32,7 +33,10 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity field, fitted on the labels of these documents, does not predict as toxic."""
+    """Documents that the toxicity field, fitted on the labels of these documents, does not predict as toxic.
+
+    Nulls, repeated rows, long texts and empty tables as in `keep_good`.
+    """
     points = _points(docs)
     labels = queries.document_labels(prepare(spark), sf_dir, "toxic", lambda d: queries.remainder(d, 5) != 0)
     scored = toxicity.score_toxicity(points, toxicity.fit_toxicity(points, labels), keep=COLUMNS)
@@ -42,7 +46,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each class of near-duplicates.
 
-    Near-duplicates share SIMILARITY of their shingles of SHINGLE words; the SimHash index finds them up to DISTANCE bits. Of rows that repeat that id one stays; documents without an id stay if nothing with an id is like them.
+    Near-duplicates share SIMILARITY of their shingles of SHINGLE words. The SimHash index meets those up to DISTANCE bits
+    apart, bands of least hashes the others (`simhash.similar_firsts`); all pairs met are compared exactly. Null, empty and
+    blank texts are one class; an empty table gives an empty result. Of rows that repeat that id one stays; documents without an id stay if nothing with an id is like them.
     """
     prepare(spark)
     numbered = cut_lineage(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()))
@@ -54,7 +60,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; those it takes no time go."""
+    """Documents as often as the mix takes them; those it takes no time go.
+
+    Rows are told apart by their own number, so repeated and null ids are drawn one by one. A null or empty text has no
+    words: it is balanced as a row. A null source is the last one. An empty table gives an empty result.
+    """
     prepare(spark)
     numbered = cut_lineage(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()))
     rows = queries.document_points(numbered, "source", "_row")
@@ -63,7 +73,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequences and places; columns as in op3."""
+    """The pieces of all documents with their sequences and places; columns as in op3.
+
+    A null or empty text is one piece, the end token alone; longer than a sequence is cut in pieces; repeated rows and null
+    ids are packed row by row. An empty table gives an empty result.
+    """
     prepare(spark)
     return queries.packed_digest(packing.pack_points(queries.document_points(docs), packing.WordTokeniser(queries.tokenizer_path())))
 
