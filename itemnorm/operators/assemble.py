@@ -24,7 +24,9 @@ from itemnorm.operators.ordering import (
     dense_position,
     dense_position_pairs,
     dense_text_position,
+    first_at,
     first_per_key,
+    last_at,
     last_per_key,
     merged_maps,
 )
@@ -80,7 +82,7 @@ def known_to_clusters(known: DataFrame, memory: Memory, base: Sequence[str]) ->
         "attributes", "attribute_merge", "attribute_merge_separators",
         (F.col("name_template") if "name_template" in known.columns else F.lit(None).cast("string")).alias("name_template"),
     ))
-    uses = first_per_key(labelled, ["name", "enriched_name", "item_id"], ["item_idx"]).withColumnRenamed("item_idx", "first_idx")
+    uses = first_at(labelled, ["name", "enriched_name", "item_id"], "item_idx").withColumnRenamed("item_idx", "first_idx")
     heads = labelled.groupBy("name").agg(
         F.min("item_idx").alias("cluster_id"),
         F.min_by(non_blank("name_template"), F.when(non_blank("name_template").isNotNull(), F.col("item_idx"))).alias("template"),
@@ -114,7 +116,7 @@ def _assemble(uses: DataFrame, named: DataFrame, heads: DataFrame, base: Sequenc
     if fill_rows:
         values = _fill(value_lines, ROW, ["first_idx"])
     else:
-        firsts = first_per_key(uses.select(*ROW, "first_idx", "attributes"), ROW, ["first_idx"])
+        firsts = first_at(uses.select(*ROW, "first_idx", "attributes"), ROW, "first_idx")
         values = firsts.select(*ROW, clean_map("attributes").alias("values"))
     member_values = F.when(F.coalesce(F.size("values"), F.lit(0)) > 0, clean_map("values")).otherwise(clean_map("attributes"))
     alias_lines = named.select(*ROW, "first_idx", "alias_pos", "alias", member_values.alias("values"))
@@ -134,7 +136,7 @@ def _assemble(uses: DataFrame, named: DataFrame, heads: DataFrame, base: Sequenc
         F.coalesce("values", empty_map()).alias("values"),
         F.lit("memory").alias("source"),
     )
-    first_alias = first_per_key(placed, ROW, ["alias_pos"]).select(*ROW, F.col("alias").alias("item"))
+    first_alias = first_at(placed, ROW, "alias_pos").select(*ROW, F.col("alias").alias("item"))
     rows = (
         uses.select(*ROW, "enriched_name").distinct()
         .join(values, ROW, "left")
@@ -512,9 +514,9 @@ def rows_to_memory(catalogue: Catalogue) -> tuple[DataFrame, DataFrame]:
     points = rows.select(*ROW, strip_u("enriched_name").alias("text"), F.col("values").alias("attributes"), "cluster_name", "attribute_merge", "attribute_merge_separators")
     named = c.aliases.where(non_blank("alias").isNotNull()).select(*ROW, "alias_pos", strip_u("alias").alias("alias")).join(rows.select(*ROW), ROW, "left_semi")
     bare = points.join(named.select(*ROW).distinct(), ROW, "left_anti").select(*ROW, F.lit(0).cast("bigint").alias("alias_pos"), F.col("text").alias("alias"))
-    of_member = last_per_key(
+    of_member = last_at(
         c.members.where(non_blank("item").isNotNull()).select(*ROW, strip_u("item").alias("alias"), "member_pos", F.map_entries(clean_map("values")).alias("entries")),
-        [*ROW, "alias"], ["member_pos"],
+        [*ROW, "alias"], "member_pos",
     ).select(*ROW, "alias", F.map_from_entries("entries").alias("own"))
     aliases = (
         named.withColumn("listed", F.lit(True)).unionByName(bare.withColumn("listed", F.lit(False)))

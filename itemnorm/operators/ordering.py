@@ -98,6 +98,30 @@ def _edge_per_key(df, keys, order, pick):
     return best.select(*keys, *[F.col("_row")[c].alias(c) for c in rest])
 
 
+def first_at(df: DataFrame, keys: Sequence[str], pos: str) -> DataFrame:
+    """The row at the smallest position per key, as `first_per_key`, where rows are wide.
+
+    Only keys and positions are aggregated, in a hash aggregate; the winners are taken from the rows by key and
+    position together, so a hot key is spread over all tasks. pos is a whole number, never null and unique
+    inside a key; df is read twice, so it should be a stored table. Null keys are one key.
+    """
+    return _row_at(df, keys, pos, F.min)
+
+
+def last_at(df: DataFrame, keys: Sequence[str], pos: str) -> DataFrame:
+    """The row at the largest position per key; see `first_at`."""
+    return _row_at(df, keys, pos, F.max)
+
+
+def _row_at(df, keys, pos, pick):
+    named = [F.col(k).alias(f"_key{n}") for n, k in enumerate(keys)]
+    best = df.groupBy(*named).agg(pick(pos).alias("_pos"))
+    same = F.col(pos) == F.col("_pos")
+    for n, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{n}"))
+    return df.join(best, same, "left_semi").select(*keys, *[c for c in df.columns if c not in set(keys)])
+
+
 def page(df: DataFrame, number: int, size: int = 10, order: str = "row_id") -> DataFrame:
     """One page by position; size is kept in 1..100 and the page inside the table.
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from itemnorm.functions.text import safe_file_name, sheet_name
 from itemnorm.operators import source_table as st
-from itemnorm.operators.ordering import batch_number, dense_position, first_per_key, last_per_key, page, with_row_id
+from itemnorm.operators.ordering import batch_number, dense_position, first_at, last_at, page, with_row_id
 from itemnorm.queries.inputs import PARTS, parts, source_table, table
 from itemnorm.queries.registry import query
 from itemnorm.session import cut_lineage, scratch_path
@@ -165,8 +165,8 @@ def prj18(spark, d):
 @query("win1_first_last", f"WITH {PARTS} SELECT name, arg_min(item, pos) AS first_item, arg_max(item, pos) AS last_item FROM parts GROUP BY name")
 def win1(spark, d):
     p = parts(spark, d).select("name", "pos", "item")
-    first = first_per_key(p, ["name"], ["pos"]).select("name", F.col("item").alias("first_item"))
-    return first.join(last_per_key(p, ["name"], ["pos"]).select("name", F.col("item").alias("last_item")), "name")
+    first = first_at(p, ["name"], "pos").select("name", F.col("item").alias("first_item"))
+    return first.join(last_at(p, ["name"], "pos").select("name", F.col("item").alias("last_item")), "name")
 
 
 @query("win2_batches", f"WITH {PARTS}, n AS (SELECT cluster_id, (row_number() OVER (PARTITION BY cluster_id ORDER BY pos) - 1) // 8 AS batch FROM parts) SELECT cluster_id, batch, count(*) AS items FROM n GROUP BY ALL")

@@ -12,6 +12,7 @@ from itemnorm.operators import edits as ed
 from itemnorm.operators import enrich as en
 from itemnorm.operators.assemble import export_numbers, export_rows, select_clusters
 from itemnorm.operators.matching import match_memory
+from itemnorm.operators.ordering import first_at, first_per_key, last_at, last_per_key
 from itemnorm.plans.normalize import normalize
 from itemnorm.session import scratch_path
 from itemnorm.sources import memory_store as ms
@@ -394,3 +395,17 @@ def test_a_cache_is_read_by_bucket_and_forgets_days(spark):
     assert [r["cache_key"] for r in en.fresh_entries(en.read_cache(spark, path), one).collect()] == ["k7"]
     assert en.expire_cache(spark, path) == 1 and en.expire_cache(spark, path) == 0
     assert len(glob.glob(f"{path}/day=*")) == 1
+
+
+def test_first_and_last_rows_at_a_position(spark):
+    rows = [(k % 7 or None, "hot" if k % 3 == 0 else f"b{k % 50}", k, {"n": str(k)}) for k in range(600)]
+    df = spark.createDataFrame(rows, "cluster_id int, brand string, pos bigint, attributes map<string, string>")
+    plain = df.withColumn("attributes", F.map_entries("attributes"))
+    for given in (plain, plain.limit(0)):
+        for keys in (["cluster_id"], ["brand"], ["cluster_id", "brand"]):
+            for at, per in ((first_at, first_per_key), (last_at, last_per_key)):
+                got, want = at(given, keys, "pos"), per(given, keys, ["pos"])
+                assert got.columns == want.columns
+                assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    plan = first_at(df, ["cluster_id"], "pos")._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
