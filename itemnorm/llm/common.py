@@ -71,10 +71,10 @@ def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], by: str, sal
     return dealt.join(copies, [*keys, "_salt"]).drop("_salt")
 
 
-def dense_number(df: DataFrame, keys: list[str], order: list[Column], out: str, salts: int = 64) -> DataFrame:
+def dense_number(df: DataFrame, keys: list[str], order: list[Column], out: str, salts: int | Column = 64) -> DataFrame:
     """0-based number inside each key without a task that holds a whole key.
 
-    Rows are numbered inside `salts` hashed parts of a key, and a part starts where the parts before it
+    Rows are numbered inside `salts` hashed parts of a key (a column: so many of that key), and a part starts where the parts before it
     end. Which row gets which number is fixed by the row's own values, so a retry numbers alike. The
     order is total inside a part, not across parts.
     """

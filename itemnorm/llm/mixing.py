@@ -16,15 +16,20 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from itemnorm.llm.common import WORD_PATTERN, id_type
+from itemnorm.llm.common import WORD_PATTERN, dense_number, id_type
 from itemnorm.session import cut_lineage
 
 #: Rows of one flight.
 BLOCK = 4096
 #: Rows of a source that the landing decides together.
 LANDING = 14
+#: Equal rows that share a block; more of them are dealt over several.
+CHUNK = 64
+#: Rows of one part in which equal rows are numbered.
+PART = 4096
+#: Sources and their targets are lines of the driver: more are refused.
 MAX_SOURCES = 100_000
 _EPS = 1e-9
 
@@ -96,13 +101,16 @@ def mix_sources(
     source; copies: how often the row is taken; taken = copies * size. No row is taken more than `limit`
     times, an integer. The sums of taken words differ from the targets by the landing only: by a few words,
     or, in a source of a few rows, by up to half a row. A row's block follows from a hash of its id and
-    size, so reruns agree; repeated rows are decided one by one. Rows without words are balanced as rows
-    and add no words. An empty table gives an empty result.
+    size, so reruns agree. Repeated rows, and rows of equal size without an id, are decided one by one: CHUNK
+    of them at a time lie in a block, and which of them are taken follows from their stored numbers. Rows
+    without words are balanced as rows and add no words; long texts are counted whole. An empty table gives an
+    empty result. More than MAX_SOURCES sources are refused.
     """
     spark = rows.sparkSession
     kind = id_type(rows)
     sized = cut_lineage(
         rows.select(*keep, "item_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_PATTERN)).cast("bigint").alias("size"))
+        .withColumn("_number", F.monotonically_increasing_id())
     )
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
@@ -119,13 +127,13 @@ def mix_sources(
     by_source = spark.createDataFrame(lines, "k int, source string, source_size bigint, target double, whole int, p double, blocks bigint")
     placed = cut_lineage(
         sized.join(F.broadcast(by_source), sized["source"].eqNullSafe(by_source["source"]))
-        .select(*keep, "item_id", sized["source"], "size", "source_size", "target", "whole", "p", "k", F.greatest("blocks", F.lit(1)).alias("blocks"))
+        .select(*keep, "_number", "item_id", sized["source"], "size", "source_size", "target", "whole", "p", "k", F.greatest("blocks", F.lit(1)).alias("blocks"))
     )
 
-    schema = f"item_id {kind}, size bigint, k int, p double, n bigint, blocks bigint"
+    schema = f"item_id {kind}, size bigint, part bigint, k int, p double, n bigint, blocks bigint"
 
     def flight(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("order", "ascending"), ("item_id", "ascending"), ("size", "ascending"), ("p", "ascending")])
+        table = table.sort_by([("order", "ascending"), ("item_id", "ascending"), ("size", "ascending"), ("part", "ascending"), ("p", "ascending")])
         size = table["size"].to_numpy()
         # Large rows fly first, so that the landing has rows of ordinary sizes to add up.
         table = table.take(np.argsort(size <= 2 * size.mean(), kind="stable"))
@@ -135,16 +143,15 @@ def mix_sources(
         seed = xxhash.xxh64_intdigest(again["order"].to_numpy().tobytes(), table["k"][0].as_py())
         p = fly(again["p"].to_numpy(), again["size"].to_numpy(), min(LANDING - 2, again.num_rows) if last else 0, seed)
         ones = pa.array(np.ones(len(p), np.int64))
-        return pa.table([again["item_id"], again["size"], again["k"], pa.array(p), ones, again["blocks"]], names=["item_id", "size", "k", "p", "n", "blocks"])
+        names = ["item_id", "size", "part", "k", "p", "n", "blocks"]
+        return pa.table([*(again[c] for c in names[:4]), pa.array(p), ones, again["blocks"]], names=names)
 
-    rows_by = F.col("item_id").cast("string")
-    spread = F.xxhash64(rows_by, "size", F.lit("flight")).alias("order")
-    in_block = F.pmod(F.xxhash64(rows_by, "size", "blocks"), F.col("blocks")).alias("block")
-    open_rows = placed.where(F.col("p") > 0).groupBy("item_id", "size", "k", "p", "blocks").agg(F.count("*").alias("n"))
+    equal = cut_lineage(placed.where(F.col("p") > 0).groupBy("item_id", "size", "k", "p", "blocks").agg(F.count("*").alias("n")))
+    open_rows = in_chunks(equal)
     done, landing = [], []
     most = max([1, *(line[-1] for line in lines)])
     while True:
-        flying = open_rows.select("item_id", "size", "k", "p", "n", "blocks", in_block, spread)
+        flying = in_blocks(open_rows)
         flown = cut_lineage(flying.groupBy("k", "block").applyInArrow(flight, schema))
         done.append(flown.where("p = 0 or p = 1"))
         landing += flown.where("p > 0 and p < 1 and blocks = 1").collect()  # at most LANDING rows of a source
@@ -160,26 +167,49 @@ def mix_sources(
     for r in decided.where("p = 1").groupBy("k").agg(F.sum(F.col("size") * F.col("n")).alias("w")).collect():
         taken_now[r["k"]] += r["w"]
     last: dict[int, list] = {}
-    for r in sorted(landing, key=lambda r: (r["k"], r["size"], str(r["item_id"]))):
+    for r in sorted(landing, key=lambda r: (r["k"], r["size"], str(r["item_id"]), r["part"], r["p"])):
         last.setdefault(r["k"], []).extend([r] * r["n"])
     landed = []
     for k, own in last.items():
         p, size = np.array([r["p"] for r in own]), np.array([r["size"] for r in own])
         for r, x in zip(own, land(size, targets[k] - taken_now[k], p.sum())):
-            landed.append((r["item_id"], r["size"], k, float(x), 1, 1))
+            landed.append((r["item_id"], r["size"], r["part"], k, float(x), 1, 1))
     decided = decided.union(spark.createDataFrame(landed, schema))
     extra = decided.where("p = 1").groupBy("item_id", "size", "k").agg(F.sum("n").alias("more"))
-    return _with_extra(placed, cut_lineage(extra), keep)
+    taken = equal.select("item_id", "size", "k", "n").join(extra.toDF("_id", "_size", "_k", "more"), _same(F.col("_id"), F.col("_size"), F.col("_k")))
+    return _with_extra(placed, cut_lineage(taken.select("item_id", "size", "k", "n", "more")), keep)
 
 
-def _with_extra(placed: DataFrame, extra: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """copies = whole + 1 for `more` of the rows that share an id and a size."""
-    from pyspark.sql import Window
+def in_chunks(equal: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Lines of n equal rows as parts of at most `chunk`."""
+    parts = equal.select("*", F.explode(F.expr(f"sequence(0L, (n - 1) div {chunk})")).alias("part"))
+    return parts.withColumn("n", F.least(F.lit(chunk).cast("bigint"), F.col("n") - F.col("part") * chunk))
 
-    same = placed["item_id"].eqNullSafe(extra["item_id"]) & (placed["size"] == extra["size"]) & (placed["k"] == extra["k"])
-    twin = F.row_number().over(Window.partitionBy(placed["item_id"], placed["size"], placed["k"]).orderBy(F.lit(0)))
-    joined = placed.join(extra, same, "left").select(placed["*"], F.coalesce("more", F.lit(0)).alias("more"), twin.alias("twin"))
-    copies = F.col("whole") + F.when(F.col("twin") <= F.col("more"), 1).otherwise(0)
-    return joined.withColumn("copies", copies).select(
+
+def in_blocks(open_rows: DataFrame) -> DataFrame:
+    """The undecided lines with their block of the source and their order inside it, both from hashes of the line."""
+    line = [F.col("item_id").cast("string"), "size", "part"]
+    block = F.pmod(F.xxhash64(*line, "blocks"), F.col("blocks")).alias("block")
+    return open_rows.select("item_id", "size", "part", "k", "p", "n", "blocks", block, F.xxhash64(*line, F.lit("flight")).alias("order"))
+
+
+def _same(item_id: Column, size: Column, k: Column) -> Column:
+    return F.col("item_id").eqNullSafe(item_id) & (F.col("size") == size) & (F.col("k") == k)
+
+
+def _with_extra(placed: DataFrame, taken: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """copies = whole + 1 for `more` of the n rows that share an id and a size.
+
+    Only where some but not all of them are taken are they numbered, in parts of about PART rows.
+    """
+    columns = [*keep, "item_id", "source", "size", "source_size", "target", "whole", "more"]
+    given = taken.toDF("_id", "_size", "_k", "n", "more")
+    joined = placed.join(given, _same(F.col("_id"), F.col("_size"), F.col("_k")), "left").withColumn("more", F.coalesce("more", F.lit(0)))
+    some = F.coalesce((F.col("more") > 0) & (F.col("more") < F.col("n")), F.lit(False))
+    own = joined.where(some).withColumn("_parts", F.ceil(F.col("n") / PART).cast("int")).drop("_id", "_size", "_k")
+    numbered = dense_number(own, ["item_id", "size", "k"], [F.col("_number")], "twin", F.col("_parts"))
+    part = numbered.select(*columns, (F.col("twin") < F.col("more")).alias("again"))
+    both = part.union(joined.where(~some).select(*columns, (F.col("more") > 0).alias("again")))
+    return both.withColumn("copies", F.col("whole") + F.col("again").cast("int")).select(
         *keep, "item_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("bigint").alias("taken")
     )

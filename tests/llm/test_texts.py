@@ -285,6 +285,24 @@ def test_mix_meets_the_targets(spark, block):
     assert Counter((r["item_id"], r["size"], r["copies"]) for r in again) == Counter((r["item_id"], r["size"], r["copies"]) for r in got)
 
 
+def test_equal_rows_without_ids_are_dealt_over_blocks(spark):
+    rows = [(None, "a b c", "s0")] * 10_000 + [(k, "a b", "s1") for k in range(3000)] + [(7, None, None), (7, "", None)]
+    given = spark.createDataFrame(rows, "item_id bigint, text string, source string").repartition(5)
+    got = [
+        sorted(((r["item_id"] is None, r["item_id"] or 0, r["size"], r["copies"]) for r in mixing.mix_sources(given, (5, 2, 1), 1.2, 2.0, block=512).collect()))
+        for _ in range(2)
+    ]
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+    total = 36_000
+    targets = mixing.source_targets([30_000, 6000, 0], (5, 2, 1), 1.2, 2.0)
+    assert sum(targets) == pytest.approx(1.2 * total)
+    assert abs(sum(3 * c for no_id, _, _, c in got[0] if no_id) - targets[0]) <= 3
+    assert {c for no_id, _, _, c in got[0] if no_id} == {math.floor(targets[0] / 30_000), math.ceil(targets[0] / 30_000)}
+    equal = spark.createDataFrame([(None, 3, 0, 0.5, 10_000, 20)], "item_id bigint, size bigint, k int, p double, n bigint, blocks bigint")
+    blocks = mixing.in_blocks(mixing.in_chunks(equal)).groupBy("block").agg(F.sum("n").alias("n")).collect()
+    assert len(blocks) == 20 and max(r["n"] for r in blocks) <= 2 * 512 + 64 and sum(r["n"] for r in blocks) == 10_000
+
+
 def test_mix_of_an_empty_table(spark):
     assert mixing.mix_sources(empty_points(spark), (5, 2, 1), 1.5).count() == 0
 
